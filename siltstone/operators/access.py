@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import lookup_join
-from siltstone.session import settle
+from siltstone.session import Settled, settle
 
 # Object types, privileges.
 OBJECT_TYPES = ("catalog", "schema", "table")
@@ -111,6 +111,16 @@ def normalise_resource(resource: Column) -> Column:
     )
 
 
+def with_resource(df: DataFrame, text: str) -> DataFrame:
+    """Replace the JSON column ``text`` by the normalised struct ``resource``.
+
+    The one-element explodes keep the parsed and the normalised struct as columns; inlined into every later use, the
+    parse would run once per field.
+    """
+    parsed = df.withColumn("_parsed", F.explode(F.array(parse_resource(F.col(text))))).drop(text)
+    return parsed.withColumn("resource", F.explode(F.array(normalise_resource(F.col("_parsed"))))).drop("_parsed")
+
+
 def objects(catalogs: DataFrame, schemas: DataFrame, tables: DataFrame) -> DataFrame:
     """``(object_type, object_id, catalog, schema, table)`` of all three levels; '' below the object's level."""
     none = F.lit("")
@@ -163,12 +173,13 @@ def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
     Equal requests are decided once. A request is allowed by an always-allow rule, or by any grant of the user that
     covers the object checked, has the privilege asked for (or ALL) and covers the columns asked for.
     """
-    spark = requests.sparkSession
-    key = ["user_id", "operation", "resource"]
-    distinct = settle(requests.select(*key).distinct(), "requests")
-    lookup = settle(privilege_lookup(grants), "privileges")
-    decided = settle(_decide_distinct(distinct, lookup, operations(spark)), "decisions")
-    return lookup_join(_keyed(requests), _keyed(decided).select("_request", "allowed"), ["_request"]).drop("_request")
+    keyed = _keyed(requests)
+    once = settle(keyed.select(*KEY).distinct(), "requests").frame
+    decided = settle(_decide_once(once, settle(privilege_lookup(grants), "privileges")), "decisions")
+    return lookup_join(keyed, decided, ["_request"]).drop("_request")
+
+
+KEY = ["_request", "user_id", "operation", "resource"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -176,16 +187,15 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_request", F.to_json(F.struct("user_id", "operation", "resource")))
 
 
-def _decide_distinct(requests: DataFrame, lookup: DataFrame, rules: DataFrame) -> DataFrame:
-    key = ["user_id", "operation", "resource"]
+def _decide_once(requests: DataFrame, lookup: Settled) -> DataFrame:
+    """``(_request, allowed)`` of distinct requests."""
     res = F.col("resource")
-    asked = requests.join(F.broadcast(rules.withColumnRenamed("level", "checked")), "operation")
+    rules = operations(requests.sparkSession).withColumnRenamed("level", "checked")
     # "resource" stands for the level the request itself has.
     checked = F.when(F.col("checked") == "resource", res["level"]).otherwise(F.col("checked"))
-    asked = asked.withColumn("checked", checked)
-    anywhere = asked.where(F.col("checked") == "anywhere")
-    users = lookup.select("user_id").distinct()
-    somewhere = lookup_join(anywhere, users, ["user_id"], "left_semi").select(*key)
+    asked = requests.join(F.broadcast(rules), "operation").withColumn("checked", checked)
+    users = lookup.frame.select("user_id").distinct()
+    somewhere = lookup_join(asked.where(F.col("checked") == "anywhere"), users, ["user_id"], "left_semi")
 
     depth = F.when(F.col("checked") == "table", 3).when(F.col("checked") == "schema", 2).otherwise(1)
     names = [res["catalog"], res["schema"], res["table"]]
@@ -193,22 +203,24 @@ def _decide_distinct(requests: DataFrame, lookup: DataFrame, rules: DataFrame) -
     at = [F.struct(*[names[i].alias(PLACE[i]) if i < n else F.lit("").alias(PLACE[i]) for i in range(3)])
           for n in (1, 2, 3)]
     around = F.when(depth == 1, F.array(at[0])).when(depth == 2, F.array(at[0], at[1])).otherwise(F.array(*at))
+    # Column lists count only where a table is checked.
+    scoped = F.when(F.col("checked") == "table", res["columns"])
     probes = (asked.where((F.col("checked") != "anywhere") & complete)
-              .withColumn("_at", F.explode(around))
-              .select(*key, "checked", F.col("privilege").alias("wanted"), "_at.*"))
+              .select("_request", "user_id", F.col("privilege").alias("wanted"), scoped.alias("asked"),
+                      F.explode(around).alias("_at"))
+              .select("_request", "user_id", "wanted", "asked", "_at.*"))
     hits = (lookup_join(probes, lookup, ["user_id", *PLACE])
-            .where((F.col("wanted") == ANY) | F.col("privilege").isin("ALL") | (F.col("privilege") == F.col("wanted"))))
-    # Column lists count only where a table is checked; column grants on several rows add up.
-    scoped = (F.col("checked") == "table") & res["columns"].isNotNull()
-    remaining = F.array_except(res["columns"], F.col("columns"))
-    full = (hits.where(F.col("whole") | ~scoped | (F.size(remaining) == 0)).select(*key).distinct())
-    partial = hits.where(~F.col("whole") & scoped & (F.size(remaining) > 0) & (F.size("columns") > 0))
-    joint = (partial.select(*key, F.explode("columns").alias("_column"))
-             .groupBy(*key).agg(F.collect_set("_column").alias("_columns"))
-             .where(F.size(F.array_except(res["columns"], F.col("_columns"))) == 0).select(*key))
-    allowed = full.unionByName(joint).unionByName(somewhere).withColumn("allowed", F.lit(True))
-    open_to_all = requests.withColumn("allowed", always_allowed(F.col("operation"), res))
-    return open_to_all.unionByName(allowed).groupBy(*key).agg(F.bool_or("allowed").alias("allowed"))
+            .where((F.col("wanted") == ANY) | (F.col("privilege") == "ALL")
+                   | (F.col("privilege") == F.col("wanted"))))
+    # Column grants add up. A request meets each privilege of its three places once, so the lists gathered per
+    # request are few.
+    covered = F.array_distinct(F.flatten(F.collect_list("columns")))
+    granted = (hits.groupBy("_request", "asked").agg(F.bool_or("whole").alias("_whole"), covered.alias("_covered"))
+               .select("_request", (F.col("_whole") | F.col("asked").isNull()
+                                    | (F.size(F.array_except("asked", "_covered")) == 0)).alias("allowed")))
+    open_to_all = requests.select("_request", always_allowed(F.col("operation"), res).alias("allowed"))
+    rows = open_to_all.unionByName(granted).unionByName(somewhere.select("_request", F.lit(True).alias("allowed")))
+    return rows.groupBy("_request").agg(F.bool_or("allowed").alias("allowed"))
 
 
 def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Lookup joins that hold when one key carries a large share of the rows.
 
-``lookup_join`` broadcasts the looked-up side only after counting it. Past the bound it shuffles, and the keys
+``lookup_join`` broadcasts the looked-up side only after measuring it. Past the bound it shuffles, and the keys
 that are too heavy for one task are split: a left row takes one of ``fan`` slots and the right rows of such a key
 are repeated in all of them. The fan of a key is its row count over ``rows_per_task``, so the repeats stay below
 ``left rows / rows_per_task`` in total.
@@ -14,18 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.session import Settled, size_aggregates
+
 BROADCAST_ROWS = 100_000
-BROADCAST_CHARS = 64 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
 HEAVY_KEYS = 10_000
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS) -> bool:
-    """Count ``df``, and measure its text only if the count is within bounds."""
-    if df.count() > rows:
-        return False
-    size = df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
-    return (size or 0) <= chars
+def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """A settled frame was measured as it was written; any other is measured by one aggregation."""
+    if isinstance(right, Settled):
+        return right.rows <= rows and right.size <= size
+    measured = right.agg(*size_aggregates(right)).first()
+    return measured["rows"] <= rows and measured["size"] <= size
 
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -60,9 +62,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner",
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy."""
+    frame = right.frame if isinstance(right, Settled) else right
     if fits_broadcast(right):
-        return left.join(F.broadcast(right), keys, how)
-    return salted_join(left, right, keys, how, rows_per_task)
+        return left.join(F.broadcast(frame), keys, how)
+    return salted_join(left, frame, keys, how, rows_per_task)

@@ -39,7 +39,7 @@ def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
     order = [*keys, *ties, F.col("_from")]
     ordered = (df.withColumn("_from", F.spark_partition_id()).repartitionByRange(*order)
                .sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).drop("_from"))
-    numbered = settle(ordered, "positions")
+    numbered = settle(ordered, "positions").frame
     part = F.shiftright("_id", ROW_BITS)
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = (numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))

@@ -1 +1,250 @@
-ORACLE = {}
+"""DuckDB twins of the entitlement queries."""
+
+from __future__ import annotations
+
+_BASE = """
+place AS (SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+bought AS (SELECT l.*, o_custkey, o_orderpriority FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)
+"""
+
+_TREE = _BASE + """,
+sup AS (SELECT s_suppkey, 'namespace:' || r_name || '.' || n_name AS outer_ns,
+               'namespace:' || r_name || '.' || n_name || '.' || sign AS inner_ns,
+               'table:' || r_name || '.' || n_name || '.' || sign || '.' || s_name AS object
+        FROM (SELECT *, CASE WHEN s_acctbal < 0 THEN 'debit' ELSE 'credit' END AS sign FROM supplier)
+        JOIN place ON s_nationkey = n_nationkey),
+cust AS (SELECT 'user:' || c_custkey AS usr, c_mktsegment, r_name, n_name
+         FROM customer JOIN place ON c_nationkey = n_nationkey),
+edges AS (SELECT object AS child, inner_ns AS parent FROM sup UNION SELECT inner_ns, outer_ns FROM sup
+          UNION SELECT 'namespace:' || r_name || '.' || n_name, 'catalog:' || r_name FROM place),
+anc AS (SELECT child, parent AS ancestor FROM edges
+        UNION SELECT a.child, e.parent FROM anc a JOIN edges e ON e.child = a.ancestor),
+role_tuples AS (
+  SELECT usr AS subject, 'assignee' AS relation, 'role:' || n_name AS object FROM cust
+  UNION ALL SELECT 'role:' || n_name || '#assignee', 'assignee', 'role:' || r_name FROM place
+  UNION ALL SELECT 'role:' || r_name || '#assignee', 'ownership', 'role:' || n_name FROM place
+            WHERE n_nationkey = r_regionkey),
+members AS (SELECT subject, object AS role FROM role_tuples WHERE subject LIKE 'user:%'
+            UNION SELECT m.subject, t.object FROM members m JOIN role_tuples t ON t.subject = m.role || '#assignee'),
+tuples AS (
+  SELECT * FROM role_tuples
+  UNION SELECT usr, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'describe' WHEN 'BUILDING' THEN 'select'
+                         WHEN 'FURNITURE' THEN 'modify' WHEN 'HOUSEHOLD' THEN 'create'
+                         WHEN 'MACHINERY' THEN 'ownership' END, 'namespace:' || r_name || '.' || n_name FROM cust
+  UNION SELECT 'user:' || o_custkey, CASE l_returnflag WHEN 'R' THEN 'ownership' WHEN 'A' THEN 'pass_grants'
+                                          WHEN 'N' THEN 'describe' END, object
+        FROM bought JOIN sup ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'
+  UNION SELECT 'role:' || r_name || '#assignee', 'describe', 'catalog:' || r_name FROM place
+  UNION SELECT 'user:*', 'managed_access', 'namespace:' || r_name || '.' || n_name FROM place
+        WHERE r_name IN ('ASIA', 'EUROPE')),
+targets AS (
+  SELECT 'user:' || o_custkey AS subject, object FROM bought JOIN sup ON l_suppkey = s_suppkey
+  UNION SELECT usr, 'namespace:' || r_name || '.' || n_name FROM cust
+  UNION SELECT usr, 'catalog:' || r_name FROM cust),
+holders AS (SELECT subject, subject AS holder FROM (SELECT DISTINCT subject FROM targets)
+            UNION ALL SELECT subject, role || '#assignee' FROM members)
+"""
+
+_HELD = _TREE + """,
+blocked AS (SELECT DISTINCT child AS object FROM anc
+            WHERE ancestor IN (SELECT object FROM tuples WHERE relation = 'managed_access' AND subject = 'user:*')),
+places AS (SELECT subject, object, object AS at FROM targets
+           UNION ALL SELECT subject, object, ancestor FROM targets JOIN anc ON child = object),
+hits AS (SELECT p.subject, p.object, p.at, t.relation, t.object IN (SELECT object FROM blocked) AS is_blocked,
+                split_part(p.object, ':', 1) AS kind, split_part(p.at, ':', 1) IN ('catalog', 'namespace') AS holds
+         FROM places p JOIN holders h ON h.subject = p.subject
+         JOIN tuples t ON t.subject = h.holder AND t.object = p.at),
+held AS (
+  SELECT subject, object,
+         coalesce(bool_or(kind <> 'table' AND holds AND relation IN ('create', 'ownership')), false) AS "create",
+         coalesce(bool_or(relation IN ('describe', 'select', 'modify', 'ownership')
+                          OR (holds AND relation = 'create')), false) AS "describe",
+         coalesce(bool_or(relation IN ('modify', 'ownership')), false) AS modify,
+         coalesce(bool_or(relation IN ('select', 'modify', 'ownership')), false) AS "select",
+         coalesce(bool_or(at = object AND relation = 'ownership'), false) AS ownership,
+         coalesce(bool_or(at = object AND relation = 'pass_grants'), false) AS pass_grants,
+         coalesce(bool_or(relation = 'manage_grants' OR (relation = 'ownership' AND NOT is_blocked)), false)
+           AS manage_grants
+  FROM targets LEFT JOIN hits USING (subject, object) GROUP BY subject, object)
+"""
+
+_SEEN = _HELD + """,
+below AS (SELECT t.subject AS holder, a.ancestor AS container
+          FROM tuples t JOIN anc a ON a.child = t.object
+          WHERE t.relation IN ('describe', 'select', 'modify', 'ownership')
+             OR (t.relation = 'create' AND NOT t.object LIKE 'table:%')),
+seen AS (SELECT DISTINCT t.subject, t.object FROM targets t JOIN holders h ON h.subject = t.subject
+         JOIN below b ON b.holder = h.holder AND b.container = t.object),
+flags AS (
+  SELECT h.*, split_part(h.object, ':', 1) AS kind,
+         "describe" OR (h.subject, h.object) IN (SELECT (subject, object) FROM seen) AS visible,
+         "create" AND pass_grants AS pass_create, "describe" AND pass_grants AS pass_describe,
+         modify AND pass_grants AS pass_modify, "select" AND pass_grants AS pass_select
+  FROM held h),
+facts AS (UNPIVOT (SELECT subject, object, kind, "create", "describe", modify, "select", manage_grants, visible,
+                          pass_create, pass_describe, pass_modify, pass_select FROM flags)
+          ON "create", "describe", modify, "select", manage_grants, visible, pass_create, pass_describe, pass_modify,
+             pass_select INTO NAME flag VALUE holds),
+rules(kinds, capability, flag) AS (VALUES
+  ('table namespace catalog', 'can_change_ownership', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_describe', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_describe', 'pass_describe'),
+  ('table namespace catalog', 'can_grant_manage_grants', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_modify', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_modify', 'pass_modify'),
+  ('table namespace catalog', 'can_grant_pass_grants', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_select', 'manage_grants'),
+  ('table namespace catalog', 'can_grant_select', 'pass_select'),
+  ('namespace catalog', 'can_grant_create', 'manage_grants'),
+  ('namespace catalog', 'can_grant_create', 'pass_create'),
+  ('table namespace', 'can_read_assignments', 'manage_grants'),
+  ('table namespace', 'can_read_assignments', 'pass_describe'),
+  ('table namespace', 'can_read_assignments', 'pass_select'),
+  ('table namespace', 'can_read_assignments', 'pass_modify'),
+  ('namespace', 'can_read_assignments', 'pass_create'),
+  ('table', 'can_commit', 'modify'), ('table', 'can_control_tasks', 'modify'), ('table', 'can_drop', 'modify'),
+  ('table', 'can_get_metadata', 'describe'), ('table', 'can_get_tasks', 'describe'),
+  ('table', 'can_include_in_list', 'describe'), ('table', 'can_read_data', 'select'),
+  ('table', 'can_rename', 'modify'), ('table namespace', 'can_set_protection', 'modify'),
+  ('table', 'can_undrop', 'modify'), ('table', 'can_write_data', 'modify'),
+  ('namespace catalog', 'can_create_namespace', 'create'), ('namespace', 'can_create_table', 'create'),
+  ('namespace', 'can_create_view', 'create'), ('namespace catalog', 'can_delete', 'modify'),
+  ('namespace catalog', 'can_get_metadata', 'visible'), ('namespace catalog', 'can_include_in_list', 'visible'),
+  ('namespace catalog', 'can_list_everything', 'describe'), ('namespace catalog', 'can_list_namespaces', 'visible'),
+  ('namespace', 'can_list_tables', 'visible'), ('namespace', 'can_list_views', 'visible'),
+  ('namespace', 'can_set_managed_access', 'manage_grants'), ('namespace', 'can_update_properties', 'modify'),
+  ('catalog', 'can_use', 'visible')),
+able AS (SELECT subject, object, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities
+         FROM facts JOIN rules ON facts.flag = rules.flag AND list_contains(string_split(kinds, ' '), kind)
+         WHERE holds GROUP BY subject, object)
+"""
+
+_GRANTS = _BASE + """,
+named AS (
+  SELECT 'catalog' AS object_type, r_regionkey AS object_id, r_name AS "catalog", '' AS "schema", '' AS "table"
+  FROM region
+  UNION ALL SELECT 'schema', n_nationkey, r_name, n_name, '' FROM place
+  UNION ALL SELECT 'table', s_suppkey, r_name, n_name, s_name FROM supplier JOIN place ON s_nationkey = n_nationkey),
+grants AS (
+  SELECT 'c' || c_custkey AS user_id, 'schema' AS object_type, c_nationkey AS object_id,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN ['SHOW_TABLES'] WHEN 'BUILDING' THEN ['SELECT_TABLE', 'SHOW_COLUMNS']
+              WHEN 'FURNITURE' THEN ['CREATE_TABLE', 'DROP_TABLE'] WHEN 'HOUSEHOLD' THEN ['SHOW_SCHEMAS', 'INSERT_TABLE']
+              WHEN 'MACHINERY' THEN ['ALL'] END AS actions, CAST(NULL AS VARCHAR[]) AS cols FROM customer
+  UNION ALL SELECT DISTINCT 'c' || o_custkey, 'table', l_suppkey,
+         CASE l_returnflag WHEN 'R' THEN ['SELECT_TABLE'] WHEN 'A' THEN ['SHOW_COLUMNS', 'UPDATE_TABLE']
+              WHEN 'N' THEN ['INSERT_TABLE', 'DELETE_TABLE'] END,
+         CASE WHEN l_linestatus = 'F' THEN ['s_name', 's_acctbal'] END FROM bought
+  UNION ALL SELECT 'c' || c_custkey, 'catalog', n_regionkey, ['ALL'], NULL
+         FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 9900),
+priv AS (SELECT user_id, "catalog", "schema", "table", privilege, bool_or(cols IS NULL) AS whole,
+                list_sort(list_distinct(coalesce(flatten(list(cols) FILTER (cols IS NOT NULL)), []))) AS cols
+         FROM (SELECT user_id, "catalog", "schema", "table", unnest(actions) AS privilege, cols
+               FROM grants JOIN named USING (object_type, object_id))
+         GROUP BY user_id, "catalog", "schema", "table", privilege)
+"""
+
+ORACLE = {
+    "role_closure": f"WITH RECURSIVE {_TREE} SELECT subject, role FROM members",
+    "effective_relations": f"""WITH RECURSIVE {_HELD}
+        SELECT subject, object, "create", "describe", modify, "select", ownership, pass_grants FROM held""",
+    "grant_rights": f"""WITH RECURSIVE {_HELD}
+        SELECT subject, object, manage_grants, concat_ws(',',
+            CASE WHEN manage_grants THEN 'can_change_ownership' END,
+            CASE WHEN NOT t AND (manage_grants OR ("create" AND pass_grants)) THEN 'can_grant_create' END,
+            CASE WHEN manage_grants OR ("describe" AND pass_grants) THEN 'can_grant_describe' END,
+            CASE WHEN manage_grants THEN 'can_grant_manage_grants' END,
+            CASE WHEN manage_grants OR (modify AND pass_grants) THEN 'can_grant_modify' END,
+            CASE WHEN manage_grants THEN 'can_grant_pass_grants' END,
+            CASE WHEN manage_grants OR ("select" AND pass_grants) THEN 'can_grant_select' END,
+            CASE WHEN NOT c AND (manage_grants OR (pass_grants AND ("describe" OR "select" OR modify
+                                                                   OR (NOT t AND "create"))))
+                 THEN 'can_read_assignments' END) AS rights
+        FROM (SELECT *, object LIKE 'table:%' AS t, object LIKE 'catalog:%' AS c FROM held)""",
+    "object_capabilities": f"""WITH RECURSIVE {_SEEN}
+        SELECT subject, object, coalesce(capabilities, '') AS capabilities
+        FROM targets LEFT JOIN able USING (subject, object)""",
+    "upward_visibility": f"WITH RECURSIVE {_SEEN} SELECT DISTINCT holder, container FROM below",
+    "rbac_lookup": f"""WITH {_GRANTS}
+        SELECT user_id, "catalog", "schema", "table", privilege, whole, array_to_string(cols, ',') AS "columns"
+        FROM priv""",
+    "decisions": f"""WITH {_GRANTS},
+        req AS (
+          SELECT l_orderkey, l_linenumber, l_partkey, 'c' || o_custkey AS user_id,
+                 CASE o_orderpriority WHEN '1-URGENT' THEN 'SelectFromColumns' WHEN '2-HIGH' THEN 'InsertIntoTable'
+                      WHEN '3-MEDIUM' THEN 'FilterTables' WHEN '4-NOT SPECIFIED' THEN 'ShowTables'
+                      ELSE 'ExecuteQuery' END AS operation,
+                 CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'system' ELSE r_name END AS cat,
+                 CASE WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'information_schema' ELSE n_name END AS sch,
+                 s_name AS tab,
+                 CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_returnflag = 'R' THEN ['s_name', 's_acctbal']
+                                                        ELSE ['s_name', 's_nationkey'] END END AS asked
+          FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
+        need(operation, wanted, lvl) AS (VALUES
+          ('SelectFromColumns', 'SELECT_TABLE', 'table'), ('InsertIntoTable', 'INSERT_TABLE', 'table'),
+          ('FilterTables', 'ANY', 'table'), ('FilterTables', 'ANY', 'schema'),
+          ('FilterTables', 'SHOW_TABLES', 'schema'), ('ShowTables', 'SHOW_TABLES', 'schema')),
+        hit AS (
+          SELECT u.user_id, operation, cat, sch, tab, asked, lvl, whole, cols
+          FROM (SELECT DISTINCT user_id, operation, cat, sch, tab, asked FROM req) u JOIN need USING (operation)
+          JOIN priv p ON p.user_id = u.user_id AND p."catalog" = u.cat
+                     AND (p."schema" = '' OR p."schema" = u.sch)
+                     AND (p."table" = '' OR (lvl = 'table' AND p."table" = u.tab))
+                     AND (wanted = 'ANY' OR privilege IN ('ALL', wanted))),
+        granted AS (
+          SELECT user_id, operation, cat, sch, tab, asked,
+                 bool_or(lvl = 'schema' OR whole OR asked IS NULL)
+                 OR list_has_all(coalesce(flatten(list(cols) FILTER (lvl = 'table')), []), asked) AS yes
+          FROM hit GROUP BY user_id, operation, cat, sch, tab, asked)
+        SELECT l_orderkey, l_linenumber, l_partkey, r.user_id, r.operation, 'table' AS level,
+               r.operation = 'ExecuteQuery' OR r.cat = 'system' OR r.sch = 'information_schema'
+               OR coalesce(g.yes, false) AS allowed
+        FROM req r LEFT JOIN granted g
+          ON g.user_id = r.user_id AND g.operation = r.operation AND g.cat = r.cat AND g.sch = r.sch
+         AND g.tab = r.tab AND g.asked IS NOT DISTINCT FROM r.asked""",
+    "visible_tables": f"""WITH {_GRANTS},
+        pairs AS (SELECT DISTINCT o_custkey, l_suppkey, r_name, n_name, s_name
+                  FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
+        found AS (SELECT o_custkey, l_suppkey, bool_or(p.user_id IS NOT NULL) AS at_table,
+                         bool_or(p."table" = '') AS at_schema, bool_or(p."schema" = '') AS at_catalog
+                  FROM pairs LEFT JOIN priv p ON p.user_id = 'c' || o_custkey AND p."catalog" = r_name
+                   AND (p."schema" = '' OR (p."schema" = n_name AND (p."table" = '' OR p."table" = s_name)))
+                  GROUP BY o_custkey, l_suppkey)
+        SELECT o_custkey, l_suppkey, concat_ws(',', CASE WHEN at_table THEN '0' END, CASE WHEN at_schema THEN '1' END,
+                                               CASE WHEN at_catalog THEN '2' END) AS indices FROM found""",
+    "visible_columns": f"""WITH {_GRANTS},
+        pairs AS (SELECT DISTINCT o_custkey, s_suppkey, r_name, n_name, s_name
+                  FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
+        cols("index", "column") AS (VALUES (0, 's_suppkey'), (1, 's_name'), (2, 's_nationkey'), (3, 's_acctbal'))
+        SELECT s_suppkey, 'c' || o_custkey AS user_id, "index", "column",
+               coalesce(bool_or(whole OR list_contains(p.cols, "column")), false) AS allowed
+        FROM pairs CROSS JOIN cols LEFT JOIN priv p
+          ON p.user_id = 'c' || o_custkey AND p."catalog" = r_name
+         AND (p."schema" = '' OR (p."schema" = n_name AND (p."table" = '' OR p."table" = s_name)))
+         AND privilege IN ('ALL', 'SELECT_TABLE', 'SHOW_COLUMNS')
+        GROUP BY s_suppkey, o_custkey, "index", "column" """,
+    "row_filter": "SELECT * FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0",
+    "column_mask": """
+        SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_acctbal, c_mktsegment
+        FROM customer""",
+    "secured_dataset": """
+        SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_mktsegment
+        FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0""",
+    "grant_checks": f"""WITH {_BASE}
+        SELECT 'actions_empty' AS rule, count(*) AS violations FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
+        UNION ALL SELECT 'actions_unknown', count(*) FROM customer WHERE c_mktsegment = 'FURNITURE'
+        UNION ALL SELECT 'object_type_unknown', count(*) FROM customer WHERE c_acctbal < 0
+        UNION ALL SELECT 'grant_repeated', count(*) FROM (
+            SELECT o_custkey, l_suppkey FROM bought WHERE l_linestatus = 'F' GROUP BY ALL HAVING count(*) > 1)""",
+    "grant_updates": """
+        SELECT o_orderkey AS relation_id, o_custkey AS user_id,
+               CASE WHEN o_orderstatus = 'F' THEN 'ALL' ELSE o_orderpriority END AS action,
+               TIMESTAMP '2024-01-01' AS created_at,
+               CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS updated_at
+        FROM orders
+        UNION ALL SELECT -1 - c_custkey, c_custkey, 'NEW', TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-01'
+        FROM customer""",
+    "grant_revoke": f"""WITH {_BASE}
+        (SELECT 'user:' || o_custkey AS subject, 'select' AS relation, 'table:' || l_suppkey AS object FROM bought
+         UNION SELECT 'user:' || o_custkey, 'describe', 'table:' || l_suppkey FROM bought WHERE l_returnflag = 'N')
+        EXCEPT SELECT 'user:' || o_custkey, 'select', 'table:' || l_suppkey FROM bought WHERE l_returnflag = 'R'""",
+}

@@ -21,7 +21,7 @@ from siltstone.session import settle
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations with the names of their regions."""
+    """Nations with the names of their regions: 25 rows at every scale, broadcast by their file size."""
     return (read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("n_nationkey", "n_name", "r_regionkey", "r_name"))
 
@@ -29,7 +29,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with catalog, schema and the ids of their containers."""
     nations = _regions(spark, sf_dir).withColumnRenamed("n_nationkey", "s_nationkey")
-    joined = lookup_join(read(spark, sf_dir, "supplier"), nations, ["s_nationkey"])
+    joined = read(spark, sf_dir, "supplier").join(nations, "s_nationkey")
     place = F.concat_ws(".", "r_name", "n_name")
     sign = F.when(F.col("s_acctbal") < 0, "debit").otherwise("credit")
     return joined.select(
@@ -41,7 +41,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = _regions(spark, sf_dir).withColumnRenamed("n_nationkey", "c_nationkey")
-    return (lookup_join(read(spark, sf_dir, "customer"), nations, ["c_nationkey"])
+    return (read(spark, sf_dir, "customer").join(nations, "c_nationkey")
             .withColumn("user", F.concat(F.lit("user:"), "c_custkey")))
 
 
@@ -125,20 +125,20 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All roles of all customers."""
-    return role_members(role_tuples(spark, sf_dir))
+    return role_members(role_tuples(spark, sf_dir)).frame
 
 
 def effective_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each customer holds on each target, directly, through roles and from containers."""
-    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples"),
-                                    settle(parent_edges(spark, sf_dir), "edges"))
+    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples").frame,
+                                    settle(parent_edges(spark, sf_dir), "edges").frame)
     return held.select("subject", "object", "create", "describe", "modify", "select", "ownership", "pass_grants")
 
 
 def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who may pass on what: managed access takes the right from owners below a managed namespace."""
-    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples"),
-                                    settle(parent_edges(spark, sf_dir), "edges"))
+    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples").frame,
+                                    settle(parent_edges(spark, sf_dir), "edges").frame)
     names = F.filter("capabilities", lambda c: c.startswith("can_grant_") | c.isin("can_read_assignments",
                                                                                  "can_change_ownership"))
     return (relations.capabilities(held).select("subject", "object", "manage_grants",
@@ -147,8 +147,8 @@ def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All capabilities of each customer on each target, containers seen through children included."""
-    wanted = settle(targets(spark, sf_dir), "targets")
-    tuples, edges = settle(relation_tuples(spark, sf_dir), "tuples"), settle(parent_edges(spark, sf_dir), "edges")
+    wanted = settle(targets(spark, sf_dir), "targets").frame
+    tuples, edges = settle(relation_tuples(spark, sf_dir), "tuples").frame, settle(parent_edges(spark, sf_dir), "edges").frame
     listed = edges.withColumnRenamed("parent", "container")
     held = relations.held_relations(wanted, tuples, edges)
     able = relations.capabilities(held, relations.seen_targets(wanted, tuples, edges, listed))
@@ -157,8 +157,8 @@ def object_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upward_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers that users and roles see only because something inside is described."""
-    edges = settle(parent_edges(spark, sf_dir), "edges")
-    return relations.visible_containers(settle(relation_tuples(spark, sf_dir), "tuples"), edges,
+    edges = settle(parent_edges(spark, sf_dir), "edges").frame
+    return relations.visible_containers(settle(relation_tuples(spark, sf_dir), "tuples").frame, edges,
                                         edges.withColumnRenamed("parent", "container"))
 
 
@@ -191,7 +191,7 @@ def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("l_suppkey").alias("object_id"),
                        _actions(F.col("l_returnflag"), LINE_ACTIONS).alias("actions"), some.alias("columns")))
     nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    rich = lookup_join(customer.where(F.col("c_acctbal") >= 9900), nations, ["c_nationkey"]).select(
+    rich = customer.where(F.col("c_acctbal") >= 9900).join(nations, "c_nationkey").select(
         user, F.lit("catalog").alias("object_type"), F.col("n_regionkey").cast("bigint").alias("object_id"),
         F.array(F.lit("ALL")).alias("actions"), none)
     return reduce(DataFrame.unionByName, [by_segment, by_line, rich])
@@ -210,7 +210,7 @@ def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(access.named_grants(relation_rows(spark, sf_dir), named_objects(spark, sf_dir)), "grants")
+    return access.named_grants(relation_rows(spark, sf_dir), named_objects(spark, sf_dir))
 
 
 def rbac_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,9 +240,9 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.to_json(F.struct(catalog.alias("catalogName"), schema.alias("schemaName"),
                               F.col("s_name").alias("tableName")))
     text = F.when(F.col("l_linestatus") == "F", nested).otherwise(flat)
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("c"), "o_custkey").alias("user_id"),
-                        operation.alias("operation"),
-                        access.normalise_resource(access.parse_resource(text)).alias("resource"))
+    asked = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("c"), "o_custkey").alias("user_id"),
+                         operation.alias("operation"), text.alias("json"))
+    return access.with_resource(asked, "json")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app_name: str, conf: dict[str, str] | None = None) -> SparkSession:
@@ -69,9 +72,41 @@ def fresh_namespace(spark: SparkSession, label: str) -> str:
     return name
 
 
-def settle(df: DataFrame, label: str = "settled") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and file sizes become statistics."""
+@dataclass(frozen=True)
+class Settled:
+    """A frame written to the shared folder, with its measured rows and bytes."""
+
+    frame: DataFrame
+    rows: int
+    size: int
+
+    def narrowed(self, frame: DataFrame) -> Settled:
+        """``frame`` is derived from this one with no more rows and no wider ones."""
+        return Settled(frame, self.rows, self.size)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Width of a row: the length of text, the JSON length of nested values, eight for anything else."""
+    width = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            width = width + F.octet_length(F.to_json(F.struct(value)))
+        else:
+            width = width + 8
+    return width
+
+
+def size_aggregates(df: DataFrame) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("size")]
+
+
+def settle(df: DataFrame, label: str = "settled") -> Settled:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and the write itself counts the rows."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *size_aggregates(df)).write.parquet(path)
+    return Settled(spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["size"])
