@@ -48,12 +48,12 @@ holders AS (SELECT subject, subject AS holder FROM (SELECT DISTINCT subject FROM
 _HELD = _TREE + """,
 blocked AS (SELECT DISTINCT child AS object FROM anc
             WHERE ancestor IN (SELECT object FROM tuples WHERE relation = 'managed_access' AND subject = 'user:*')),
-places AS (SELECT subject, object, object AS at FROM targets
+places AS (SELECT subject, object, object AS spot FROM targets
            UNION ALL SELECT subject, object, ancestor FROM targets JOIN anc ON child = object),
-hits AS (SELECT p.subject, p.object, p.at, t.relation, t.object IN (SELECT object FROM blocked) AS is_blocked,
-                split_part(p.object, ':', 1) AS kind, split_part(p.at, ':', 1) IN ('catalog', 'namespace') AS holds
+hits AS (SELECT p.subject, p.object, p.spot, t.relation, t.object IN (SELECT object FROM blocked) AS is_blocked,
+                split_part(p.object, ':', 1) AS kind, split_part(p.spot, ':', 1) IN ('catalog', 'namespace') AS holds
          FROM places p JOIN holders h ON h.subject = p.subject
-         JOIN tuples t ON t.subject = h.holder AND t.object = p.at),
+         JOIN tuples t ON t.subject = h.holder AND t.object = p.spot),
 held AS (
   SELECT subject, object,
          coalesce(bool_or(kind <> 'table' AND holds AND relation IN ('create', 'ownership')), false) AS "create",
@@ -61,8 +61,8 @@ held AS (
                           OR (holds AND relation = 'create')), false) AS "describe",
          coalesce(bool_or(relation IN ('modify', 'ownership')), false) AS modify,
          coalesce(bool_or(relation IN ('select', 'modify', 'ownership')), false) AS "select",
-         coalesce(bool_or(at = object AND relation = 'ownership'), false) AS ownership,
-         coalesce(bool_or(at = object AND relation = 'pass_grants'), false) AS pass_grants,
+         coalesce(bool_or(spot = object AND relation = 'ownership'), false) AS ownership,
+         coalesce(bool_or(spot = object AND relation = 'pass_grants'), false) AS pass_grants,
          coalesce(bool_or(relation = 'manage_grants' OR (relation = 'ownership' AND NOT is_blocked)), false)
            AS manage_grants
   FROM targets LEFT JOIN hits USING (subject, object) GROUP BY subject, object)
