@@ -158,8 +158,10 @@ def privilege_lookup(grants: DataFrame) -> DataFrame:
             .agg(F.bool_or("whole").alias("whole"), F.collect_set("column").alias("columns")))
 
 
-def operations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(OPERATIONS), "operation string, privilege string, level string")
+KEY = ["user_id", "operation", "resource"]
+
+# Levels by depth: a check at one depth also meets the grants at the depths above it.
+DEPTHS = {"catalog": 1, "schema": 2, "table": 3}
 
 
 def always_allowed(operation: Column, resource: Column) -> Column:
@@ -167,60 +169,71 @@ def always_allowed(operation: Column, resource: Column) -> Column:
                       | (resource["schema"] == OPEN_SCHEMA), F.lit(False))
 
 
-def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """``requests(user_id, operation, resource)`` plus the Boolean ``allowed``; ``resource`` is a normalised struct.
+def _rules(spark: SparkSession) -> DataFrame:
+    """``OPERATIONS`` as rows; ``_fixed`` is the depth checked, 0 for the user alone, NULL for the request's own."""
+    rows = [(name, wanted, None if level == "resource" else DEPTHS.get(level, 0)) for name, wanted, level in OPERATIONS]
+    return spark.createDataFrame(rows, "operation string, _wanted string, _fixed int")
 
-    Equal requests are decided once. A request is allowed by an always-allow rule, or by any grant of the user that
-    covers the object checked, has the privilege asked for (or ALL) and covers the columns asked for.
-    """
-    keyed = _keyed(requests)
-    once = settle(keyed.select(*KEY).distinct(), "requests").frame
-    decided = settle(_decide_once(once, settle(privilege_lookup(grants), "privileges")), "decisions")
-    return lookup_join(keyed, decided, ["_request"]).drop("_request")
 
+def coverage(requests: DataFrame, lookup: Settled) -> DataFrame:
+    """What the grants give to distinct ``requests(user_id, operation, resource)``: ``whole`` or some ``covered``
+    columns. Requests without any matching grant have no row.
 
-KEY = ["_request", "user_id", "operation", "resource"]
+    A request is looked up once per level it touches, at most three times, whatever the alternatives of its
+    operation. A grant that answers a check of a schema or catalog, or a request that names no columns, gives all.
+    """
+    rules = _rules(requests.sparkSession)
+    res, depth = F.col("resource"), F.col("_depth")
+    own = F.when(res["level"] == "table", 3).when(res["level"] == "schema", 2).otherwise(1)
+    named = (F.when(res["catalog"].isNull(), 0).when(res["schema"].isNull(), 1).when(res["table"].isNull(), 2)
+             .otherwise(3))
+    reach = rules.groupBy("operation").agg(F.max(F.coalesce("_fixed", F.lit(3))).alias("_reach"),
+                                           F.bool_or(F.col("_fixed") == 0).alias("_anywhere"))
+    asked = requests.join(F.broadcast(reach), "operation")
 
+    users = lookup.frame.select("user_id").distinct()
+    somewhere = (lookup_join(asked.where("_anywhere").select(*KEY), users, ["user_id"], "left_semi")
+                 .select(*KEY, F.lit(True).alias("whole"), F.array().cast("array<string>").alias("covered")))
+
+    probes = (asked.withColumn("_own", own).withColumn("_named", named)
+              .withColumn("_deepest", F.least("_reach", "_named")).where("_deepest > 0")
+              .select(*KEY, "_own", "_named", F.explode(F.sequence(F.lit(1), "_deepest")).alias("_depth"))
+              .select(*KEY, "_own", "_named", "_depth", res["catalog"].alias("catalog"),
+                      F.when(depth >= 2, res["schema"]).otherwise("").alias("schema"),
+                      F.when(depth >= 3, res["table"]).otherwise("").alias("table")))
+    found = lookup_join(probes, lookup, ["user_id", *PLACE]).withColumnRenamed("operation", "_operation")
+    checked = F.coalesce(F.col("_fixed"), F.col("_own"))
+    answers = ((F.col("_operation") == F.col("operation")) & (checked >= depth) & (checked <= F.col("_named"))
+               & ((F.col("_wanted") == ANY) | F.col("privilege").isin("ALL")
+                  | (F.col("privilege") == F.col("_wanted"))))
+    free = (checked < 3) | res["columns"].isNull()
+    hits = found.join(F.broadcast(rules), answers).select(*KEY, (F.col("whole") | free).alias("whole"), "columns")
+    # Column grants add up. A request meets each privilege of its three places, so the lists gathered are few.
+    granted = (hits.groupBy(*KEY)
+               .agg(F.bool_or("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set("columns")))
+                    .alias("covered")))
+    return granted.unionByName(somewhere)
+
+
+def _distinct_requests(requests: DataFrame) -> Settled:
+    """Distinct requests that are not allowed anyway, with the number of times each was made."""
+    closed = requests.where(~always_allowed(F.col("operation"), F.col("resource")))
+    return settle(closed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("weight")), "requests")
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Structs with NULLs do not compare equal to themselves in a join, their JSON text does."""
-    return df.withColumn("_request", F.to_json(F.struct("user_id", "operation", "resource")))
 
+def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
+    """``requests(user_id, operation, resource)`` plus the Boolean ``allowed``; ``resource`` is a normalised struct.
 
-def _decide_once(requests: DataFrame, lookup: Settled) -> DataFrame:
-    """``(_request, allowed)`` of distinct requests."""
-    res = F.col("resource")
-    rules = operations(requests.sparkSession).withColumnRenamed("level", "checked")
-    # "resource" stands for the level the request itself has.
-    checked = F.when(F.col("checked") == "resource", res["level"]).otherwise(F.col("checked"))
-    asked = requests.join(F.broadcast(rules), "operation").withColumn("checked", checked)
-    users = lookup.frame.select("user_id").distinct()
-    somewhere = lookup_join(asked.where(F.col("checked") == "anywhere"), users, ["user_id"], "left_semi")
-
-    depth = F.when(F.col("checked") == "table", 3).when(F.col("checked") == "schema", 2).otherwise(1)
-    names = [res["catalog"], res["schema"], res["table"]]
-    complete = (names[0].isNotNull() & ((depth < 2) | names[1].isNotNull()) & ((depth < 3) | names[2].isNotNull()))
-    at = [F.struct(*[names[i].alias(PLACE[i]) if i < n else F.lit("").alias(PLACE[i]) for i in range(3)])
-          for n in (1, 2, 3)]
-    around = F.when(depth == 1, F.array(at[0])).when(depth == 2, F.array(at[0], at[1])).otherwise(F.array(*at))
-    # Column lists count only where a table is checked.
-    scoped = F.when(F.col("checked") == "table", res["columns"])
-    probes = (asked.where((F.col("checked") != "anywhere") & complete)
-              .select("_request", "user_id", F.col("privilege").alias("wanted"), scoped.alias("asked"),
-                      F.explode(around).alias("_at"))
-              .select("_request", "user_id", "wanted", "asked", "_at.*"))
-    hits = (lookup_join(probes, lookup, ["user_id", *PLACE])
-            .where((F.col("wanted") == ANY) | (F.col("privilege") == "ALL")
-                   | (F.col("privilege") == F.col("wanted"))))
-    # Column grants add up. A request meets each privilege of its three places once, so the lists gathered per
-    # request are few.
-    covered = F.array_distinct(F.flatten(F.collect_list("columns")))
-    granted = (hits.groupBy("_request", "asked").agg(F.bool_or("whole").alias("_whole"), covered.alias("_covered"))
-               .select("_request", (F.col("_whole") | F.col("asked").isNull()
-                                    | (F.size(F.array_except("asked", "_covered")) == 0)).alias("allowed")))
-    open_to_all = requests.select("_request", always_allowed(F.col("operation"), res).alias("allowed"))
-    rows = open_to_all.unionByName(granted).unionByName(somewhere.select("_request", F.lit(True).alias("allowed")))
-    return rows.groupBy("_request").agg(F.bool_or("allowed").alias("allowed"))
+    Equal requests are decided once. A request is allowed by an always-allow rule, or by any grant of the user that
+    covers the object checked, has the privilege asked for (or ALL) and covers the columns asked for.
+    """
+    once = _distinct_requests(requests)
+    found = coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges"))
+    missing = F.array_except(F.col("resource")["columns"], F.col("covered"))
+    granted = found.where(F.col("whole") | (F.size(missing) == 0)).select(*KEY, F.lit(True).alias("_granted"))
+    joined = lookup_join(requests, settle(granted, "granted"), KEY, "left", weights=once.frame)
+    open_to_all = always_allowed(F.col("operation"), F.col("resource"))
+    return joined.withColumn("allowed", F.coalesce("_granted", F.lit(False)) | open_to_all).drop("_granted")
 
 
 def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:
@@ -243,8 +256,13 @@ def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def column_decisions(requests: DataFrame, grants: DataFrame) -> DataFrame:
-    """One row per requested column: ``(request_id, user_id, index, column, allowed)``."""
-    rows = requests.select("request_id", "user_id", F.lit("FilterColumns").alias("operation"),
-                           F.col("resource").alias("_whole"), F.posexplode("resource.columns").alias("index", "column"))
-    rows = rows.withColumn("resource", F.col("_whole").withField("columns", F.array("column"))).drop("_whole")
-    return decide(rows, grants).select("request_id", "user_id", "index", "column", "allowed")
+    """One row per requested column: ``(request_id, user_id, index, column, allowed)``. The grants of a table are
+    looked up once for all columns of a request."""
+    rows = requests.select("request_id", "user_id", F.lit("FilterColumns").alias("operation"), "resource")
+    once = _distinct_requests(rows)
+    found = settle(coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges")), "coverage")
+    joined = lookup_join(rows, found, KEY, "left", weights=once.frame)
+    allowed = (always_allowed(F.col("operation"), F.col("resource")) | F.coalesce("whole", F.lit(False))
+               | F.coalesce(F.array_contains("covered", F.col("column")), F.lit(False)))
+    return (joined.select("*", F.posexplode("resource.columns").alias("index", "column"))
+            .select("request_id", "user_id", "index", "column", allowed.alias("allowed")))

@@ -30,10 +30,12 @@ def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size:
     return measured["rows"] <= rows and measured["size"] <= size
 
 
-def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK,
+               weighted: bool = False) -> DataFrame:
     """Keys with more rows than one task should take, and their fan. At most ``HEAVY_KEYS`` rows: a key left out
-    has fewer rows than each of those, so under 1/``HEAVY_KEYS`` of the input."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    has fewer rows than each of those, so under 1/``HEAVY_KEYS`` of the input. A ``weighted`` frame has a column
+    ``weight`` with the rows each of its own rows stands for."""
+    return (df.groupBy(*keys).agg((F.sum("weight") if weighted else F.count(F.lit(1))).alias("_n"))
             .where(F.col("_n") > rows_per_task)
             .orderBy(F.desc("_n")).limit(HEAVY_KEYS)
             .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys],
@@ -46,11 +48,14 @@ def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split."""
+                rows_per_task: int = ROWS_PER_TASK, weights: DataFrame | None = None) -> DataFrame:
+    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split.
+
+    ``weights(*keys, weight)`` gives the left rows per key where they are known already; else ``left`` is counted.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
-    heavy = heavy_keys(left, keys, rows_per_task)
+    heavy = heavy_keys(left if weights is None else weights, keys, rows_per_task, weighted=weights is not None)
     # The slot depends on the row and its partition only, so a repeated task sends each row the same way, and
     # equal rows from different partitions still spread.
     hashed = [f.name for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -63,9 +68,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner",
-                rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                rows_per_task: int = ROWS_PER_TASK, weights: DataFrame | None = None) -> DataFrame:
     """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy."""
     frame = right.frame if isinstance(right, Settled) else right
     if fits_broadcast(right):
         return left.join(F.broadcast(frame), keys, how)
-    return salted_join(left, frame, keys, how, rows_per_task)
+    return salted_join(left, frame, keys, how, rows_per_task, weights)
