@@ -1,0 +1,79 @@
+import datetime as dt
+
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siltstone.functions import casts, names
+
+INT_TEXTS = ["1", "1.0", "-1.9", ".5", ".", "5.", "+", "-", "+.5", "-.5", " 7 ", "\t8\n", "1e3", "x", "",
+             "2147483648", "2147483647.99999999999", "1.99999999999", "1.5.2", "1 2", "1.x", "-2147483648",
+             "-2147483649", "1_0", "0x1", "+5", "00012", None, "NaN", "1d", "-0.0", " - 1", "9" * 41]
+
+
+def test_lenient_int_agrees_with_the_non_ansi_cast(spark):
+    df = spark.createDataFrame([(v,) for v in INT_TEXTS], "v string")
+    ours = [r[0] for r in df.select(casts.lenient_int(F.col("v"))).collect()]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        theirs = [r[0] for r in df.selectExpr("cast(v as int)").collect()]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+    assert dict(zip(INT_TEXTS, ours)) == dict(zip(INT_TEXTS, theirs))
+
+
+def test_lenient_int_of_numbers(spark):
+    df = spark.createDataFrame([(2.9,), (-2.9,), (3e10,), (None,)], "v double")
+    assert [r[0] for r in df.select(casts.lenient_int(F.col("v"), df.schema["v"].dataType)).collect()] == [2, -2, None, None]
+
+
+def test_times_and_periods(spark):
+    df = spark.createDataFrame([("2020-04-01 00:41:22", "2011.06"), ("2020-02-30 00:00:00", "2011.1"),
+                                ("2020-04-01T00:41:22", ""), (None, None), ("2020-04-01 00:41:22.5", "2011.13")],
+                               "t string, p string")
+    rows = df.select(casts.seconds_timestamp(F.col("t")), casts.period_date(F.col("p"))).collect()
+    assert [tuple(r) for r in rows] == [(dt.datetime(2020, 4, 1, 0, 41, 22), dt.date(2011, 6, 1)), (None, None),
+                                        (None, None), (None, None), (None, None)]
+
+
+def test_typed_columns_rejects_unknown_kind(spark):
+    with pytest.raises(ValueError):
+        casts.typed_columns(spark.range(1), [("id", "id", "money")])
+
+
+def test_coerce_temporal_leaves_numbers(spark):
+    df = spark.createDataFrame([("2020-04-01 00:41:22", 5, "4/1/2020 0:05"), ("bad", 6, "2020")],
+                               "pickup_datetime string, uptime int, Update string")
+    out = casts.coerce_temporal(df)
+    assert dict(out.dtypes) == {"pickup_datetime": "timestamp_ntz", "uptime": "int", "Update": "timestamp_ntz"}
+    assert [tuple(r) for r in out.collect()] == [
+        (dt.datetime(2020, 4, 1, 0, 41, 22), 5, dt.datetime(2020, 4, 1, 0, 5)), (None, 6, dt.datetime(2020, 1, 1))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=12))
+def test_clean_name_is_empty_or_starts_with_a_letter(text):
+    for clean in (names.clean_column_name, names.clean_table_name):
+        assert regex.fullmatch(r"|\p{L}[\p{L}\p{N}_]*", clean(text))
+
+
+def test_clean_name_column_agrees_with_python(spark):
+    texts = ["VendorID", "Trip Distance", "2nd User", "_x", "", "!!!", "Größe (m²)", "日付", "a-b.c", "9", "a\tb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(names.clean_name_column(F.col("t"), names.COLUMN_PREFIX)).collect()]
+    assert got == [names.clean_column_name(t) for t in texts]
+    assert names.clean_column_name("_x") == "col__x" and names.clean_table_name("2024 q1") == "table_2024_q1"
+
+
+def test_table_name_for():
+    assert names.table_name_for("My Trips.csv") == "my_trips"
+    assert names.table_name_for("x.csv", " ") == "x"
+    assert names.table_name_for("x.csv", "Sales 2024") == "sales_2024"
+
+
+def test_clean_headers_rejects_collisions(spark):
+    with pytest.raises(ValueError):
+        names.clean_headers(spark.createDataFrame([(1, 2)], "`a b` int, `A_B` int"))
+    assert names.clean_headers(spark.createDataFrame([(1, 2)], "`a b` int, `2c` int")).columns == ["a_b", "col_2c"]
