@@ -60,6 +60,12 @@ def work_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{context.applicationId}"
 
 
+def clear_work(spark: SparkSession) -> None:
+    """Remove this application's folder; for the end of a job, when no frame or table in it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing else uses."""
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
