@@ -128,17 +128,20 @@ def role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_members(role_tuples(spark, sf_dir)).frame
 
 
+def _model(spark: SparkSession, sf_dir: str) -> relations.Model:
+    return relations.prepare(settle(relation_tuples(spark, sf_dir), "tuples").frame,
+                             settle(parent_edges(spark, sf_dir), "edges").frame)
+
+
 def effective_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each customer holds on each target, directly, through roles and from containers."""
-    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples").frame,
-                                    settle(parent_edges(spark, sf_dir), "edges").frame)
+    held = relations.held_relations(targets(spark, sf_dir), _model(spark, sf_dir))
     return held.select("subject", "object", "create", "describe", "modify", "select", "ownership", "pass_grants")
 
 
 def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who may pass on what: managed access takes the right from owners below a managed namespace."""
-    held = relations.held_relations(targets(spark, sf_dir), settle(relation_tuples(spark, sf_dir), "tuples").frame,
-                                    settle(parent_edges(spark, sf_dir), "edges").frame)
+    held = relations.held_relations(targets(spark, sf_dir), _model(spark, sf_dir))
     names = F.filter("capabilities", lambda c: c.startswith("can_grant_") | c.isin("can_read_assignments",
                                                                                  "can_change_ownership"))
     return (relations.capabilities(held).select("subject", "object", "manage_grants",
@@ -147,19 +150,17 @@ def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All capabilities of each customer on each target, containers seen through children included."""
-    wanted = settle(targets(spark, sf_dir), "targets").frame
-    tuples, edges = settle(relation_tuples(spark, sf_dir), "tuples").frame, settle(parent_edges(spark, sf_dir), "edges").frame
-    listed = edges.withColumnRenamed("parent", "container")
-    held = relations.held_relations(wanted, tuples, edges)
-    able = relations.capabilities(held, relations.seen_targets(wanted, tuples, edges, listed))
+    wanted, model = settle(targets(spark, sf_dir), "asked").frame, _model(spark, sf_dir)
+    listed = model.parents.withColumnRenamed("parent", "container")
+    seen = relations.seen_targets(wanted, model, listed)
+    able = relations.capabilities(relations.held_relations(wanted, model), seen)
     return able.select("subject", "object", F.array_join("capabilities", ",").alias("capabilities"))
 
 
 def upward_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers that users and roles see only because something inside is described."""
-    edges = settle(parent_edges(spark, sf_dir), "edges").frame
-    return relations.visible_containers(settle(relation_tuples(spark, sf_dir), "tuples").frame, edges,
-                                        edges.withColumnRenamed("parent", "container"))
+    model = _model(spark, sf_dir)
+    return relations.visible_containers(model, model.parents.withColumnRenamed("parent", "container"))
 
 
 # -- privilege grants ---------------------------------------------------------------------------------------------
