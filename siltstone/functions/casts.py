@@ -15,7 +15,8 @@ def lenient_int(value: Column, from_type: T.DataType | None = None) -> Column:
     """Integer or NULL. Decimal text is cut at the point ('-1.9' is -1), exponents and overflow are NULL."""
     if from_type is not None and not isinstance(from_type, T.StringType):
         return value.try_cast("int")
-    return F.regexp_replace(value, FRACTION, "${sign}0${digits}").try_cast("int")
+    whole = F.regexp_replace(value, FRACTION, "${sign}0${digits}")
+    return F.when(value.contains("."), whole).otherwise(value).try_cast("int")
 
 
 def lenient_double(value: Column) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.access import OBJECT_TYPES, PRIVILEGES
+from siltstone.operators.joins import lookup_join
 
 
 def merge_updates(current: DataFrame, updates: DataFrame, key: str, now: Column | None = None) -> DataFrame:
-    """``current`` with the rows of ``updates`` written over it by unique ``key``; new keys are added.
+    """``current`` with the rows of ``updates`` written over it by ``key``, unique on both sides; new keys are added.
 
     ``updated_at`` of every updated row becomes ``now`` and that of untouched rows stays, also where the values are
     the same as before; ``created_at`` is kept from the first version.
@@ -34,7 +35,8 @@ def grant(tuples: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def revoke(tuples: DataFrame, removed: DataFrame) -> DataFrame:
-    return tuples.join(removed.select(*tuples.columns).distinct(), tuples.columns, "left_anti")
+    """``tuples`` without those of ``removed``."""
+    return lookup_join(tuples, removed.select(*tuples.columns).distinct(), tuples.columns, "left_anti")
 
 
 def grant_violations(relation: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``lookup_join`` broadcasts the looked-up side only after measuring it. Past the bound it shuffles, and the keys
 that are too heavy for one task are split: a left row takes one of ``fan`` slots and the right rows of such a key
-are repeated in all of them. The fan of a key is its row count over ``rows_per_task``, so the repeats stay below
-``left rows / rows_per_task`` in total.
+are repeated in all of them. The fan of a key is its row count over ``rows_per_task``, so a right row that is
+unique for its key adds at most one repeat per ``rows_per_task`` left rows.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size:
     return measured["rows"] <= rows and measured["size"] <= size
 
 
-def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK,
+def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int | None = None,
                weighted: bool = False) -> DataFrame:
     """Keys with more rows than one task should take, and their fan. At most ``HEAVY_KEYS`` rows: a key left out
     has fewer rows than each of those, so under 1/``HEAVY_KEYS`` of the input. A ``weighted`` frame has a column
     ``weight`` with the rows each of its own rows stands for."""
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     return (df.groupBy(*keys).agg((F.sum("weight") if weighted else F.count(F.lit(1))).alias("_n"))
             .where(F.col("_n") > rows_per_task)
             .orderBy(F.desc("_n")).limit(HEAVY_KEYS)
@@ -48,7 +49,7 @@ def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                rows_per_task: int = ROWS_PER_TASK, weights: DataFrame | None = None) -> DataFrame:
+                rows_per_task: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split.
 
     ``weights(*keys, weight)`` gives the left rows per key where they are known already; else ``left`` is counted.
@@ -68,7 +69,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner",
-                rows_per_task: int = ROWS_PER_TASK, weights: DataFrame | None = None) -> DataFrame:
+                rows_per_task: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy."""
     frame = right.frame if isinstance(right, Settled) else right
     if fits_broadcast(right):

@@ -49,6 +49,11 @@ def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
             .withColumn("position", F.col("_shift") + within).drop("_id", "_part", "_shift"))
 
 
+def page_of(page_size: int) -> Column:
+    """The page of a row from its ``position``."""
+    return F.expr(f"CAST(position DIV {int(page_size)} + 1 AS INT)")
+
+
 def page(df: DataFrame, order_by: list[str], page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Rows of one page by ``order_by``, which must identify rows for pages to be stable."""
     check_page(page, page_size)
@@ -90,7 +95,7 @@ def envelopes(df: DataFrame, table_name: str, order_by: list[str],
     names = df.columns
     located = with_positions(df, order_by)
     total = df.count()
-    numbered = located.withColumn("_page", (F.floor(F.col("position") / F.lit(page_size)) + 1).cast("int"))
+    numbered = located.withColumn("_page", page_of(page_size))
     row = F.struct("position", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     grouped = numbered.groupBy("_page").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return grouped.select(

@@ -220,8 +220,7 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item with its page of 500; the key repeats, so the other columns decide the order."""
     keys = ["l_orderkey", "l_linenumber"]
     located = paging.with_positions(read(spark, sf_dir, "lineitem"), keys)
-    return located.select(*keys, "l_partkey", "l_suppkey", "position",
-                          (F.floor(F.col("position") / 500) + 1).alias("page"))
+    return located.select(*keys, "l_partkey", "l_suppkey", "position", paging.page_of(500).cast("bigint").alias("page"))
 
 
 def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:

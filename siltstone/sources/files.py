@@ -66,14 +66,15 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[_inferred(name, found).alias(name) for name in df.columns])
 
 
-def upload(spark: SparkSession, path: str, filename: str | None = None) -> DataFrame:
+def upload(spark: SparkSession, path: str, filename: str | None = None, line_breaks: bool = True) -> DataFrame:
     """An uploaded CSV: types inferred, date and time columns parsed, headers cleaned.
 
-    A name that does not end in ``.csv`` and a file without rows are errors.
+    A name that does not end in ``.csv`` and a file without rows are errors. Quoted cells may hold line breaks, which
+    keeps each file in one task; ``line_breaks=False`` lets Spark split large files that have none.
     """
     if not (filename or posixpath.basename(path)).endswith(".csv"):
         raise ValueError("only CSV files are supported")
-    raw = csv_strings(spark, path, multiLine="true", escape='"')
+    raw = csv_strings(spark, path, multiLine=str(line_breaks).lower(), escape='"')
     if raw.isEmpty():
         raise ValueError("the CSV file is empty")
     gaps = raw.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])

@@ -86,18 +86,24 @@ def start_landing(messages: DataFrame, namespace: str, order_by: dict[str, list[
     """Land a table whenever its upload event arrives.
 
     Several events for one table in a micro-batch land it once. The landing folder is replaced as a whole, so a
-    repeated batch changes nothing. Events without a table name stand for ``default_table``.
+    repeated batch changes nothing. Events without a table name stand for ``default_table``. An event whose table has
+    no entry in ``order_by`` or does not exist is logged and passed over, so that it does not block later ones; any
+    other failure fails the batch.
     """
     day = process_date(date)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        named = batch.select(F.coalesce("table_name", F.lit(default_table)).alias("table_name"))
-        # One job per table: the number of distinct tables, not of events.
-        for row in named.where(F.col("table_name").isNotNull()).distinct().collect():
+        named = batch.select(F.coalesce("table_name", F.lit(default_table)).alias("table_name")).distinct()
+        known = F.coalesce(F.col("table_name").isin(list(order_by)), F.lit(False))
+        for row in named.where(~known).limit(20).collect():
+            logger.error("upload event for an unknown table: %s", row["table_name"])
+        # One job per table, so at most one row per entry of order_by.
+        for row in named.where(known).collect():
             table = row["table_name"]
-            if table not in order_by:
-                raise LookupError(f"no page order known for table {table}")
-            land_table(spark, namespace, table, order_by[table], f"{work}/batch-{batch_id}", root, day)
+            try:
+                land_table(spark, namespace, table, order_by[table], f"{work}/batch-{batch_id}", root, day)
+            except LookupError as error:
+                logger.error("upload event passed over: %s", error)
 
     return start_batches(uploads(messages), handle, checkpoint, available_now)

@@ -90,9 +90,11 @@ def test_upload_event_starts_the_landing(spark, namespace):
     row = event.first()
     assert (row["table_name"], row["rows_count"], row["columns"]) == ("my_trips", 25, ["trip_id", "pickup_time"])
     put(spark, f"{base}/events", ["junk", json.dumps({"event_type": "other", "table_name": "nope"}),
-                                  json.dumps({"event_type": "csv_uploaded"})])
+                                  json.dumps({"event_type": "csv_uploaded"}),
+                                  json.dumps({"event_type": "csv_uploaded", "table_name": "unknown"}),
+                                  json.dumps({"event_type": "csv_uploaded", "table_name": "gone"})])
     for _ in range(2):
-        uploads.start_landing(connect.file_messages(spark, f"{base}/events"), namespace, {"my_trips": ["trip_id"]},
+        uploads.start_landing(connect.file_messages(spark, f"{base}/events"), namespace, {"my_trips": ["trip_id"], "gone": ["id"]},
                               f"{base}/work", f"{base}/raw", f"{base}/cp", default_table="my_trips", date="20240131",
                               available_now=True).awaitTermination()
     landed = files.landed(spark, f"{base}/raw/my_trips", "20240131")
