@@ -164,6 +164,21 @@ ORACLE = {
         SELECT subject, object, coalesce(capabilities, '') AS capabilities
         FROM targets LEFT JOIN able USING (subject, object)""",
     "upward_visibility": f"WITH RECURSIVE {_SEEN} SELECT DISTINCT holder, container FROM below",
+    "column_grants": f"""WITH RECURSIVE {_HELD},
+        direct AS (SELECT DISTINCT 'user:' || o_custkey AS subject,
+                          CASE WHEN l_returnflag = 'R' THEN 'select' ELSE 'mask' END AS relation, object,
+                          CASE WHEN l_returnflag = 'R' THEN 's_acctbal' ELSE 's_name' END AS name
+                   FROM bought JOIN sup ON l_suppkey = s_suppkey
+                   WHERE l_linestatus = 'O' AND l_returnflag IN ('R', 'A')),
+        cols(name) AS (VALUES ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal'))
+        SELECT h.subject, 'column:' || substring(h.object, 7) || '.' || c.name AS object,
+               h."select" OR s.subject IS NOT NULL AS "select", m.subject IS NOT NULL AS mask
+        FROM held h CROSS JOIN cols c
+        LEFT JOIN direct s ON s.subject = h.subject AND s.object = h.object AND s.name = c.name
+                          AND s.relation = 'select'
+        LEFT JOIN direct m ON m.subject = h.subject AND m.object = h.object AND m.name = c.name
+                          AND m.relation = 'mask'
+        WHERE h.object LIKE 'table:%'""",
     "rbac_lookup": f"""WITH {_GRANTS}
         SELECT user_id, "catalog", "schema", "table", privilege, whole, array_to_string(cols, ',') AS "columns"
         FROM priv""",

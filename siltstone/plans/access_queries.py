@@ -163,6 +163,35 @@ def upward_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.visible_containers(model, model.parents.withColumnRenamed("parent", "container"))
 
 
+SUPPLIER_COLUMNS = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+def _column_object(name: Column) -> Column:
+    return F.concat(F.lit("column:"), F.regexp_replace("object", "^table:", ""), F.lit("."), name)
+
+
+def column_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every column of every table a customer bought from: may it be selected, by a grant on the column or on
+    what is around it, and is it masked, by a grant on the column only."""
+    tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "object")
+    bought = _bought(spark, sf_dir)
+    subject = F.concat(F.lit("user:"), "o_custkey").alias("subject")
+    names = F.explode(F.array(*[F.lit(c) for c in SUPPLIER_COLUMNS])).alias("name")
+    columns = tables.select("object", names).select(_column_object(F.col("name")).alias("child"),
+                                                    F.col("object").alias("parent"))
+    open_lines = (bought.where((F.col("l_linestatus") == "O") & F.col("l_returnflag").isin("R", "A"))
+                  .select("o_custkey", "l_suppkey", "l_returnflag").distinct())
+    returned = F.col("l_returnflag") == "R"
+    direct = lookup_join(open_lines, tables, ["l_suppkey"]).select(
+        subject, F.when(returned, "select").otherwise("mask").alias("relation"),
+        _column_object(F.when(returned, "s_acctbal").otherwise("s_name")).alias("object"))
+    asked = (lookup_join(bought.select("o_custkey", "l_suppkey").distinct(), tables, ["l_suppkey"])
+             .select(subject, "object", names).select("subject", _column_object(F.col("name")).alias("object")))
+    model = relations.prepare(settle(relation_tuples(spark, sf_dir).unionByName(direct), "tuples").frame,
+                              settle(parent_edges(spark, sf_dir).unionByName(columns), "edges").frame)
+    return relations.held_relations(asked, model).select("subject", "object", "select", "mask")
+
+
 # -- privilege grants ---------------------------------------------------------------------------------------------
 
 SEGMENT_ACTIONS = {"AUTOMOBILE": ["SHOW_TABLES"], "BUILDING": ["SELECT_TABLE", "SHOW_COLUMNS"],
@@ -272,9 +301,6 @@ def visible_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                           .alias("indices"))
 
 
-SUPPLIER_COLUMNS = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
-
-
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer and supplier bought from, the decision on every column of the supplier's table."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
@@ -371,6 +397,6 @@ def grant_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, rbac_lookup, decisions,
+    role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, column_grants, rbac_lookup, decisions,
     visible_tables, visible_columns, row_filter, column_mask, secured_dataset, grant_checks, grant_updates,
     grant_revoke)}

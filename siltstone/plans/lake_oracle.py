@@ -54,6 +54,13 @@ _ORPHANS = " UNION ALL ".join(
         ("lineitem", "l_partkey", "part", "p_partkey"), ("events", "user_id", "customer", "c_custkey"),
         ("customer", "c_custkey", "orders", "o_custkey"), ("documents", "doc_id", "labels", "doc_id")))
 
+_UNIQUE = " UNION ALL ".join(
+    f"SELECT '{table}({keys})' AS rule, count(*) AS violations FROM "
+    f"(SELECT {keys} FROM {table} GROUP BY {keys} HAVING count(*) > 1)"
+    for table, keys in (("nation", "n_name,n_regionkey"), ("supplier", "s_name,s_nationkey"),
+                        ("part", "p_name,p_brand"), ("lineitem", "l_orderkey,l_linenumber"),
+                        ("events", "event_id"), ("documents", "text")))
+
 _VALUE = "CASE WHEN event_type NOT IN ('click', 'signup') THEN value END"
 
 ORACLE = {
@@ -122,6 +129,7 @@ ORACLE = {
         FROM (SELECT *, round(CAST(l_extendedprice AS DECIMAL(18,6)) - CAST(l_discount AS DECIMAL(18,6))
                               + CAST(l_tax AS DECIMAL(18,6)), 2) AS expected FROM lineitem)""",
     "orphan_report": _ORPHANS,
+    "unique_checks": _UNIQUE,
     "stream_copy": """
         SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, props, true AS stamped
         FROM events""",

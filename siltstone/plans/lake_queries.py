@@ -269,6 +269,18 @@ def orphan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+UNIQUE_RULES = (("nation", ("n_name", "n_regionkey")), ("supplier", ("s_name", "s_nationkey")),
+                ("part", ("p_name", "p_brand")), ("lineitem", ("l_orderkey", "l_linenumber")),
+                ("events", ("event_id",)), ("documents", ("text",)))
+
+
+def unique_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each key occur more than once."""
+    return reduce(DataFrame.unionByName, [
+        grants.repeated_keys(read(spark, sf_dir, table), list(keys), f"{table}({','.join(keys)})")
+        for table, keys in UNIQUE_RULES])
+
+
 # -- streams ------------------------------------------------------------------------------------------------------
 
 EVENT_MESSAGE = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
@@ -332,4 +344,4 @@ QUERIES = {f.__name__: f for f in (
     csv_string_scan, landing_by_date, bronze_load, silver_events, silver_typed_lines, silver_stats, gold_copy,
     insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, table_listing,
     source_readiness, page_fetch, page_meta, page_numbers, page_explode, page_completeness, total_check,
-    orphan_report, stream_copy, stream_tolerant, stream_by_type, not_null_drop)}
+    orphan_report, unique_checks, stream_copy, stream_tolerant, stream_by_type, not_null_drop)}
