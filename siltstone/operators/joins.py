@@ -4,6 +4,9 @@
 that are too heavy for one task are split: a left row takes one of ``fan`` slots and the right rows of such a key
 are repeated in all of them. The fan of a key is its row count over ``rows_per_task``, so a right row that is
 unique for its key adds at most one repeat per ``rows_per_task`` left rows.
+
+Which keys are split changes how the work is spread and never the result, so heavy keys are looked for in a sample of
+the left keys; every left row takes part in the join.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import Settled, size_aggregates
+from siltstone.session import Settled, settle, size_aggregates
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
 HEAVY_KEYS = 10_000
+HEAVY_SAMPLE = 0.01
 
 
 def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -30,17 +34,24 @@ def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size:
     return measured["rows"] <= rows and measured["size"] <= size
 
 
-def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int | None = None,
-               weighted: bool = False) -> DataFrame:
-    """Keys with more rows than one task should take, and their fan. At most ``HEAVY_KEYS`` rows: a key left out
-    has fewer rows than each of those, so under 1/``HEAVY_KEYS`` of the input. A ``weighted`` frame has a column
-    ``weight`` with the rows each of its own rows stands for."""
-    rows_per_task = rows_per_task or ROWS_PER_TASK
-    return (df.groupBy(*keys).agg((F.sum("weight") if weighted else F.count(F.lit(1))).alias("_n"))
-            .where(F.col("_n") > rows_per_task)
-            .orderBy(F.desc("_n")).limit(HEAVY_KEYS)
-            .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys],
-                    F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_fan")))
+def heavy_keys(left: DataFrame, keys: list[str], rows_per_task: int | None = None,
+               weights: DataFrame | None = None) -> Settled:
+    """Keys with more rows than one task should take, and their fan, measured once and written down.
+
+    ``weights(*keys, weight)`` gives the rows per key where they are known; else a sample of ``left`` is counted: a
+    key above the limit has thousands of rows in it. At most ``HEAVY_KEYS`` are kept: a key left out has fewer rows
+    than each of those, so under 1/``HEAVY_KEYS`` of the input.
+    """
+    limit = rows_per_task or ROWS_PER_TASK
+    if weights is None:
+        sample = left.select(*keys).sample(HEAVY_SAMPLE, seed=0) if HEAVY_SAMPLE < 1 else left.select(*keys)
+        counted = sample.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(HEAVY_SAMPLE))).alias("_n"))
+    else:
+        counted = weights.groupBy(*keys).agg(F.sum("weight").cast("double").alias("_n"))
+    heavy = (counted.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(HEAVY_KEYS)
+             .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys],
+                     F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")))
+    return settle(heavy, "heavy-keys")
 
 
 def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,13 +61,14 @@ def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                 rows_per_task: int | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split.
-
-    ``weights(*keys, weight)`` gives the left rows per key where they are known already; else ``left`` is counted.
-    """
+    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split; a plain join where
+    there are none."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
-    heavy = heavy_keys(left if weights is None else weights, keys, rows_per_task, weighted=weights is not None)
+    found = heavy_keys(left, keys, rows_per_task, weights)
+    if not found.rows:
+        return left.join(right, keys, how)
+    heavy = found.frame
     # The slot depends on the row and its partition only, so a repeated task sends each row the same way, and
     # equal rows from different partitions still spread.
     hashed = [f.name for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]

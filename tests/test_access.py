@@ -57,6 +57,8 @@ def test_decisions_do_not_depend_on_the_join_strategy(spark, given, monkeypatch)
     cases = [("ann", "SelectFromColumns", TABLE % "", True), ("bob", "SelectFromColumns", TABLE % "", True),
              ("zoe", "SelectFromColumns", TABLE % "", False), ("zoe", "ShowCatalogs", "{}", False)] * 5
     monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 2)
+    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 1)
     found = decide(spark, given, cases)
     assert [found[i] for i in range(len(cases))] == [c[3] for c in cases]
 

@@ -5,6 +5,11 @@ from siltstone.operators import joins
 from siltstone.session import settle
 
 
+@pytest.fixture(autouse=True)
+def count_all_rows(monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 1)
+
+
 def skewed(spark):
     """A third of the rows on key 7, many equal rows and NULL keys among them."""
     rows = [(7, "same") for _ in range(300)] + [(i % 50, f"r{i}") for i in range(500)] + [(None, "n")] * 100
@@ -28,15 +33,35 @@ def test_salted_join_refuses_full(spark):
 
 
 def test_heavy_keys_carry_their_fan(spark):
-    found = {r[0]: r[1] for r in joins.heavy_keys(skewed(spark), ["k"], rows_per_task=40).collect()}
-    assert found == {7: 8, None: 3}
+    found = joins.heavy_keys(skewed(spark), ["k"], rows_per_task=40)
+    assert found.rows == 2 and {r[0]: r[1] for r in found.frame.collect()} == {7: 8, None: 3}
+
+
+def test_heavy_keys_are_found_in_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 0.05)
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
+    found = joins.heavy_keys(df, ["k"], rows_per_task=5_000).frame.collect()
+    assert [r[0] for r in found] == [1] and 3 <= found[0]["_fan"] <= 5
+    right = spark.createDataFrame([(1, "a"), (5, "b")], "k bigint, w string")
+    assert joins.salted_join(df, right, ["k"], "inner", 5_000).count() == df.join(right, "k").count() == 20_002
+
+
+def test_without_heavy_keys_the_join_is_plain(spark):
+    joined = joins.salted_join(skewed(spark), spark.createDataFrame([(7, "x")], "k int, w string"), ["k"])
+    assert joined.count() == 310 and "_slot" not in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_heavy_rows_spread_over_slots(spark):
-    left = skewed(spark).where("k = 7")
+def test_heavy_rows_spread_over_partitions(spark):
     right = spark.createDataFrame([(7, "x")], "k int, w string")
-    plan = joins.salted_join(left, right, ["k"], "inner", rows_per_task=40)
-    assert plan.count() == 310
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = joins.salted_join(skewed(spark), right, ["k"], "inner", rows_per_task=40)
+        parts = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 310
 
 
 def test_size_check(spark):
