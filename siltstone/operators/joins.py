@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import Settled, settle, size_aggregates
+from siltstone.session import Settled, size_aggregates
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -35,12 +35,12 @@ def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size:
 
 
 def heavy_keys(left: DataFrame, keys: list[str], rows_per_task: int | None = None,
-               weights: DataFrame | None = None) -> Settled:
-    """Keys with more rows than one task should take, and their fan, measured once and written down.
+               weights: DataFrame | None = None) -> DataFrame | None:
+    """Keys with more rows than one task should take, and their fan, found once; None if there are none.
 
     ``weights(*keys, weight)`` gives the rows per key where they are known; else a sample of ``left`` is counted: a
     key above the limit has thousands of rows in it. At most ``HEAVY_KEYS`` are kept: a key left out has fewer rows
-    than each of those, so under 1/``HEAVY_KEYS`` of the input.
+    than each of those, so under 1/``HEAVY_KEYS`` of the input. That bound also makes the collected list small.
     """
     limit = rows_per_task or ROWS_PER_TASK
     if weights is None:
@@ -51,7 +51,8 @@ def heavy_keys(left: DataFrame, keys: list[str], rows_per_task: int | None = Non
     heavy = (counted.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(HEAVY_KEYS)
              .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys],
                      F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")))
-    return settle(heavy, "heavy-keys")
+    found = heavy.collect()
+    return left.sparkSession.createDataFrame(found, heavy.schema) if found else None
 
 
 def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,10 +66,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     there are none."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
-    found = heavy_keys(left, keys, rows_per_task, weights)
-    if not found.rows:
+    heavy = heavy_keys(left, keys, rows_per_task, weights)
+    if heavy is None:
         return left.join(right, keys, how)
-    heavy = found.frame
     # The slot depends on the row and its partition only, so a repeated task sends each row the same way, and
     # equal rows from different partitions still spread.
     hashed = [f.name for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
