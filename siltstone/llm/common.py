@@ -49,3 +49,9 @@ def symbol_count(text: Column, symbols: str) -> Column:
     """How many characters of the text are among ``symbols``."""
     plain = F.coalesce(text, F.lit(""))
     return (F.char_length(plain) - F.char_length(F.translate(plain, symbols, ""))).cast("bigint")
+
+
+def shared_files(uri: str):
+    """The file system and path of a folder that all executors share, for files that Spark has no writer for."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])

@@ -1,5 +1,9 @@
 """DuckDB twins of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from siltstone.llm import licenses, urlfilter
+
 OP5 = r"""
 WITH w AS (
     SELECT doc_id, coalesce(text, '') AS t,
@@ -25,4 +29,61 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-ORACLE = {"op5_rules": OP5}
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS digest FROM p),
+k AS (SELECT digest, max(page_id) AS keeper FROM d WHERE n >= 1000 GROUP BY digest)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN keeper IS NOT NULL AND keeper IS DISTINCT FROM d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper IS DISTINCT FROM d.page_id THEN keeper END AS refers_to
+FROM d LEFT JOIN k ON d.digest = k.digest
+"""
+
+
+def _canonical(text: str) -> str:
+    """The canonical licence form of a text, in SQL."""
+    plain = f"regexp_replace(lower({text}), '(?im)^[^\\p{{L}}\\p{{N}}\\n]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    out = f"' ' || trim(regexp_replace({plain}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for written, meant in licenses.SPELLINGS:
+        out = f"replace({out}, ' {written} ', ' {meant} ')"
+    return f"trim({out})"
+
+
+def _rows(rows: list[tuple[str, ...]]) -> str:
+    quote = lambda v: "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+OP7 = f"""
+WITH known AS (SELECT license, sha256({_canonical('text')}) AS digest
+               FROM (VALUES {_rows(list(licenses.NOTICES.items()))}) AS v(license, text)),
+b AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT doc_id, 'text' AS kind, t AS unit FROM b
+      UNION ALL SELECT doc_id, 'line', unnest(string_split(t, chr(10))) FROM b
+      UNION ALL SELECT doc_id, 'paragraph', p FROM (
+          SELECT doc_id, unnest(regexp_split_to_array(t, '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) AS p FROM b)
+      WHERE contains(p, chr(10))),
+c AS (SELECT doc_id, kind, {_canonical('unit')} AS form FROM u)
+SELECT doc_id, license, digest, count(*) FILTER (kind = 'text') > 0 AS whole_text,
+       count(*) FILTER (kind = 'paragraph') AS paragraphs, count(*) FILTER (kind = 'line') AS lines
+FROM c JOIN known ON sha256(form) = digest WHERE form <> '' GROUP BY doc_id, license, digest
+"""
+
+# A rule fits a host that is its own or ends in it after a dot.
+OP10 = f"""
+WITH r(host, path, verdict, rank) AS (
+    SELECT col0, col1, col2, 1 FROM (VALUES {_rows(list(urlfilter.RULES))})
+    UNION ALL SELECT col0, col1, col2, 0 FROM (VALUES {_rows(list(urlfilter.LISTED))})),
+p AS (SELECT page_id, row_number() OVER () AS row,
+             translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '{urlfilter.UPPER}',
+                       '{urlfilter.LOWER}') AS host,
+             regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+best AS (SELECT row, max_by(struct_pack(key := r.host || r.path, verdict := verdict, rank := rank),
+                            rank * 100000 + length(r.host || r.path)) AS b
+         FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+         GROUP BY row)
+SELECT page_id, host, path, CASE WHEN b.rank = 1 THEN b.key END AS rule, coalesce(b.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best ON p.row = best.row
+"""
+
+ORACLE = {"op4_warc": OP4, "op5_rules": OP5, "op7_licenses": OP7, "op10_urlfilter": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, packing, rules, simhash, tokens, toxicity
+from siltstone.llm import licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter, warc, wavelet
 from siltstone.llm.common import table
 
 
@@ -17,6 +17,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written and read back."""
+    shards = wavelet.write_shards(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+    return wavelet.documents(shards)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives and index written; every record read back through the index."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_records(warc.index_lines(warc.write_archive(pages)))
+    return found.select(F.col("page").cast(kind).alias("page_id"), F.col("size").alias("payload_bytes"),
+                        F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
+                        F.col("refers").cast(kind).alias("refers_to"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of all documents under the base policy and the current one."""
     entries = rules.ledger(table(spark, sf_dir, "documents"), "doc_id")
@@ -30,8 +46,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_rules, op6_toxicity, op8_mixing)}
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = urlfilter.entries(spark, urlfilter.RULES, 1).union(urlfilter.entries(spark, urlfilter.LISTED, 0))
+    return urlfilter.judged(table(spark, sf_dir, "pages"), listed)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_wavelet, op4_warc, op5_rules, op6_toxicity, op7_licenses,
+                                   op8_mixing, op10_urlfilter)}
