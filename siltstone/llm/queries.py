@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter, warc, wavelet
+from siltstone.llm import curves, licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter, warc, wavelet
 from siltstone.llm.common import table
 
 
@@ -54,10 +54,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    found = curves.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select(F.col("query_id").cast("bigint"), "rank", F.col("vec_id").cast("bigint"), "score")
+
+
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = urlfilter.entries(spark, urlfilter.RULES, 1).union(urlfilter.entries(spark, urlfilter.LISTED, 0))
     return urlfilter.judged(table(spark, sf_dir, "pages"), listed)
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_wavelet, op4_warc, op5_rules, op6_toxicity, op7_licenses,
-                                   op8_mixing, op10_urlfilter)}
+                                   op8_mixing, op9_curves, op10_urlfilter)}
