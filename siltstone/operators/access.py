@@ -231,9 +231,12 @@ def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
     found = coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges"))
     missing = F.array_except(F.col("resource")["columns"], F.col("covered"))
     granted = found.where(F.col("whole") | (F.size(missing) == 0)).select(*KEY, F.lit(True).alias("_granted"))
-    joined = lookup_join(requests, settle(granted, "granted"), KEY, "left", weights=once.frame)
+    # What is allowed anyway never meets the grants, however often it is asked.
     open_to_all = always_allowed(F.col("operation"), F.col("resource"))
-    return joined.withColumn("allowed", F.coalesce("_granted", F.lit(False)) | open_to_all).drop("_granted")
+    joined = lookup_join(requests.where(~open_to_all), settle(granted, "granted"), KEY, "left", weights=once.frame)
+    decided = joined.withColumn("allowed", F.coalesce("_granted", F.lit(False))).drop("_granted")
+    free = requests.where(open_to_all).withColumn("allowed", F.lit(True))
+    return decided.unionByName(free).select(*requests.columns, "allowed")
 
 
 def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:
@@ -243,9 +246,9 @@ def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:
     allowed keep an empty list. A list is no longer than the resource list it came with.
     """
     per_column = ((F.col("operation") == "FilterColumns") & (F.size("resources") == 1)
-                  & (F.size(F.col("resources")[0]["columns"]) > 0))
-    single = F.transform(F.col("resources")[0]["columns"],
-                         lambda c: F.col("resources")[0].withField("columns", F.array(c)))
+                  & (F.size(F.get("resources", F.lit(0))["columns"]) > 0))
+    first = F.get("resources", F.lit(0))
+    single = F.transform(first["columns"], lambda c: first.withField("columns", F.array(c)))
     rows = batches.select("batch_id", "user_id", "operation",
                           F.posexplode(F.when(per_column, single).otherwise(F.col("resources")))
                           .alias("index", "resource"))
@@ -261,8 +264,11 @@ def column_decisions(requests: DataFrame, grants: DataFrame) -> DataFrame:
     rows = requests.select("request_id", "user_id", F.lit("FilterColumns").alias("operation"), "resource")
     once = _distinct_requests(rows)
     found = settle(coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges")), "coverage")
-    joined = lookup_join(rows, found, KEY, "left", weights=once.frame)
-    allowed = (always_allowed(F.col("operation"), F.col("resource")) | F.coalesce("whole", F.lit(False))
+    open_to_all = always_allowed(F.col("operation"), F.col("resource"))
+    joined = lookup_join(rows.where(~open_to_all), found, KEY, "left", weights=once.frame)
+    free = rows.where(open_to_all).select("*", F.lit(True).alias("whole"),
+                                          F.array().cast("array<string>").alias("covered"))
+    allowed = (F.coalesce("whole", F.lit(False))
                | F.coalesce(F.array_contains("covered", F.col("column")), F.lit(False)))
-    return (joined.select("*", F.posexplode("resource.columns").alias("index", "column"))
+    return (joined.unionByName(free).select("*", F.posexplode("resource.columns").alias("index", "column"))
             .select("request_id", "user_id", "index", "column", allowed.alias("allowed")))

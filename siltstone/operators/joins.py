@@ -1,12 +1,12 @@
 """Lookup joins that hold when one key carries a large share of the rows.
 
-``lookup_join`` broadcasts the looked-up side only after measuring it. Past the bound it shuffles, and the keys
-that are too heavy for one task are split: a left row takes one of ``fan`` slots and the right rows of such a key
-are repeated in all of them. The fan of a key is its row count over ``rows_per_task``, so a right row that is
-unique for its key adds at most one repeat per ``rows_per_task`` left rows.
+``lookup_join`` broadcasts the looked-up side where its size is known, from writing it, to be small. Else it is a shuffle
+join, and adaptive execution, which ``build_session`` turns on, splits the partitions of inner, left, semi and anti joins
+that turn out too large, on either side as the join allows. Nothing is run ahead to plan it.
 
-Which keys are split changes how the work is spread and never the result, so heavy keys are looked for in a sample of
-the left keys; every left row takes part in the join.
+Where the rows per key are known anyway, ``weights`` splits heavy keys in the plan itself, whatever comes after the join:
+a left row takes one of ``fan`` slots and the right rows of such a key are repeated in all of them. The fan is the number
+of joined rows of the key over ``rows_per_task``. Heavy keys are a written frame and as many as there are.
 """
 
 from __future__ import annotations
@@ -17,57 +17,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import Settled, size_aggregates
+from siltstone.session import Settled, settle
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
-HEAVY_KEYS = 10_000
-HEAVY_SAMPLE = 0.01
 
 
-def fits_broadcast(right: DataFrame | Settled, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """A settled frame was measured as it was written; any other is measured by one aggregation."""
-    if isinstance(right, Settled):
-        return right.rows <= rows and right.size <= size
-    measured = right.agg(*size_aggregates(right)).first()
-    return measured["rows"] <= rows and measured["size"] <= size
+def fits_broadcast(right: Settled, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    return right.rows <= rows and right.size <= size
 
 
-def heavy_keys(left: DataFrame, keys: list[str], rows_per_task: int | None = None,
-               weights: DataFrame | None = None) -> DataFrame | None:
-    """Keys with more rows than one task should take, and their fan, found once; None if there are none.
+def heavy_keys(weights: DataFrame, right: DataFrame, keys: list[str], rows_per_task: int | None = None) -> Settled:
+    """Keys whose join has more rows than one task should take, and their fan.
 
-    ``weights(*keys, weight)`` gives the rows per key where they are known; else a sample of ``left`` is counted: a
-    key above the limit has thousands of rows in it. At most ``HEAVY_KEYS`` are kept: a key left out has fewer rows
-    than each of those, so under 1/``HEAVY_KEYS`` of the input. That bound also makes the collected list small.
+    ``weights(*keys, weight)`` gives the left rows per key. Right rows are counted for heavy left keys and for right keys
+    that are heavy by themselves.
     """
     limit = rows_per_task or ROWS_PER_TASK
-    if weights is None:
-        sample = left.select(*keys).sample(HEAVY_SAMPLE, seed=0) if HEAVY_SAMPLE < 1 else left.select(*keys)
-        counted = sample.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(HEAVY_SAMPLE))).alias("_n"))
-    else:
-        counted = weights.groupBy(*keys).agg(F.sum("weight").cast("double").alias("_n"))
-    heavy = (counted.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(HEAVY_KEYS)
-             .select(*[F.col(k).alias(f"_heavy_{k}") for k in keys],
-                     F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_fan")))
-    found = heavy.collect()
-    return left.sparkSession.createDataFrame(found, heavy.schema) if found else None
-
-
-def _with_fan(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    lefts = weights.groupBy(*keys).agg(F.sum("weight").cast("double").alias("_left"))
+    rights = right.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_right"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    both = lefts.alias("l").join(rights.alias("r"), same, "left")
+    rows = F.col("_left") * F.greatest(F.coalesce("_right", F.lit(1.0)), F.lit(1.0))
+    # A key cannot be split into more slots than it has left rows.
+    fan = F.least(F.ceil(rows / F.lit(limit)), F.col("_left"), F.lit(float(1 << 20))).cast("int")
+    return settle(both.where(rows > limit).select(*[F.col(f"l.{k}").alias(f"_heavy_{k}") for k in keys],
+                                                  fan.alias("_fan")), "heavy")
+
+
+def _with_fan(df: DataFrame, heavy: Settled, keys: list[str]) -> DataFrame:
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
-    return df.join(F.broadcast(heavy), same, "left").drop(*[f"_heavy_{k}" for k in keys])
+    known = F.broadcast(heavy.frame) if fits_broadcast(heavy) else heavy.frame
+    return df.join(known, same, "left").drop(*[f"_heavy_{k}" for k in keys])
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                rows_per_task: int | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy left keys split; a plain join where
-    there are none."""
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, weights: DataFrame,
+                rows_per_task: int | None = None) -> DataFrame:
+    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy keys split; a plain join where there are
+    none."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split the left side of a {how} join")
-    heavy = heavy_keys(left, keys, rows_per_task, weights)
-    if heavy is None:
+    heavy = heavy_keys(weights, right, keys, rows_per_task)
+    if not heavy.rows:
         return left.join(right, keys, how)
     # The slot depends on the row and its partition only, so a repeated task sends each row the same way, and
     # equal rows from different partitions still spread.
@@ -81,9 +73,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner",
-                rows_per_task: int | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy."""
-    frame = right.frame if isinstance(right, Settled) else right
-    if fits_broadcast(right):
+                rows_per_task: int | None = None, weights: DataFrame | None = None,
+                broadcast: bool | None = None) -> DataFrame:
+    """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy, which
+    ``broadcast`` overrules."""
+    known = isinstance(right, Settled)
+    frame = right.frame if known else right
+    if broadcast or (broadcast is None and known and fits_broadcast(right)):
         return left.join(F.broadcast(frame), keys, how)
-    return salted_join(left, frame, keys, how, rows_per_task, weights)
+    if weights is not None:
+        return salted_join(left, frame, keys, how, weights, rows_per_task)
+    return left.join(frame, keys, how)

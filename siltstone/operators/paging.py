@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.session import settle
+from siltstone.operators.tables import quote_name
+from siltstone.session import Settled, settle
 
 DEFAULT_PAGE_SIZE = 100
 MAX_PAGE_SIZE = 1000
 
-# A page that ends within this many rows of the start is a top-k; deeper ones use row positions.
-TOP_ROWS = 100_000
-
 # Fixed value: bits that monotonically_increasing_id gives to the row within its partition.
 ROW_BITS = 33
 
@@ -25,28 +23,36 @@ def check_page(page: int, page_size: int) -> None:
         raise ValueError(f"page size must be 1 to {MAX_PAGE_SIZE}")
 
 
-def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
-    """Add ``position``, the zero-based rank of each row by ``order_by``, without a global sort in one task.
+def positions(df: DataFrame, order_by: list[str]) -> Settled:
+    """``df`` with ``position``, the zero-based rank of each row by ``order_by``, without a global sort in one task,
+    and how many rows there are.
 
     Rows are range-partitioned by the order and sorted inside each partition. The other columns decide between equal
     keys, and the input partition between equal rows, so that even many copies of one row spread. The numbered rows
     are written once, so that the per-partition counts, which shift them to global positions, describe the same
     partitions. The counts have one row per partition.
     """
-    keys = [F.col(f"`{c}`") for c in order_by]
-    ties = [F.col(f"`{f.name}`") for f in df.schema.fields
+    keys = [F.col(quote_name(c)) for c in order_by]
+    ties = [F.col(quote_name(f.name)) for f in df.schema.fields
             if f.name not in order_by and f.dataType.typeName() not in ("map", "variant")]
     order = [*keys, *ties, F.col("_from")]
     ordered = (df.withColumn("_from", F.spark_partition_id()).repartitionByRange(*order)
                .sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).drop("_from"))
-    numbered = settle(ordered, "positions").frame
+    stored = settle(ordered, "positions")
+    numbered = stored.frame
     part = F.shiftright("_id", ROW_BITS)
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     shifts = (numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
               .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift")))
     within = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return (numbered.withColumn("_part", part).join(F.broadcast(shifts), "_part")
-            .withColumn("position", F.col("_shift") + within).drop("_id", "_part", "_shift"))
+    # One row per partition, as many as the write had tasks; Spark broadcasts it by its own threshold.
+    return stored.narrowed(numbered.withColumn("_part", part).join(shifts, "_part")
+                           .withColumn("position", F.col("_shift") + within).drop("_id", "_part", "_shift"))
+
+
+def with_positions(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """The frame of ``positions``."""
+    return positions(df, order_by).frame
 
 
 def page_of(page_size: int) -> Column:
@@ -54,17 +60,20 @@ def page_of(page_size: int) -> Column:
     return F.expr(f"CAST(position DIV {int(page_size)} + 1 AS INT)")
 
 
-def page(df: DataFrame, order_by: list[str], page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """Rows of one page by ``order_by``, which must identify rows for pages to be stable."""
-    check_page(page, page_size)
+def pages(df: DataFrame, order_by: list[str], wanted: list[int], page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Rows of the wanted pages with their ``page``. All pages share one order: the given keys, then all other columns,
+    so that repeated keys neither lose nor repeat rows; rows are numbered once, by range partitions."""
+    for number in wanted:
+        check_page(number, page_size)
     if not order_by:
         raise ValueError("paging needs an order")
-    first = (page - 1) * page_size
-    if first + page_size <= TOP_ROWS:
-        return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).offset(first).limit(page_size)
-    located = with_positions(df, order_by)
-    return (located.where((F.col("position") >= first) & (F.col("position") < first + page_size))
-            .drop("position"))
+    located = with_positions(df, order_by).withColumn("page", page_of(page_size))
+    return located.where(F.col("page").isin(list(wanted))).drop("position")
+
+
+def page(df: DataFrame, order_by: list[str], page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
+    """Rows of one page; see ``pages``."""
+    return pages(df, order_by, [page], page_size).drop("page")
 
 
 def total_pages(total: Column, page_size: int) -> Column:
@@ -93,10 +102,10 @@ def envelopes(df: DataFrame, table_name: str, order_by: list[str],
     """
     check_page(1, page_size)
     names = df.columns
-    located = with_positions(df, order_by)
-    total = df.count()
-    numbered = located.withColumn("_page", page_of(page_size))
-    row = F.struct("position", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    located = positions(df, order_by)
+    total = located.rows
+    numbered = located.frame.withColumn("_page", page_of(page_size))
+    row = F.struct("position", F.struct(*[F.col(quote_name(c)) for c in names]).alias("row"))
     grouped = numbered.groupBy("_page").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return grouped.select(
         F.lit("success").alias("status"), F.lit(table_name).alias("table_name"),

@@ -6,6 +6,7 @@ These prepare data for a user; inside a shared Spark session they are no securit
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,6 @@ from siltstone.operators.access import column_decisions
 MASK_SHOWN = 3
 MASK_TEXT = "******"
 
-# Policies of one user on one table are collected to build the plan; more than this is refused.
-MAX_POLICIES = 1000
-
 
 @dataclass(frozen=True)
 class Policies:
@@ -30,14 +28,43 @@ class Policies:
     row_filters: DataFrame
     masks: DataFrame
 
+    def through_roles(self, members: DataFrame) -> Policies:
+        """The same policies with those of roles given to their members too.
+
+        A policy of a role names it as ``role:<id>#assignee`` in ``user_id``; ``members(subject, role)`` is what
+        ``closure.role_members`` finds, where users are ``user:<id>``.
+        """
+        return Policies(*[held_by_members(p, members) for p in (self.grants, self.row_filters, self.masks)])
+
+
+def held_by_members(policies: DataFrame, members: DataFrame) -> DataFrame:
+    """``policies`` and one more row per member of each role that holds one; ``user_id`` loses its ``user:`` mark."""
+    plain = F.regexp_replace("subject", "^user:", "").alias("user_id")
+    held = members.select(F.concat("role", F.lit("#assignee")).alias("_role"), plain.alias("_member"))
+    of_roles = policies.where(F.col("user_id").startswith("role:"))
+    spread = (of_roles.join(held, F.col("user_id") == F.col("_role"))
+              .withColumn("user_id", F.col("_member")).drop("_role", "_member"))
+    return policies.unionByName(spread)
+
+
+def masks_from_held(held: DataFrame) -> DataFrame:
+    """Mask policies from ``relations.held_relations`` rows whose target is a column, through roles included.
+
+    A column is ``column:<catalog>.<schema>.<table>.<column>``, where the schema may be nested.
+    """
+    parts = F.split(F.regexp_replace("object", "^column:", ""), r"\.")
+    count = F.size(parts)
+    return (held.where(F.col("object").startswith("column:") & F.col("mask")).select(
+        F.regexp_replace("subject", "^user:", "").alias("user_id"), F.get(parts, F.lit(0)).alias("catalog"),
+        F.array_join(F.slice(parts, 2, F.greatest(count - 3, F.lit(0))), ".").alias("schema"),
+        F.get(parts, count - 2).alias("table"), F.get(parts, count - 1).alias("column")))
+
 
 def _for_user(policies: DataFrame, user: str, place: tuple[str, str, str], wanted: str) -> list[str]:
     catalog, schema, table = place
     rows = (policies.where((F.col("user_id") == user) & (F.col("catalog") == catalog) & (F.col("schema") == schema)
                            & (F.col("table") == table) & F.col(wanted).isNotNull())
-            .select(wanted).distinct().orderBy(wanted).limit(MAX_POLICIES + 1).collect())
-    if len(rows) > MAX_POLICIES:
-        raise ValueError(f"more than {MAX_POLICIES} policies for {user} on {'.'.join(place)}")
+            .select(wanted).distinct().orderBy(wanted).collect())
     return [row[0] for row in rows]
 
 
@@ -48,21 +75,65 @@ def masked(value: Column) -> Column:
 def filter_rows(df: DataFrame, row_filters: DataFrame, user: str, place: tuple[str, str, str]) -> DataFrame:
     """Keep rows that satisfy every filter of the user; a filter that is NULL for a row drops it. An unreadable
     policy table fails here instead of letting all rows through."""
-    for expression in _for_user(row_filters, user, place, "filter_expression"):
-        df = df.where(F.expr(expression))
-    return df
+    rules = [F.expr(expression) for expression in _for_user(row_filters, user, place, "filter_expression")]
+    return df.where(reduce(lambda a, b: a & b, rules)) if rules else df
+
 
+def _case(df: DataFrame):
+    """How Spark compares column names in this session."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return (lambda name: name) if exact else str.lower
 
-def mask_columns(df: DataFrame, masks: DataFrame, user: str, place: tuple[str, str, str]) -> DataFrame:
-    """Mask the columns named for the user. NULL stays NULL; only text can be masked."""
+
+def resolved(table: DataFrame, names: list[str]) -> list[str]:
+    """The columns of ``table`` that the names mean, by the rule Spark resolves names by; an unknown name is an error."""
+    case = _case(table)
+    known = {case(c): c for c in table.columns}
+    unknown = [name for name in names if case(name) not in known]
+    if unknown:
+        raise LookupError(f"masks name columns that the table does not have: {', '.join(sorted(unknown))}")
+    return sorted({known[case(name)] for name in names})
+
+
+def mask_columns(df: DataFrame, masks: DataFrame, user: str, place: tuple[str, str, str],
+                 table: DataFrame | None = None) -> DataFrame:
+    """Mask the columns named for the user. NULL stays NULL; only text can be masked.
+
+    A mask that names no column of ``table`` is an error, never passed over; ``df`` is the table itself or some of its
+    columns.
+    """
     types = {field.name: field.dataType for field in df.schema.fields}
-    named = [name for name in _for_user(masks, user, place, "column") if name in types]
+    whole = df if table is None else table
+    named = [name for name in resolved(whole, _for_user(masks, user, place, "column")) if name in types]
     wrong = [name for name in named if not isinstance(types[name], T.StringType)]
     if wrong:
         raise TypeError(f"only text columns can be masked: {', '.join(wrong)}")
     return df.withColumns({name: masked(F.col(f"`{name}`")) for name in named}) if named else df
 
 
+def mask_for_users(df: DataFrame, user_column: str, masks: DataFrame, place: tuple[str, str, str]) -> DataFrame:
+    """``df`` with each row masked for the user it names, all users in one plan.
+
+    The masked columns of a user are one small set, joined by user. A mask that names no column, or one that is not text,
+    fails the job.
+    """
+    case = _case(df)
+    catalog, schema, table = place
+    columns = {case(f.name): f for f in df.schema.fields if f.name != user_column}
+    texts = [key for key, f in columns.items() if isinstance(f.dataType, T.StringType)]
+    name = F.col("column") if case("A") == "A" else F.lower("column")
+    here = masks.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == table)
+                       & F.col("column").isNotNull())
+    fault = F.raise_error(F.concat(F.lit("cannot be masked: "), F.col("column"))).cast("string")
+    named = here.select(F.col("user_id").alias(user_column),
+                        F.when(name.isin(texts), name).otherwise(fault).alias("_name"))
+    sets = named.groupBy(user_column).agg(F.collect_set("_name").alias("_masked"))
+    joined = df.join(sets, user_column, "left")
+    built = {columns[key].name: F.when(F.array_contains("_masked", key), masked(F.col(f"`{columns[key].name}`")))
+             .otherwise(F.col(f"`{columns[key].name}`")) for key in texts}
+    return joined.withColumns(built).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def visible_columns(df: DataFrame, grants: DataFrame, user: str, place: tuple[str, str, str]) -> list[str]:
     """The columns of ``df`` the user may see, in table order. One request per column of one table."""
     spark = df.sparkSession
@@ -80,4 +151,4 @@ def secured(df: DataFrame, user: str, place: tuple[str, str, str], policies: Pol
     if not columns:
         raise PermissionError(f"{user} may not read {'.'.join(place)}")
     rows = filter_rows(df, policies.row_filters, user, place)
-    return mask_columns(rows.select(*[F.col(f"`{c}`") for c in columns]), policies.masks, user, place)
+    return mask_columns(rows.select(*[F.col(f"`{c}`") for c in columns]), policies.masks, user, place, df)

@@ -7,11 +7,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siltstone.session import quoted
 
 PARQUET = "parquet"
 ICEBERG = "iceberg"
 
 
+class AbsentTable(LookupError):
+    """A table that was asked for does not exist."""
+
+
 def ensure_namespace(spark: SparkSession, namespace: str) -> None:
     """Create the namespace if needed; fail if it is still absent."""
     spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {namespace}")
@@ -25,7 +32,7 @@ def namespaces(spark: SparkSession, catalog: str | None = None) -> DataFrame:
 
 def _properties(fmt: str, properties: dict[str, str] | None) -> str:
     merged = {**({"format-version": "2"} if fmt == ICEBERG else {}), **(properties or {})}
-    listed = ", ".join(f"'{key}'='{value}'" for key, value in merged.items())
+    listed = ", ".join(f"{quoted(key)}={quoted(value)}" for key, value in merged.items())
     return f"TBLPROPERTIES ({listed})" if listed else ""
 
 
@@ -80,24 +87,69 @@ def append_or_create(df: DataFrame, table: str, fmt: str = PARQUET) -> None:
 def replace_from(df: DataFrame, table: str, fmt: str = PARQUET) -> None:
     """Create or replace the table with ``df``, which may read the table itself.
 
-    Iceberg replaces in one commit. Parquet tables cannot: the rows go to a staging table that then takes the
-    name, so readers may for a moment find no table, but never half of one.
+    Iceberg replaces in one commit. For Parquet the rows go to a new version folder, to which the table is then pointed,
+    so no data is moved or written twice. Where the columns stay the same this is one change of the catalog; otherwise the
+    table is dropped and declared anew, and readers may for a moment find none. The version before stays, for readers
+    that have begun; older ones are removed.
     """
     spark = df.sparkSession
     if fmt == ICEBERG:
         spark.sql(f"CREATE OR REPLACE TABLE {table} USING iceberg {_properties(fmt, None)} "
                   "AS SELECT * FROM {rows}", rows=df)
         return
-    staging = f"{table}_staging_{uuid.uuid4().hex[:12]}"
-    df.write.format(fmt).saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    namespace, _, name = table.rpartition(".")
+    space = spark.catalog.getDatabase(namespace or spark.catalog.currentDatabase()).locationUri.rstrip("/")
+    version = f"{space}/{name}.versions/{uuid.uuid4().hex}"
+    df.write.format(fmt).save(version)
+    before = None
+    if spark.catalog.tableExists(table):
+        before = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+        kind = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Type'").first()["data_type"]
+        same = spark.table(table).schema.simpleString() == df.schema.simpleString()
+        if same and kind == "EXTERNAL" and not partition_columns(spark, table):
+            spark.sql(f"ALTER TABLE {table} SET LOCATION {quoted(version)}")
+            spark.catalog.refreshTable(table)
+            _expire(spark, f"{space}/{name}.versions", version, before)
+            return
+        spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE TABLE {table} ({declaration(df.schema)}) USING {fmt} LOCATION {quoted(version)}")
+    _expire(spark, f"{space}/{name}.versions", version, before)
+
+
+def _expire(spark: SparkSession, versions: str, *kept: str | None) -> None:
+    """Remove the version folders that are not among ``kept``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(versions)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = {path.rstrip("/").rpartition("/")[2] for path in kept if path}
+    for found in files.listStatus(folder):
+        if found.getPath().getName() not in names:
+            files.delete(found.getPath(), True)
+
+
+def quote_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def type_text(kind: T.DataType) -> str:
+    """A type as SQL text, with the names inside structs quoted."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ", ".join(f"{quote_name(f.name)}: {type_text(f.dataType)}" for f in kind.fields) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{type_text(kind.elementType)}>"
+    if isinstance(kind, T.MapType):
+        return f"map<{type_text(kind.keyType)}, {type_text(kind.valueType)}>"
+    return kind.simpleString()
+
+
+def declaration(schema: T.StructType) -> str:
+    """The columns of a schema as SQL text."""
+    return ", ".join(f"{quote_name(f.name)} {type_text(f.dataType)}" for f in schema.fields)
 
 
 def drop(spark: SparkSession, table: str) -> None:
     """Drop the table; an absent table is an error."""
     if not spark.catalog.tableExists(table):
-        raise LookupError(f"table {table} not found")
+        raise AbsentTable(f"table {table} not found")
     spark.sql(f"DROP TABLE {table}")
 
 
@@ -123,6 +175,6 @@ def list_tables(spark: SparkSession, namespace: str) -> DataFrame:
 def readiness(spark: SparkSession, namespace: str, table: str) -> DataFrame:
     """The listing row of ``table`` with its endpoint; an absent table is an error, an empty one is ready."""
     if not spark.catalog.tableExists(f"{namespace}.{table}"):
-        raise LookupError(f"table {table} not found in {namespace}")
+        raise AbsentTable(f"table {table} not found in {namespace}")
     return (listing({table: spark.table(f"{namespace}.{table}")})
             .withColumn("api_endpoint", F.lit(f"/api/data/{table}")))

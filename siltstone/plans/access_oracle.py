@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from siltstone.operators.access import OPERATIONS
+
+# The operation map as rows: operation, privilege, depth checked (0: anywhere, NULL: the request's own).
+_NEED = ", ".join("('{}', '{}', {})".format(name, wanted, {"anywhere": 0, "catalog": 1, "schema": 2}.get(level, "NULL"))
+                  for name, wanted, level in OPERATIONS)
+
 _BASE = """
 place AS (SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 bought AS (SELECT l.*, o_custkey, o_orderpriority FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)
@@ -33,7 +39,7 @@ tuples AS (
                          WHEN 'MACHINERY' THEN 'ownership' END, 'namespace:' || r_name || '.' || n_name FROM cust
   UNION SELECT 'user:' || o_custkey, CASE l_returnflag WHEN 'R' THEN 'ownership' WHEN 'A' THEN 'pass_grants'
                                           WHEN 'N' THEN 'describe' END, object
-        FROM bought JOIN sup ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'
+        FROM bought JOIN sup ON l_suppkey = s_suppkey
   UNION SELECT 'role:' || r_name || '#assignee', 'describe', 'catalog:' || r_name FROM place
   UNION SELECT 'user:*', 'managed_access', 'namespace:' || r_name || '.' || n_name FROM place
         WHERE r_name IN ('ASIA', 'EUROPE')),
@@ -163,13 +169,48 @@ ORACLE = {
     "object_capabilities": f"""WITH RECURSIVE {_SEEN}
         SELECT subject, object, coalesce(capabilities, '') AS capabilities
         FROM targets LEFT JOIN able USING (subject, object)""",
+    "listing_visibility": f"""WITH RECURSIVE {_TREE},
+        listed AS (SELECT child, parent AS container FROM edges WHERE NOT child LIKE '%.credit'
+                   UNION SELECT object, 'namespace:' || r_name || '.' || n_name
+                         FROM sup JOIN place ON n_nationkey = s_suppkey % 25),
+        up AS (SELECT child, container FROM listed
+               UNION SELECT u.child, l.container FROM up u JOIN listed l ON l.child = u.container),
+        described AS (SELECT DISTINCT subject, object FROM tuples
+                      WHERE object NOT LIKE 'role:%' AND (relation IN ('describe', 'select', 'modify', 'ownership')
+                         OR (relation = 'create' AND NOT object LIKE 'table:%'))),
+        reached AS (SELECT DISTINCT object, object AS x FROM described
+                    UNION SELECT d.object, a.child FROM (SELECT DISTINCT object FROM described) d
+                          JOIN anc a ON a.ancestor = d.object),
+        pairs AS (SELECT DISTINCT r.object, u.container FROM reached r JOIN up u ON u.child = r.x
+                  WHERE u.container <> r.object
+                    AND NOT EXISTS (SELECT 1 FROM anc a WHERE a.child = u.container AND a.ancestor = r.object))
+        SELECT DISTINCT subject AS holder, container FROM described JOIN pairs USING (object)""",
+    "listing_mismatches": f"""WITH RECURSIVE {_TREE},
+        listed AS (SELECT child, parent AS container FROM edges WHERE NOT child LIKE '%.credit'
+                   UNION SELECT object, 'namespace:' || r_name || '.' || n_name
+                         FROM sup JOIN place ON n_nationkey = s_suppkey % 25)
+        SELECT *, 'listed' AS missing_in FROM (SELECT child, parent AS container FROM edges EXCEPT SELECT * FROM listed)
+        UNION ALL
+        SELECT *, 'parents' FROM (SELECT * FROM listed EXCEPT SELECT child, parent FROM edges)""",
+    "role_capabilities": f"""WITH RECURSIVE {_TREE},
+        asked AS (SELECT usr AS subject, 'role:' || n_name AS object FROM cust
+                  UNION SELECT usr, 'role:' || r_name FROM cust),
+        holds AS (SELECT a.subject, a.object, bool_or(t.relation = 'ownership') AS owner
+                  FROM asked a JOIN holders h ON h.subject = a.subject
+                  JOIN role_tuples t ON t.object = a.object AND t.subject = h.holder GROUP BY ALL)
+        SELECT a.subject, a.object, CASE WHEN owner THEN 'can_assume,can_change_ownership,can_delete,'
+                 || 'can_grant_assignee,can_update' WHEN owner IS NOT NULL THEN 'can_assume' ELSE '' END AS capabilities
+        FROM asked a LEFT JOIN holds USING (subject, object)""",
+    "split_lookup": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "upward_visibility": f"WITH RECURSIVE {_SEEN} SELECT DISTINCT holder, container FROM below",
     "column_grants": f"""WITH RECURSIVE {_HELD},
         direct AS (SELECT DISTINCT 'user:' || o_custkey AS subject,
-                          CASE WHEN l_returnflag = 'R' THEN 'select' ELSE 'mask' END AS relation, object,
-                          CASE WHEN l_returnflag = 'R' THEN 's_acctbal' ELSE 's_name' END AS name
-                   FROM bought JOIN sup ON l_suppkey = s_suppkey
-                   WHERE l_linestatus = 'O' AND l_returnflag IN ('R', 'A')),
+                          CASE WHEN l_returnflag = 'A' THEN 'mask' ELSE 'select' END AS relation, object,
+                          CASE l_returnflag WHEN 'R' THEN 's_acctbal' WHEN 'A' THEN 's_name' ELSE 's_nationkey' END
+                            AS name
+                   FROM bought JOIN sup ON l_suppkey = s_suppkey),
         cols(name) AS (VALUES ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal'))
         SELECT h.subject, 'column:' || substring(h.object, 7) || '.' || c.name AS object,
                h."select" OR s.subject IS NOT NULL AS "select", m.subject IS NOT NULL AS mask
@@ -216,6 +257,45 @@ ORACLE = {
         FROM req r LEFT JOIN granted g
           ON g.user_id = r.user_id AND g.operation = r.operation AND g.cat = r.cat AND g.sch = r.sch
          AND g.tab = r.tab AND g.asked IS NOT DISTINCT FROM r.asked""",
+    "operation_matrix": f"""WITH {_GRANTS},
+        need(operation, wanted, fixed) AS (VALUES {_NEED}),
+        names AS (SELECT operation, row_number() OVER (ORDER BY operation) - 1 AS number
+                  FROM (SELECT DISTINCT operation FROM need)),
+        firsts AS (SELECT o_custkey, min(l_suppkey) AS s FROM bought GROUP BY o_custkey),
+        req AS (SELECT o_custkey, 'c' || o_custkey AS user_id, operation, (number + o_custkey) % 6 AS shape,
+                       r_name AS cat, n_name AS sch, s_name AS tab
+                FROM firsts JOIN supplier ON s_suppkey = s JOIN place ON s_nationkey = n_nationkey, names),
+        shaped AS (SELECT *, CASE WHEN shape IN (0, 1, 5) THEN 3 WHEN shape = 2 THEN 2 ELSE 1 END AS own,
+                          CASE shape WHEN 0 THEN ['s_name', 's_acctbal'] WHEN 5 THEN ['s_nationkey'] END AS asked
+                   FROM req),
+        checks AS (SELECT s.*, wanted, coalesce(fixed, own) AS depth FROM shaped s JOIN need USING (operation)
+                   WHERE coalesce(fixed, own) BETWEEN 1 AND own),
+        hit AS (SELECT c.o_custkey, c.operation, depth < 3 OR asked IS NULL OR whole AS free, cols, asked
+                FROM checks c JOIN priv p ON p.user_id = c.user_id AND p."catalog" = cat
+                 AND (p."schema" = '' OR (depth >= 2 AND p."schema" = sch))
+                 AND (p."table" = '' OR (depth >= 3 AND p."table" = tab))
+                 AND (wanted = 'ANY' OR privilege IN ('ALL', wanted))),
+        granted AS (SELECT o_custkey, operation,
+                           bool_or(free) OR list_has_all(flatten(list(cols)), any_value(asked)) AS yes
+                    FROM hit GROUP BY o_custkey, operation)
+        SELECT o_custkey, s.operation, CASE own WHEN 3 THEN 'table' WHEN 2 THEN 'schema' ELSE 'catalog' END AS level,
+               s.operation = 'ExecuteQuery' OR coalesce(g.yes, false)
+               OR (s.operation IN (SELECT operation FROM need WHERE fixed = 0)
+                   AND s.user_id IN (SELECT user_id FROM priv)) AS allowed
+        FROM shaped s LEFT JOIN granted g USING (o_custkey, operation)""",
+    "column_batches": f"""WITH {_GRANTS},
+        pairs AS (SELECT DISTINCT o_custkey, l_suppkey, r_name, n_name, s_name
+                  FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
+        cols("index", "column") AS (VALUES (0, 's_suppkey'), (1, 's_name'), (2, 's_nationkey'), (3, 's_acctbal')),
+        seen AS (SELECT o_custkey, l_suppkey, "index",
+                        coalesce(bool_or(whole OR list_contains(p.cols, "column")), false) AS allowed
+                 FROM pairs CROSS JOIN cols LEFT JOIN priv p
+                   ON p.user_id = 'c' || o_custkey AND p."catalog" = r_name
+                  AND (p."schema" = '' OR (p."schema" = n_name AND (p."table" = '' OR p."table" = s_name)))
+                  AND privilege IN ('ALL', 'SELECT_TABLE', 'SHOW_COLUMNS') GROUP BY ALL)
+        SELECT o_custkey, l_suppkey,
+               coalesce(string_agg("index", ',' ORDER BY "index") FILTER (allowed), '') AS indices
+        FROM seen GROUP BY o_custkey, l_suppkey""",
     "visible_tables": f"""WITH {_GRANTS},
         pairs AS (SELECT DISTINCT o_custkey, l_suppkey, r_name, n_name, s_name
                   FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
@@ -241,6 +321,11 @@ ORACLE = {
     "column_mask": """
         SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_acctbal, c_mktsegment
         FROM customer""",
+    "role_masks": """
+        SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_acctbal,
+               CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN substring(c_mktsegment, 1, 3) || '******'
+                    ELSE c_mktsegment END AS c_mktsegment, 'analyst_' || c_nationkey AS user_id
+        FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "secured_dataset": """
         SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_mktsegment
         FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0""",

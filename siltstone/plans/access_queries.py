@@ -52,6 +52,12 @@ def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_join(read(spark, sf_dir, "lineitem"), orders, ["l_orderkey"])
 
 
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customer, supplier, return flag and line status of all line items, joined once and written."""
+    return settle(_bought(spark, sf_dir).select("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct(),
+                  "traded").frame
+
+
 def parent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(child, parent)`` of tables, nested namespaces and namespaces."""
     tables = _suppliers(spark, sf_dir)
@@ -88,7 +94,7 @@ def _mapped(column: Column, mapping: dict[str, str]) -> Column:
                   F.when(column == next(iter(mapping)), mapping[next(iter(mapping))]))
 
 
-def relation_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relation_tuples(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """Role tuples, grants of customers on their nation and on tables they bought from, grants of region roles on
     their catalog, and the managed namespaces."""
     nations = _regions(spark, sf_dir)
@@ -97,8 +103,7 @@ def relation_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user").alias("subject"), _mapped(F.col("c_mktsegment"), SEGMENT_RELATION).alias("relation"),
         outer.alias("object"))
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "object")
-    pairs = (_bought(spark, sf_dir).where(F.col("l_linestatus") == "F")
-             .select("o_custkey", "l_suppkey", "l_returnflag").distinct())
+    pairs = traded.select("o_custkey", "l_suppkey", "l_returnflag").distinct()
     by_line = lookup_join(pairs, tables, ["l_suppkey"]).select(
         F.concat(F.lit("user:"), "o_custkey").alias("subject"),
         _mapped(F.col("l_returnflag"), LINE_RELATION).alias("relation"), "object")
@@ -110,10 +115,10 @@ def relation_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [role_tuples(spark, sf_dir), by_segment, by_line, by_role, managed])
 
 
-def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def targets(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """Every table a customer bought from, and the customer's own namespace and catalog."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "object")
-    pairs = _bought(spark, sf_dir).select("o_custkey", "l_suppkey").distinct()
+    pairs = traded.select("o_custkey", "l_suppkey").distinct()
     bought = lookup_join(pairs, tables, ["l_suppkey"]).select(F.concat(F.lit("user:"), "o_custkey").alias("subject"),
                                                               "object")
     own = _customers(spark, sf_dir).select(
@@ -128,20 +133,22 @@ def role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_members(role_tuples(spark, sf_dir)).frame
 
 
-def _model(spark: SparkSession, sf_dir: str) -> relations.Model:
-    return relations.prepare(settle(relation_tuples(spark, sf_dir), "tuples").frame,
+def _model(spark: SparkSession, sf_dir: str, traded: DataFrame) -> relations.Model:
+    return relations.prepare(settle(relation_tuples(spark, sf_dir, traded), "tuples").frame,
                              settle(parent_edges(spark, sf_dir), "edges").frame)
 
 
 def effective_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each customer holds on each target, directly, through roles and from containers."""
-    held = relations.held_relations(targets(spark, sf_dir), _model(spark, sf_dir))
+    traded = _traded(spark, sf_dir)
+    held = relations.held_relations(targets(spark, sf_dir, traded), _model(spark, sf_dir, traded))
     return held.select("subject", "object", "create", "describe", "modify", "select", "ownership", "pass_grants")
 
 
 def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who may pass on what: managed access takes the right from owners below a managed namespace."""
-    held = relations.held_relations(targets(spark, sf_dir), _model(spark, sf_dir))
+    traded = _traded(spark, sf_dir)
+    held = relations.held_relations(targets(spark, sf_dir, traded), _model(spark, sf_dir, traded))
     names = F.filter("capabilities", lambda c: c.startswith("can_grant_") | c.isin("can_read_assignments",
                                                                                  "can_change_ownership"))
     return (relations.capabilities(held).select("subject", "object", "manage_grants",
@@ -150,7 +157,8 @@ def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def object_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All capabilities of each customer on each target, containers seen through children included."""
-    wanted, model = settle(targets(spark, sf_dir), "asked").frame, _model(spark, sf_dir)
+    traded = _traded(spark, sf_dir)
+    wanted, model = settle(targets(spark, sf_dir, traded), "asked").frame, _model(spark, sf_dir, traded)
     listed = model.parents.withColumnRenamed("parent", "container")
     seen = relations.seen_targets(wanted, model, listed)
     able = relations.capabilities(relations.held_relations(wanted, model), seen)
@@ -159,10 +167,44 @@ def object_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upward_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers that users and roles see only because something inside is described."""
-    model = _model(spark, sf_dir)
+    model = _model(spark, sf_dir, _traded(spark, sf_dir))
     return relations.visible_containers(model, model.parents.withColumnRenamed("parent", "container"))
 
 
+def _listing(spark: SparkSession, sf_dir: str, parents: DataFrame) -> DataFrame:
+    """Listing edges that are not the parents: every table is listed by one more nation's namespace, and namespaces of
+    credit are listed nowhere."""
+    nations = _regions(spark, sf_dir)
+    places = nations.select(F.col("n_nationkey").cast("bigint").alias("n"),
+                            F.concat(F.lit("namespace:"), F.concat_ws(".", "r_name", "n_name")).alias("container"))
+    strays = (_suppliers(spark, sf_dir).select(F.col("object").alias("child"), (F.col("s_suppkey") % 25).alias("n"))
+              .join(places, "n").select("child", "container"))
+    mirrored = parents.where(~F.col("child").endswith(".credit")).select("child", F.col("parent").alias("container"))
+    return mirrored.unionByName(strays).distinct()
+
+
+def listing_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers seen through listings that differ from the parents."""
+    model = _model(spark, sf_dir, _traded(spark, sf_dir))
+    listed = settle(_listing(spark, sf_dir, model.parents), "listed").frame
+    return relations.visible_containers(model, listed)
+
+
+def listing_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that only the parents or only the listings have."""
+    parents = settle(parent_edges(spark, sf_dir), "edges").frame
+    return relations.listing_mismatches(parents, _listing(spark, sf_dir, parents))
+
+
+def role_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer may do with the roles of the own nation and region."""
+    model = _model(spark, sf_dir, _traded(spark, sf_dir))
+    roles = F.array(F.concat(F.lit("role:"), "n_name"), F.concat(F.lit("role:"), "r_name"))
+    asked = _customers(spark, sf_dir).select(F.col("user").alias("subject"), F.explode(roles).alias("object"))
+    able = relations.capabilities(relations.held_relations(asked, model))
+    return able.select("subject", "object", F.array_join("capabilities", ",").alias("capabilities"))
+
+
 SUPPLIER_COLUMNS = ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
 
 
@@ -174,20 +216,20 @@ def column_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every column of every table a customer bought from: may it be selected, by a grant on the column or on
     what is around it, and is it masked, by a grant on the column only."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "object")
-    bought = _bought(spark, sf_dir)
+    bought = _traded(spark, sf_dir)
     subject = F.concat(F.lit("user:"), "o_custkey").alias("subject")
     names = F.explode(F.array(*[F.lit(c) for c in SUPPLIER_COLUMNS])).alias("name")
     columns = tables.select("object", names).select(_column_object(F.col("name")).alias("child"),
                                                     F.col("object").alias("parent"))
-    open_lines = (bought.where((F.col("l_linestatus") == "O") & F.col("l_returnflag").isin("R", "A"))
-                  .select("o_custkey", "l_suppkey", "l_returnflag").distinct())
-    returned = F.col("l_returnflag") == "R"
-    direct = lookup_join(open_lines, tables, ["l_suppkey"]).select(
-        subject, F.when(returned, "select").otherwise("mask").alias("relation"),
-        _column_object(F.when(returned, "s_acctbal").otherwise("s_name")).alias("object"))
+    lines = bought.select("o_custkey", "l_suppkey", "l_returnflag").distinct()
+    flag = F.col("l_returnflag")
+    direct = lookup_join(lines, tables, ["l_suppkey"]).select(
+        subject, F.when(flag == "A", "mask").otherwise("select").alias("relation"),
+        _column_object(F.when(flag == "R", "s_acctbal").when(flag == "A", "s_name").otherwise("s_nationkey"))
+        .alias("object"))
     asked = (lookup_join(bought.select("o_custkey", "l_suppkey").distinct(), tables, ["l_suppkey"])
              .select(subject, "object", names).select("subject", _column_object(F.col("name")).alias("object")))
-    model = relations.prepare(settle(relation_tuples(spark, sf_dir).unionByName(direct), "tuples").frame,
+    model = relations.prepare(settle(relation_tuples(spark, sf_dir, bought).unionByName(direct), "tuples").frame,
                               settle(parent_edges(spark, sf_dir).unionByName(columns), "edges").frame)
     return relations.held_relations(asked, model).select("subject", "object", "select", "mask")
 
@@ -206,7 +248,7 @@ def _actions(column: Column, mapping: dict[str, list[str]]) -> Column:
     return reduce(lambda chain, item: chain.when(column == item[0], item[1]), rest, F.when(column == first[0], first[1]))
 
 
-def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relation_rows(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """Grant rows: by segment on the customer's schema; by line item on the supplier's table, for two columns where
     the line is closed; everything on the catalog for balances from 9900."""
     customer = read(spark, sf_dir, "customer")
@@ -216,7 +258,7 @@ def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.col("c_nationkey").cast("bigint").alias("object_id"),
                                  _actions(F.col("c_mktsegment"), SEGMENT_ACTIONS).alias("actions"), none)
     some = F.when(F.col("l_linestatus") == "F", F.array(F.lit("s_name"), F.lit("s_acctbal")))
-    by_line = (_bought(spark, sf_dir).select("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
+    by_line = (traded.select("o_custkey", "l_suppkey", "l_returnflag", "l_linestatus").distinct()
                .select(F.concat(F.lit("c"), "o_custkey").alias("user_id"), F.lit("table").alias("object_type"),
                        F.col("l_suppkey").alias("object_id"),
                        _actions(F.col("l_returnflag"), LINE_ACTIONS).alias("actions"), some.alias("columns")))
@@ -239,13 +281,13 @@ def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.objects(catalogs, schemas, tables)
 
 
-def named_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.named_grants(relation_rows(spark, sf_dir), named_objects(spark, sf_dir))
+def named_grants(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
+    return access.named_grants(relation_rows(spark, sf_dir, traded), named_objects(spark, sf_dir))
 
 
 def rbac_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Privileges per user and object, table-wide or by column."""
-    found = access.privilege_lookup(named_grants(spark, sf_dir))
+    found = access.privilege_lookup(named_grants(spark, sf_dir, _bought(spark, sf_dir)))
     return found.withColumn("columns", F.array_join(F.array_sort("columns"), ","))
 
 
@@ -254,10 +296,10 @@ PRIORITY_OPERATION = {"1-URGENT": "SelectFromColumns", "2-HIGH": "InsertIntoTabl
                       "4-NOT SPECIFIED": "ShowTables", "5-LOW": "ExecuteQuery"}
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, bought: DataFrame) -> DataFrame:
     """One access request per line item, its resource as JSON text."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
-    lines = lookup_join(_bought(spark, sf_dir), tables, ["l_suppkey"])
+    lines = lookup_join(bought, tables, ["l_suppkey"])
     operation = _mapped(F.col("o_orderpriority"), PRIORITY_OPERATION)
     # Returned lines ask in the system catalog or in the information schema, by line status.
     returned = F.col("l_returnflag") == "A"
@@ -277,7 +319,10 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every request."""
-    decided = access.decide(_requests(spark, sf_dir), named_grants(spark, sf_dir))
+    needed = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "o_custkey",
+              "o_orderpriority")
+    bought = settle(_bought(spark, sf_dir).select(*needed), "bought").frame
+    decided = access.decide(_requests(spark, sf_dir, bought), named_grants(spark, sf_dir, bought))
     return decided.select("l_orderkey", "l_linenumber", "l_partkey", "user_id", "operation",
                           F.col("resource.level").alias("level"), "allowed")
 
@@ -286,7 +331,8 @@ def visible_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer and supplier bought from, a FilterTables batch of the supplier's table, schema and catalog
     and the indices that are visible."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
-    pairs = _bought(spark, sf_dir).select("o_custkey", "l_suppkey").distinct()
+    traded = _traded(spark, sf_dir)
+    pairs = traded.select("o_custkey", "l_suppkey").distinct()
     none = F.lit(None).cast("string")
     no_columns = F.lit(None).cast("array<string>").alias("columns")
     levels = [("table", F.col("n_name"), F.col("s_name")), ("schema", F.col("n_name"), none), ("catalog", none, none)]
@@ -296,7 +342,7 @@ def visible_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = lookup_join(pairs, tables, ["l_suppkey"]).select(
         F.struct("o_custkey", "l_suppkey").alias("batch_id"), F.concat(F.lit("c"), "o_custkey").alias("user_id"),
         F.lit("FilterTables").alias("operation"), resources.alias("resources"))
-    visible = access.allowed_indices(batches, named_grants(spark, sf_dir))
+    visible = access.allowed_indices(batches, named_grants(spark, sf_dir, traded))
     return visible.select("batch_id.*", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",")
                           .alias("indices"))
 
@@ -304,17 +350,66 @@ def visible_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer and supplier bought from, the decision on every column of the supplier's table."""
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
-    pairs = _bought(spark, sf_dir).select("o_custkey", "l_suppkey").distinct()
+    traded = _traded(spark, sf_dir)
+    pairs = traded.select("o_custkey", "l_suppkey").distinct()
     resource = F.struct(F.lit("table").alias("level"), F.col("r_name").alias("catalog"),
                         F.col("n_name").alias("schema"), F.col("s_name").alias("table"),
                         F.array(*[F.lit(c) for c in SUPPLIER_COLUMNS]).alias("columns"))
     requests = lookup_join(pairs, tables, ["l_suppkey"]).select(
         F.col("l_suppkey").alias("request_id"), F.concat(F.lit("c"), "o_custkey").alias("user_id"),
         resource.alias("resource"))
-    decided = access.column_decisions(requests, named_grants(spark, sf_dir))
+    decided = access.column_decisions(requests, named_grants(spark, sf_dir, traded))
     return decided.withColumnRenamed("request_id", "s_suppkey")
 
 
+def column_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer and supplier bought from, a FilterColumns batch with all columns in one resource."""
+    tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
+    traded = _traded(spark, sf_dir)
+    resource = F.struct(F.lit("table").alias("level"), F.col("r_name").alias("catalog"),
+                        F.col("n_name").alias("schema"), F.col("s_name").alias("table"),
+                        F.array(*[F.lit(c) for c in SUPPLIER_COLUMNS]).alias("columns"))
+    batches = lookup_join(traded.select("o_custkey", "l_suppkey").distinct(), tables, ["l_suppkey"]).select(
+        F.struct("o_custkey", "l_suppkey").alias("batch_id"), F.concat(F.lit("c"), "o_custkey").alias("user_id"),
+        F.lit("FilterColumns").alias("operation"), F.array(resource).alias("resources"))
+    visible = access.allowed_indices(batches, named_grants(spark, sf_dir, traded))
+    return visible.select("batch_id.*", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",")
+                          .alias("indices"))
+
+
+def operation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every operation, asked by every customer about the first supplier bought from, in all six shapes of a resource:
+    the shape changes with operation and customer."""
+    traded = _traded(spark, sf_dir)
+    names = sorted({name for name, _, _ in access.OPERATIONS})
+    operations = F.posexplode(F.array(*[F.lit(n) for n in names])).alias("number", "operation")
+    tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
+    firsts = traded.groupBy("o_custkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    asked = lookup_join(firsts, tables, ["l_suppkey"]).select("*", operations)
+    shape = (F.col("number") + F.col("o_custkey")) % 6
+    cat, sch, tab = (F.col("r_name").alias("catalogName"), F.col("n_name").alias("schemaName"),
+                     F.col("s_name").alias("tableName"))
+    columns = F.array(F.lit("s_name"), F.lit("s_acctbal")).alias("columns")
+    shapes = [F.struct(F.struct(cat, sch, tab, columns).alias("table")), F.struct(cat, sch, tab),
+              F.struct(F.struct(cat, sch).alias("schema")), F.struct(F.struct(F.col("r_name").alias("name"))
+                                                                     .alias("catalog")),
+              F.struct(cat), F.struct(F.struct(cat, sch, tab, F.lit("s_nationkey").alias("column")).alias("table"))]
+    text = reduce(lambda chain, item: chain.when(shape == item[0], F.to_json(item[1])), list(enumerate(shapes))[1:],
+                  F.when(shape == 0, F.to_json(shapes[0])))
+    requests = access.with_resource(asked.select("o_custkey", F.concat(F.lit("c"), "o_custkey").alias("user_id"),
+                                                 "operation", text.alias("json")), "json")
+    decided = access.decide(requests, named_grants(spark, sf_dir, traded))
+    return decided.select("o_custkey", "operation", F.col("resource.level").alias("level"), "allowed")
+
+
+def split_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with their supplier's name by a shuffle join whose heavy keys are split."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    weights = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("weight"))
+    return lookup_join(lines, names, ["l_suppkey"], rows_per_task=200, weights=weights, broadcast=False)
+
+
 # -- rows and masks -----------------------------------------------------------------------------------------------
 
 PLACE = ("lake", "crm", "customer")
@@ -346,6 +441,22 @@ def column_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secure.mask_columns(read(spark, sf_dir, "customer"), _policies(spark, sf_dir).masks, "analyst_7", PLACE)
 
 
+def role_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the analyst of their nation sees them; masks are held by the region's role and name their columns in
+    any case."""
+    nations = _regions(spark, sf_dir)
+    role = F.concat(F.lit("role:"), "r_name")
+    members = role_members(nations.select(F.concat(F.lit("user:analyst_"), "n_nationkey").alias("subject"),
+                                          F.lit("assignee").alias("relation"), role.alias("object"))).frame
+    named = F.explode(F.when(F.col("r_name").isin("ASIA", "EUROPE"), F.array(F.lit("C_NAME"), F.lit("c_MktSegment")))
+                      .otherwise(F.array(F.lit("C_Name")))).alias("column")
+    masks = nations.select("r_name").distinct().select(
+        F.concat(role, F.lit("#assignee")).alias("user_id"), F.lit(PLACE[0]).alias("catalog"),
+        F.lit(PLACE[1]).alias("schema"), F.lit(PLACE[2]).alias("table"), named)
+    rows = read(spark, sf_dir, "customer").withColumn("user_id", F.concat(F.lit("analyst_"), "c_nationkey"))
+    return secure.mask_for_users(rows, "user_id", secure.held_by_members(masks, members), PLACE)
+
+
 def secured_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as one analyst may see them."""
     return secure.secured(read(spark, sf_dir, "customer"), "analyst_7", PLACE, _policies(spark, sf_dir))
@@ -388,15 +499,16 @@ def grant_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grant_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item tuples granted, then those of returned lines revoked."""
-    lines = _bought(spark, sf_dir)
+    lines = _traded(spark, sf_dir)
     tuples = lambda rows, name: rows.select(
         F.concat(F.lit("user:"), "o_custkey").alias("subject"), F.lit(name).alias("relation"),
         F.concat(F.lit("table:"), "l_suppkey").alias("object"))
-    held = grants.grant(tuples(lines, "select"), tuples(lines.where("l_returnflag = 'N'"), "describe"))
+    held = grants.grant(tuples(lines, "select").distinct(), tuples(lines.where("l_returnflag = 'N'"), "describe"))
     return grants.revoke(held, tuples(lines.where("l_returnflag = 'R'"), "select"))
 
 
 QUERIES = {f.__name__: f for f in (
-    role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, column_grants, rbac_lookup, decisions,
-    visible_tables, visible_columns, row_filter, column_mask, secured_dataset, grant_checks, grant_updates,
-    grant_revoke)}
+    role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
+    listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, visible_tables,
+    visible_columns, column_batches, split_lookup, row_filter, column_mask, role_masks, secured_dataset, grant_checks,
+    grant_updates, grant_revoke)}

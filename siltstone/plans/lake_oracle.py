@@ -63,7 +63,47 @@ _UNIQUE = " UNION ALL ".join(
 
 _VALUE = "CASE WHEN event_type NOT IN ('click', 'signup') THEN value END"
 
+_TRIPS = """
+SELECT l_linenumber AS vendor, l_shipdate AS pickup, CASE WHEN l_returnflag <> 'R' THEN l_shipdate END AS dropoff,
+       l_quantity AS passengers, l_extendedprice AS price, l_suppkey AS rate, l_returnflag AS flag, l_orderkey AS pu,
+       l_partkey AS dol, CASE WHEN l_linestatus <> 'O' THEN l_linenumber END AS payment, l_discount AS extra,
+       l_tax AS tax FROM lineitem
+"""
+
 ORACLE = {
+    "silver_trips": f"""
+        SELECT CAST(vendor AS INTEGER) AS vendor_id, CAST(pickup AS TIMESTAMP) AS pickup_ts,
+               CAST(dropoff AS TIMESTAMP) AS dropoff_ts, passengers AS passenger_count, price AS trip_distance,
+               CAST(rate AS INTEGER) AS ratecodeid, flag AS store_and_fwd_flag, CAST(pu AS INTEGER) AS pulocationid,
+               CAST(dol AS INTEGER) AS dolocationid, CAST(payment AS INTEGER) AS payment_type, price AS fare_amount,
+               extra, tax AS mta_tax, CAST(0.5 AS DOUBLE) AS tip_amount, CAST(NULL AS DOUBLE) AS tolls_amount,
+               CAST(1 AS DOUBLE) AS improvement_surcharge, price AS total_amount,
+               CAST(2.5 AS DOUBLE) AS congestion_surcharge, CAST(pickup AS DATE) AS pickup_date, true AS stamped
+        FROM ({_TRIPS})""",
+    "stream_trips": f"""
+        SELECT CAST(vendor AS INTEGER) AS "VendorID", CAST(pickup AS TIMESTAMP) AS tpep_pickup_datetime,
+               CAST(dropoff AS TIMESTAMP) AS tpep_dropoff_datetime, CAST(trunc(passengers) AS INTEGER)
+                 AS passenger_count, price AS trip_distance, CAST(rate AS INTEGER) AS "RatecodeID",
+               flag AS store_and_fwd_flag, CAST(pu AS INTEGER) AS "PULocationID",
+               CAST(dol AS INTEGER) AS "DOLocationID", CAST(payment AS INTEGER) AS payment_type, price AS fare_amount,
+               extra, tax AS mta_tax, CAST(0.5 AS DOUBLE) AS tip_amount, CAST(NULL AS DOUBLE) AS tolls_amount,
+               CAST(1 AS DOUBLE) AS improvement_surcharge, price AS total_amount,
+               CAST(2.5 AS DOUBLE) AS congestion_surcharge, true AS stamped
+        FROM ({_TRIPS})""",
+    "late_landing": """
+        SELECT 'supplier' AS table_name, s_suppkey AS id, s_name AS label FROM supplier
+        UNION ALL SELECT 'part', p_partkey, p_name FROM part
+        UNION ALL SELECT 'nowhere', count(*), 'no landing order' FROM supplier""",
+    "catalog_listing": _listing(
+        "SELECT '{table}' AS table_name, count(*) AS row_count, '{columns}' AS columns FROM {table}",
+        ["customer", "events", "orders"]),
+    "pages_of_lines": """
+        SELECT * EXCLUDE (position), CAST(position // 500 + 1 AS INTEGER) AS page
+        FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+                l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS position
+              FROM lineitem)
+        WHERE position // 500 + 1 IN (1, 2, 3, 7, 41, 120, 333)""",
+    "page_untidy": "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders",
     "csv_string_scan": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
                CAST(o_totalprice AS VARCHAR) AS o_totalprice,
@@ -95,7 +135,9 @@ ORACLE = {
                CAST(date_trunc('day', ts) AS TIMESTAMP) AS event_date, value AS uptime FROM events""",
     "upload_csv": """
         SELECT event_id, date_trunc('second', ts) AS event_datetime, user_id AS col_2nd_user, event_type AS type,
-               CASE WHEN event_type <> 'error' THEN value END AS value_usd, props FROM events""",
+               CASE WHEN event_type <> 'error' THEN value END AS value_usd, props,
+               CAST(event_id % 40 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN 'D' ELSE 'f' END AS seat_code
+        FROM events""",
     "upload_event": _listing(
         "SELECT 'csv_uploaded' AS event_type, '{table}' AS table_name, '{table}.csv' AS filename, "
         "count(*) AS rows_count, '{columns}' AS columns, '/api/data/{table}' AS api_endpoint FROM {table}",

@@ -83,6 +83,34 @@ def silver_typed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.typed(text, LINE_SPEC, "ship_ts", "ship_date", "timestamp_ntz")
 
 
+def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in the columns of landed trips, every value text, some of it unusable."""
+    lines = read(spark, sf_dir, "lineitem")
+    day = _seconds_text("l_shipdate")
+    text = lambda name: F.col(name).cast("string")
+    values = {
+        "vendorid": text("l_linenumber"), "tpep_pickup_datetime": day,
+        "tpep_dropoff_datetime": F.when(F.col("l_returnflag") == "R", "unknown").otherwise(day),
+        "passenger_count": text("l_quantity"), "trip_distance": text("l_extendedprice"),
+        "ratecodeid": F.concat(text("l_suppkey"), F.lit(".0")), "store_and_fwd_flag": F.col("l_returnflag"),
+        "pulocationid": text("l_orderkey"), "dolocationid": text("l_partkey"),
+        "payment_type": F.when(F.col("l_linestatus") == "O", "cash").otherwise(text("l_linenumber")),
+        "fare_amount": text("l_extendedprice"), "extra": text("l_discount"), "mta_tax": text("l_tax"),
+        "tip_amount": F.lit("0.5"), "tolls_amount": F.lit(None).cast("string"), "improvement_surcharge": F.lit("1"),
+        "total_amount": text("l_extendedprice"), "congestion_surcharge": F.lit("2.5")}
+    return lines.select(*[value.alias(name) for name, value in values.items()])
+
+
+def silver_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips landed as text, typed in all 18 columns, stamped, and appended to the date-partitioned silver table."""
+    root, table = fresh_dir(spark, "raw-trips"), f"{fresh_namespace(spark, 'silver')}.trips"
+    layers.land(_trips(spark, sf_dir), root, "20240131")
+    layers.silver_trips(spark, root, table, "20240131", replace_partitions=True)
+    rows = spark.table(table)
+    return (rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("pickup_ts", "dropoff_ts")})
+            .withColumn("stamped", F.col("ingested_at").isNotNull()).drop("ingested_at"))
+
+
 def _bronze_stats(orders: DataFrame) -> DataFrame:
     """Orders in the shape of the statistics; open orders have no value yet, high priority ones a bad period."""
     bad = F.col("o_orderpriority") == "2-HIGH"
@@ -156,6 +184,9 @@ def upload_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     shaped = events.withColumn("ts", _seconds_text("ts")).withColumn(
         "value", F.when(F.col("event_type") == "error", "N/A").otherwise(F.col("value").cast("string")))
+    # A code that Java would read as a number.
+    shaped = shaped.withColumn("Seat Code", F.concat((F.col("event_id") % 40).cast("string"),
+                                                     F.when(F.col("event_id") % 2 == 0, "D").otherwise("f")))
     shaped.withColumnsRenamed(UPLOAD_HEADERS).write.option("header", True).option("escape", '"').csv(path)
     uploads.load_upload(spark, path, space, "2024 events.csv")
     return spark.table(f"{space}.table_2024_events")
@@ -191,6 +222,35 @@ def event_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.col("c_name").alias("label"), F.col("c_acctbal").alias("amount"))))
 
 
+def late_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event of a table that does not exist yet comes first; the table is landed when a later event is handled, and
+    the event of a table without a landing order stays parked."""
+    space, base = fresh_namespace(spark, "source"), fresh_dir(spark, "late")
+    suppliers, parts = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+
+    def tell(df: DataFrame, name: str) -> None:
+        uploads.publish(uploads.upload_event(df, name, f"{name}.csv"), {"path": f"{base}/events"}, "text")
+
+    def handle() -> None:
+        uploads.start_landing(spark.readStream.text(f"{base}/events"), space,
+                              {"supplier": ["s_suppkey"], "part": ["p_partkey"]}, f"{base}/work", f"{base}/raw",
+                              f"{base}/checkpoint", date="20240131", available_now=True).awaitTermination()
+
+    tell(suppliers, "supplier")
+    tell(suppliers, "nowhere")
+    handle()
+    for name, df in (("supplier", suppliers), ("part", parts)):
+        tables.append_or_create(df, f"{space}.{name}")
+    tell(parts, "part")
+    handle()
+    landed = [files.landed(spark, f"{base}/raw/{name}", "20240131")
+              .select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.col(label).alias("label"))
+              for name, key, label in (("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))]
+    waiting = uploads.parked_events(spark, f"{base}/work/parked").select(
+        F.col("table_name"), F.col("rows_count").alias("id"), F.col("reason").alias("label"))
+    return reduce(DataFrame.unionByName, [*landed, waiting])
+
+
 # -- catalog listing and paging -----------------------------------------------------------------------------------
 
 def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +259,15 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("columns", F.array_join("columns", ",")))
 
 
+def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name, row count and columns of the tables of a namespace, one of which has been dropped."""
+    space = fresh_namespace(spark, "listing")
+    for name in ("customer", "events", "orders", "region"):
+        tables.append_or_create(read(spark, sf_dir, name), f"{space}.{name}")
+    tables.drop(spark, f"{space}.region")
+    return tables.list_tables(spark, space).withColumn("columns", F.array_join("columns", ","))
+
+
 def source_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readiness row of the line item table."""
     space = fresh_namespace(spark, "source")
@@ -211,6 +280,11 @@ def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.page(read(spark, sf_dir, "orders"), ["o_orderkey"], 3, 100)
 
 
+def pages_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several pages of line items by a key that repeats, near the start and far behind."""
+    return paging.pages(read(spark, sf_dir, "lineitem"), ["l_orderkey"], [1, 2, 3, 7, 41, 120, 333], 500)
+
+
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the same page."""
     return paging.page_facts(read(spark, sf_dir, "orders"), 3, 100)
@@ -234,6 +308,21 @@ def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.page_rows(found)
 
 
+UNTIDY = {"o_orderkey": "order key", "o_totalprice": "Value (USD)", "o_orderstatus": "status<code>: `x`"}
+
+
+def page_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with blanks, brackets and quotes in their column names, through envelopes and back."""
+    orders = read(spark, sf_dir, "orders").select(*UNTIDY)
+    path = fresh_dir(spark, "envelopes")
+    named = orders.withColumnsRenamed(UNTIDY)
+    (paging.envelopes(named, "orders", ["order key"], 100).select(F.to_json(F.struct("*")).alias("value"))
+     .write.text(path))
+    found = envelopes.read_envelopes(spark, path, named.schema)
+    envelopes.require_complete(found)
+    return envelopes.page_rows(found).withColumnsRenamed({new: old for old, new in UNTIDY.items()})
+
+
 def page_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and rows announced and found, for line items at 1000 rows a page."""
     return envelopes.completeness(paging.envelopes(read(spark, sf_dir, "lineitem"), "lineitem",
@@ -319,6 +408,20 @@ def stream_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copied.withColumn("stamped", F.col(messages.ARRIVAL).isNotNull()).drop(messages.ARRIVAL)
 
 
+# Trip columns that a message names in another way than the landed file.
+TRIP_NAMES = {"vendorid": "VendorID", "ratecodeid": "RatecodeID", "pulocationid": "PULocationID",
+              "dolocationid": "DOLocationID"}
+
+
+def stream_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips as messages, all 18 fields decoded and appended by a stream."""
+    path = fresh_dir(spark, "trip-messages")
+    trips = _trips(spark, sf_dir).withColumnsRenamed(TRIP_NAMES)
+    trips.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    copied = _streamed(spark, messages.trips_stream(spark.readStream.text(path)))
+    return copied.withColumn("stamped", F.col(messages.ARRIVAL).isNotNull()).drop(messages.ARRIVAL)
+
+
 def stream_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoiled messages: cut ones dropped, bad and missing fields NULL."""
     source = spark.readStream.text(_event_messages(spark, sf_dir, spoil=True))
@@ -341,7 +444,8 @@ def not_null_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_string_scan, landing_by_date, bronze_load, silver_events, silver_typed_lines, silver_stats, gold_copy,
-    insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, table_listing,
-    source_readiness, page_fetch, page_meta, page_numbers, page_explode, page_completeness, total_check,
-    orphan_report, unique_checks, stream_copy, stream_tolerant, stream_by_type, not_null_drop)}
+    csv_string_scan, landing_by_date, bronze_load, silver_events, silver_trips, silver_typed_lines, silver_stats,
+    gold_copy, insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, late_landing,
+    table_listing, catalog_listing, source_readiness, page_fetch, pages_of_lines, page_meta, page_numbers, page_explode,
+    page_untidy, page_completeness, total_check, orphan_report, unique_checks, stream_copy, stream_trips,
+    stream_tolerant, stream_by_type, not_null_drop)}

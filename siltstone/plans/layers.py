@@ -72,8 +72,7 @@ def stamped(df: DataFrame) -> DataFrame:
 def load_dated(df: DataFrame, table: str, date_column: str, replace_partitions: bool = False,
                fmt: str = tables.PARQUET) -> None:
     """Append to a table partitioned by ``date_column``, creating it from the schema of ``df`` if absent."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    tables.create_declared(df.sparkSession, table, columns, date_column, fmt)
+    tables.create_declared(df.sparkSession, table, tables.declaration(df.schema), date_column, fmt)
     tables.append(df, table, replace_partitions)
 
 

@@ -60,8 +60,15 @@ def work_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{context.applicationId}"
 
 
+# Namespaces that point into the work folder, by application.
+_namespaces: dict[str, list[str]] = {}
+
+
 def clear_work(spark: SparkSession) -> None:
-    """Remove this application's folder; for the end of a job, when no frame or table in it is needed any more."""
+    """Drop this application's work namespaces and remove its folder; for the end of a job, when no frame or table in it
+    is needed any more."""
+    for name in _namespaces.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP NAMESPACE IF EXISTS {name} CASCADE")
     path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -74,10 +81,17 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 def fresh_namespace(spark: SparkSession, label: str) -> str:
     """A new, empty namespace of the session catalog kept in the shared folder."""
     name = f"{label}_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name} LOCATION '{fresh_dir(spark, name)}'")
+    place = quoted(fresh_dir(spark, name))
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name} LOCATION {place}")
+    _namespaces.setdefault(spark.sparkContext.applicationId, []).append(name)
     return name
 
 
+def quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Settled:
     """A frame written to the shared folder, with its measured rows and bytes."""
@@ -95,7 +109,7 @@ def row_bytes(df: DataFrame) -> Column:
     """Width of a row: the length of text, the JSON length of nested values, eight for anything else."""
     width = F.lit(0).cast("bigint")
     for field in df.schema.fields:
-        value = F.col(f"`{field.name}`")
+        value = F.col("`" + field.name.replace("`", "``") + "`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(value), F.lit(0))
         elif isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):

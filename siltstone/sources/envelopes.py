@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGINATION = ("struct<page: int, page_size: int, total_records: bigint, total_pages: int, "
-              "has_next: boolean, has_previous: boolean>")
+PAGINATION = (T.StructType().add("page", "integer").add("page_size", "integer").add("total_records", "long")
+              .add("total_pages", "integer").add("has_next", "boolean").add("has_previous", "boolean"))
 
 
 def read_envelopes(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
     """Envelopes from JSON lines, rows typed as ``row``. All pages are read in one job."""
-    schema = (f"status string, table_name string, pagination {PAGINATION}, "
-              f"data array<{row.simpleString()}>, timestamp string")
+    schema = (T.StructType().add("status", "string").add("table_name", "string").add("pagination", PAGINATION)
+              .add("data", T.ArrayType(row)).add("timestamp", "string"))
     return spark.read.schema(schema).json(path)
 
 
@@ -37,6 +37,7 @@ def completeness(pages: DataFrame) -> DataFrame:
 
 def require_complete(pages: DataFrame) -> None:
     """Fail if a page or row is missing from any table."""
-    missing = completeness(pages).where("NOT complete").select("table_name").take(10)
-    if missing:
-        raise ValueError(f"incomplete pages for: {', '.join(sorted(row.table_name for row in missing))}")
+    lacking = completeness(pages).where("NOT complete")
+    found = lacking.agg(F.count(F.lit(1)).alias("tables"), F.min("table_name").alias("first")).first()
+    if found["tables"]:
+        raise ValueError(f"incomplete pages for {found['tables']} tables, the first of them {found['first']}")

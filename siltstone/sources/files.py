@@ -17,6 +17,11 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
            "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+# A number as text; Java's own suffixes for types are no part of it.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
 def csv_strings(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Header CSV with every column text."""
     return spark.read.options(header=True, **options).csv(path)
@@ -58,19 +63,19 @@ def infer_types(df: DataFrame) -> DataFrame:
         tests += [
             F.count(value).alias(f"{name}|filled"),
             F.count(F.when(value.isNull(), 1)).alias(f"{name}|gaps"),
-            F.count(F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), value.try_cast("bigint"))).alias(f"{name}|whole"),
-            F.count(value.try_cast("double")).alias(f"{name}|number"),
+            F.count(F.when(value.rlike(WHOLE), value.try_cast("bigint"))).alias(f"{name}|whole"),
+            F.count(F.when(value.rlike(NUMBER), value.try_cast("double"))).alias(f"{name}|number"),
             F.count(F.when(F.lower(value).isin("true", "false"), 1)).alias(f"{name}|truth"),
         ]
     found = df.agg(*tests).first().asDict()
     return df.select(*[_inferred(name, found).alias(name) for name in df.columns])
 
 
-def upload(spark: SparkSession, path: str, filename: str | None = None, line_breaks: bool = True) -> DataFrame:
+def upload(spark: SparkSession, path: str, filename: str | None = None, line_breaks: bool = False) -> DataFrame:
     """An uploaded CSV: types inferred, date and time columns parsed, headers cleaned.
 
-    A name that does not end in ``.csv`` and a file without rows are errors. Quoted cells may hold line breaks, which
-    keeps each file in one task; ``line_breaks=False`` lets Spark split large files that have none.
+    A name that does not end in ``.csv`` and a file without rows are errors. Large files are split over tasks; with
+    ``line_breaks`` quoted cells may hold line breaks, and then each file is read by one task.
     """
     if not (filename or posixpath.basename(path)).endswith(".csv"):
         raise ValueError("only CSV files are supported")

@@ -78,8 +78,7 @@ def start_append(df: DataFrame, table: str, checkpoint: str, available_now: bool
                  fmt: str = tables.PARQUET) -> StreamingQuery:
     """Append the stream to ``table``, which is created from the stream's schema if absent. Each micro-batch is
     committed once; a restart on the same checkpoint adds nothing twice."""
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    tables.create_declared(df.sparkSession, table, columns, fmt=fmt)
+    tables.create_declared(df.sparkSession, table, tables.declaration(df.schema), fmt=fmt)
     return _writer(df, checkpoint, available_now).format(fmt).toTable(table)
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.functions.names import table_name_for
 from siltstone.operators import paging, tables
 from siltstone.plans.layers import land
+from siltstone.session import settle
 from siltstone.sources.envelopes import page_rows, read_envelopes, require_complete
 from siltstone.sources.files import process_date, upload
 from siltstone.streaming.messages import decode, start_batches
@@ -23,9 +25,11 @@ UPLOAD_EVENT = ("event_type string, table_name string, filename string, rows_cou
                 "timestamp string, api_endpoint string")
 
 
-def upload_event(loaded: DataFrame, table: str, filename: str) -> DataFrame:
-    """One event row that describes loaded rows."""
-    return loaded.agg(F.count(F.lit(1)).alias("rows_count")).select(
+def upload_event(loaded: DataFrame, table: str, filename: str, rows: int | None = None) -> DataFrame:
+    """One event row that describes loaded rows; they are counted unless ``rows`` says how many there are."""
+    counted = (loaded.agg(F.count(F.lit(1)).alias("rows_count")) if rows is None else
+               loaded.sparkSession.range(1).select(F.lit(rows).cast("bigint").alias("rows_count")))
+    return counted.select(
         F.lit(UPLOADED).alias("event_type"), F.lit(table).alias("table_name"), F.lit(filename).alias("filename"),
         "rows_count", F.array(*[F.lit(c) for c in loaded.columns]).alias("columns"),
         F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
@@ -53,8 +57,9 @@ def load_upload(spark: SparkSession, path: str, namespace: str, filename: str, t
     """Load an uploaded CSV into its table and publish the event. Returns the event row."""
     rows = upload(spark, path, filename)
     table = table_name_for(filename, table_name)
-    tables.append_or_create(rows, f"{namespace}.{table}")
-    event = upload_event(rows, table, filename)
+    seen = Observation()
+    tables.append_or_create(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{namespace}.{table}")
+    event = upload_event(rows, table, filename, seen.get["rows"])
     if events is not None:
         publish(event, events, events_fmt)
     return event
@@ -80,30 +85,72 @@ def land_table(spark: SparkSession, namespace: str, table: str, order_by: list[s
     return land(page_rows(pages), f"{root}/{table}", date)
 
 
+def _parked(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """Events that no batch could land yet: the last state written, or the last before a batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    found = [int(f.getPath().getName().rpartition("-")[2]) for f in files.listStatus(path)]
+    states = [n for n in found if before is None or n < before]
+    return spark.read.schema(PARKED).parquet(f"{folder}/state-{max(states)}") if states else None
+
+
+# Upload events as they are parked, with why.
+PARKED = UPLOAD_EVENT + ", reason string"
+
+
+def parked_events(spark: SparkSession, parked: str) -> DataFrame:
+    """Upload events that still wait: for a table that does not exist, or that has no landing order."""
+    found = _parked(spark, parked)
+    return spark.createDataFrame([], PARKED) if found is None else found
+
+
+def land_events(events: DataFrame, namespace: str, order_by: dict[str, list[str]], work: str, root: str, day: str,
+                default_table: str | None = None) -> DataFrame:
+    """Land each table named by ``events`` once; returns the events that could not be, with the reason.
+
+    Only an absent table parks its events; any other failure is raised.
+    """
+    spark = events.sparkSession
+    named = F.coalesce("table_name", F.lit(default_table))
+    known = F.coalesce(named.isin(list(order_by)), F.lit(False))
+    # One job per table, so at most one row per entry of order_by.
+    absent = []
+    for row in events.where(known).select(named.alias("table_name")).distinct().collect():
+        table = row["table_name"]
+        try:
+            land_table(spark, namespace, table, order_by[table], work, root, day)
+        except tables.AbsentTable as error:
+            logger.warning("upload event parked: %s", error)
+            absent.append(table)
+    reason = F.when(~known, "no landing order").when(named.isin(absent), "table absent")
+    return events.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
 def start_landing(messages: DataFrame, namespace: str, order_by: dict[str, list[str]], work: str, root: str,
                   checkpoint: str, default_table: str | None = None, date: str | None = None,
-                  available_now: bool = False) -> StreamingQuery:
+                  available_now: bool = False, parked: str | None = None) -> StreamingQuery:
     """Land a table whenever its upload event arrives.
 
     Several events for one table in a micro-batch land it once. The landing folder is replaced as a whole, so a
-    repeated batch changes nothing. Events without a table name stand for ``default_table``. An event whose table has
-    no entry in ``order_by`` or does not exist is logged and passed over, so that it does not block later ones; any
-    other failure fails the batch.
+    repeated batch changes nothing. Events without a table name stand for ``default_table``. An event whose table does not
+    exist yet, or has no entry in ``order_by``, is parked under ``parked`` (by default beside the work folder) and tried
+    again with every later batch, so that none is lost and none blocks others; any other failure fails the batch. The
+    parked state is written per batch, and a repeated batch starts from the state before it.
     """
-    day = process_date(date)
+    day, folder = process_date(date), parked or f"{work}/parked"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        named = batch.select(F.coalesce("table_name", F.lit(default_table)).alias("table_name")).distinct()
-        known = F.coalesce(F.col("table_name").isin(list(order_by)), F.lit(False))
-        for row in named.where(~known).limit(20).collect():
-            logger.error("upload event for an unknown table: %s", row["table_name"])
-        # One job per table, so at most one row per entry of order_by.
-        for row in named.where(known).collect():
-            table = row["table_name"]
-            try:
-                land_table(spark, namespace, table, order_by[table], f"{work}/batch-{batch_id}", root, day)
-            except LookupError as error:
-                logger.error("upload event passed over: %s", error)
+        fields = [f.name for f in T.StructType.fromDDL(UPLOAD_EVENT).fields]
+        events = batch.select(*fields)
+        waiting = _parked(spark, folder, batch_id)
+        if waiting is not None:
+            events = events.unionByName(waiting.select(*fields))
+        # Decoded once; the landing below asks twice.
+        events = settle(events.distinct(), "upload-events").frame
+        left = land_events(events, namespace, order_by, f"{work}/batch-{batch_id}", root, day, default_table)
+        left.write.mode("overwrite").parquet(f"{folder}/state-{batch_id}")
 
     return start_batches(uploads(messages), handle, checkpoint, available_now)
