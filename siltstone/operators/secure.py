@@ -76,7 +76,10 @@ def filter_rows(df: DataFrame, row_filters: DataFrame, user: str, place: tuple[s
     """Keep rows that satisfy every filter of the user; a filter that is NULL for a row drops it. An unreadable
     policy table fails here instead of letting all rows through."""
     rules = [F.expr(expression) for expression in _for_user(row_filters, user, place, "filter_expression")]
-    return df.where(reduce(lambda a, b: a & b, rules)) if rules else df
+    while len(rules) > 1:
+        # Pairwise, so that many filters make a shallow expression.
+        rules = [reduce(lambda a, b: a & b, rules[i:i + 2]) for i in range(0, len(rules), 2)]
+    return df.where(rules[0]) if rules else df
 
 
 def _case(df: DataFrame):

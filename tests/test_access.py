@@ -58,11 +58,23 @@ def test_decisions_do_not_depend_on_the_join_strategy(spark, given, monkeypatch)
              ("zoe", "SelectFromColumns", TABLE % "", False), ("zoe", "ShowCatalogs", "{}", False)] * 5
     monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
     monkeypatch.setattr(joins, "ROWS_PER_TASK", 2)
-    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 1)
     found = decide(spark, given, cases)
     assert [found[i] for i in range(len(cases))] == [c[3] for c in cases]
 
 
+def test_what_is_allowed_anyway_never_meets_the_grants(spark, given, monkeypatch):
+    from siltstone.operators import joins
+    seen = []
+    real = joins.salted_join
+    monkeypatch.setattr(access, "lookup_join", lambda left, *a, **k: (seen.append(left), joins.lookup_join(left, *a, **k))[1])
+    cases = [("svc", "ExecuteQuery", "{}", True)] * 300 + [("zoe", "SelectFromColumns", TABLE % "", False)]
+    found = decide(spark, given, cases)
+    assert [found[i] for i in range(len(cases))] == [c[3] for c in cases]
+    asked = [df for df in seen if "request_id" in df.columns or "operation" in df.columns]
+    assert asked and all(df.where("operation = 'ExecuteQuery'").count() == 0 for df in asked if "operation" in df.columns)
+    assert real is joins.salted_join
+
+
 def test_operations_name_known_privileges():
     assert {wanted for _, wanted, _ in access.OPERATIONS} <= {*access.PRIVILEGES, access.ANY}
     assert {level for _, _, level in access.OPERATIONS} <= {*access.DEPTHS, "resource", "anywhere"}
@@ -108,6 +120,45 @@ def test_masks(spark, people):
         secure.mask_columns(people, masks, "ann", PLACE)
 
 
+def test_mask_names_are_resolved_as_spark_does(spark, people):
+    schema = "user_id string, catalog string, schema string, table string, column string"
+    masks = spark.createDataFrame([("bob", *PLACE, "B"), ("ann", *PLACE, "phone")], schema)
+    assert {r["b"] for r in secure.mask_columns(people, masks, "bob", PLACE).collect()} == {"012******", None, "ab******"}
+    with pytest.raises(LookupError):
+        secure.mask_columns(people, masks, "ann", PLACE)
+    # A column that the user may not see is no fault; one that the table lacks is.
+    assert secure.mask_columns(people.select("a"), masks, "bob", PLACE, people).columns == ["a"]
+    with pytest.raises(LookupError):
+        secure.mask_columns(people.select("a"), masks, "bob", PLACE)
+
+
+def test_masks_held_through_roles(spark, people):
+    schema = "user_id string, catalog string, schema string, table string, column string"
+    masks = spark.createDataFrame([("role:staff#assignee", *PLACE, "B")], schema)
+    members = spark.createDataFrame([("user:bob", "role:staff"), ("user:eve", "role:other")], "subject string, role string")
+    held = secure.held_by_members(masks, members)
+    assert {r["b"] for r in secure.mask_columns(people, held, "bob", PLACE).collect()} == {"012******", None, "ab******"}
+    assert secure.mask_columns(people, held, "eve", PLACE).collect() == people.collect()
+    views = people.withColumn("who", F.when(F.col("a") == 1, "bob").otherwise("eve"))
+    found = secure.mask_for_users(views, "who", held, PLACE)
+    assert sorted((r["a"], r["b"], r["z"], r["who"]) for r in found.collect()) == [
+        (1, "012******", None, "bob"), (2, None, 5, "eve"), (3, "ab", 7, "eve")]
+    with pytest.raises(Exception, match="cannot be masked"):
+        secure.mask_for_users(views, "who", held.withColumn("column", F.lit("nope")), PLACE).collect()
+
+
+def test_masks_from_held_relations(spark):
+    held = spark.createDataFrame([("user:bob", "column:c.s.deep.t.b", True), ("user:bob", "column:c.s.t.z", False),
+                                  ("user:bob", "table:c.s.t", True)], "subject string, object string, mask boolean")
+    assert [tuple(r) for r in secure.masks_from_held(held).collect()] == [("bob", "c", "s.deep", "t", "b")]
+
+
+def test_many_policies_of_one_user(spark, people):
+    schema = "user_id string, catalog string, schema string, table string, filter_expression string"
+    filters = spark.createDataFrame([("bob", *PLACE, f"a <> {i}") for i in range(3, 1200)], schema)
+    assert secure.filter_rows(people, filters, "bob", PLACE).count() == 2
+
+
 def test_secured(spark, people, given):
     schema = "user_id string, catalog string, schema string, table string, "
     filters = spark.createDataFrame([("bob", *PLACE, "z > 4"), ("bob", *PLACE, "b = 'ab' OR a = 2")],
@@ -145,6 +196,16 @@ def test_merge_updates_stamps_changes_only(spark):
     assert sorted(tuple(r) for r in merged.collect()) == [(1, "a", old, old), (2, "b", old, now), (3, None, now, now)]
 
 
+def test_merge_updates_refuses_repeated_keys(spark):
+    current = spark.sql("SELECT 1 AS id, 'a' AS v, TIMESTAMP_NTZ '2024-01-01' AS created_at, "
+                        "TIMESTAMP_NTZ '2024-01-01' AS updated_at")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "id int, v string")
+    with pytest.raises(Exception, match="repeated id"):
+        grants.merge_updates(current, twice, "id").collect()
+    with pytest.raises(Exception, match="repeated id"):
+        grants.merge_updates(current.unionByName(current), twice.limit(0), "id").collect()
+
+
 def test_grant_violations(spark):
     relation = spark.createDataFrame([
         ("a", 1, "table", ["ALL"], ["x"]), ("a", 1, "table", ["SELECT_TABLE"], ["x"]), ("b", 1, "table", [], None),

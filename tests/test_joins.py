@@ -5,50 +5,60 @@ from siltstone.operators import joins
 from siltstone.session import settle
 
 
-@pytest.fixture(autouse=True)
-def count_all_rows(monkeypatch):
-    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 1)
-
-
 def skewed(spark):
     """A third of the rows on key 7, many equal rows and NULL keys among them."""
     rows = [(7, "same") for _ in range(300)] + [(i % 50, f"r{i}") for i in range(500)] + [(None, "n")] * 100
     return spark.createDataFrame(rows, "k int, v string").repartition(4)
 
 
+def weights(df):
+    return df.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_the_plain_join(spark, how):
     left = skewed(spark)
     right = spark.createDataFrame([(i, f"x{i}") for i in range(0, 60, 7)] + [(7, "again")], "k int, w string")
     plain = sorted(map(str, left.join(right, "k", how).collect()))
-    assert sorted(map(str, joins.salted_join(left, right, ["k"], how, rows_per_task=40).collect())) == plain
-    weights = left.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
-    assert sorted(map(str, joins.salted_join(left, right, ["k"], how, 40, weights).collect())) == plain
+    assert sorted(map(str, joins.salted_join(left, right, ["k"], how, weights(left), 40).collect())) == plain
     assert sorted(map(str, joins.lookup_join(left, right, ["k"], how).collect())) == plain
+    known = settle(right)
+    for broadcast in (None, True, False):
+        joined = joins.lookup_join(left, known, ["k"], how, 40, weights(left), broadcast)
+        assert sorted(map(str, joined.collect())) == plain
 
 
 def test_salted_join_refuses_full(spark):
     with pytest.raises(ValueError):
-        joins.salted_join(skewed(spark), skewed(spark), ["k"], "full")
+        joins.salted_join(skewed(spark), skewed(spark), ["k"], "full", weights(skewed(spark)))
 
 
 def test_heavy_keys_carry_their_fan(spark):
-    found = joins.heavy_keys(skewed(spark), ["k"], rows_per_task=40)
-    assert {r[0]: r[1] for r in found.collect()} == {7: 8, None: 3}
-    assert joins.heavy_keys(skewed(spark), ["k"], rows_per_task=400) is None
+    left = skewed(spark)
+    one = spark.createDataFrame([(7, "x")], "k int, w string")
+    found = joins.heavy_keys(weights(left), one, ["k"], rows_per_task=40)
+    assert {r[0]: r[1] for r in found.frame.collect()} == {7: 8, None: 3}
+    assert joins.heavy_keys(weights(left), one, ["k"], rows_per_task=400).rows == 0
+
 
+def test_the_fan_counts_both_sides(spark):
+    left = spark.createDataFrame([(1,)] * 10 + [(2,)], "k int")
+    right = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 0)], "k int, w int")
+    found = joins.heavy_keys(weights(left), right, ["k"], rows_per_task=100)
+    assert {r[0]: r[1] for r in found.frame.collect()} == {1: 3}
+    assert joins.salted_join(left, right, ["k"], "inner", weights(left), 100).count() == 301
 
-def test_heavy_keys_are_found_in_a_sample(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HEAVY_SAMPLE", 0.05)
-    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"))
-    found = joins.heavy_keys(df, ["k"], rows_per_task=5_000).collect()
-    assert [r[0] for r in found] == [1] and 3 <= found[0]["_fan"] <= 5
-    right = spark.createDataFrame([(1, "a"), (5, "b")], "k bigint, w string")
-    assert joins.salted_join(df, right, ["k"], "inner", 5_000).count() == df.join(right, "k").count() == 20_002
+
+def test_more_heavy_keys_than_any_cap(spark):
+    left = spark.range(24_000).select((F.col("id") % 12_000).cast("int").alias("k"))
+    right = spark.range(12_000).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("w"))
+    assert joins.heavy_keys(weights(left), right, ["k"], rows_per_task=1).rows == 12_000
+    assert joins.salted_join(left, right, ["k"], "inner", weights(left), 1).count() == 24_000
 
 
 def test_without_heavy_keys_the_join_is_plain(spark):
-    joined = joins.salted_join(skewed(spark), spark.createDataFrame([(7, "x")], "k int, w string"), ["k"])
+    left = skewed(spark)
+    joined = joins.salted_join(left, spark.createDataFrame([(7, "x")], "k int, w string"), ["k"], "inner", weights(left))
     assert joined.count() == 310 and "_slot" not in joined._jdf.queryExecution().optimizedPlan().toString()
 
 
@@ -57,7 +67,7 @@ def test_heavy_rows_spread_over_partitions(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = joins.salted_join(skewed(spark), right, ["k"], "inner", rows_per_task=40)
+        joined = joins.salted_join(skewed(spark), right, ["k"], "inner", weights(skewed(spark)), 40)
         parts = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -65,10 +75,30 @@ def test_heavy_rows_spread_over_partitions(spark):
     assert len(parts) > 1 and sum(r["count"] for r in parts) == 310
 
 
+def test_adaptive_execution_splits_a_hot_key(spark):
+    """What the plain join relies on: the partition of a hot key is read in pieces."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        left = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.sha1(F.col("id").cast("string")).alias("v"))
+        joined = joins.lookup_join(left, spark.range(60_000).withColumnRenamed("id", "k"), ["k"])
+        assert joined.write.format("noop").mode("overwrite").save() is None
+        rows = joined.collect()
+        assert len(rows) == 60_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_size_check(spark):
-    df = spark.range(100).withColumn("t", F.lit("abcd"))
-    assert joins.fits_broadcast(df) and not joins.fits_broadcast(df, rows=99) and not joins.fits_broadcast(df, size=100)
-    stored = settle(df)
+    stored = settle(spark.range(100).withColumn("t", F.lit("abcd")))
     assert (stored.rows, stored.size) == (100, 1200)
     assert not joins.fits_broadcast(stored, rows=99) and joins.fits_broadcast(stored)
-    assert settle(df.where("id < 0")).rows == 0
+    assert not joins.fits_broadcast(stored, size=1199)
+    assert settle(spark.range(5).where("id < 0")).rows == 0

@@ -100,6 +100,30 @@ def test_upload_event_starts_the_landing(spark, namespace):
     landed = files.landed(spark, f"{base}/raw/my_trips", "20240131")
     assert sorted(tuple(r) for r in landed.collect()) == sorted(
         tuple(r) for r in spark.table(f"{namespace}.my_trips").collect())
+    waiting = {(r["table_name"], r["reason"]) for r in uploads.parked_events(spark, f"{base}/work/parked").collect()}
+    assert waiting == {("unknown", "no landing order"), ("gone", "table absent")}
+    # The parked event is landed with the next batch once its table is there.
+    tables.create_from(spark.range(4), f"{namespace}.gone")
+    put(spark, f"{base}/events", [json.dumps({"event_type": "csv_uploaded", "table_name": "my_trips"})])
+    uploads.start_landing(connect.file_messages(spark, f"{base}/events"), namespace, {"my_trips": ["trip_id"], "gone": ["id"]},
+                          f"{base}/work", f"{base}/raw", f"{base}/cp", default_table="my_trips", date="20240131",
+                          available_now=True).awaitTermination()
+    assert files.landed(spark, f"{base}/raw/gone", "20240131").count() == 4
+    assert [r["table_name"] for r in uploads.parked_events(spark, f"{base}/work/parked").collect()] == ["unknown"]
+
+
+def test_other_faults_fail_the_landing(spark, namespace, monkeypatch):
+    base = fresh_dir(spark, "chain")
+    tables.create_from(spark.range(3), f"{namespace}.t")
+    put(spark, f"{base}/events", [json.dumps({"event_type": "csv_uploaded", "table_name": "t"})])
+
+    def broken(*args, **kwargs):
+        raise KeyError("inner")
+
+    monkeypatch.setattr(uploads, "land_table", broken)
+    with pytest.raises(Exception, match="inner"):
+        uploads.start_landing(connect.file_messages(spark, f"{base}/events"), namespace, {"t": ["id"]}, f"{base}/work",
+                              f"{base}/raw", f"{base}/cp", date="20240131", available_now=True).awaitTermination()
 
 
 def test_landing_an_empty_table(spark, namespace):

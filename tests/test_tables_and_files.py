@@ -97,7 +97,7 @@ def test_csv_upload(spark):
     text = ('VendorID,Pickup Datetime,Trip Count,Rate %,Flag,Note\n1,2020-04-01 00:41:22,5,1.5,True,"a\nb"\n'
             '2,bad,,5,false,NA\n\n')
     spark.sparkContext.parallelize([text], 1).saveAsTextFile(path)
-    out = files.upload(spark, path, "trips.csv")
+    out = files.upload(spark, path, "trips.csv", line_breaks=True)
     assert out.dtypes == [("vendorid", "bigint"), ("pickup_datetime", "timestamp_ntz"), ("trip_count", "double"),
                           ("rate_", "double"), ("flag", "boolean"), ("note", "string")]
     assert rows(out.select("vendorid", "trip_count", "note")) == [(1, 5.0, "a\nb"), (2, None, None)]
@@ -109,24 +109,90 @@ def test_csv_upload(spark):
         files.upload(spark, empty, "empty.csv")
 
 
+def test_codes_stay_text_and_numbers_do_not(spark):
+    path = fresh_dir(spark, "csv")
+    spark.sparkContext.parallelize(["code,num,exp", "12D,1.5,1e3", "7F,.5,-2E-2", "3d,2.,inf"], 1).saveAsTextFile(path)
+    assert files.upload(spark, path, "codes.csv").dtypes == [("code", "string"), ("num", "double"), ("exp", "double")]
+
+
+def test_envelopes_keep_untidy_names(spark):
+    df = spark.createDataFrame([(1, (2, "x"))], "`Value (USD)` int, `a b` struct<`c d`: int, `e<f>`: string>")
+    path = fresh_dir(spark, "pages")
+    (paging.envelopes(df, "t", ["Value (USD)"], 10).select(F.to_json(F.struct("*")).alias("value")).write.text(path))
+    found = envelopes.page_rows(envelopes.read_envelopes(spark, path, df.schema))
+    assert found.schema.simpleString() == df.schema.simpleString() and found.collect() == df.collect()
+
+
+def test_replace_moves_no_data_and_keeps_one_version(spark, namespace):
+    name = f"{namespace}.versions"
+    for n in (1, 2, 3, 4):
+        tables.replace_from(spark.range(n), name)
+        assert spark.table(name).count() == n
+    tables.replace_from(spark.table(name).where("id > 0"), name)
+    assert rows(spark.table(name)) == [(1,), (2,), (3,)]
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place).getParent()
+    kept = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    assert len(kept) == 2
+    tables.replace_from(spark.range(2).withColumn("it's", F.lit(1)), name)
+    assert spark.table(name).columns == ["id", "it's"]
+
+
+def test_clear_work_drops_its_namespaces(spark):
+    from siltstone import session
+    application = spark.sparkContext.applicationId
+    own = session._namespaces.pop(application, [])
+    try:
+        space = session.fresh_namespace(spark, "gone")
+        assert spark.catalog.databaseExists(space)
+        session._namespaces[application] = [space]
+        kept, session.work_root = session.work_root, lambda s: kept(s) + "-none"
+        try:
+            session.clear_work(spark)
+        finally:
+            session.work_root = kept
+        assert not spark.catalog.databaseExists(space)
+    finally:
+        session._namespaces[application] = own
+
+
+def test_repeated_keys_by_digest(spark):
+    from siltstone.operators import grants
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), (None, 1), (None, 1)], "t string, n int")
+    assert grants.repeated_keys(df, ["t", "n"], "r").first()["violations"] == 1
+    assert grants.repeated_keys(df, ["n"], "r").first()["violations"] == 1
+
+
 def test_process_date():
     assert files.process_date("20240131") == "20240131" and len(files.process_date()) == 8
     with pytest.raises(ValueError):
         files.process_date("2024-1-31")
 
 
-def test_positions_with_repeated_rows_and_deep_pages(spark, monkeypatch):
+def test_positions_with_repeated_rows_and_deep_pages(spark):
     df = spark.createDataFrame([(i // 3, "x") for i in range(300)] + [(5, "x")] * 100, "k int, v string").repartition(5)
     placed = paging.with_positions(df, ["k"]).orderBy("position").collect()
     assert [r["position"] for r in placed] == list(range(400))
     assert [r["k"] for r in placed] == sorted(r["k"] for r in placed)
     unique = spark.range(1000).repartition(7)
-    shallow = rows(paging.page(unique, ["id"], 8, 30))
-    monkeypatch.setattr(paging, "TOP_ROWS", 0)
-    assert rows(paging.page(unique, ["id"], 8, 30)) == shallow == [(i,) for i in range(210, 240)]
+    assert rows(paging.page(unique, ["id"], 8, 30)) == [(i,) for i in range(210, 240)]
     assert paging.page(unique, ["id"], 100, 30).count() == 0
 
 
+def test_all_pages_together_are_the_table(spark):
+    df = spark.range(100).select(F.lit(1).alias("k"), (F.col("id") % 90).alias("v")).repartition(4)
+    found = []
+    for number in range(1, 11):
+        one = rows(paging.page(df, ["k"], number, 10))
+        assert len(one) == 10
+        found += one
+    assert found == rows(df)
+    several = paging.pages(df, ["k"], [1, 2, 10], 10)
+    assert sorted(tuple(r)[:2] for r in several.collect()) == sorted(found[:20] + found[90:])
+    with pytest.raises(ValueError):
+        paging.pages(df, [], [1])
+
+
 @pytest.mark.parametrize("page, size", [(0, 10), (1, 0), (1, 1001)])
 def test_page_bounds(spark, page, size):
     with pytest.raises(ValueError):
