@@ -1,7 +1,8 @@
 """Token ids of whole texts from a public tokenizer file.
 
 The tokenizers library does the encoding. A text is first cut at blanks and line ends, where no token of the two
-supported kinds can cross, and each distinct piece is encoded once per worker and remembered. The memory is bounded:
+supported kinds can cross, and each distinct piece is encoded once per worker and remembered; pieces that are not known
+yet are encoded many at a time, with a separator between them that always is one token of its own. The memory is bounded:
 two generations of at most ``REMEMBERED`` pieces. Texts with other white space are encoded in one call.
 """
 
@@ -9,9 +10,10 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
-REMEMBERED = 200_000
+import numpy as np
+
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 CALL = 2000
 
@@ -41,73 +43,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.young: dict[str, bytes] = {}
+        # Between pieces: a line end, or a control character set off by blanks.
+        self.mark, self.between = ("\n", "\n") if spaced else ("\x1e", " \x1e ")
+        alone = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.separator = alone[0] if len(alone) == 1 else None
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space inside, in joined calls."""
+        if self.separator is None:
+            return self._encode(pieces)
         out = []
-        for at in range(0, len(texts), CALL):
-            found = self.tokenizer.encode_batch_fast(texts[at:at + CALL], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        for at in range(0, len(pieces), CALL):
+            some = pieces[at:at + CALL]
+            body = self.between.join(some)
+            if body.count(self.mark) != len(some) - 1:
+                out += self._encode(some)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([body], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
+            data = ids.tobytes()
+            if len(cuts) != len(some) - 1:
+                raise AssertionError("a separator was merged with a piece")
+            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
         return out
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not remembered yet; a piece and the marks at its end are encoded apart."""
-        cuts = {}
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces; a piece and the marks at its end are encoded apart."""
+        young, old = self.young, self.old
+        cuts, wanted = {}, set()
         for piece in pieces:
+            if piece in old:
+                young[piece] = old[piece]
+                continue
             body = piece.rstrip(MARKS)
-            if len(body) < len(piece) and body and body[-1].isalpha():
-                cuts[piece] = (body, piece[len(body):])
+            # The last letter may become a letter and a mark when it is lower-cased.
+            if len(body) < len(piece) and body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
+                cuts[piece] = parts = (body, piece[len(body):])
+                wanted.update(parts)
             else:
-                cuts[piece] = (piece,)
-        wanted = list({part for cut in cuts.values() for part in cut} - self.young.keys())
-        known, todo = {}, []
-        for part in wanted:
-            if part in self.old:
-                known[part] = self.old[part]
+                wanted.add(piece)
+        todo = []
+        for part in wanted.difference(young):
+            if part in old:
+                young[part] = old[part]
             else:
                 todo.append(part)
-        known.update(zip(todo, self._encode(todo), strict=True))
-        get = lambda part: known[part] if part in known else self.young[part]
-        found = {piece: b"".join(map(get, cut)) for piece, cut in cuts.items()}
-        found.update(known)
-        return found
+        young.update(zip(todo, self._encode_pieces(todo), strict=True))
+        for piece, (body, marks) in cuts.items():
+            young[piece] = young[body] + young[marks]
 
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, one after another, are those of the text; None if it must be encoded in one call."""
         if not self.spaced:
-            return [p for p in text.replace("\n", " ").split(" ") if p]
-        if not text or _ODD.search(text):
+            return text.replace("\n", " ").split(" ")
+        if not text or "\0" in text or _ODD.search(text):
             return None
-        lines = text.split("\n")
-        out = lines[0].replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if out is None:
-            return None
-        for line in lines[1:]:
-            out.append("\n")
-            out += line.replace(" ", "\0 ").split("\0")
-        return out
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
-        seen = set(chain.from_iterable(p for p in split if p is not None))
-        fresh = {p for p in seen if p not in self.young}
-        again = {p: self.old[p] for p in fresh if p in self.old}
-        local = again | self._learn(fresh - again.keys())
-        short = {k: v for k, v in local.items() if len(k) <= LONGEST_REMEMBERED}
-        lookup = self.young
-        extra = {k: v for k, v in local.items() if k not in short}
-        if extra:
-            lookup = {**{p: self.young[p] for p in seen if p in self.young}, **local}
-        else:
-            self.young.update(short)
+        fresh = set().union(*[set(p).difference(self.young) for p in split if p is not None])
+        self._learn(fresh)
         whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        ids = [next(whole) if p is None else b"".join(map(lookup.__getitem__, p)) for p in split]
-        if extra:
-            self.young.update(short)
+        get = self.young.__getitem__
+        ids = [next(whole) if p is None else b"".join(map(get, p)) for p in split]
+        for piece in fresh:
+            if len(piece) > LONGEST_REMEMBERED:
+                del self.young[piece]
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {"": b""}
         return ids
 
 
