@@ -112,9 +112,14 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
         "n_lines": F.size(col("lines")).cast("bigint"),
         "n_dup_lines": (F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("bigint"),
         "n_repeat_words": covered, "n_shouts": col("shouts")}
-    finals = {key: free_name(out, f"_q_{key}") for key in values}
-    result = out.select(*[column(c) for c in df.columns], *[v.alias(finals[k]) for k, v in values.items()])
-    return result, finals
+    # The one-element explode makes the measurements columns of their own: a filter on them stays above it. Moved below,
+    # it would carry the whole chain of expressions once for each use of each.
+    whole = free_name(out, "_q")
+    result = out.select(*[column(c) for c in df.columns],
+                        F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(whole))
+    finals = {key: free_name(result, f"_q_{key}") for key in values}
+    return result.select(*[column(c) for c in df.columns],
+                         *[column(whole)[k].alias(finals[k]) for k in values]), finals
 
 
 def failure_bits(names: dict[str, str], rules: tuple[Rule, ...] = RULES) -> Column:
