@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.session import Settled, settle
+from siltstone.session import SMALL_BYTES, SMALL_ROWS, Settled, settle
 
-BROADCAST_ROWS = 100_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 ROWS_PER_TASK = 2_000_000
 
 
-def fits_broadcast(right: Settled, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(right: Settled, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
     return right.rows <= rows and right.size <= size
 
 

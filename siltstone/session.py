@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A frame within these bounds is small: it may be broadcast, or handled by one task.
+SMALL_ROWS = 100_000
+SMALL_BYTES = 64 * 1024 * 1024
+
+
 def build_session(app_name: str, conf: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings every job relies on; ``conf`` adds or overrides."""
     settings = {
@@ -124,9 +129,15 @@ def size_aggregates(df: DataFrame) -> list[Column]:
 
 
 def settle(df: DataFrame, label: str = "settled") -> Settled:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and the write itself counts the rows."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and the write itself counts the rows.
+
+    A frame of at most ``SMALL_ROWS`` rows and ``SMALL_BYTES`` bytes is read as one partition, so that what follows on
+    such frames alone, like the rounds of a closure, needs no exchange.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     seen = Observation()
     df.observe(seen, *size_aggregates(df)).write.parquet(path)
-    return Settled(spark.read.schema(df.schema).parquet(path), seen.get["rows"], seen.get["size"])
+    rows, size = seen.get["rows"], seen.get["size"]
+    frame = spark.read.schema(df.schema).parquet(path)
+    return Settled(frame.coalesce(1) if rows <= SMALL_ROWS and size <= SMALL_BYTES else frame, rows, size)
