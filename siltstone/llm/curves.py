@@ -37,6 +37,7 @@ BLOCK = 512
 SHARE = 0.02
 SAMPLE = 5000
 SEED = 7
+VISITS = 16_384  # queries that meet the rows of a block in one group; more are dealt to further copies of the block
 SPARE = 4  # more than k + 1 are kept per block before exact scores, for the last bits of a matrix product
 
 
@@ -172,7 +173,7 @@ def _best(k: int):
 
 def neighbours(vectors: DataFrame, asked: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
                curves: int = CURVES, dimensions: int = DIMENSIONS, bits: int = BITS, block: int = BLOCK,
-               share: float = SHARE, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+               share: float = SHARE, sample: int = SAMPLE, seed: int = SEED, visits_at_once: int = VISITS) -> DataFrame:
     """The ``k`` nearest found of every row for which ``asked`` holds (a condition on ``id``), by largest inner product.
 
     Columns ``query_id``, ``rank`` from 1, the found row's key, and ``score``.
@@ -201,9 +202,13 @@ def neighbours(vectors: DataFrame, asked: Column, key: str = "vec_id", vector: s
     offsets = F.when(F.col("asked"), F.sequence(F.lit(-reach), F.lit(reach))).otherwise(F.array().cast("array<int>"))
     visits = F.concat(F.array(F.struct(F.lit(False).alias("visits"), F.lit(0).alias("by"))),
                       F.transform(offsets, lambda i: F.struct(F.lit(True).alias("visits"), i.alias("by"))))
+    slices = -(-(2 * reach + 1) * block // visits_at_once)
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    own_slice = F.array(F.pmod(F.col("g"), F.lit(slices)).cast("int"))
     dealt = blocks.select("curve", "block", "g", "rep", "vec", F.explode(visits).alias("v")).select(
-        "curve", (F.col("block") + F.col("v.by")).alias("block"), "g", "rep", "vec", "v.visits")
-    found = dealt.groupBy("curve", "block").applyInPandas(_best(k), "q long, g long, score double")
+        "curve", (F.col("block") + F.col("v.by")).alias("block"), "g", "rep", "vec", "v.visits",
+        F.explode(F.when(F.col("v.visits"), own_slice).otherwise(every)).alias("slice"))
+    found = dealt.groupBy("curve", "block", "slice").applyInPandas(_best(k), "q long, g long, score double")
     merged = found.groupBy("q", "g").agg(F.max("score").alias("score"))
     own = (groups.where("asked").select(F.col("g").alias("q"), "g",
                                         F.aggregate(F.transform("vec", lambda x: x * x), F.lit(0.0),

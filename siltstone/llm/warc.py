@@ -265,7 +265,7 @@ def lookup(archive: Archive, urls: DataFrame, url: str = "url") -> DataFrame:
     The directory goes to the tasks if it has at most ``DIRECTORY_ROWS`` rows; a larger one is not sent: then the lines
     of all blocks are joined with the keys.
     """
-    keys = urls.select(F.udf(index_key)(column(url)).alias("key")).distinct()
+    keys = urls.select(F.udf(lambda u: index_key(u), "string")(column(url)).alias("key")).distinct()
     directory = archive.directory.orderBy("first_key", "last_key", "file", "offset").limit(DIRECTORY_ROWS + 1).collect()
     if len(directory) > DIRECTORY_ROWS:
         return index_lines(archive).join(keys, "key", "left_semi")
