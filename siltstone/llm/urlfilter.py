@@ -80,10 +80,12 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(4)])
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every canonical key of a url that a list with these path lengths could hold, each once."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], labels_listed: int) -> Column:
+    """Every canonical key of a url that a list with these path lengths, and hosts of at most so many labels, could hold,
+    each once."""
     labels = F.split(host, r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)),
+    first = F.greatest(F.lit(1), F.size(labels) - labels_listed + 1)
+    ends = F.transform(F.sequence(first, F.size(labels)),
                        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     starts = F.array_compact(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     return F.array_distinct(F.flatten(F.transform(ends, lambda h: F.transform(starts, lambda p: F.concat(h, p)))))
@@ -96,7 +98,9 @@ def judged(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     Entries of rank 1 are rules and decide before entries of rank 0; where nothing fits, ``default`` does.
     """
     listed = written(listed.groupBy("key", "size", "path_size", "rank").agg(F.max("verdict").alias("verdict")), "listed")
-    shape = listed.groupBy("path_size").agg(F.count(F.lit(1)).alias("entries")).limit(PATH_LENGTHS + 1).collect()
+    labels = F.size(F.split(F.expr("left(key, size - path_size)"), r"\."))
+    shape = (listed.groupBy("path_size").agg(F.count(F.lit(1)).alias("entries"), F.max(labels).alias("labels"))
+             .limit(PATH_LENGTHS + 1).collect())
     if len(shape) > PATH_LENGTHS:
         raise ValueError(f"listed paths have more than {PATH_LENGTHS} different lengths")
     lengths = sorted(r["path_size"] for r in shape)
@@ -105,7 +109,7 @@ def judged(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     rows = written(rows, "urls")
     blocks = block_count(sum(r["entries"] for r in shape))
     words = written(bloom(listed, blocks), "bloom")
-    keys = (candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else
+    keys = (candidate_keys(F.col("host"), F.col("path"), lengths, max(r["labels"] for r in shape)) if lengths else
             F.array().cast("array<string>"))
     tried = rows.select("row", F.explode(keys).alias("key"))
     probes = tried.select("row", "key", *_masks(F.col("key"), blocks)).join(words, "block")

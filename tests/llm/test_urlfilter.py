@@ -25,6 +25,7 @@ def urls():
     hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "EXAMPLE.com", "notexample.com", "x.net", "net",
              "É.net", "", "casino-win.example.org", "m.casino-win.example.org", "org", "com.", "a..net"]
     paths = ["", "/", "/en", "/en/", "/en/x", "/es/", "/fr/?a", "/es?b=/es/", "#/en/", "?://net/es/", "/EN/", "//", "/es/\nx"]
+    hosts.append("a." * 20_000 + "x.example.com")
     some = [rng.choice(["http://", "https://", "://", "x://y://", "http:/", ""]) + rng.choice(hosts) + rng.choice(paths)
             for _ in range(600)]
     return [None, "", "nothing", *some]
