@@ -46,9 +46,9 @@ def word_count(text: Column) -> Column:
 
 
 def symbol_count(text: Column, symbols: str) -> Column:
-    """How many characters of the text are among ``symbols``."""
+    """How many characters of the text are in the class ``symbols``; texts with none are only scanned for one."""
     plain = F.coalesce(text, F.lit(""))
-    return (F.char_length(plain) - F.char_length(F.translate(plain, symbols, ""))).cast("bigint")
+    return F.when(plain.rlike(symbols), F.regexp_count(plain, F.lit(symbols))).otherwise(0).cast("bigint")
 
 
 def shared_files(uri: str):

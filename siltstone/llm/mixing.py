@@ -24,7 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 BUCKETS = 4096
 SEED = 20
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def quality_weight(size: Column, symbols: Column) -> Column:

@@ -16,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import NOT_SPACE, SPACES, column, free_name, symbol_count, word_array
+from siltstone.llm.common import NOT_SPACE, column, free_name, symbol_count, word_array
 
 # Symbols that the contract counts, and the width of the repeated windows.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts")
@@ -64,9 +64,9 @@ def _sql(name: str) -> str:
 def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``df`` with the measurements added under free names, and the map from measurement to column name.
 
-    Words in repeated windows: each window becomes its 64-bit hash; hash and place are packed into one long, so that a
-    primitive sort brings equal windows together; places whose window has an equal neighbour are put in order, and each
-    covers at most ``WINDOW`` words that its predecessor did not.
+    Words in repeated windows: each window becomes its 64-bit hash. Where some are equal, hash and place are packed into
+    one long, so that a primitive sort brings equal windows together; places whose window has an equal neighbour are put
+    in order, and each covers at most ``WINDOW`` words that its predecessor did not.
     """
     names: dict[str, str] = {}
 
@@ -80,18 +80,23 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
 
     plain = F.coalesce(column(text), F.lit(""))
     lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(NOT_SPACE))
+    dense = plain
+    for space in " \t\n\x0b\x0c\r":
+        dense = F.replace(dense, F.lit(space), F.lit(""))
     out = add(df, words=word_array(column(text)), lines=lines,
-              chars=F.char_length(F.regexp_replace(plain, SPACES + "+", "")).cast("bigint"),
-              symbols=symbol_count(column(text), SYMBOLS), shouts=symbol_count(column(text), "!"))
+              chars=F.char_length(dense).cast("bigint"),
+              symbols=symbol_count(column(text), SYMBOLS), shouts=(F.octet_length(plain) - F.octet_length(
+                  F.replace(plain, F.lit("!"), F.lit("")))).cast("bigint"))
     out = add(out, n=F.size(col("words")))
     hashes = F.transform(
         F.slice(col("words"), 1, F.greatest(col("n") - (WINDOW - 1), F.lit(0))),
         lambda w, i: F.xxhash64(w, *[F.get(col("words"), i + k) for k in range(1, WINDOW)]))
     out = add(out, hashes=hashes, width=F.length(F.bin(col("n").cast("bigint"))))
+    out = add(out, twice=F.size(F.array_distinct(col("hashes"))) < F.size(col("hashes")))
     packed = F.transform(col("hashes"), lambda h, i: F.call_function("shiftleft", h, col("width")).bitwiseOR(
         i.cast("bigint")))
     out = add(out, low=F.call_function("shiftleft", F.lit(1).cast("bigint"), col("width")) - 1,
-              order=F.sort_array(packed))
+              order=F.when(col("twice"), F.sort_array(packed)))
 
     def same(x: Column, y: Column) -> Column:
         shift = lambda v: F.call_function("shiftright", v, col("width"))
@@ -111,7 +116,7 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
         "n_words": col("n").cast("bigint"), "word_chars": col("chars"), "n_symbols": col("symbols"),
         "n_lines": F.size(col("lines")).cast("bigint"),
         "n_dup_lines": (F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("bigint"),
-        "n_repeat_words": covered, "n_shouts": col("shouts")}
+        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")), "n_shouts": col("shouts")}
     # The one-element explode makes the measurements columns of their own: a filter on them stays above it. Moved below,
     # it would carry the whole chain of expressions once for each use of each.
     whole = free_name(out, "_q")
