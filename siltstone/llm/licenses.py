@@ -55,23 +55,24 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
     """Digests of known licences: ``license``, ``digest``."""
     rows = list((NOTICES if texts is None else texts).items())
     listed = spark.createDataFrame(rows, "license string, text string")
-    return listed.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    forms = listed.select("license", canonical(F.col("text")).alias("form"))
+    return forms.where("form <> ''").select("license", F.sha2("form", 256).alias("digest"))
 
 
 def scan(df: DataFrame, licenses: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document and licence found: whether the whole text is it, how many lines and paragraphs are, and the digest."""
     body = F.coalesce(column(text), F.lit(""))
 
+    # Digests are made before the rows are unnested: each once, and no text is copied into a row of its own.
     def units(parts: Column, kind: str) -> Column:
-        return F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("unit")))
+        return F.transform(parts, lambda p: F.struct(F.lit(kind).alias("kind"),
+                                                     F.sha2(canonical(p), 256).alias("digest")))
 
     lines, paragraphs = F.split(body, "\n"), F.split(body, r"\n[\x20\x09\x0B-\x0D]*\n")
     every = F.concat(units(F.array(body), "text"), units(F.filter(paragraphs, lambda p: p.contains("\n")), "paragraph"),
                      units(lines, "line"))
     spread = df.select(column(key).alias("key_"), F.explode(every).alias("u"))
-    digests = (spread.select("key_", "u.kind", canonical(F.col("u.unit")).alias("form")).where("form <> ''")
-               .select("key_", "kind", F.sha2("form", 256).alias("digest")))
-    hits = digests.join(licenses, "digest")
+    hits = spread.select("key_", "u.kind", "u.digest").join(licenses, "digest")
     count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
     return hits.groupBy("key_", "license", "digest").agg(
         (count("text") > 0).alias("whole_text"), count("paragraph").alias("paragraphs"), count("line").alias("lines")
