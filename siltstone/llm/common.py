@@ -23,6 +23,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, pieces: int, most: int = 8) -> DataFrame:
+    """Rows that each stand for a piece of work, dealt over tasks: one to a task while the cluster has room, and at most
+    ``most`` beyond. The rows are small, so that Spark, left to itself, would put them all into one task."""
+    room = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(pieces, max(room, -(-pieces // most)))))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

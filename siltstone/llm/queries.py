@@ -27,7 +27,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives and index written; every record read back through the index."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    found = warc.read_records(warc.index_lines(warc.write_archive(pages)))
+    found = warc.read_all(warc.write_archive(pages))
     return found.select(F.col("page").cast(kind).alias("page_id"), F.col("size").alias("payload_bytes"),
                         F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"),
                         F.col("refers").cast(kind).alias("refers_to"))

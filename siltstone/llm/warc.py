@@ -30,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import column, shared_files, written
+from siltstone.llm.common import column, dealt, shared_files, written
 from siltstone.session import fresh_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 1000
+TASK_RECORDS = 5000
 DIRECTORY_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 
@@ -227,11 +228,18 @@ def index_lines(archive: Archive) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")]).assign(folder=folder)
 
     places = archive.directory.select("folder", "file", "offset", "length")
-    return places.repartition(F.col("file"), F.col("offset")).mapInPandas(run, LINE + ", folder string")
+    return dealt(places, archive.directory.count()).mapInPandas(run, LINE + ", folder string")
 
 
-def read_records(lines: DataFrame, payloads: bool = False) -> DataFrame:
-    """The records that index lines point to, read by range: page, size, digest, kind, what it refers to.
+def read_all(archive: Archive, payloads: bool = False) -> DataFrame:
+    """Every record of an archive, through its index."""
+    records = archive.directory.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    return read_records(index_lines(archive), payloads, -(-records // TASK_RECORDS))
+
+
+def read_records(lines: DataFrame, payloads: bool = False, parts: int | None = None) -> DataFrame:
+    """The records that index lines point to, read by range: page, size, digest, kind, what it refers to. ``parts`` says
+    over how many tasks the reading is dealt.
 
     Size and digest of a response are taken from its payload; a revisit states those of the payload it stands for.
     """
@@ -255,8 +263,10 @@ def read_records(lines: DataFrame, payloads: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     places = lines.select("folder", "file", "offset", "length")
-    piece = (F.col("offset") / F.lit(ARCHIVE_BYTES // 8)).cast("int")
-    return (places.repartition(F.col("file"), piece).sortWithinPartitions("file", "offset").mapInPandas(run, schema))
+    piece = (F.col("offset") / F.lit(ARCHIVE_BYTES // 16)).cast("int")
+    by = [F.col("file"), piece]
+    spread = places.repartition(max(1, parts), *by) if parts is not None else places.repartition(*by)
+    return spread.sortWithinPartitions("file", "offset").mapInPandas(run, schema)
 
 
 def lookup(archive: Archive, urls: DataFrame, url: str = "url") -> DataFrame:

@@ -19,7 +19,7 @@ def pages(spark):
 def test_every_page_comes_back(spark):
     rows, df = pages(spark)
     archive = warc.write_archive(df.repartition(4))
-    found = warc.read_records(warc.index_lines(archive), payloads=True).collect()
+    found = warc.read_all(archive, payloads=True).collect()
     want = []
     for page, url, html, _ in rows:
         body = (html or "").encode()
@@ -61,5 +61,5 @@ def test_records_are_gzip_members():
 def test_empty_table(spark):
     _, df = pages(spark)
     archive = warc.write_archive(df.limit(0))
-    assert warc.read_records(warc.index_lines(archive)).collect() == []
+    assert warc.read_all(archive).collect() == []
     assert warc.lookup(archive, df.select("url")).collect() == []
