@@ -9,19 +9,20 @@ two generations of at most ``REMEMBERED`` pieces. Texts with other white space a
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 CALL = 2000
 
 # ASCII marks that, at the end of a piece and after a letter, always start a token of their own.
 MARKS = ".,!#$%&*|"
 
-# White space other than single blanks and line ends between other characters.
-_ODD = re.compile(r"[\s\x1c-\x1f]{2}|[^\S \n]|[\x1c-\x1f]|^\s|\s$")
+# White space other than blanks and line ends, and control characters that some libraries take for white space.
+_ODD = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+        "\u2028\u2029\u202f\u205f\u3000")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +31,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Ids by piece; a piece that is not known is noted and stands for itself."""
+
+    def __init__(self):
+        super().__init__({"": b""})
+        self.missed: set[str] = set()
+
+    def __missing__(self, piece: str) -> str:
+        self.missed.add(piece)
+        return piece
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -47,7 +60,8 @@ class Encoder:
         self.mark, self.between = ("\n", "\n") if spaced else ("\x1e", " \x1e ")
         alone = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
-        self.young: dict[str, bytes] = {"": b""}
+        self.line = np.array(alone, dtype="<u4").tobytes() if spaced else b""
+        self.young = _Pieces()
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -55,7 +69,7 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space inside, in joined calls."""
+        """Ids of texts without white space inside, in joined calls."""
         if self.separator is None:
             return self._encode(pieces)
         out = []
@@ -74,50 +88,67 @@ class Encoder:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces; a piece and the marks at its end are encoded apart."""
-        young, old = self.young, self.old
+        """Remember the ids of pieces; a piece and the marks at its end are encoded apart.
+
+        Where blanks are kept, a piece stands for itself after a blank, or, if it begins with a line end, for itself.
+        """
+        young, old, spaced = self.young, self.old, self.spaced
         cuts, wanted = {}, set()
-        for piece in pieces:
-            if piece in old:
-                young[piece] = old[piece]
-                continue
+        known = [p for p in pieces if p in old] if old else []
+        for piece in known:
+            young[piece] = old[piece]
+        for piece in pieces.difference(known) if known else pieces:
             body = piece.rstrip(MARKS)
             # The last letter may become a letter and a mark when it is lower-cased.
             if len(body) < len(piece) and body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
-                cuts[piece] = parts = (body, piece[len(body):])
-                wanted.update(parts)
+                marks = piece[len(body):]
+                cuts[piece] = (body, "\n" + marks if spaced else marks)
+                wanted.update(cuts[piece])
             else:
                 wanted.add(piece)
         todo = []
-        for part in wanted.difference(young):
+        for part in wanted:
+            if part in young:
+                continue
             if part in old:
                 young[part] = old[part]
             else:
                 todo.append(part)
-        young.update(zip(todo, self._encode_pieces(todo), strict=True))
+        line, skip = self.line, len(self.line)
+        if spaced:
+            texts = [p[1:] if p[0] == "\n" else " " + p for p in todo]
+            for part, ids in zip(todo, self._encode_pieces(texts), strict=True):
+                young[part] = line + ids if part[0] == "\n" else ids
+        else:
+            young.update(zip(todo, self._encode_pieces(todo), strict=True))
         for piece, (body, marks) in cuts.items():
-            young[piece] = young[body] + young[marks]
+            young[piece] = young[body] + young[marks][skip:]
 
     def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids, one after another, are those of the text; None if it must be encoded in one call."""
+        """Pieces whose ids, one after another, are those of the text, after one line end where blanks are kept; None if
+        it must be encoded in one call."""
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
-        if not text or "\0" in text or _ODD.search(text):
+        if (not text or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS)
+                or any(c in text for c in _ODD)):
             return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return ("\n" + text).replace("\n", " \n").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
-        fresh = set().union(*[set(p).difference(self.young) for p in split if p is not None])
+        young, skip = self.young, len(self.line)
+        get, young.missed = young.__getitem__, set()
+        found = [None if p is None else list(map(get, p)) for p in split]
+        fresh = young.missed
         self._learn(fresh)
         whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        get = self.young.__getitem__
-        ids = [next(whole) if p is None else b"".join(map(get, p)) for p in split]
+        ids = [next(whole) if f is None else
+               b"".join([young[x] if type(x) is str else x for x in f])[skip:] for f in found]
         for piece in fresh:
             if len(piece) > LONGEST_REMEMBERED:
-                del self.young[piece]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
+                del young[piece]
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, _Pieces()
         return ids
 
 

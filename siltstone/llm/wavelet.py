@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import tokens
-from siltstone.llm.common import column, shared_files, written
+from siltstone.llm.common import column, dealt, shared_files, written
 from siltstone.session import fresh_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
 ENCODE_ROWS = 256
 BLOCK = 64  # bytes of a plane between two stored counts
+STRETCH = 1 << 15
 MAGIC = b"WVM1"
 
 
@@ -56,14 +57,22 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, dtype=np.uint32)
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        planes, zeros = [], []
+        ids = np.ascontiguousarray(ids, dtype=np.uint16 if bits <= 16 else np.uint32)
+        planes, zeros, following = [], [], np.empty_like(ids)
         for bit in range(bits - 1, -1, -1):
-            ones = ((ids >> np.uint32(bit)) & np.uint32(1)).astype(bool)
+            ones = (ids & ids.dtype.type(1 << bit)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            zeros.append(int(len(ids) - np.count_nonzero(ones)))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            zeros.append(len(ids) - int(np.count_nonzero(ones)))
+            # Stretch by stretch, so that what is moved stays near.
+            low, high = 0, zeros[-1]
+            for at in range(0, len(ids), STRETCH):
+                part, set_here = ids[at:at + STRETCH], ones[at:at + STRETCH]
+                to_low, to_high = np.flatnonzero(~set_here), np.flatnonzero(set_here)
+                part.take(to_low, out=following[low:low + len(to_low)], mode="clip")
+                part.take(to_high, out=following[high:high + len(to_high)], mode="clip")
+                low, high = low + len(to_low), high + len(to_high)
+            ids, following = following, np.empty_like(ids) if bit == bits - 1 else ids
         return cls(len(ids), planes, zeros)
 
     def _rank(self, level: int, place: int) -> int:
@@ -109,8 +118,11 @@ class WaveletMatrix:
         return low, high
 
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
-        """How often an id occurs in [low, high)."""
-        low, high = self._stretch(token, low, self.size if high is None else high)
+        """How often an id occurs in [low, high), as far as there are places."""
+        high = self.size if high is None else min(high, self.size)
+        if low >= high:
+            return 0
+        low, high = self._stretch(token, low, high)
         return high - low
 
     def places(self, token: int) -> list[int]:
@@ -124,16 +136,15 @@ class WaveletMatrix:
         return sorted(found)
 
     def ids(self) -> np.ndarray:
-        """All ids: every place is followed through the planes at once."""
-        place, value = np.arange(self.size, dtype=np.int32 if self.size < 1 << 31 else np.int64), None
-        for plane, zeros in zip(self.planes, self.zeros, strict=True):
-            ones = np.unpackbits(plane, count=self.size, bitorder="little")
-            before = np.cumsum(ones, dtype=place.dtype) - ones
-            goal = np.where(ones, zeros + before, np.arange(self.size, dtype=place.dtype) - before).astype(place.dtype)
-            bit = ones[place]
-            value = bit.astype(np.uint32) if value is None else (value << np.uint32(1)) | bit
-            place = goal[place]
-        return value if value is not None else np.zeros(0, dtype=np.uint32)
+        """All ids: from the lowest plane up, each plane's bits put what is below back in its order."""
+        value = np.zeros(self.size, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
+            ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
+            above = np.empty_like(value)
+            above[np.flatnonzero(~ones)] = value[:zeros]
+            above[np.flatnonzero(ones)] = value[zeros:] | value.dtype.type(1 << bit)
+            value = above
+        return value
 
     def pack(self, lengths: np.ndarray) -> bytes:
         """The file: the documents' lengths, then the planes."""
@@ -237,7 +248,7 @@ def documents(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                 yield pd.DataFrame({key: pd.Series(list(keys), dtype=object), "start": first + ends - lengths,
                                     "n_tokens": lengths, "ids_crc32": crc})
 
-    return shards.select("file", "keys", "first").repartition(F.col("file")).mapInPandas(run, schema)
+    return dealt(shards.select("file", "keys", "first"), shards.count()).mapInPandas(run, schema)
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
@@ -248,4 +259,4 @@ def occurrences(shards: DataFrame, token: int) -> DataFrame:
                 places = read_shard(uri)[0].places(token)
                 yield pd.DataFrame({"file": uri, "place": np.array(places, dtype=np.int64) + first})
 
-    return shards.select("file", "first").repartition(F.col("file")).mapInPandas(run, "file string, place long")
+    return dealt(shards.select("file", "first"), shards.count()).mapInPandas(run, "file string, place long")
