@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"stem": list(counts), "toxic": both[:, 0], "clean": both[:, 1]})
 
     summed = (fold.select("text", "label").mapInPandas(counted, "stem string, toxic long, clean long")
-              .where("toxic > 0").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+              .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
               .where((F.col("toxic") >= LEAST_SUPPORT) & (F.col("toxic") * n_clean > 3 * F.col("clean") * n_toxic)))
     order = [(F.col("toxic") / n_toxic - F.col("clean") / n_clean).desc(), "stem"]
     found = summed.orderBy(*order).limit(10 * stems).collect()
@@ -294,6 +294,8 @@ def _fitted(fold: DataFrame, names: list[str]) -> dict[str, float]:
             yield pd.DataFrame({"label": frame["label"], "held": rows})
 
     got = fold.select("text", "label").mapInPandas(held, "label int, held array<int>").collect()
+    # In one order, so that sums of floats, and with them the weights, do not depend on partitions.
+    got.sort(key=lambda r: (r["label"], r["held"]))
     x = np.zeros((len(got), len(names)), dtype=np.float32)
     for i, row in enumerate(got):
         x[i, row["held"]] = 1
@@ -309,7 +311,7 @@ def _features(rows: DataFrame, grammar: Grammar) -> tuple[np.ndarray, np.ndarray
             yield pd.DataFrame({"label": frame["label"], "a": [v[0] for v in x], "b": [v[1] for v in x],
                                 "c": [v[2] for v in x]})
 
-    got = rows.select("text", "label").mapInPandas(run, "label int, a double, b double, c double").collect()
+    got = sorted(rows.select("text", "label").mapInPandas(run, "label int, a double, b double, c double").collect())
     return np.array([[r["a"], r["b"], r["c"]] for r in got]), np.array([r["label"] for r in got], dtype=np.float64)
 
 

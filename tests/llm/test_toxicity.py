@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from siltstone.llm import toxicity
+from siltstone.llm import common, toxicity
 
 
 def corpus(seed, n):
@@ -57,6 +57,16 @@ def test_the_sample_is_bounded_and_learning_repeats(spark, learned):
     assert first.stems == second.stems
 
 
+def test_learning_is_the_same_for_any_number_of_partitions(spark, learned, monkeypatch):
+    _, table, labels, _ = learned
+    real, grammars = common.written, []
+    for n in (1, 100):
+        monkeypatch.setattr(common, "written", lambda df, label, n=n: real(df, label).repartition(n))
+        grammars.append(toxicity.learn(table, labels))
+    one, many = grammars
+    assert one.stems and one.stems == many.stems and one.calibration == many.calibration
+
+
 def test_clauses_weigh_negation_report_target_and_threat():
     grammar = toxicity.Grammar({"moron$": 2.0}, [0.0, 1.0, 1.0, 1.0])
     score = lambda text: sum(s for _, s in grammar.clauses(text))
