@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm import license_list
 from siltstone.llm.common import column
 
 # Equivalent spellings, as whole words of the canonical form.
@@ -26,7 +27,7 @@ SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "lic
 
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$"
 
-# Notices and short licences, as their authors word them.
+# Notices and short licences, as their authors word them; ``license_list`` has whole texts and all others.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
@@ -52,11 +53,11 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """Digests of known licences: ``license``, ``digest``."""
-    rows = list((NOTICES if texts is None else texts).items())
+    """Digests of known licences, of the registered list if no other is given: ``license``, ``digest``."""
+    rows = sorted({*NOTICES.items(), *license_list.rows()}) if texts is None else list(texts.items())
     listed = spark.createDataFrame(rows, "license string, text string")
     forms = listed.select("license", canonical(F.col("text")).alias("form"))
-    return forms.where("form <> ''").select("license", F.sha2("form", 256).alias("digest"))
+    return forms.where("form <> ''").select("license", F.sha2("form", 256).alias("digest")).distinct()
 
 
 def scan(df: DataFrame, licenses: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

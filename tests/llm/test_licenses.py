@@ -1,4 +1,6 @@
-from siltstone.llm import licenses
+import textwrap
+
+from siltstone.llm import license_list, licenses
 
 MIT = licenses.NOTICES["MIT"]
 FREE = licenses.NOTICES["FSFAP"]
@@ -29,3 +31,35 @@ def test_lists_and_empty_tables(spark):
     own = licenses.known(spark, {"A": "my own terms version 2", "B": "MY OWN TERMS - V2"})
     assert sorted(r["license"] for r in licenses.scan(df, own).collect()) == ["A", "B"]
     assert licenses.scan(df.limit(0), own).count() == 0 and licenses.scan(df, own.limit(0)).count() == 0
+
+
+def test_registered_list_holds_whole_texts_headers_and_notices(spark):
+    bodies = {p.stem: p.read_text(encoding="utf-8") for p in license_list.FOLDER.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0",
+            "Unlicense", "Zlib"} <= set(bodies)
+    whole = {name: "Copyright (c) 2020 A. B.\n\n" + body for name, body in bodies.items()}
+    whole["MIT@titled"] = "The MIT License (MIT)\n\nCopyright (c) 2020 A. B.\n\n" + bodies["MIT"]
+    whole["MIT@narrow"] = "\n\n".join(textwrap.fill(p, 70) for p in bodies["MIT"].split("\n\n"))
+    whole["Apache-2.0@terms"] = bodies["Apache-2.0"].split(license_list.END)[0]
+    whole["Apache-2.0@header"] = "\n".join("# " + x for x in license_list._APACHE.format(url="http").split("\n"))
+    whole["LGPL-3.0@header"] = """/*
+ * Copyright 2020 A. B.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Lesser General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU Lesser General Public License for more details.
+ *
+ * You should have received a copy of the GNU Lesser General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>.
+ */"""
+    whole |= {"MIT@spdx": "// SPDX-License-Identifier: MIT", "GPL-3.0@notice": "This project is licensed under the GNU GPL v3.",
+              "CC-BY-SA-4.0@notice": "Licensed under CC BY-SA 4.0."}
+    df = spark.createDataFrame(list(whole.items()), "doc_id string, text string")
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(df, licenses.known(spark)).where("whole_text").collect()}
+    assert found == {(name, name.partition("@")[0]) for name in whole}
