@@ -63,3 +63,29 @@ def test_registered_list_holds_whole_texts_headers_and_notices(spark):
     df = spark.createDataFrame(list(whole.items()), "doc_id string, text string")
     found = {(r["doc_id"], r["license"]) for r in licenses.scan(df, licenses.known(spark)).where("whole_text").collect()}
     assert found == {(name, name.partition("@")[0]) for name in whole}
+
+
+def test_licences_inside_longer_documents(spark):
+    body = (license_list.FOLDER / "MIT.txt").read_text(encoding="utf-8").strip()
+    unwrapped = "\n\n".join(p.replace("\n", " ") for p in body.split("\n\n"))
+    notice = "This project is licensed\n  under the MIT\nLicense."
+    split = body.replace("sublicense, and/or", "sub\nlicence, and/or")
+    comment = "\n".join("# " + x for x in body.split("\n"))
+    docs = [(1, f"# A project\n\nProse.\n\n## Licence\n\n{body}\n\nMore prose."), (2, f"Prose\n{notice}\nmore prose"),
+            (3, f"{body}\nprose\n{split}\n"), (4, f"import x\n{comment}\nx()"), (5, f"Prose.\n\n{unwrapped}"),
+            (6, f"Prose {body}"), (7, f"Prose\n{body} and more"), (8, body), (9, body.replace("copy", "cop")),
+            (10, f"Prose\n\n{notice}\n\nmore"), (11, "permission is hereby granted\n" * 2000 + body)]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    found = {r["doc_id"]: (r["license"], r["whole_text"], r["paragraphs"], r["lines"])
+             for r in licenses.scan(df, licenses.known(spark)).collect()}
+    inside = ("MIT", False, 1, 0)
+    assert found == {1: inside, 2: inside, 3: ("MIT", False, 2, 0), 4: inside, 5: inside, 8: ("MIT", True, 0, 0), 10: inside,
+                     11: inside}
+
+
+def test_runs_of_short_licences_and_of_two_words(spark):
+    own = licenses.known(spark, {"A": "my terms", "B": "my terms\n\napply here now", "C": "now"})
+    df = spark.createDataFrame([(1, "x\nmy\nterms\n\napply here\nnow\ny"), (2, "my\n\nterms"), (3, "xmy\nterms\n")],
+                               "doc_id int, text string")
+    found = {(r["doc_id"], r["license"]): (r["whole_text"], r["paragraphs"], r["lines"]) for r in licenses.scan(df, own).collect()}
+    assert found == {(1, "A"): (False, 1, 0), (1, "B"): (False, 1, 0), (1, "C"): (False, 0, 1), (2, "A"): (True, 0, 0)}
