@@ -38,7 +38,7 @@ SHARE = 0.02
 SAMPLE = 5000
 SEED = 7
 VISITS = 16_384  # queries that meet the rows of a block in one group; more are dealt to further copies of the block
-SPARE = 4  # more than k + 1 are kept per block before exact scores, for the last bits of a matrix product
+PAIRS = 1 << 16  # exact scores made at once
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -155,18 +155,21 @@ def _best(k: int):
         here, asking = np.flatnonzero(~visits), np.flatnonzero(visits)
         if not len(here) or not len(asking):
             return pd.DataFrame({"q": [], "g": [], "score": []}).astype({"q": "int64", "g": "int64"})
-        near, most = vectors[asking] @ vectors[here].T, min(k + 1 + SPARE, len(here))
-        near[codes[asking][:, None] == codes[here][None, :]] = -np.inf
-        top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(here) else np.tile(
-            np.arange(len(here)), (len(asking), 1))
-        exact = dot(vectors[asking][:, None, :], vectors[here][top])
-        exact[codes[asking][:, None] == codes[here][top]] = -np.inf
-        order = np.lexsort((reps[here][top], -exact), axis=1)[:, :k + 1]
-        rows = np.arange(len(asking))[:, None]
-        chosen, score = top[rows, order], exact[rows, order]
-        found = pd.DataFrame({"q": np.repeat(codes[asking], chosen.shape[1]), "g": codes[here][chosen].ravel(),
-                              "score": score.ravel()})
-        return found[found["score"] > -np.inf]
+        near, most = vectors[asking] @ vectors[here].T, min(k + 1, len(here))
+        own = codes[asking][:, None] == codes[here][None, :]
+        near[own] = -np.inf
+        # All that may be among the best by exact score, however many: the product differs from it by rounding only.
+        cut = np.partition(near, len(here) - most, axis=1)[:, len(here) - most]
+        norms = np.sqrt(np.sum(vectors * vectors, axis=1))
+        margin = 4 * vectors.shape[1] * np.finfo(np.float64).eps * norms[asking] * norms[here].max()
+        least = np.where(np.isfinite(margin), cut - margin, -np.inf)
+        asker, met = np.nonzero((near >= least[:, None]) & ~own)
+        score = np.concatenate([np.empty(0), *(dot(vectors[asking[asker[i:i + PAIRS]]], vectors[here[met[i:i + PAIRS]]])
+                                               for i in range(0, len(asker), PAIRS))])
+        order = np.lexsort((reps[here[met]], -score, asker))
+        asker, met, score = asker[order], met[order], score[order]
+        best = np.arange(len(asker)) - np.searchsorted(asker, asker) <= k
+        return pd.DataFrame({"q": codes[asking[asker[best]]], "g": codes[here[met[best]]], "score": score[best]})
 
     return run
 

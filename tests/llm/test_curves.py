@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,14 @@ def test_nothing_to_search(spark, rows):
     assert curves.neighbours(table(spark, rows), F.col("id") % 20 == 0).collect() == []
     found = curves.neighbours(table(spark, rows), F.col("id") % 20 == 0)
     assert found.columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_ties_at_the_cut_of_a_block_go_to_smaller_ids():
+    rng = np.random.default_rng(3)
+    vectors = np.column_stack([np.ones(300), np.arange(300.0), rng.integers(-5, 5, (300, 6))])
+    asked = np.array([[1.0] + [0.0] * 7])
+    ids = rng.permutation(300) + 1
+    frame = pd.DataFrame({"visits": [False] * 300 + [True], "g": np.r_[ids + 1000, 7], "rep": np.r_[ids, 0],
+                          "vec": [*vectors, asked[0]]})
+    found = curves._best(5)(frame)
+    assert found["g"].tolist() == list(range(1001, 1007)) and set(found["q"]) == {7} and set(found["score"]) == {1.0}
