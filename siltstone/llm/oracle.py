@@ -86,4 +86,24 @@ SELECT page_id, host, path, CASE WHEN b.rank = 1 THEN b.key END AS rule, coalesc
 FROM p LEFT JOIN best ON p.row = best.row
 """
 
-ORACLE = {"op4_warc": OP4, "op5_rules": OP5, "op7_licenses": OP7, "op10_urlfilter": OP10}
+OP11 = r"""
+WITH u AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us
+    FROM documents),
+d AS (SELECT doc_id, t, us, len(us) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(us) + 1) AS a,
+             CAST('0x' || h[9:16] AS BIGINT) % (len(us) + 1) AS b,
+             CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT doc_id, t, n, form, array_to_string(us[1:least(a, b)], '') AS p,
+             array_to_string(us[least(a, b) + 1:greatest(a, b)], '') AS m,
+             array_to_string(us[greatest(a, b) + 1:], '') AS s FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLE = {"op4_warc": OP4, "op5_rules": OP5, "op7_licenses": OP7, "op10_urlfilter": OP10, "op11_fim": OP11}

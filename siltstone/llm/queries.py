@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import curves, licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter, warc, wavelet
+from siltstone.llm import (curves, fim, licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter,
+                           warc, wavelet, whitening)
 from siltstone.llm.common import table
 
 
@@ -65,5 +66,17 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), listed)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the rewritten texts and of the texts rebuilt from them."""
+    found = fim.transformed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_wavelet, op4_warc, op5_rules, op6_toxicity, op7_licenses,
-                                   op8_mixing, op9_curves, op10_urlfilter)}
+                                   op8_mixing, op9_curves, op10_urlfilter, op11_fim, op13_whitening)}
