@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import (curves, fim, licenses, mixing, packing, rules, simhash, tokens, toxicity, urlfilter,
+from siltstone.llm import (curves, fim, licenses, mixing, packing, rules, simhash, substrings, tokens, toxicity, urlfilter,
                            warc, wavelet, whitening)
 from siltstone.llm.common import table
 
@@ -74,9 +74,15 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of what is left of every text without the passages that occur earlier."""
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_wavelet, op4_warc, op5_rules, op6_toxicity, op7_licenses,
-                                   op8_mixing, op9_curves, op10_urlfilter, op11_fim, op13_whitening)}
+                                   op8_mixing, op9_curves, op10_urlfilter, op11_fim, op12_substrings, op13_whitening)}
