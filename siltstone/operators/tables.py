@@ -130,6 +130,17 @@ def quote_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def type_text(kind: T.DataType) -> str:
     """A type as SQL text, with the names inside structs quoted."""
     if isinstance(kind, T.StructType):

@@ -149,7 +149,40 @@ priv AS (SELECT user_id, "catalog", "schema", "table", privilege, bool_or(cols I
          GROUP BY user_id, "catalog", "schema", "table", privilege)
 """
 
+_SALES = """
+gone_s AS (SELECT s_suppkey FROM supplier JOIN gone_n ON s_nationkey = n_nationkey UNION SELECT s_suppkey FROM debt),
+gone_c AS (SELECT c_custkey FROM customer JOIN gone_n ON c_nationkey = n_nationkey),
+gone_o AS (SELECT o_orderkey FROM orders JOIN gone_c ON o_custkey = c_custkey),
+lines AS (SELECT *, l_orderkey IN (FROM gone_o) OR l_suppkey IN (FROM gone_s) AS gone FROM lineitem)
+"""
+
 ORACLE = {
+    "cascade_sales": f"""WITH
+        gone_n AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'),
+        debt AS (SELECT s_suppkey FROM supplier WHERE s_acctbal < -500), {_SALES},
+        total(table_name, removed, rows) AS (
+          SELECT 'region', (SELECT count(*) FROM region WHERE r_name = 'EUROPE'), (SELECT count(*) FROM region)
+          UNION ALL SELECT 'nation', (SELECT count(*) FROM gone_n), (SELECT count(*) FROM nation)
+          UNION ALL SELECT 'supplier', (SELECT count(*) FROM gone_s), (SELECT count(*) FROM supplier)
+          UNION ALL SELECT 'customer', (SELECT count(*) FROM gone_c), (SELECT count(*) FROM customer)
+          UNION ALL SELECT 'orders', (SELECT count(*) FROM gone_o), (SELECT count(*) FROM orders)
+          UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lines WHERE gone), (SELECT count(*) FROM lineitem))
+        SELECT table_name, removed AS removed_rows, rows - removed AS kept_rows FROM total""",
+    "cascade_lines": f"""WITH gone_n AS (SELECT n_nationkey FROM nation WHERE n_nationkey % 4 = 1),
+        debt AS (SELECT s_suppkey FROM supplier WHERE false), {_SALES}
+        SELECT l_suppkey, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity,
+               CAST(sum(l_orderkey) AS BIGINT) AS orders
+        FROM lines WHERE NOT gone GROUP BY l_suppkey""",
+    "cascade_grants": f"""WITH {_GRANTS}
+        SELECT user_id, object_type, object_id, count(*) AS grants
+        FROM grants JOIN named USING (object_type, object_id)
+        WHERE "catalog" <> 'ASIA' AND NOT (object_type = 'table'
+              AND object_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0))
+        GROUP BY user_id, object_type, object_id""",
+    "cascade_tree": """WITH RECURSIVE
+        gone AS (SELECT c_custkey FROM customer WHERE c_nationkey = 11
+                 UNION SELECT c.c_custkey FROM customer c JOIN gone g ON c.c_custkey // 3 = g.c_custkey)
+        SELECT c_custkey, c_nationkey, c_custkey // 3 AS recruiter FROM customer WHERE c_custkey NOT IN (FROM gone)""",
     "role_closure": f"WITH RECURSIVE {_TREE} SELECT subject, role FROM members",
     "effective_relations": f"""WITH RECURSIVE {_HELD}
         SELECT subject, object, "create", "describe", modify, "select", ownership, pass_grants FROM held""",

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, grants, relations, secure
+from siltstone.operators import access, cascade, grants, relations, secure
+from siltstone.operators.cascade import ForeignKey
 from siltstone.operators.closure import role_members
 from siltstone.operators.joins import lookup_join
 from siltstone.plans.lake_queries import read
@@ -507,8 +508,61 @@ def grant_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grants.revoke(held, tuples(lines.where("l_returnflag = 'R'"), "select"))
 
 
+# -- cascading deletes --------------------------------------------------------------------------------------------
+
+SALES_KEYS = [ForeignKey("nation", ("n_regionkey",), "region", ("r_regionkey",)),
+              ForeignKey("supplier", ("s_nationkey",), "nation", ("n_nationkey",)),
+              ForeignKey("customer", ("c_nationkey",), "nation", ("n_nationkey",)),
+              ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",)),
+              ForeignKey("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)),
+              ForeignKey("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",))]
+
+
+def cascade_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows removed and kept in every table when a region and the suppliers in deep debt go."""
+    names = ("region", "nation", "supplier", "customer", "orders", "lineitem")
+    found = cascade.cascade({n: read(spark, sf_dir, n) for n in names}, SALES_KEYS,
+                            {"region": "r_name = 'EUROPE'", "supplier": "s_acctbal < -500"})
+    return found.counts()
+
+
+def cascade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items that are left, as counts and sums per supplier."""
+    names = ("region", "nation", "supplier", "customer", "orders", "lineitem")
+    found = cascade.cascade({n: read(spark, sf_dir, n) for n in names}, SALES_KEYS, {"nation": "n_nationkey % 4 = 1"})
+    return found.kept["lineitem"].groupBy("l_suppkey").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
+        F.sum("l_orderkey").alias("orders"))
+
+
+def cascade_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants left when a catalog and the tables of indebted suppliers go: schemas fall with their catalog, tables with
+    their schema, and a grant with the object that its type names."""
+    traded = _traded(spark, sf_dir)
+    tables = {"catalog": read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("catalog_id"), "r_name"),
+              "schema": read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("schema_id"),
+                                                             F.col("n_regionkey").alias("catalog_id")),
+              "table": read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("table_id"), "s_acctbal",
+                                                              F.col("s_nationkey").alias("schema_id")),
+              "relation": relation_rows(spark, sf_dir, traded)}
+    keys = [ForeignKey("schema", ("catalog_id",), "catalog", ("catalog_id",)),
+            ForeignKey("table", ("schema_id",), "schema", ("schema_id",)),
+            *(ForeignKey("relation", ("object_id",), kind, (f"{kind}_id",), when=f"object_type = '{kind}'")
+              for kind in ("catalog", "schema", "table"))]
+    left = cascade.cascade(tables, keys, {"catalog": "r_name = 'ASIA'", "table": "s_acctbal < 0"}).kept["relation"]
+    return left.groupBy("user_id", "object_type", "object_id").agg(F.count(F.lit(1)).alias("grants"))
+
+
+def cascade_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers left when those of one nation and, over any number of steps, all whom they recruited go."""
+    recruited = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
+                                                       F.expr("c_custkey DIV 3").alias("recruiter"))
+    key = ForeignKey("customer", ("recruiter",), "customer", ("c_custkey",))
+    return cascade.cascade({"customer": recruited}, [key], {"customer": "c_nationkey = 11"}).kept["customer"]
+
+
 QUERIES = {f.__name__: f for f in (
-    role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
+    cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
     listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, visible_tables,
     visible_columns, column_batches, split_lookup, row_filter, column_mask, role_masks, secured_dataset, grant_checks,
     grant_updates, grant_revoke)}
