@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.access import column_decisions
+from siltstone.operators.joins import lookup_join
+from siltstone.operators.tables import free_names, quote_name
+from siltstone.session import settle
+
+# Row filters are evaluated so many at a time; a word of a bit mask holds 63 of them.
+WORD_BITS = 63
+FILTERS_AT_ONCE = 8 * WORD_BITS
 
 # A mask shows this many characters, then this text.
 MASK_SHOWN = 3
@@ -111,7 +118,134 @@ def mask_columns(df: DataFrame, masks: DataFrame, user: str, place: tuple[str, s
     wrong = [name for name in named if not isinstance(types[name], T.StringType)]
     if wrong:
         raise TypeError(f"only text columns can be masked: {', '.join(wrong)}")
-    return df.withColumns({name: masked(F.col(f"`{name}`")) for name in named}) if named else df
+    return df.withColumns({name: masked(F.col(quote_name(name))) for name in named}) if named else df
+
+
+def _at(policies: DataFrame, place: tuple[str, str, str]) -> DataFrame:
+    catalog, schema, table = place
+    return policies.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == table))
+
+
+def filter_masks(df: DataFrame, expressions: list[str], mask: str) -> DataFrame:
+    """``df`` with the column ``mask``: the bits of the expressions that hold for the row, in words of ``WORD_BITS``.
+    An expression that is NULL for a row does not hold. Many expressions are evaluated in several written passes."""
+    names = free_names(df, *(f"{mask}{i}" for i in range(-(-len(expressions) // WORD_BITS))))
+    rows = df
+    for start in range(0, len(expressions), FILTERS_AT_ONCE):
+        if start:
+            rows = settle(rows, "filter-masks").frame
+        words = {}
+        for first in range(start, min(start + FILTERS_AT_ONCE, len(expressions)), WORD_BITS):
+            bits = [F.when(F.expr(f"coalesce(({text}), false)"), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                    for i, text in enumerate(expressions[first:min(first + WORD_BITS, start + FILTERS_AT_ONCE)])]
+            while len(bits) > 1:
+                # Pairwise, so that many filters make a shallow expression.
+                bits = [reduce(lambda a, b: a.bitwiseOR(b), bits[i:i + 2]) for i in range(0, len(bits), 2)]
+            words[names[first // WORD_BITS]] = bits[0]
+        rows = rows.withColumns(words)
+    whole = F.array(*[F.col(n) for n in names]) if names else F.array().cast("array<bigint>")
+    return rows.select(*[F.col(quote_name(c)) for c in df.columns], whole.alias(mask))
+
+
+def _words(bits: Column, count: int) -> Column:
+    """Bit numbers as words of a mask."""
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda w: F.aggregate(
+        F.filter(bits, lambda b: F.floor(b / WORD_BITS) == w), F.lit(0).cast("bigint"),
+        lambda found, b: found.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                                                         F.pmod(b, F.lit(WORD_BITS)).cast("int")))))
+
+
+def filter_for_users(df: DataFrame, row_filters: DataFrame, users: DataFrame, place: tuple[str, str, str],
+                     user_column: str = "user_id") -> DataFrame:
+    """The rows that each of ``users`` may see, all in one plan: the columns of ``df`` and those of ``users``.
+
+    Each distinct filter is evaluated once per row, as a bit of the row's mask. Users whose filters are the same share one
+    need. A need meets the distinct masks by its rarest filter alone and is then tested on whole masks, so that rows and
+    users are never paired without a filter in common; a need without filters meets every mask. Rows take their users by
+    their mask. Only the texts of the distinct filters of the table reach the driver, to become part of the plan.
+    """
+    mask, need, bits, bit = free_names(df.select("*", *[F.lit(0).alias(c) for c in users.columns]),
+                                       "mask", "need", "bits", "bit")
+    wanted = users.select(F.col(quote_name(user_column)).alias("user_id")).distinct()
+    held = settle(_at(row_filters, place).where("filter_expression IS NOT NULL").select("user_id", "filter_expression")
+                  .distinct().join(wanted, "user_id", "left_semi"), "filters").frame
+    texts = sorted(r[0] for r in held.select("filter_expression").distinct().collect())
+    numbers = df.sparkSession.createDataFrame(list(enumerate(texts)), "bit int, filter_expression string")
+    sets = (held.join(numbers, "filter_expression").groupBy("user_id")
+            .agg(F.array_sort(F.collect_set("bit")).alias(bits)))
+    empty = F.array().cast("array<int>")
+    needed = settle(users.join(sets.withColumnRenamed("user_id", user_column), user_column, "left")
+                    .withColumn(bits, F.coalesce(F.col(bits), empty)), "needs")
+
+    rows = filter_masks(df, texts, mask)
+    # Distinct masks with their rows; the place -1 stands for a need without filters.
+    seen = settle(rows.groupBy(mask).agg(F.count(F.lit(1)).alias("rows")), "masks").frame
+    places = [F.when(F.call_function("shiftright", F.get(F.col(mask), F.lit(i // WORD_BITS)), F.lit(i % WORD_BITS))
+                     .bitwiseAND(F.lit(1)) == 1, F.lit(i)) for i in range(len(texts))]
+    set_bits = settle(seen.select(mask, "rows", F.explode(F.array_compact(F.array(F.lit(-1), *places))).alias("pivot")),
+                      "mask-bits").frame
+    often = {r["pivot"]: r["rows"] for r in set_bits.groupBy("pivot").agg(F.sum("rows").alias("rows")).collect()}
+    rank = df.sparkSession.createDataFrame([(i, often.get(i, 0)) for i in range(len(texts))], "bit int, often bigint")
+    kinds = needed.frame.select(F.col(bits)).distinct()
+    rarest = (kinds.select(bits, F.explode(bits).alias("bit")).join(F.broadcast(rank), "bit").groupBy(bits)
+              .agg(F.min_by("bit", F.struct("often", "bit")).alias("pivot"))
+              .unionByName(kinds.where(F.size(bits) == 0).select(bits, F.lit(-1).alias("pivot"))))
+    asked = settle(rarest.withColumn(need, _words(F.col(bits), max(1, -(-len(texts) // WORD_BITS)))), "asked")
+    fits = F.forall(F.arrays_zip(F.col(mask).alias("m"), F.col(need).alias("n")),
+                    lambda z: F.coalesce(z["m"].bitwiseAND(z["n"]), F.lit(0)) == z["n"])
+    pairs = settle(lookup_join(set_bits, asked, ["pivot"]).where(fits).select(mask, bits), "mask-needs")
+    given = lookup_join(rows, pairs, [mask]).drop(mask)
+    return lookup_join(given, needed, [bits]).drop(bits)
+
+
+def columns_for_users(df: DataFrame, grants: DataFrame, users: DataFrame, place: tuple[str, str, str]) -> DataFrame:
+    """``(user_id, columns)``: the columns of ``df`` that each user may see, in table order; users who see none are absent."""
+    names = F.array(*[F.lit(c) for c in df.columns])
+    resource = F.struct(F.lit("table").alias("level"), *[F.lit(p).alias(n) for n, p in
+                                                         zip(("catalog", "schema", "table"), place, strict=True)],
+                        names.alias("columns"))
+    asked = users.select("user_id").distinct()
+    requests = asked.select(F.lit(0).alias("request_id"), "user_id", resource.alias("resource"))
+    mine = grants.join(asked, "user_id", "left_semi")
+    shown = column_decisions(requests, mine).where("allowed").groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("index", "column"))).alias("found"))
+    return shown.select("user_id", F.transform("found", lambda c: c["column"]).alias("columns"))
+
+
+def secured_for_users(df: DataFrame, place: tuple[str, str, str], policies: Policies,
+                      users: DataFrame | None = None) -> DataFrame:
+    """``df`` as each of ``users(user_id)`` may see it, with ``user_id``: allowed rows, columns and masks of all in one plan.
+
+    A column that a user may not see is NULL in the rows of that user, and ``columns_for_users`` tells which these are;
+    users who see no column have no rows. Without ``users``, all that hold a grant on anything are meant. Filters see
+    unmasked values. A mask that names no column, or one that is not text, fails the job.
+    """
+    if any(c.lower() == "user_id" for c in df.columns):
+        raise ValueError("the table has a column user_id of its own")
+    everyone = (policies.grants if users is None else users).select("user_id").distinct()
+    shown, hidden = free_names(df, "shown", "hidden")
+    able = settle(columns_for_users(df, policies.grants, everyone, place).withColumnRenamed("columns", shown), "able").frame
+    sets = _masked_names(df, policies.masks.join(able, "user_id", "left_semi"), place).withColumnRenamed("names", hidden)
+    facts = able.join(sets, "user_id", "left")
+    rows = filter_for_users(df, policies.row_filters, facts, place)
+    case, out = _case(df), []
+    for f in df.schema.fields:
+        value = F.col(quote_name(f.name))
+        if isinstance(f.dataType, T.StringType):
+            value = F.when(F.array_contains(hidden, case(f.name)), masked(value)).otherwise(value)
+        out.append(F.when(F.array_contains(shown, f.name), value).alias(f.name))
+    return rows.select("user_id", *out)
+
+
+def _masked_names(df: DataFrame, masks: DataFrame, place: tuple[str, str, str]) -> DataFrame:
+    """``(user_id, names)``: the columns masked for each user, in the case in which this session compares names."""
+    case = _case(df)
+    texts = [case(f.name) for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    name = F.col("column") if case("A") == "A" else F.lower("column")
+    fault = F.raise_error(F.concat(F.lit("cannot be masked: "), F.col("column"))).cast("string")
+    return (_at(masks, place).where("column IS NOT NULL")
+            .select("user_id", F.when(name.isin(texts), name).otherwise(fault).alias("name"))
+            .groupBy("user_id").agg(F.collect_set("name").alias("names")))
 
 
 def mask_for_users(df: DataFrame, user_column: str, masks: DataFrame, place: tuple[str, str, str]) -> DataFrame:
@@ -121,20 +255,14 @@ def mask_for_users(df: DataFrame, user_column: str, masks: DataFrame, place: tup
     fails the job.
     """
     case = _case(df)
-    catalog, schema, table = place
     columns = {case(f.name): f for f in df.schema.fields if f.name != user_column}
     texts = [key for key, f in columns.items() if isinstance(f.dataType, T.StringType)]
-    name = F.col("column") if case("A") == "A" else F.lower("column")
-    here = masks.where((F.col("catalog") == catalog) & (F.col("schema") == schema) & (F.col("table") == table)
-                       & F.col("column").isNotNull())
-    fault = F.raise_error(F.concat(F.lit("cannot be masked: "), F.col("column"))).cast("string")
-    named = here.select(F.col("user_id").alias(user_column),
-                        F.when(name.isin(texts), name).otherwise(fault).alias("_name"))
-    sets = named.groupBy(user_column).agg(F.collect_set("_name").alias("_masked"))
+    plain = df.select(*[F.col(quote_name(f.name)) for f in columns.values()])
+    sets = _masked_names(plain, masks, place).select(F.col("user_id").alias(user_column), F.col("names").alias("_masked"))
     joined = df.join(sets, user_column, "left")
-    built = {columns[key].name: F.when(F.array_contains("_masked", key), masked(F.col(f"`{columns[key].name}`")))
-             .otherwise(F.col(f"`{columns[key].name}`")) for key in texts}
-    return joined.withColumns(built).select(*[F.col(f"`{c}`") for c in df.columns])
+    built = {columns[key].name: F.when(F.array_contains("_masked", key), masked(F.col(quote_name(columns[key].name))))
+             .otherwise(F.col(quote_name(columns[key].name))) for key in texts}
+    return joined.withColumns(built).select(*[F.col(quote_name(c)) for c in df.columns])
 
 
 def visible_columns(df: DataFrame, grants: DataFrame, user: str, place: tuple[str, str, str]) -> list[str]:
@@ -154,4 +282,4 @@ def secured(df: DataFrame, user: str, place: tuple[str, str, str], policies: Pol
     if not columns:
         raise PermissionError(f"{user} may not read {'.'.join(place)}")
     rows = filter_rows(df, policies.row_filters, user, place)
-    return mask_columns(rows.select(*[F.col(f"`{c}`") for c in columns]), policies.masks, user, place, df)
+    return mask_columns(rows.select(*[F.col(quote_name(c)) for c in columns]), policies.masks, user, place, df)

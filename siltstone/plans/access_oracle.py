@@ -362,6 +362,15 @@ ORACLE = {
     "secured_dataset": """
         SELECT c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey, c_mktsegment
         FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0""",
+    "secured_for_users": """
+        SELECT 'analyst_' || c_nationkey AS user_id, c_custkey, substring(c_name, 1, 3) || '******' AS c_name, c_nationkey,
+               CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment
+        FROM customer WHERE c_acctbal > 0""",
+    "rows_of_users": """
+        SELECT 'c' || c_custkey AS user_id, count(*) AS orders, CAST(sum(o_orderkey) AS BIGINT) AS keys
+        FROM customer JOIN orders ON c_acctbal >= 9990
+             OR (o_custkey % 25 = c_nationkey AND o_orderkey % 100 = c_custkey % 100)
+        GROUP BY c_custkey""",
     "grant_checks": f"""WITH {_BASE}
         SELECT 'actions_empty' AS rule, count(*) AS violations FROM customer WHERE c_mktsegment = 'HOUSEHOLD'
         UNION ALL SELECT 'actions_unknown', count(*) FROM customer WHERE c_mktsegment = 'FURNITURE'

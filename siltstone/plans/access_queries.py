@@ -463,6 +463,26 @@ def secured_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secure.secured(read(spark, sf_dir, "customer"), "analyst_7", PLACE, _policies(spark, sf_dir))
 
 
+def secured_for_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as each of the analysts may see them, all in one plan."""
+    return secure.secured_for_users(read(spark, sf_dir, "customer"), PLACE, _policies(spark, sf_dir))
+
+
+def rows_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as every customer may see them, counted per customer: two filters for each, a hundred and twenty-five in
+    all, and none for the highest balances."""
+    users = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("user_id"), "c_custkey",
+                                                   "c_nationkey", "c_acctbal")
+    filters = users.where("c_acctbal < 9990").select("user_id", F.explode(F.array(
+        F.concat(F.lit("o_custkey % 25 = "), "c_nationkey"),
+        F.concat(F.lit("o_orderkey % 100 = "), (F.col("c_custkey") % 100).cast("string")))).alias("filter_expression"))
+    placed = filters.select("user_id", F.lit(PLACE[0]).alias("catalog"), F.lit(PLACE[1]).alias("schema"),
+                            F.lit("orders").alias("table"), "filter_expression")
+    seen = secure.filter_for_users(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), placed,
+                                   users.select("user_id"), (*PLACE[:2], "orders"))
+    return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"))
+
+
 # -- keeping grants -----------------------------------------------------------------------------------------------
 
 def grant_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,5 +584,6 @@ def cascade_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
     listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, visible_tables,
-    visible_columns, column_batches, split_lookup, row_filter, column_mask, role_masks, secured_dataset, grant_checks,
+    visible_columns, column_batches, split_lookup, row_filter, column_mask, role_masks, secured_dataset,
+    secured_for_users, rows_of_users, grant_checks,
     grant_updates, grant_revoke)}
