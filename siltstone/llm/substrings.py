@@ -38,8 +38,8 @@ from siltstone.operators.joins import lookup_join
 from siltstone.session import settle
 
 WINDOW = 20
-GRAM = 6
-FREQUENT = 10_000
+GRAM = 4
+FREQUENT = 1000
 PHRASES = 100_000
 SCAN_WORDS = 250_000  # words put into arrays at a time
 COUNTED = 2_000_000  # passages counted at a time within a task
