@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.common import column, written
 from siltstone.operators.joins import lookup_join
-from siltstone.session import settle
+from siltstone.session import fresh_namespace, settle
 
 WINDOW = 20
 GRAM = 4
@@ -62,6 +62,15 @@ def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
                    .withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """``docs`` written as a table bucketed by document, so that texts are dealt once and later joins move none."""
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{fresh_namespace(spark, 'texts')}.docs"
+    docs.repartition(buckets, "doc").write.bucketBy(buckets, "doc").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 class _Hashes(dict):
     """A 64-bit hash per word, the same in every process."""
 
@@ -339,7 +348,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     ``kept`` (the remaining words, joined by blanks)."""
     if not 1 <= gram <= window or window - gram >= _RUN:
         raise ValueError("gram must be at most window, and less than it by at most 63")
-    docs = numbered(df, key, text)
+    docs = by_document(numbered(df, key, text))
     passages = written(candidates(docs, window, gram), "passages")
     codes = repeated(passages, frequent).groupBy("doc").agg(F.collect_list("code").alias("codes"))
     sent = cut_passages(docs.join(codes, "doc"), window, gram)
