@@ -24,8 +24,10 @@ named columns are read; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -115,7 +117,8 @@ def candidates(docs: DataFrame, window: int, gram: int) -> DataFrame:
         def passages(keys: list[int], texts: list[list[bytes]]) -> None:
             nonlocal count
             lengths = np.array([len(t) for t in texts])
-            words = np.fromiter((hashes[w] for t in texts for w in t), dtype=np.uint64, count=int(lengths.sum()))
+            words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), dtype=np.uint64,
+                                count=int(lengths.sum()))
             owner = np.repeat(np.arange(len(texts)), lengths)
             first, at, many, run = named_runs(words, owner, window, gram)
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -236,31 +239,104 @@ def cut_passages(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.select("doc", "body", "codes").mapInArrow(cut, _SENT)
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+class Phrases:
+    """The windows of some passages as streams of letters for an automaton.
+
+    A letter is a run of ``wide`` words, numbered exactly, and each passage gives one stream for each of the ``wide`` places
+    where such runs can start, so that a window is a row of neighbouring letters in one of them. A letter is spelt in
+    three symbols of their own alphabets, which keeps the branches of every node of the automaton few. ``slot`` counts
+    letters over all streams, between which lies one that no phrase has.
+    """
+
+    def __init__(self, bodies: list[bytes], window: int):
+        self.wide = next(w for w in (4, 2, 1) if window % w == 0)
+        self.long = window // self.wide
+        split = [body.split(b" ") for body in bodies]
+        sizes = np.array([len(words) for words in split], dtype=np.int64)
+        numbers = _Numbers()
+        runs = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(sizes.sum()))
+        width = 1
+        while width < self.wide:
+            # Numbers of runs twice as wide, from the two halves; a run at the very end stands for nothing.
+            later = np.concatenate([runs[width:], runs[:width]])
+            runs, width = pd.factorize(runs * (int(runs.max()) + 1) + later)[0].astype(np.int64), 2 * width
+        passage = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(passage)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole = place <= sizes[passage] - self.wide
+        passage, place, runs = passage[whole], place[whole], runs[whole]
+        order = np.lexsort((place, place % self.wide, passage))
+        passage, place, runs = passage[order], place[order], runs[order]
+        stream = passage * self.wide + place % self.wide
+        gaps = np.concatenate([[0], np.cumsum(stream[1:] != stream[:-1])])
+        slot = np.arange(len(runs)) + gaps
+        count = len(runs) + int(gaps[-1]) + 1
+        self.letter = np.full(count, -1, dtype=np.int64)
+        self.passage, self.place = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+        self.letter[slot], self.passage[slot], self.place[slot] = runs, passage, place
+        # Windows start where the letters needed lie in one stream.
+        starts = slot[: len(slot) - self.long + 1]
+        ends = slot[self.long - 1:]
+        self.starts = starts[ends == starts + self.long - 1]
+
+    def symbols(self) -> tuple[int, ...]:
+        spelt = np.stack([self.letter % 64, 64 + self.letter // 64 % 64, 128 + self.letter // 4096], axis=1)
+        spelt[self.letter < 0] = 1 << 30
+        return tuple(spelt.ravel().tolist())
+
+    def recurring(self) -> np.ndarray:
+        """Starts of windows to compile: the first of equal ones that occur more than once.
+
+        Windows are grouped by a hash and then held against the first of their group letter by letter; one that differs is
+        compiled too, so that none is missed.
+        """
+        code = np.zeros(len(self.starts), dtype=np.uint64)
+        for i in range(self.long):
+            code = code * _STEP + (self.letter[self.starts + i].astype(np.uint64) + np.uint64(1)) * _MIX
+            code ^= code >> np.uint64(32)
+        group, _ = pd.factorize(code.view(np.int64))
+        size = np.bincount(group)
+        head = np.zeros(len(size), dtype=np.int64)
+        head[group[::-1]] = np.arange(len(group))[::-1]
+        first = self.starts[head][group]
+        strange = np.zeros(len(group), dtype=bool)
+        for i in range(self.long):
+            strange |= self.letter[self.starts + i] != self.letter[first + i]
+        return self.starts[((size[group] > 1) & (self.starts == first)) | strange]
+
+
 def located(doc: np.ndarray, at: np.ndarray, bodies: list[bytes], window: int) -> Iterator[tuple[int, int, int]]:
     """Spans of words (document, from, to) of the given passages that repeat a window of an earlier place.
 
-    All windows go into one automaton whose letters are words; the passages are streamed through it.
+    Confirmed windows go into one automaton, and the passages are streamed through it.
     """
     import ahocorasick
-    letters: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    texts, added = [], 0
-    for body in bodies:
-        text = tuple([letters.setdefault(w, len(letters)) for w in body.split(b" ")])
-        texts.append(text)
-        for i in range(len(text) - window + 1):
-            automaton.add_word(text[i:i + window], added)  # a phrase known already takes the new number
-            added += 1
-    automaton.make_automaton()
-    hits = [(k, end, phrase) for k, text in enumerate(texts) for end, phrase in automaton.iter(text)]
-    if not hits:
+    if not bodies:
+        return
+    phrases = Phrases(bodies, window)
+    compiled = phrases.recurring()
+    if not len(compiled):
         return
-    passage, end, phrase = np.array(hits, dtype=np.int64).T
-    start = at[passage] + end - (window - 1)
+    symbols, automaton = phrases.symbols(), ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for number, start in enumerate(compiled.tolist()):
+        automaton.add_word(symbols[3 * start:3 * (start + phrases.long)], number)
+    automaton.make_automaton()
+    hits = np.array(list(automaton.iter(symbols)), dtype=np.int64)
+    slot, phrase = hits[:, 0] // 3 - phrases.long + 1, hits[:, 1]
+    passage = phrases.passage[slot]
+    start = at[passage] + phrases.place[slot]
     order = np.lexsort((start, doc[passage], phrase))
     later = np.zeros(len(order), dtype=bool)
     later[order[1:]] = phrase[order[1:]] == phrase[order[:-1]]
-    rows = np.flatnonzero(later)
+    order = np.lexsort((start, passage))
+    rows = order[later[order]]
     if not len(rows):
         return
     breaks = np.flatnonzero((passage[rows[1:]] != passage[rows[:-1]]) | (start[rows[1:]] != start[rows[:-1]] + 1))
