@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.names import quote_name
+
 BLANK = r"[\x00-\x20]*"
 FRACTION = rf"^{BLANK}(?<sign>[+-]?)(?<digits>[0-9]*)\.[0-9]*{BLANK}$"
 SECONDS_TEXT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
@@ -44,7 +46,7 @@ def typed_columns(df: DataFrame, spec: list[tuple[str, str, str]],
     types = {field.name.lower(): field.dataType for field in df.schema.fields}
     out = []
     for source, target, kind in spec:
-        value = F.col(f"`{source}`")
+        value = F.col(quote_name(source))
         if kind == "int":
             value = lenient_int(value, types.get(source.lower()))
         elif kind == "double":
@@ -72,8 +74,8 @@ def coerce_temporal(df: DataFrame) -> DataFrame:
     """Text columns with a temporal name become zoneless timestamps, bad text NULL; numeric columns stay."""
     changed = {
         field.name: F.coalesce(
-            F.col(f"`{field.name}`").try_cast("timestamp_ntz"),
-            *[F.try_to_timestamp(F.col(f"`{field.name}`"), F.lit(layout)).cast("timestamp_ntz")
+            F.col(quote_name(field.name)).try_cast("timestamp_ntz"),
+            *[F.try_to_timestamp(F.col(quote_name(field.name)), F.lit(layout)).cast("timestamp_ntz")
               for layout in UPLOAD_LAYOUTS])
         for field in df.schema.fields
         if isinstance(field.dataType, T.StringType) and is_temporal_name(field.name)

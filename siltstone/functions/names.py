@@ -49,3 +49,19 @@ def clean_headers(df: DataFrame) -> DataFrame:
     if repeated:
         raise ValueError(f"headers collide after clean-up: {', '.join(repeated)}")
     return df.toDF(*names)
+
+
+def quote_name(name: str) -> str:
+    """A column name as SQL text, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, whatever its case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

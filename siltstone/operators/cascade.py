@@ -18,8 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.names import free_names, quote_name
 from siltstone.operators.joins import lookup_join
-from siltstone.operators.tables import free_names, quote_name
 from siltstone.session import Settled, settle
 
 CASCADE, SET_NULL, NO_ACTION = "cascade", "set null", "no action"

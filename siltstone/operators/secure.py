@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.names import free_names, quote_name
 from siltstone.operators.access import column_decisions
 from siltstone.operators.joins import lookup_join
-from siltstone.operators.tables import free_names, quote_name
 from siltstone.session import settle
 
 # Row filters are evaluated so many at a time; a word of a bit mask holds 63 of them.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.names import quote_name
 from siltstone.session import quoted
 
 PARQUET = "parquet"
@@ -66,10 +67,10 @@ def append(df: DataFrame, table: str, replace_partitions: bool = False) -> None:
     """
     spark = df.sparkSession
     target = spark.table(table)
-    rows = df.select(*[F.col(f"`{c}`") for c in target.columns])
+    rows = df.select(*[F.col(quote_name(c)) for c in target.columns])
     parts = partition_columns(spark, table)
     if parts:
-        rows = rows.hint("rebalance", *[F.col(p) for p in parts])
+        rows = rows.hint("rebalance", *[F.col(quote_name(p)) for p in parts])
     if replace_partitions and parts:
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True))
     else:
@@ -126,21 +127,6 @@ def _expire(spark: SparkSession, versions: str, *kept: str | None) -> None:
             files.delete(found.getPath(), True)
 
 
-def quote_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like ``wanted`` that no column of ``df`` has, whatever its case."""
-    taken, found = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        found.append(name)
-    return found
-
-
 def type_text(kind: T.DataType) -> str:
     """A type as SQL text, with the names inside structs quoted."""
     if isinstance(kind, T.StructType):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.casts import coerce_temporal
-from siltstone.functions.names import clean_headers
+from siltstone.functions.names import clean_headers, quote_name
 
 # Cell texts that stand for a missing value in an upload.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
@@ -41,7 +41,7 @@ def landed(spark: SparkSession, root: str, date: str | None = None) -> DataFrame
 
 
 def _inferred(name: str, found: dict) -> Column:
-    value = F.col(f"`{name}`")
+    value = F.col(quote_name(name))
     filled = found[f"{name}|filled"]
     if filled == 0:
         return value
@@ -59,7 +59,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     """Give text columns the type all their values fit: bigint, double, Boolean, else text. One aggregation pass."""
     tests = []
     for name in df.columns:
-        value = F.col(f"`{name}`")
+        value = F.col(quote_name(name))
         tests += [
             F.count(value).alias(f"{name}|filled"),
             F.count(F.when(value.isNull(), 1)).alias(f"{name}|gaps"),
@@ -82,5 +82,5 @@ def upload(spark: SparkSession, path: str, filename: str | None = None, line_bre
     raw = csv_strings(spark, path, multiLine=str(line_breaks).lower(), escape='"')
     if raw.isEmpty():
         raise ValueError("the CSV file is empty")
-    gaps = raw.select(*[F.when(~F.col(f"`{c}`").isin(*MISSING), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    gaps = raw.select(*[F.when(~F.col(quote_name(c)).isin(*MISSING), F.col(quote_name(c))).alias(c) for c in raw.columns])
     return clean_headers(coerce_temporal(infer_types(gaps)))
