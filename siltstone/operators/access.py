@@ -216,9 +216,9 @@ def coverage(requests: DataFrame, lookup: Settled) -> DataFrame:
 
 
 def _distinct_requests(requests: DataFrame) -> Settled:
-    """Distinct requests that are not allowed anyway, with the number of times each was made."""
+    """Distinct requests that are not allowed anyway."""
     closed = requests.where(~always_allowed(F.col("operation"), F.col("resource")))
-    return settle(closed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("weight")), "requests")
+    return settle(closed.select(*KEY).distinct(), "requests")
 
 
 def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
     granted = found.where(F.col("whole") | (F.size(missing) == 0)).select(*KEY, F.lit(True).alias("_granted"))
     # What is allowed anyway never meets the grants, however often it is asked.
     open_to_all = always_allowed(F.col("operation"), F.col("resource"))
-    joined = lookup_join(requests.where(~open_to_all), settle(granted, "granted"), KEY, "left", weights=once.frame)
+    joined = lookup_join(requests.where(~open_to_all), settle(granted, "granted"), KEY, "left")
     decided = joined.withColumn("allowed", F.coalesce("_granted", F.lit(False))).drop("_granted")
     free = requests.where(open_to_all).withColumn("allowed", F.lit(True))
     return decided.unionByName(free).select(*requests.columns, "allowed")
@@ -265,7 +265,7 @@ def column_decisions(requests: DataFrame, grants: DataFrame) -> DataFrame:
     once = _distinct_requests(rows)
     found = settle(coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges")), "coverage")
     open_to_all = always_allowed(F.col("operation"), F.col("resource"))
-    joined = lookup_join(rows.where(~open_to_all), found, KEY, "left", weights=once.frame)
+    joined = lookup_join(rows.where(~open_to_all), found, KEY, "left")
     free = rows.where(open_to_all).select("*", F.lit(True).alias("whole"),
                                           F.array().cast("array<string>").alias("covered"))
     allowed = (F.coalesce("whole", F.lit(False))

@@ -3,82 +3,22 @@
 ``lookup_join`` broadcasts the looked-up side where its size is known, from writing it, to be small. Else it is a shuffle
 join, and adaptive execution, which ``build_session`` turns on, splits the partitions of inner, left, semi and anti joins
 that turn out too large, on either side as the join allows. Nothing is run ahead to plan it.
-
-Where the rows per key are known anyway, ``weights`` splits heavy keys in the plan itself, whatever comes after the join:
-a left row takes one of ``fan`` slots and the right rows of such a key are repeated in all of them. The fan is the number
-of joined rows of the key over ``rows_per_task``. Heavy keys are a written frame and as many as there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from siltstone.session import SMALL_BYTES, SMALL_ROWS, Settled, settle
 
-ROWS_PER_TASK = 2_000_000
+from siltstone.session import SMALL_BYTES, SMALL_ROWS, Settled
 
 
 def fits_broadcast(right: Settled, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
     return right.rows <= rows and right.size <= size
 
 
-def heavy_keys(weights: DataFrame, right: DataFrame, keys: list[str], rows_per_task: int | None = None) -> Settled:
-    """Keys whose join has more rows than one task should take, and their fan.
-
-    ``weights(*keys, weight)`` gives the left rows per key. Right rows are counted for heavy left keys and for right keys
-    that are heavy by themselves.
-    """
-    limit = rows_per_task or ROWS_PER_TASK
-    lefts = weights.groupBy(*keys).agg(F.sum("weight").cast("double").alias("_left"))
-    rights = right.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_right"))
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    both = lefts.alias("l").join(rights.alias("r"), same, "left")
-    rows = F.col("_left") * F.greatest(F.coalesce("_right", F.lit(1.0)), F.lit(1.0))
-    # A key cannot be split into more slots than it has left rows.
-    fan = F.least(F.ceil(rows / F.lit(limit)), F.col("_left"), F.lit(float(1 << 20))).cast("int")
-    return settle(both.where(rows > limit).select(*[F.col(f"l.{k}").alias(f"_heavy_{k}") for k in keys],
-                                                  fan.alias("_fan")), "heavy")
-
-
-def _with_fan(df: DataFrame, heavy: Settled, keys: list[str]) -> DataFrame:
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_heavy_{k}")) for k in keys])
-    known = F.broadcast(heavy.frame) if fits_broadcast(heavy) else heavy.frame
-    return df.join(known, same, "left").drop(*[f"_heavy_{k}" for k in keys])
-
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, weights: DataFrame,
-                rows_per_task: int | None = None) -> DataFrame:
-    """Shuffle join on ``keys`` (inner, left, left_semi, left_anti) with heavy keys split; a plain join where there are
-    none."""
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot split the left side of a {how} join")
-    heavy = heavy_keys(weights, right, keys, rows_per_task)
-    if not heavy.rows:
-        return left.join(right, keys, how)
-    # The slot depends on the row and its partition only, so a repeated task sends each row the same way, and
-    # equal rows from different partitions still spread.
-    hashed = [f.name for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    slot = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashed]), F.col("_fan"))
-    spread = _with_fan(left, heavy, keys).withColumn("_slot", F.coalesce(slot.cast("int"), F.lit(0))).drop("_fan")
-    repeated = (_with_fan(right, heavy, keys)
-                .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)))
-                .drop("_fan"))
-    return spread.join(repeated, [*keys, "_slot"], how).drop("_slot")
-
-
-def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner",
-                rows_per_task: int | None = None, weights: DataFrame | None = None,
-                broadcast: bool | None = None) -> DataFrame:
-    """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy, which
-    ``broadcast`` overrules."""
-    known = isinstance(right, Settled)
-    frame = right.frame if known else right
-    if broadcast or (broadcast is None and known and fits_broadcast(right)):
-        return left.join(F.broadcast(frame), keys, how)
-    if weights is not None:
-        return salted_join(left, frame, keys, how, weights, rows_per_task)
-    return left.join(frame, keys, how)
+def lookup_join(left: DataFrame, right: DataFrame | Settled, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``left`` to what ``right`` knows about ``keys``; see the module text for the choice of strategy."""
+    if isinstance(right, Settled):
+        return left.join(F.broadcast(right.frame) if fits_broadcast(right) else right.frame, keys, how)
+    return left.join(right, keys, how)

@@ -184,6 +184,16 @@ ORACLE = {
                  UNION SELECT c.c_custkey FROM customer c JOIN gone g ON c.c_custkey // 3 = g.c_custkey)
         SELECT c_custkey, c_nationkey, c_custkey // 3 AS recruiter FROM customer WHERE c_custkey NOT IN (FROM gone)""",
     "role_closure": f"WITH RECURSIVE {_TREE} SELECT subject, role FROM members",
+    "closure_changes": """WITH RECURSIVE
+        place AS (SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+        edges AS (
+          SELECT 'user:' || c_custkey AS src, 'role:' || n_name AS dst FROM customer JOIN place
+                 ON n_nationkey = CASE WHEN c_mktsegment = 'BUILDING' THEN (c_nationkey + 1) % 25 ELSE c_nationkey END
+          UNION SELECT 'role:' || n_name, 'role:' || r_name FROM place WHERE n_nationkey % 5 <> 0
+          UNION SELECT 'role:' || r_name, 'role:' || n_name FROM place WHERE n_nationkey = r_regionkey AND r_name <> 'EUROPE'
+          UNION SELECT 'role:ASIA', 'role:EUROPE'),
+        pairs AS (SELECT src, dst FROM edges UNION SELECT p.src, e.dst FROM pairs p JOIN edges e ON e.src = p.dst)
+        SELECT src, dst FROM pairs""",
     "effective_relations": f"""WITH RECURSIVE {_HELD}
         SELECT subject, object, "create", "describe", modify, "select", ownership, pass_grants FROM held""",
     "grant_rights": f"""WITH RECURSIVE {_HELD}
@@ -234,9 +244,6 @@ ORACLE = {
         SELECT a.subject, a.object, CASE WHEN owner THEN 'can_assume,can_change_ownership,can_delete,'
                  || 'can_grant_assignee,can_update' WHEN owner IS NOT NULL THEN 'can_assume' ELSE '' END AS capabilities
         FROM asked a LEFT JOIN holds USING (subject, object)""",
-    "split_lookup": """
-        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name
-        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "upward_visibility": f"WITH RECURSIVE {_SEEN} SELECT DISTINCT holder, container FROM below",
     "column_grants": f"""WITH RECURSIVE {_HELD},
         direct AS (SELECT DISTINCT 'user:' || o_custkey AS subject,
@@ -303,11 +310,14 @@ ORACLE = {
                    FROM req),
         checks AS (SELECT s.*, wanted, coalesce(fixed, own) AS depth FROM shaped s JOIN need USING (operation)
                    WHERE coalesce(fixed, own) BETWEEN 1 AND own),
-        hit AS (SELECT c.o_custkey, c.operation, depth < 3 OR asked IS NULL OR whole AS free, cols, asked
-                FROM checks c JOIN priv p ON p.user_id = c.user_id AND p."catalog" = cat
-                 AND (p."schema" = '' OR (depth >= 2 AND p."schema" = sch))
-                 AND (p."table" = '' OR (depth >= 3 AND p."table" = tab))
-                 AND (wanted = 'ANY' OR privilege IN ('ALL', wanted))),
+        met AS (SELECT c.*, privilege, whole, cols FROM checks c JOIN priv p
+                ON p.user_id = c.user_id AND p."catalog" = cat AND p."schema" = ''
+                UNION ALL SELECT c.*, privilege, whole, cols FROM checks c JOIN priv p
+                ON p.user_id = c.user_id AND p."catalog" = cat AND p."schema" = sch AND p."table" = '' WHERE depth >= 2
+                UNION ALL SELECT c.*, privilege, whole, cols FROM checks c JOIN priv p
+                ON p.user_id = c.user_id AND p."catalog" = cat AND p."schema" = sch AND p."table" = tab WHERE depth >= 3),
+        hit AS (SELECT o_custkey, operation, depth < 3 OR asked IS NULL OR whole AS free, cols, asked FROM met
+                WHERE wanted = 'ANY' OR privilege IN ('ALL', wanted)),
         granted AS (SELECT o_custkey, operation,
                            bool_or(free) OR list_has_all(flatten(list(cols)), any_value(asked)) AS yes
                     FROM hit GROUP BY o_custkey, operation)

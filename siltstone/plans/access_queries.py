@@ -13,12 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, cascade, grants, relations, secure
+from siltstone.operators import access, cascade, grants, incremental, relations, secure
 from siltstone.operators.cascade import ForeignKey
 from siltstone.operators.closure import role_members
 from siltstone.operators.joins import lookup_join
 from siltstone.plans.lake_queries import read
-from siltstone.session import settle
+from siltstone.session import fresh_dir, settle
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +134,26 @@ def role_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_members(role_tuples(spark, sf_dir)).frame
 
 
+def closure_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who holds which role after grants and revokes, kept up to date by each change instead of closed anew: one segment's
+    customers move to the next nation's role, some nations leave their region, a region joins another, a cycle is cut."""
+    plain = F.regexp_replace("subject", "#assignee$", "").alias("src")
+    store = incremental.ClosureStore.create(role_tuples(spark, sf_dir).select(plain, F.col("object").alias("dst")),
+                                            fresh_dir(spark, "closure"))
+    nations = _regions(spark, sf_dir)
+    role, region = F.concat(F.lit("role:"), "n_name"), F.concat(F.lit("role:"), "r_name")
+    movers = _customers(spark, sf_dir).where("c_mktsegment = 'BUILDING'")
+    leaving = nations.where("n_nationkey % 5 = 0").select(role.alias("src"), region.alias("dst"))
+    store.revoke(movers.select(F.col("user").alias("src"), role.alias("dst")).unionByName(leaving))
+    nexts = nations.select((F.col("n_nationkey") + 24).alias("n"), role.alias("dst"))
+    moved = movers.join(nexts, (F.col("c_nationkey") - F.col("n")) % 25 == 0).select(F.col("user").alias("src"), "dst")
+    joined = nations.where("r_name = 'ASIA'").select(region.alias("src"), F.lit("role:EUROPE").alias("dst"))
+    store.grant(moved.unionByName(joined))
+    cut = nations.where("n_nationkey = r_regionkey AND r_name = 'EUROPE'").select(region.alias("src"), role.alias("dst"))
+    store.revoke(cut)
+    return store.pairs()
+
+
 def _model(spark: SparkSession, sf_dir: str, traded: DataFrame) -> relations.Model:
     return relations.prepare(settle(relation_tuples(spark, sf_dir, traded), "tuples").frame,
                              settle(parent_edges(spark, sf_dir), "edges").frame)
@@ -403,14 +423,6 @@ def operation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("o_custkey", "operation", F.col("resource.level").alias("level"), "allowed")
 
 
-def split_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their supplier's name by a shuffle join whose heavy keys are split."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    names = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    weights = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("weight"))
-    return lookup_join(lines, names, ["l_suppkey"], rows_per_task=200, weights=weights, broadcast=False)
-
-
 # -- rows and masks -----------------------------------------------------------------------------------------------
 
 PLACE = ("lake", "crm", "customer")
@@ -582,8 +594,8 @@ def cascade_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
+    cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, closure_changes, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
     listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, visible_tables,
-    visible_columns, column_batches, split_lookup, row_filter, column_mask, role_masks, secured_dataset,
+    visible_columns, column_batches, row_filter, column_mask, role_masks, secured_dataset,
     secured_for_users, rows_of_users, grant_checks,
     grant_updates, grant_revoke)}

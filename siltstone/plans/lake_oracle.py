@@ -151,6 +151,15 @@ ORACLE = {
         "SELECT '{table}' AS table_name, count(*) AS row_count, '{columns}' AS columns, "
         "'/api/data/{table}' AS api_endpoint FROM {table}", ["lineitem"]),
     "page_fetch": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200",
+    "page_seek": """
+        WITH keys AS (SELECT unnest([min(o_orderkey), (min(o_orderkey) + max(o_orderkey)) // 2, max(o_orderkey)]) AS k
+                      FROM orders),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+                            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS position
+                     FROM lineitem),
+        wanted AS (SELECT k, (SELECT count(*) FROM lineitem WHERE l_orderkey < k) // 250 + 1 AS page FROM keys)
+        SELECT page, l_orderkey, l_linenumber, l_partkey, l_suppkey
+        FROM wanted JOIN numbered ON position // 250 + 1 = page""",
     "page_meta": """
         SELECT 3 AS page, 100 AS page_size, count(*) AS total_records,
                CAST(ceil(count(*) / 100.0) AS INTEGER) AS total_pages, 3 < ceil(count(*) / 100.0) AS has_next,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import casts, names
-from siltstone.operators import grants, paging, tables
+from siltstone.operators import directory, grants, paging, tables
 from siltstone.plans import layers
 from siltstone.session import fresh_dir, fresh_namespace
 from siltstone.sources import envelopes, files
@@ -276,8 +276,9 @@ def source_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page 3 of orders at 100 rows."""
-    return paging.page(read(spark, sf_dir, "orders"), ["o_orderkey"], 3, 100)
+    """Page 3 of orders at 100 rows, from the files that hold it."""
+    root = fresh_dir(spark, "pages")
+    return directory.PageDirectory.create(read(spark, sf_dir, "orders"), ["o_orderkey"], root).page(3, 100)
 
 
 def pages_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +286,21 @@ def pages_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.pages(read(spark, sf_dir, "lineitem"), ["l_orderkey"], [1, 2, 3, 7, 41, 120, 333], 500)
 
 
+def page_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of line items on which the first, a middle and the last order start, found in the directory, and their
+    rows."""
+    held = directory.PageDirectory.create(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"],
+                                          fresh_dir(spark, "pages"))
+    keys = read(spark, sf_dir, "orders").agg(F.min("o_orderkey"), F.expr("(min(o_orderkey) + max(o_orderkey)) DIV 2"),
+                                             F.max("o_orderkey")).first()
+    found = []
+    for key in keys:
+        number = held.seek((key, None), 250)
+        found.append(held.page(number, 250).select(F.lit(number).cast("bigint").alias("page"), "l_orderkey", "l_linenumber",
+                                                   "l_partkey", "l_suppkey"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of the same page."""
     return paging.page_facts(read(spark, sf_dir, "orders"), 3, 100)
@@ -446,6 +462,6 @@ def not_null_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     csv_string_scan, landing_by_date, bronze_load, silver_events, silver_trips, silver_typed_lines, silver_stats,
     gold_copy, insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, late_landing,
-    table_listing, catalog_listing, source_readiness, page_fetch, pages_of_lines, page_meta, page_numbers, page_explode,
+    table_listing, catalog_listing, source_readiness, page_fetch, page_seek, pages_of_lines, page_meta, page_numbers, page_explode,
     page_untidy, page_completeness, total_check, orphan_report, unique_checks, stream_copy, stream_trips,
     stream_tolerant, stream_by_type, not_null_drop)}

@@ -11,68 +11,16 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k int, v string").repartition(4)
 
 
-def weights(df):
-    return df.groupBy("k").agg(F.count(F.lit(1)).alias("weight"))
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_the_plain_join(spark, how):
+def test_lookup_join_equals_the_plain_join(spark, how, monkeypatch):
     left = skewed(spark)
     right = spark.createDataFrame([(i, f"x{i}") for i in range(0, 60, 7)] + [(7, "again")], "k int, w string")
     plain = sorted(map(str, left.join(right, "k", how).collect()))
-    assert sorted(map(str, joins.salted_join(left, right, ["k"], how, weights(left), 40).collect())) == plain
-    assert sorted(map(str, joins.lookup_join(left, right, ["k"], how).collect())) == plain
     known = settle(right)
-    for broadcast in (None, True, False):
-        joined = joins.lookup_join(left, known, ["k"], how, 40, weights(left), broadcast)
-        assert sorted(map(str, joined.collect())) == plain
-
-
-def test_salted_join_refuses_full(spark):
-    with pytest.raises(ValueError):
-        joins.salted_join(skewed(spark), skewed(spark), ["k"], "full", weights(skewed(spark)))
-
-
-def test_heavy_keys_carry_their_fan(spark):
-    left = skewed(spark)
-    one = spark.createDataFrame([(7, "x")], "k int, w string")
-    found = joins.heavy_keys(weights(left), one, ["k"], rows_per_task=40)
-    assert {r[0]: r[1] for r in found.frame.collect()} == {7: 8, None: 3}
-    assert joins.heavy_keys(weights(left), one, ["k"], rows_per_task=400).rows == 0
-
-
-def test_the_fan_counts_both_sides(spark):
-    left = spark.createDataFrame([(1,)] * 10 + [(2,)], "k int")
-    right = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 0)], "k int, w int")
-    found = joins.heavy_keys(weights(left), right, ["k"], rows_per_task=100)
-    assert {r[0]: r[1] for r in found.frame.collect()} == {1: 3}
-    assert joins.salted_join(left, right, ["k"], "inner", weights(left), 100).count() == 301
-
-
-def test_more_heavy_keys_than_any_cap(spark):
-    left = spark.range(24_000).select((F.col("id") % 12_000).cast("int").alias("k"))
-    right = spark.range(12_000).select(F.col("id").cast("int").alias("k"), F.lit("x").alias("w"))
-    assert joins.heavy_keys(weights(left), right, ["k"], rows_per_task=1).rows == 12_000
-    assert joins.salted_join(left, right, ["k"], "inner", weights(left), 1).count() == 24_000
-
-
-def test_without_heavy_keys_the_join_is_plain(spark):
-    left = skewed(spark)
-    joined = joins.salted_join(left, spark.createDataFrame([(7, "x")], "k int, w string"), ["k"], "inner", weights(left))
-    assert joined.count() == 310 and "_slot" not in joined._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_heavy_rows_spread_over_partitions(spark):
-    right = spark.createDataFrame([(7, "x")], "k int, w string")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        joined = joins.salted_join(skewed(spark), right, ["k"], "inner", weights(skewed(spark)), 40)
-        parts = joined.groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(parts) > 1 and sum(r["count"] for r in parts) == 310
+    for fits in (True, False):
+        monkeypatch.setattr(joins, "fits_broadcast", lambda *a, fits=fits: fits)
+        assert sorted(map(str, joins.lookup_join(left, known, ["k"], how).collect())) == plain
+    assert sorted(map(str, joins.lookup_join(left, right, ["k"], how).collect())) == plain
 
 
 def test_adaptive_execution_splits_a_hot_key(spark):

@@ -55,9 +55,8 @@ def test_query_matches_its_twin(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", ["object_capabilities", "decisions", "visible_columns", "grant_revoke"])
-def test_query_matches_its_twin_with_split_keys_and_no_broadcast(spark, duck, name, monkeypatch):
+def test_query_matches_its_twin_without_broadcast(spark, duck, name, monkeypatch):
     monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
-    monkeypatch.setattr(joins, "ROWS_PER_TASK", 30)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         compare(spark, duck, name)
