@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.names import quote_name
+from siltstone.operators import versioned
 from siltstone.session import quoted
 
 PARQUET = "parquet"
@@ -40,7 +40,8 @@ def _properties(fmt: str, properties: dict[str, str] | None) -> str:
 def create_from(df: DataFrame, table: str, fmt: str = PARQUET, properties: dict[str, str] | None = None) -> None:
     """Drop the table if it exists, then create it from ``df``."""
     spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if spark.catalog.tableExists(table):
+        drop(spark, table)
     spark.sql(f"CREATE TABLE {table} USING {fmt} {_properties(fmt, properties)} AS SELECT * FROM {{rows}}", rows=df)
 
 
@@ -66,6 +67,9 @@ def append(df: DataFrame, table: str, replace_partitions: bool = False) -> None:
     that a repeated load leaves no duplicates; the default appends.
     """
     spark = df.sparkSession
+    if versioned.is_versioned(spark, table):
+        versioned.append(df, table)
+        return
     target = spark.table(table)
     rows = df.select(*[F.col(quote_name(c)) for c in target.columns])
     parts = partition_columns(spark, table)
@@ -86,45 +90,15 @@ def append_or_create(df: DataFrame, table: str, fmt: str = PARQUET) -> None:
 
 
 def replace_from(df: DataFrame, table: str, fmt: str = PARQUET) -> None:
-    """Create or replace the table with ``df``, which may read the table itself.
+    """Create or replace the table with ``df``, which may read the table itself; readers find the old rows or the new.
 
-    Iceberg replaces in one commit. For Parquet the rows go to a new version folder, to which the table is then pointed,
-    so no data is moved or written twice. Where the columns stay the same this is one change of the catalog; otherwise the
-    table is dropped and declared anew, and readers may for a moment find none. The version before stays, for readers
-    that have begun; older ones are removed.
+    Iceberg replaces in one commit. For Parquet the table becomes a versioned one, see ``versioned``.
     """
-    spark = df.sparkSession
     if fmt == ICEBERG:
-        spark.sql(f"CREATE OR REPLACE TABLE {table} USING iceberg {_properties(fmt, None)} "
-                  "AS SELECT * FROM {rows}", rows=df)
-        return
-    namespace, _, name = table.rpartition(".")
-    space = spark.catalog.getDatabase(namespace or spark.catalog.currentDatabase()).locationUri.rstrip("/")
-    version = f"{space}/{name}.versions/{uuid.uuid4().hex}"
-    df.write.format(fmt).save(version)
-    before = None
-    if spark.catalog.tableExists(table):
-        before = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
-        kind = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Type'").first()["data_type"]
-        same = spark.table(table).schema.simpleString() == df.schema.simpleString()
-        if same and kind == "EXTERNAL" and not partition_columns(spark, table):
-            spark.sql(f"ALTER TABLE {table} SET LOCATION {quoted(version)}")
-            spark.catalog.refreshTable(table)
-            _expire(spark, f"{space}/{name}.versions", version, before)
-            return
-        spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"CREATE TABLE {table} ({declaration(df.schema)}) USING {fmt} LOCATION {quoted(version)}")
-    _expire(spark, f"{space}/{name}.versions", version, before)
-
-
-def _expire(spark: SparkSession, versions: str, *kept: str | None) -> None:
-    """Remove the version folders that are not among ``kept``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(versions)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = {path.rstrip("/").rpartition("/")[2] for path in kept if path}
-    for found in files.listStatus(folder):
-        if found.getPath().getName() not in names:
-            files.delete(found.getPath(), True)
+        df.sparkSession.sql(f"CREATE OR REPLACE TABLE {table} USING iceberg {_properties(fmt, None)} "
+                            "AS SELECT * FROM {rows}", rows=df)
+    else:
+        versioned.replace(df, table)
 
 
 def type_text(kind: T.DataType) -> str:
@@ -144,10 +118,13 @@ def declaration(schema: T.StructType) -> str:
 
 
 def drop(spark: SparkSession, table: str) -> None:
-    """Drop the table; an absent table is an error."""
+    """Drop the table, with all versions of a versioned one; an absent table is an error."""
     if not spark.catalog.tableExists(table):
         raise AbsentTable(f"table {table} not found")
-    spark.sql(f"DROP TABLE {table}")
+    if versioned.is_versioned(spark, table):
+        versioned.drop(spark, table)
+    else:
+        spark.sql(f"DROP TABLE {table}")
 
 
 def listing(frames: dict[str, DataFrame]) -> DataFrame:
@@ -162,16 +139,21 @@ def listing(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, namespace: str) -> DataFrame:
-    """Catalog listing of a namespace: the tables' names come from the catalog, the counts from one Spark job."""
-    names = [t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary]
+    """Catalog listing of a namespace: the tables' names come from the catalog, the counts of versioned tables from their
+    ledger and all others from one Spark job."""
+    known = versioned.ledger(spark, namespace)
+    listed = {r["table_name"] for r in known.collect()}
+    names = [t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary and t.name not in listed]
     if not names:
-        return spark.createDataFrame([], "table_name string, row_count bigint, columns array<string>")
-    return listing({name: spark.table(f"{namespace}.{name}") for name in names})
+        return known
+    return known.unionByName(listing({name: spark.table(f"{namespace}.{quote_name(name)}") for name in names}))
 
 
 def readiness(spark: SparkSession, namespace: str, table: str) -> DataFrame:
     """The listing row of ``table`` with its endpoint; an absent table is an error, an empty one is ready."""
     if not spark.catalog.tableExists(f"{namespace}.{table}"):
         raise AbsentTable(f"table {table} not found in {namespace}")
-    return (listing({table: spark.table(f"{namespace}.{table}")})
-            .withColumn("api_endpoint", F.lit(f"/api/data/{table}")))
+    name = f"{namespace}.{table}"
+    found = (versioned.ledger(spark, namespace).where(F.col("table_name") == table) if versioned.is_versioned(spark, name)
+             else listing({table: spark.table(name)}))
+    return (found.withColumn("api_endpoint", F.lit(f"/api/data/{table}")))

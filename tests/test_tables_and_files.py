@@ -123,21 +123,6 @@ def test_envelopes_keep_untidy_names(spark):
     assert found.schema.simpleString() == df.schema.simpleString() and found.collect() == df.collect()
 
 
-def test_replace_moves_no_data_and_keeps_one_version(spark, namespace):
-    name = f"{namespace}.versions"
-    for n in (1, 2, 3, 4):
-        tables.replace_from(spark.range(n), name)
-        assert spark.table(name).count() == n
-    tables.replace_from(spark.table(name).where("id > 0"), name)
-    assert rows(spark.table(name)) == [(1,), (2,), (3,)]
-    place = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(place).getParent()
-    kept = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    assert len(kept) == 2
-    tables.replace_from(spark.range(2).withColumn("it's", F.lit(1)), name)
-    assert spark.table(name).columns == ["id", "it's"]
-
-
 def test_clear_work_drops_its_namespaces(spark):
     from siltstone import session
     application = spark.sparkContext.applicationId
