@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.names import free_names, quote_name
 from siltstone.operators import paging
+from siltstone.operators.joins import lookup_join
 from siltstone.operators.versions import Store
 from siltstone.session import settle
 
@@ -86,6 +87,31 @@ class PageDirectory:
         return paging.enveloped(found.select(F.lit(number).alias("number"), data.alias("data")), table_name, self.rows,
                                 page_size)
 
+    def envelopes(self, table_name: str, runs: DataFrame, page_size: int = paging.DEFAULT_PAGE_SIZE) -> DataFrame:
+        """The pages of ``runs(start, stop)``, both ends included, as envelopes; pages beyond the end are left out.
+
+        Rows are narrowed to the files and row numbers that the runs span, and to the wanted pages by a join.
+        """
+        paging.check_page(1, page_size)
+        last = -(-self.rows // page_size)
+        inside = runs.select(F.greatest("start", F.lit(1)).cast("bigint").alias("start"),
+                             F.least("stop", F.lit(last)).cast("bigint").alias("stop"))
+        pages = settle(inside.where("start <= stop").select(F.explode(F.sequence("start", "stop")).alias("number"))
+                       .distinct(), "wanted-pages")
+        span = pages.frame.agg(F.min("number"), F.max("number")).first()
+        start, stop = ((span[0] - 1) * page_size, span[1] * page_size) if pages.rows else (0, 0)
+        number, whole = F.col(quote_name(self.number)), F.struct(*[F.col(quote_name(c)) for c in self.document["columns"]])
+        rows = self._range(start, stop).select(number.alias("at"), whole.alias("row"))
+        # The position of a row: its number less the first of its partition, and the rows of the partitions before.
+        parts = (self._files().groupBy(F.shiftright("low", paging.ROW_BITS).alias("part"))
+                 .agg(F.min(F.col("first") - F.col("low")).alias("shift")))
+        placed = rows.withColumn("part", F.shiftright("at", paging.ROW_BITS)).join(parts, "part").select(
+            F.expr(f"(at + shift) DIV {int(page_size)} + 1").alias("number"), F.struct("at", "row").alias("held"))
+        grouped = (lookup_join(placed, pages, ["number"], "left_semi").groupBy("number")
+                   .agg(F.array_sort(F.collect_list("held")).alias("held")))
+        data = F.transform("held", lambda r: r["row"]).alias("data")
+        return paging.enveloped(grouped.select("number", data), table_name, self.rows, page_size)
+
     def seek(self, key: tuple[Any, ...], page_size: int = paging.DEFAULT_PAGE_SIZE) -> int:
         """The page with the first row whose order keys are ``key`` or later; the page after the last if there is none.
 

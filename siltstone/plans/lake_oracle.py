@@ -160,6 +160,15 @@ ORACLE = {
         wanted AS (SELECT k, (SELECT count(*) FROM lineitem WHERE l_orderkey < k) // 250 + 1 AS page FROM keys)
         SELECT page, l_orderkey, l_linenumber, l_partkey, l_suppkey
         FROM wanted JOIN numbered ON position // 250 + 1 = page""",
+    "page_resume": "SELECT * FROM lineitem",
+    "repeated_events": """
+        SELECT c_custkey, c_acctbal, step FROM customer, (SELECT unnest([0, 1, 2]) AS step)
+        WHERE step < 2 OR c_acctbal > 5000""",
+    "ledger_listing": """
+        SELECT 'rows of orders' AS fact, CAST(count(*) AS DOUBLE) AS amount FROM orders
+        UNION ALL SELECT 'rows of supplier', count(*) FROM supplier
+        UNION ALL SELECT 'price', CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) FROM orders
+        UNION ALL SELECT o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority""",
     "page_meta": """
         SELECT 3 AS page, 100 AS page_size, count(*) AS total_records,
                CAST(ceil(count(*) / 100.0) AS INTEGER) AS total_pages, 3 < ceil(count(*) / 100.0) AS has_next,

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import casts, names
-from siltstone.operators import directory, grants, paging, tables
+from siltstone.operators import directory, grants, paging, tables, versioned
 from siltstone.plans import layers
-from siltstone.session import fresh_dir, fresh_namespace
+from siltstone.session import fresh_dir, fresh_namespace, settle
 from siltstone.sources import envelopes, files
+from siltstone.sources.ingest import PageIngest
 from siltstone.streaming import messages, uploads
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -251,6 +252,27 @@ def late_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [*landed, waiting])
 
 
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upload event of customers comes again after the table has been emptied: what was landed stays. A new event
+    lands the table as it is then."""
+    space, base = fresh_namespace(spark, "source"), fresh_dir(spark, "repeated")
+    customers = read(spark, sf_dir, "customer")
+    rich = customers.where("c_acctbal > 5000")
+
+    def handle(event: DataFrame, rows: DataFrame) -> DataFrame:
+        tables.replace_from(rows, f"{space}.customer")
+        uploads.publish(event, {"path": f"{base}/events"}, "text")
+        uploads.start_landing(spark.readStream.text(f"{base}/events"), space, {"customer": ["c_custkey"]}, f"{base}/work",
+                              f"{base}/raw", f"{base}/checkpoint", date="20240131", available_now=True).awaitTermination()
+        landed = files.landed(spark, f"{base}/raw/customer", "20240131")
+        return settle(landed.select("c_custkey", "c_acctbal"), "landed").frame
+
+    first = settle(uploads.upload_event(customers, "customer", "customer.csv"), "event").frame
+    later = first.withColumn("timestamp", F.lit("2099-01-01T00:00:00.000000"))
+    steps = [handle(first, customers), handle(first, customers.limit(0)), handle(later, rich)]
+    return reduce(DataFrame.unionByName, [df.withColumn("step", F.lit(i)) for i, df in enumerate(steps)])
+
+
 # -- catalog listing and paging -----------------------------------------------------------------------------------
 
 def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +290,23 @@ def catalog_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.list_tables(spark, space).withColumn("columns", F.array_join("columns", ","))
 
 
+def ledger_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, price totals and rows per status of orders that came in three loads, and the listing of their namespace: all
+    from the ledger that the writers kept."""
+    space = fresh_namespace(spark, "ledger")
+    orders, name = read(spark, sf_dir, "orders"), f"{space}.orders"
+    sums = {"price": F.col("o_totalprice").cast("decimal(12,2)")}
+    versioned.replace(orders.where("o_orderstatus = 'F'"), name, sums, "o_orderpriority")
+    for status in ("O", "P"):
+        versioned.append(orders.where(F.col("o_orderstatus") == status), name, sums)
+    tables.replace_from(read(spark, sf_dir, "supplier"), f"{space}.supplier")
+    listed = versioned.ledger(spark, space).select(F.concat(F.lit("rows of "), "table_name").alias("fact"),
+                                                   F.col("row_count").cast("decimal(38,2)").alias("amount"))
+    total = spark.createDataFrame([("price", versioned.measured(spark, name)["price"])], "fact string, amount decimal(38,2)")
+    kinds = versioned.counts_by(spark, name).select(F.col("value").alias("fact"), F.col("rows").cast("decimal(38,2)").alias("amount"))
+    return listed.unionByName(total).unionByName(kinds).select("fact", F.col("amount").cast("double").alias("amount"))
+
+
 def source_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readiness row of the line item table."""
     space = fresh_namespace(spark, "source")
@@ -327,6 +366,19 @@ def page_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNTIDY = {"o_orderkey": "order key", "o_totalprice": "Value (USD)", "o_orderstatus": "status<code>: `x`"}
 
 
+def page_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items ingested by pages from a source of which two thirds of the pages had arrived, some of them cut short: only
+    the gaps are fetched again."""
+    lines = read(spark, sf_dir, "lineitem")
+    source = directory.PageDirectory.create(lines, ["l_orderkey", "l_linenumber"], fresh_dir(spark, "source"))
+    ingest = PageIngest(spark, fresh_dir(spark, "ingest"), lines.schema, 500)
+    every = spark.createDataFrame([(1, -(-source.rows // 500))], "start bigint, stop bigint")
+    page = F.col("pagination.page")
+    ingest.record(source.envelopes("lineitem", every, 500).where(page % 3 != 0)
+                  .withColumn("data", F.when(page % 7 == 1, F.slice("data", 1, 499)).otherwise(F.col("data"))))
+    return ingest.run(lambda runs: source.envelopes("lineitem", runs, 500))
+
+
 def page_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with blanks, brackets and quotes in their column names, through envelopes and back."""
     orders = read(spark, sf_dir, "orders").select(*UNTIDY)
@@ -461,7 +513,8 @@ def not_null_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     csv_string_scan, landing_by_date, bronze_load, silver_events, silver_trips, silver_typed_lines, silver_stats,
-    gold_copy, insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, late_landing,
-    table_listing, catalog_listing, source_readiness, page_fetch, page_seek, pages_of_lines, page_meta, page_numbers, page_explode,
+    gold_copy, insert_rows, sanitize_names, temporal_coerce, upload_csv, upload_event, event_landing, late_landing, repeated_events,
+    table_listing, catalog_listing, ledger_listing, source_readiness, page_fetch, page_seek, pages_of_lines, page_meta,
+    page_numbers, page_explode, page_resume,
     page_untidy, page_completeness, total_check, orphan_report, unique_checks, stream_copy, stream_trips,
     stream_tolerant, stream_by_type, not_null_drop)}

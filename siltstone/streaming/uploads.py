@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import time
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -106,6 +108,31 @@ def parked_events(spark: SparkSession, parked: str) -> DataFrame:
     return spark.createDataFrame([], PARKED) if found is None else found
 
 
+# Days for which landed events are remembered: as long as the sender's topic may still hold them.
+REMEMBERED_DAYS = 7
+LANDED = "event string, landed_at timestamp"
+
+
+def event_key(events: DataFrame) -> Column:
+    """A digest of all fields. An event without a time cannot be told from its repeats and has none."""
+    fields = [f.name for f in T.StructType.fromDDL(UPLOAD_EVENT).fields]
+    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return F.when(events["timestamp"].isNotNull(), F.sha2(whole, 256))
+
+
+def landed_before(spark: SparkSession, folder: str, before: int | None = None, days: int = REMEMBERED_DAYS) -> DataFrame:
+    """``(event, landed_at)`` of the events that earlier batches have landed and that may still be repeated."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return spark.createDataFrame([], LANDED)
+    found = {int(f.getPath().getName().rpartition("-")[2]): f.getModificationTime() for f in files.listStatus(path)}
+    oldest = time.time() - days * 86_400
+    paths = [f"{folder}/batch-{n}" for n, at in found.items() if (before is None or n < before) and at / 1000 >= oldest]
+    recent = F.col("landed_at") >= F.lit(datetime.fromtimestamp(oldest, timezone.utc))
+    return spark.read.schema(LANDED).parquet(*paths).where(recent) if paths else spark.createDataFrame([], LANDED)
+
+
 def land_events(events: DataFrame, namespace: str, order_by: dict[str, list[str]], work: str, root: str, day: str,
                 default_table: str | None = None) -> DataFrame:
     """Land each table named by ``events`` once; returns the events that could not be, with the reason.
@@ -130,16 +157,19 @@ def land_events(events: DataFrame, namespace: str, order_by: dict[str, list[str]
 
 def start_landing(messages: DataFrame, namespace: str, order_by: dict[str, list[str]], work: str, root: str,
                   checkpoint: str, default_table: str | None = None, date: str | None = None,
-                  available_now: bool = False, parked: str | None = None) -> StreamingQuery:
+                  available_now: bool = False, parked: str | None = None,
+                  remembered_days: int = REMEMBERED_DAYS) -> StreamingQuery:
     """Land a table whenever its upload event arrives.
 
-    Several events for one table in a micro-batch land it once. The landing folder is replaced as a whole, so a
+    The sender delivers at least once. Landed events are remembered for ``remembered_days``, and one that comes again in
+    that time, in this batch or a later one, changes no file. Several events for one table in a micro-batch land it once.
+    The landing folder is replaced as a whole, so a
     repeated batch changes nothing. Events without a table name stand for ``default_table``. An event whose table does not
     exist yet, or has no entry in ``order_by``, is parked under ``parked`` (by default beside the work folder) and tried
     again with every later batch, so that none is lost and none blocks others; any other failure fails the batch. The
     parked state is written per batch, and a repeated batch starts from the state before it.
     """
-    day, folder = process_date(date), parked or f"{work}/parked"
+    day, folder, ledger = process_date(date), parked or f"{work}/parked", f"{work}/landed"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -149,8 +179,13 @@ def start_landing(messages: DataFrame, namespace: str, order_by: dict[str, list[
         if waiting is not None:
             events = events.unionByName(waiting.select(*fields))
         # Decoded once; the landing below asks twice.
-        events = settle(events.distinct(), "upload-events").frame
-        left = land_events(events, namespace, order_by, f"{work}/batch-{batch_id}", root, day, default_table)
+        once = events.distinct().withColumn("event", event_key(events))
+        known = landed_before(spark, ledger, batch_id, remembered_days).select("event").distinct()
+        fresh = settle(once.join(known, "event", "left_anti"), "upload-events").frame
+        left = settle(land_events(fresh.drop("event"), namespace, order_by, f"{work}/batch-{batch_id}", root, day,
+                                  default_table), "parked").frame
         left.write.mode("overwrite").parquet(f"{folder}/state-{batch_id}")
+        landed = fresh.join(left.select(event_key(left).alias("event")), "event", "left_anti").where("event IS NOT NULL")
+        landed.select("event", F.current_timestamp().alias("landed_at")).write.mode("overwrite").parquet(f"{ledger}/batch-{batch_id}")
 
     return start_batches(uploads(messages), handle, checkpoint, available_now)
