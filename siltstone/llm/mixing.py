@@ -130,7 +130,8 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     found = taken(sized(numbered, column(row), key, text, source), whole=True)
     copies = F.when(F.col("size_") > 0, (F.col("taken") / F.col("size_")).cast("int")).otherwise(
         F.col("epochs").cast("int"))
-    chosen = found.select(F.col("row_").alias(row), copies.alias("_copies")).where("_copies > 0")
+    times = free_name(numbered, "_copies")
+    chosen = found.select(F.col("row_").alias(row), copies.alias(times)).where(column(times) > 0)
     joined = numbered.join(chosen, row)
     names = [column(c) for c in df.columns]
-    return (joined.select(F.explode(F.array_repeat(F.lit(1), F.col("_copies"))), *names).select(*names))
+    return (joined.select(F.explode(F.array_repeat(F.lit(1), column(times))), *names).select(*names))

@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,25 +48,30 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         fields.append(T.StructField("ids", T.BinaryType()))
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path, spaced=False)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for frame in frames:
-            for at in range(0, len(frame), ENCODE_ROWS):
-                some = frame.iloc[at:at + ENCODE_ROWS]
-                rows = []
-                for doc, ids in zip(some["key_"], encode([t or "" for t in some["text_"]]), strict=True):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENCODE_ROWS):
+                some = batch.slice(at, ENCODE_ROWS)
+                rows, docs = [], []
+                for doc, ids in enumerate(encode([t or "" for t in some.column("text_").to_pylist()])):
                     ids += end
                     for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
                         body = ids[low:low + 4 * capacity]
                         length = len(body) // 4
-                        row = (doc, piece, low // 4, length, zlib.crc32(body), part, seen[length])
-                        rows.append((*row, body) if keep_ids else row)
+                        docs.append(doc)
+                        rows.append((piece, low // 4, length, zlib.crc32(body), seen[length], body))
                         seen[length] += 1
-                yield pd.DataFrame(rows, columns=[f.name for f in fields])
+                piece, start, length, crc, nth, bodies = zip(*rows, strict=True)
+                # Ids keep their type: they are taken, never converted.
+                arrays = [some.column("key_").take(pa.array(docs)), pa.array(piece, pa.int32()),
+                          *(pa.array(c, pa.int64()) for c in (start, length, crc, [part] * len(rows), nth))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(bodies, pa.binary())] if keep_ids else arrays,
+                                                 [f.name for f in fields])
 
     narrow = df.select(column(key).alias("key_"), column(text).alias("text_"))
-    return written(narrow.mapInPandas(run, T.StructType(fields)), "pieces")
+    return written(narrow.mapInArrow(run, T.StructType(fields)), "pieces")
 
 
 class _Gaps:
@@ -179,14 +184,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     fields = [f for f in numbered.schema.fields if f.name != "nth_"]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            nth = frame["nth_"].to_numpy()
-            row = np.searchsorted(starts, frame["length"].to_numpy() * (1 << 44) + nth, side="right") - 1
-            yield frame.drop(columns="nth_").assign(sequence_id=sequences[row] + nth - firsts[row],
-                                                    offset=offsets[row])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nth = batch.column("nth_").to_numpy()
+            row = np.searchsorted(starts, batch.column("length").to_numpy() * (1 << 44) + nth, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(f.name) for f in fields), pa.array(sequences[row] + nth - firsts[row], pa.int64()),
+                 pa.array(offsets[row], pa.int64())], schema.names)
 
-    return numbered.mapInPandas(place, schema)
+    return numbered.mapInArrow(place, schema)
 
 
 def packed(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

@@ -20,8 +20,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards written and read back."""
-    shards = wavelet.write_shards(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
-    return wavelet.documents(shards)
+    docs = table(spark, sf_dir, "documents")
+    shards = wavelet.write_shards(docs, tokens.vocabulary("byte_bpe_50k.json"))
+    return wavelet.documents(shards, "doc_id", docs.schema["doc_id"].dataType.simpleString())
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 The tokenizers library does the encoding. A text is first cut at blanks and line ends, where no token of the two
 supported kinds can cross, and each distinct piece is encoded once per worker and remembered; pieces that are not known
 yet are encoded many at a time, with a separator between them that always is one token of its own. The memory is bounded:
-two generations of at most ``REMEMBERED`` pieces. Texts with other white space are encoded in one call.
+two generations of at most ``REMEMBERED`` pieces. Texts with other white space, or with the text of a special token, are
+encoded in one call, so that all ids are those of a plain call of the library.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Tokens that stand for themselves wherever their text occurs; texts with one are encoded in one call.
+        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         # Between pieces: a line end, or a control character set off by blanks.
         self.mark, self.between = ("\n", "\n") if spaced else ("\x1e", " \x1e ")
@@ -83,7 +85,8 @@ class Encoder:
             cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
             data = ids.tobytes()
             if len(cuts) != len(some) - 1:
-                raise AssertionError("a separator was merged with a piece")
+                out += self._encode(some)
+                continue
             out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
         return out
 
@@ -127,6 +130,8 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, one after another, are those of the text, after one line end where blanks are kept; None if
         it must be encoded in one call."""
+        if any(token in text for token in self.whole):
+            return None
         if not self.spaced:
             return text.replace("\n", " ").split(" ")
         if (not text or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS)

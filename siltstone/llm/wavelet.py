@@ -11,12 +11,14 @@ read. A document is never split, so a shard is as large as its documents, and me
 Defined results: a null text is empty, and has the end id alone; null keys come first; equal keys are ordered by text
 hash and all kept; empty tables give no shard. Only the named columns are read.
 
-File format, little-endian: ``WVM1``, count of ids u64, bits u32, length u32 of the packed document table; the table
-(zstd: per document its ids, u64, in order); then per plane zeros u64, length u32 and the zstd-packed bits.
+File format, little-endian: ``WVM2``, count of ids u64, bits u32, length u32 of the packed document table and of the packed
+names; the table (zstd: per document its ids, u64, in order); the names (zstd: the documents' keys as a JSON list of texts
+and nulls); then per plane zeros u64, length u32 and the zstd-packed bits. So a file names its documents by itself.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -29,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.llm import tokens
 from siltstone.llm.common import column, dealt, shared_files, written
@@ -40,7 +41,8 @@ SHARD_TOKENS = 1 << 22
 ENCODE_ROWS = 256
 BLOCK = 64  # bytes of a plane between two stored counts
 STRETCH = 1 << 15
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+HEADER = struct.Struct("<4sQIII")
 
 
 class WaveletMatrix:
@@ -146,109 +148,121 @@ class WaveletMatrix:
             value = above
         return value
 
-    def pack(self, lengths: np.ndarray) -> bytes:
-        """The file: the documents' lengths, then the planes."""
+    def pack(self, lengths: np.ndarray | list[int], names: list[str | None]) -> bytes:
+        """The file: the documents' lengths and names, then the planes."""
         squeeze = zstandard.ZstdCompressor(level=1).compress
         table = squeeze(np.asarray(lengths, dtype="<u8").tobytes())
-        parts = [MAGIC, struct.pack("<QII", self.size, len(self.planes), len(table)), table]
+        named = squeeze(json.dumps(names).encode())
+        parts = [HEADER.pack(MAGIC, self.size, len(self.planes), len(table), len(named)), table, named]
         for plane, zeros in zip(self.planes, self.zeros, strict=True):
             body = squeeze(plane.tobytes())
             parts += [struct.pack("<QI", zeros, len(body)), body]
         return b"".join(parts)
 
     @classmethod
-    def unpack(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-        """The matrix of a file and its documents' lengths."""
+    def unpack(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[str | None]]:
+        """The matrix of a file, its documents' lengths and their names."""
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        size, bits, width = struct.unpack_from("<QII", data, 4)
+        _, size, bits, table, named = HEADER.unpack_from(data)
         expand = zstandard.ZstdDecompressor().decompress
-        at = 20 + width
-        lengths = np.frombuffer(expand(data[20:at]), dtype="<u8").astype(np.int64)
+        middle = HEADER.size + table
+        at = middle + named
+        lengths = np.frombuffer(expand(data[HEADER.size:middle]), dtype="<u8").astype(np.int64)
+        names = json.loads(expand(data[middle:at]))
         planes, zeros = [], []
         for _ in range(bits):
             zero, width = struct.unpack_from("<QI", data, at)
             planes.append(np.frombuffer(expand(data[at + 12:at + 12 + width]), dtype=np.uint8))
             zeros.append(zero)
             at += 12 + width
-        return cls(size, planes, zeros), lengths
+        return cls(size, planes, zeros), lengths, names
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID,
                  folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode every document in ascending key order into shard files; the frame returned lists them.
 
-    Columns: ``file``, ``part`` and ``nth`` (the order of shards), ``keys`` of its documents, ``tokens`` in all, and
-    ``first``, the ids of all shards before it.
+    Columns: ``file``, ``part`` and ``nth`` (the order of shards), ``tokens``, and ``first``, the ids of all shards before
+    it; the last two are read from the heads of the files.
     """
     folder = folder or fresh_dir(df.sparkSession, "wavelet")
-    kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()),
-                           T.StructField("nth", T.LongType()), T.StructField("keys", T.ArrayType(kind)),
-                           T.StructField("tokens", T.LongType())])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, nth = tokens.encoder(path, spaced=True), TaskContext.get().partitionId(), 0
         files, root = shared_files(folder)
         files.create_dir(root, recursive=True)
-        keys, bodies, held = [], [], 0
+        names, bodies, held = [], [], 0
 
         def shard() -> pd.DataFrame:
             name = f"shard-{part:06d}-{nth:05d}-{uuid.uuid4().hex}.wvm"
-            data = WaveletMatrix.build(np.frombuffer(b"".join(bodies), dtype="<u4")).pack([len(b) // 4 for b in bodies])
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(bodies), dtype="<u4"))
             with files.open_output_stream(f"{root}/{name}") as out:
-                out.write(data)
-            return pd.DataFrame({"file": [name], "part": [part], "nth": [nth], "keys": [list(keys)], "tokens": [held]})
+                out.write(matrix.pack([len(b) // 4 for b in bodies], names))
+            return pd.DataFrame({"file": [name], "part": [part], "nth": [nth]})
 
         for frame in frames:
             for at in range(0, len(frame), ENCODE_ROWS):
                 some = frame.iloc[at:at + ENCODE_ROWS]
-                names = [None if pd.isna(k) else k for k in some["key_"]]
-                for name, ids in zip(names, encode([t or "" for t in some["text_"]]), strict=True):
-                    keys.append(name)
+                for name, ids in zip(some["name_"], encode([t or "" for t in some["text_"]]), strict=True):
+                    names.append(name)
                     bodies.append(ids + end)
                     held += len(ids) // 4 + 1
                     if held >= shard_tokens:
                         yield shard()
-                        keys, bodies, held, nth = [], [], 0, nth + 1
-        if keys:
+                        names, bodies, held, nth = [], [], 0, nth + 1
+        if names:
             yield shard()
 
-    narrow = df.select(column(key).alias("key_"), column(text).alias("text_"))
+    # Keys travel as text, which keeps every digit beside nulls.
+    narrow = df.select(column(key).alias("key_"), column(key).cast("string").alias("name_"), column(text).alias("text_"))
     order = [F.col("key_"), F.xxhash64("text_")]
-    shards = written(narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, schema), "shards")
-    per_part = shards.groupBy("part").agg(F.sum("tokens").alias("sum"))
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("name_", "text_")
+    shards = written(ordered.mapInPandas(run, "file string, part long, nth long"), "shards")
+    shards = shards.withColumn("file", F.concat(F.lit(folder.rstrip("/") + "/"), "file"))
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(tokens=[shard_size(uri) for uri in frame["file"]])
+
+    sized = written(dealt(shards, shards.count()).mapInPandas(heads, "file string, part long, nth long, tokens long"), "heads")
+    per_part = sized.groupBy("part").agg(F.sum("tokens").alias("sum"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = per_part.select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
     inside = W.partitionBy("part").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
-    return shards.join(parts, "part").select(
-        F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("file"), "part", "nth", "keys", "tokens",
+    return sized.join(parts, "part").select(
+        "file", "part", "nth", "tokens",
         (F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
 
 
-def read_shard(uri: str) -> tuple[WaveletMatrix, np.ndarray]:
+def shard_size(uri: str) -> int:
+    """How many ids a file holds, from its head."""
     files, path = shared_files(uri)
     with files.open_input_stream(path) as source:
-        return WaveletMatrix.unpack(source.read())
+        return HEADER.unpack(source.read(HEADER.size))[1]
 
 
-def documents(shards: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document, from the files: key, ``start``, ``n_tokens`` and ``ids_crc32``."""
-    kind = shards.schema["keys"].dataType.elementType
-    schema = T.StructType([T.StructField(key, kind), T.StructField("start", T.LongType()),
-                           T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+def read_shard(uri: str) -> tuple[WaveletMatrix, np.ndarray, list[str | None]]:
+    files, path = shared_files(uri)
+    with files.open_input_stream(path) as source:
+        return WaveletMatrix.unpack(source.read())
 
+
+def documents(shards: DataFrame, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """Per document, from the files: key (of type ``kind``), ``start``, ``n_tokens`` and ``ids_crc32``."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for uri, keys, first in zip(frame["file"], frame["keys"], frame["first"], strict=True):
-                matrix, lengths = read_shard(uri)
+            for uri, first in zip(frame["file"], frame["first"], strict=True):
+                matrix, lengths, names = read_shard(uri)
                 ids, ends = matrix.ids().astype("<u4"), np.cumsum(lengths)
                 crc = [zlib.crc32(ids[b - n:b].tobytes()) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pd.DataFrame({key: pd.Series(list(keys), dtype=object), "start": first + ends - lengths,
+                yield pd.DataFrame({"name": pd.Series(names, dtype=object), "start": first + ends - lengths,
                                     "n_tokens": lengths, "ids_crc32": crc})
 
-    return dealt(shards.select("file", "keys", "first"), shards.count()).mapInPandas(run, schema)
+    found = dealt(shards.select("file", "first"), shards.count()).mapInPandas(
+        run, "name string, start long, n_tokens long, ids_crc32 long")
+    return found.select(F.col("name").cast(kind).alias(key), "start", "n_tokens", "ids_crc32")
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:

@@ -106,3 +106,11 @@ def test_single_source_repeats_nulls_and_empty_tables(spark):
     empty = spark.createDataFrame([(1, None, "a"), (2, "", "b")], "doc_id bigint, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.mix(empty).collect()] == [(0.0, 0)] * 2
     assert mixing.mix(same.limit(0)).collect() == [] and mixing.mixed(same.limit(0)).collect() == []
+
+
+def test_clashing_names_are_kept(spark):
+    rows = [(i, "a b c " * (i + 1), f"s{i % 3}", i, i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _copies int, _row int, size_ int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.count()
+    assert all(r["_copies"] == r["_row"] == r["size_"] == r["doc_id"] for r in out.collect())

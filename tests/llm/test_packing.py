@@ -65,18 +65,17 @@ def test_plan_does_not_grow_with_the_corpus():
 def encoded(text):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_documents_become_gapless_sequences(spark):
     long = "word another, " * 4000
     rows = [(1, "Hello, world! it's 23", 9), (2, None, 1), (3, "", 1), (4, long, 2), (5, "Hello, world! it's 23", 3),
-            (None, "no id", 4), (1, "Hello, world! it's 23", 9)]
+            (None, "no id", 4), ((1 << 53) + 1, "a b <|endoftext|> c<|startoftext|>D", 1), ((1 << 53) + 3, "x", 1), (1, "Hello, world! it's 23", 9)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, length int").repartition(3)
     found = packing.packed(df, PATH, keep_ids=True)
     got = found.collect()
-    texts = {1: rows[0][1], 2: None, 3: "", 4: long, 5: rows[0][1], None: "no id"}
+    texts = {1: rows[0][1], 2: None, 3: "", 4: long, 5: rows[0][1], None: "no id", (1 << 53) + 1: rows[6][1], (1 << 53) + 3: "x"}
     pieces = defaultdict(list)
     for r in got:
         pieces[r["doc_id"]].append(r)
@@ -108,7 +107,7 @@ def test_empty_table(spark):
 
 
 ODD = ["a", "B", "é", "ß", "İ", "Σ", "σ", " ", "  ", "\n", "\n\n", "\t", "\r", "\x1e", "\x1c", "\x00", "́", " ",
-       "　", "'s", "'ll", "1", "23", ".", ",", "!!", "#", "<|endoftext|>", "</w>", "你好", "😀", "ﬁ", "x" * 70, "|", "-"]
+       "　", "'s", "'ll", "1", "23", ".", ",", "!!", "#", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "</w>", "你好", "😀", "ﬁ", "x" * 70, "|", "-"]
 
 
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
@@ -117,8 +116,9 @@ def test_encoder_equals_the_library(name, spaced, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 300)
     rng = random.Random(2)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", " ", "a b\nc, d."]
-    encode = tokens.Encoder(tokens.vocabulary(name), spaced)
+    from tokenizers import Tokenizer
+    encode, library = tokens.Encoder(tokens.vocabulary(name), spaced), Tokenizer.from_file(tokens.vocabulary(name))
     got = [ids for at in range(0, len(texts), 64) for ids in encode(texts[at:at + 64])]
     for text, ids in zip(texts, got, strict=True):
-        want = np.array(encode.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        want = np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert ids == want, repr(text)

@@ -12,9 +12,9 @@ PATH = tokens.vocabulary("byte_bpe_50k.json")
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 70), max_size=1500))
 def test_matrix_answers_from_its_file(ids):
-    packed = wavelet.WaveletMatrix.build(np.array(ids, dtype=np.uint32)).pack(np.array([len(ids)]))
-    matrix, lengths = wavelet.WaveletMatrix.unpack(packed)
-    assert lengths.tolist() == [len(ids)] and matrix.ids().tolist() == ids
+    packed = wavelet.WaveletMatrix.build(np.array(ids, dtype=np.uint32)).pack(np.array([len(ids)]), ["1"])
+    matrix, lengths, names = wavelet.WaveletMatrix.unpack(packed)
+    assert lengths.tolist() == [len(ids)] and names == ["1"] and matrix.ids().tolist() == ids
     for place in range(0, len(ids), 97):
         assert matrix[place] == ids[place]
     for token in (0, 1, 7, 70, 1000, -1):
@@ -34,7 +34,6 @@ def test_places_over_many_blocks():
 def test_shards_hold_all_documents_in_key_order(spark):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     rows = [(i, f"text number {i}\nwith  odd\tspace <|endoftext|> é" * (i % 7), i) for i in range(60)]
     rows += [(60, None, 1), (61, "", 1), (62, "w " * 5000, 1), (62, "w " * 5000, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens int").repartition(5)
@@ -57,3 +56,14 @@ def test_null_keys_and_empty_tables(spark):
     found = wavelet.documents(wavelet.write_shards(df, PATH)).collect()
     assert sorted((r["start"], r["doc_id"]) for r in found) == [(0, None), (2, 3)]
     assert wavelet.documents(wavelet.write_shards(df.limit(0), PATH)).collect() == []
+
+
+def test_keys_come_from_the_files_with_every_digit(spark):
+    wide = [None, 9007199254740993, 9007199254740995, -9223372036854775808]
+    df = spark.createDataFrame([(k, "x") for k in wide], "doc_id bigint, text string").coalesce(1)
+    shards = wavelet.write_shards(df, PATH)
+    assert "keys" not in shards.columns
+    assert [r["doc_id"] for r in wavelet.documents(shards).orderBy("start").collect()] == sorted(wide, key=lambda k: (k is not None, k))
+    texts = spark.createDataFrame([("b\"ü", "x"), ("a", "y")], "`the key` string, text string")
+    found = wavelet.documents(wavelet.write_shards(texts, PATH, key="the key"), "the key", "string").orderBy("start").collect()
+    assert [r["the key"] for r in found] == ["a", "b\"ü"]
