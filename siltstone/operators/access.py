@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.names import free_names, quote_name
 from siltstone.operators.joins import lookup_join
 from siltstone.session import Settled, settle
 
@@ -160,6 +161,13 @@ def privilege_lookup(grants: DataFrame) -> DataFrame:
 
 KEY = ["user_id", "operation", "resource"]
 
+
+def request_key(user: Column, operation: Column, resource: Column) -> Column:
+    """A 256-bit digest of a request, by which its parts meet: one short column instead of nested ones."""
+    whole = F.to_json(F.struct(user.alias("u"), operation.alias("o"), resource.alias("r")), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(whole, 256))
+
+
 # Levels by depth: a check at one depth also meets the grants at the depths above it.
 DEPTHS = {"catalog": 1, "schema": 2, "table": 3}
 
@@ -176,8 +184,8 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 
 def coverage(requests: DataFrame, lookup: Settled) -> DataFrame:
-    """What the grants give to distinct ``requests(user_id, operation, resource)``: ``whole`` or some ``covered``
-    columns. Requests without any matching grant have no row.
+    """What the grants give to ``requests(key, user_id, operation, resource)``, each key once: ``key``, and ``whole`` or
+    some ``covered`` columns. Requests without any matching grant have no row.
 
     A request is looked up once per level it touches, at most three times, whatever the alternatives of its
     operation. A grant that answers a check of a schema or catalog, or a request that names no columns, gives all.
@@ -192,33 +200,36 @@ def coverage(requests: DataFrame, lookup: Settled) -> DataFrame:
     asked = requests.join(F.broadcast(reach), "operation")
 
     users = lookup.frame.select("user_id").distinct()
-    somewhere = (lookup_join(asked.where("_anywhere").select(*KEY), users, ["user_id"], "left_semi")
-                 .select(*KEY, F.lit(True).alias("whole"), F.array().cast("array<string>").alias("covered")))
+    somewhere = (lookup_join(asked.where("_anywhere").select("key", "user_id"), users, ["user_id"], "left_semi")
+                 .select("key", F.lit(True).alias("whole"), F.lit(None).cast("array<string>").alias("columns")))
 
     probes = (asked.withColumn("_own", own).withColumn("_named", named)
               .withColumn("_deepest", F.least("_reach", "_named")).where("_deepest > 0")
-              .select(*KEY, "_own", "_named", F.explode(F.sequence(F.lit(1), "_deepest")).alias("_depth"))
-              .select(*KEY, "_own", "_named", "_depth", res["catalog"].alias("catalog"),
-                      F.when(depth >= 2, res["schema"]).otherwise("").alias("schema"),
+              .select("key", "user_id", "operation", "resource", "_own", "_named",
+                      F.explode(F.sequence(F.lit(1), "_deepest")).alias("_depth"))
+              .select("key", "user_id", "operation", res["columns"].isNull().alias("_free"), "_own", "_named", "_depth",
+                      res["catalog"].alias("catalog"), F.when(depth >= 2, res["schema"]).otherwise("").alias("schema"),
                       F.when(depth >= 3, res["table"]).otherwise("").alias("table")))
     found = lookup_join(probes, lookup, ["user_id", *PLACE]).withColumnRenamed("operation", "_operation")
     checked = F.coalesce(F.col("_fixed"), F.col("_own"))
     answers = ((F.col("_operation") == F.col("operation")) & (checked >= depth) & (checked <= F.col("_named"))
                & ((F.col("_wanted") == ANY) | F.col("privilege").isin("ALL")
                   | (F.col("privilege") == F.col("_wanted"))))
-    free = (checked < 3) | res["columns"].isNull()
-    hits = found.join(F.broadcast(rules), answers).select(*KEY, (F.col("whole") | free).alias("whole"), "columns")
+    whole = F.col("whole") | (checked < 3) | F.col("_free")
+    # Columns matter only where they are not given as a whole.
+    hits = found.join(F.broadcast(rules), answers).select(
+        "key", whole.alias("whole"), F.when(~whole, F.col("columns")).alias("columns"))
     # Column grants add up. A request meets each privilege of its three places, so the lists gathered are few.
-    granted = (hits.groupBy(*KEY)
-               .agg(F.bool_or("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set("columns")))
-                    .alias("covered")))
-    return granted.unionByName(somewhere)
+    return hits.unionByName(somewhere).groupBy("key").agg(
+        F.bool_or("whole").alias("whole"), F.array_distinct(F.flatten(F.collect_set("columns"))).alias("covered"))
 
 
-def _distinct_requests(requests: DataFrame) -> Settled:
-    """Distinct requests that are not allowed anyway."""
-    closed = requests.where(~always_allowed(F.col("operation"), F.col("resource")))
-    return settle(closed.select(*KEY).distinct(), "requests")
+def _found(requests: DataFrame, grants: DataFrame, key: str) -> DataFrame:
+    """What the grants give to the requests that are not allowed anyway, each looked up once: ``key`` as named, ``whole``
+    and ``covered``, a row per request that any grant answers."""
+    closed = requests.where(~always_allowed(F.col("operation"), F.col("resource"))).select(F.col(key).alias("key"), *KEY)
+    once = settle(closed.dropDuplicates(["key"]), "requests").frame
+    return coverage(once, settle(privilege_lookup(grants), "privileges")).withColumnRenamed("key", key)
 
 
 def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
@@ -227,16 +238,16 @@ def decide(requests: DataFrame, grants: DataFrame) -> DataFrame:
     Equal requests are decided once. A request is allowed by an always-allow rule, or by any grant of the user that
     covers the object checked, has the privilege asked for (or ALL) and covers the columns asked for.
     """
-    once = _distinct_requests(requests)
-    found = coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges"))
-    missing = F.array_except(F.col("resource")["columns"], F.col("covered"))
-    granted = found.where(F.col("whole") | (F.size(missing) == 0)).select(*KEY, F.lit(True).alias("_granted"))
+    key, = free_names(requests, "key")
+    keyed = requests.withColumn(key, request_key(*[F.col(c) for c in KEY]))
     # What is allowed anyway never meets the grants, however often it is asked.
     open_to_all = always_allowed(F.col("operation"), F.col("resource"))
-    joined = lookup_join(requests.where(~open_to_all), settle(granted, "granted"), KEY, "left")
-    decided = joined.withColumn("allowed", F.coalesce("_granted", F.lit(False))).drop("_granted")
+    joined = lookup_join(keyed.where(~open_to_all), _found(keyed, grants, key), [key], "left")
+    missing = F.array_except(F.col("resource")["columns"], F.col("covered"))
+    decided = joined.withColumn("allowed", F.coalesce(F.col("whole") | (F.size(missing) == 0), F.lit(False)))
     free = requests.where(open_to_all).withColumn("allowed", F.lit(True))
-    return decided.unionByName(free).select(*requests.columns, "allowed")
+    names = [F.col(quote_name(c)) for c in requests.columns]
+    return decided.select(*names, "allowed").unionByName(free.select(*names, "allowed"))
 
 
 def allowed_indices(batches: DataFrame, grants: DataFrame) -> DataFrame:
@@ -262,13 +273,14 @@ def column_decisions(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """One row per requested column: ``(request_id, user_id, index, column, allowed)``. The grants of a table are
     looked up once for all columns of a request."""
     rows = requests.select("request_id", "user_id", F.lit("FilterColumns").alias("operation"), "resource")
-    once = _distinct_requests(rows)
-    found = settle(coverage(once.frame.select(*KEY), settle(privilege_lookup(grants), "privileges")), "coverage")
+    keyed = rows.withColumn("key", request_key(*[F.col(c) for c in KEY]))
     open_to_all = always_allowed(F.col("operation"), F.col("resource"))
-    joined = lookup_join(rows.where(~open_to_all), found, KEY, "left")
+    joined = lookup_join(keyed.where(~open_to_all), _found(keyed, grants, "key"), ["key"], "left")
+    columns = ["request_id", "user_id", "resource", "whole", "covered"]
     free = rows.where(open_to_all).select("*", F.lit(True).alias("whole"),
                                           F.array().cast("array<string>").alias("covered"))
     allowed = (F.coalesce("whole", F.lit(False))
                | F.coalesce(F.array_contains("covered", F.col("column")), F.lit(False)))
-    return (joined.unionByName(free).select("*", F.posexplode("resource.columns").alias("index", "column"))
+    return (joined.select(*columns).unionByName(free.select(*columns))
+            .select("*", F.posexplode("resource.columns").alias("index", "column"))
             .select("request_id", "user_id", "index", "column", allowed.alias("allowed")))
