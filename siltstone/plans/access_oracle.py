@@ -22,7 +22,8 @@ sup AS (SELECT s_suppkey, 'namespace:' || r_name || '.' || n_name AS outer_ns,
 cust AS (SELECT 'user:' || c_custkey AS usr, c_mktsegment, r_name, n_name
          FROM customer JOIN place ON c_nationkey = n_nationkey),
 edges AS (SELECT object AS child, inner_ns AS parent FROM sup UNION SELECT inner_ns, outer_ns FROM sup
-          UNION SELECT 'namespace:' || r_name || '.' || n_name, 'catalog:' || r_name FROM place),
+          UNION SELECT 'namespace:' || r_name || '.' || n_name, 'catalog:' || r_name FROM place
+          /* more edges */),
 anc AS (SELECT child, parent AS ancestor FROM edges
         UNION SELECT a.child, e.parent FROM anc a JOIN edges e ON e.child = a.ancestor),
 role_tuples AS (
@@ -51,6 +52,11 @@ holders AS (SELECT subject, subject AS holder FROM (SELECT DISTINCT subject FROM
             UNION ALL SELECT subject, role || '#assignee' FROM members)
 """
 
+# What some queries add to the edges, at the mark.
+_SECOND_MARK = "/* more edges */"
+_SECOND = """UNION SELECT object, 'namespace:' || r_name || '.' || n_name FROM sup JOIN place ON n_nationkey = s_suppkey % 25
+          WHERE s_suppkey % 3 = 0"""
+
 _HELD = _TREE + """,
 blocked AS (SELECT DISTINCT child AS object FROM anc
             WHERE ancestor IN (SELECT object FROM tuples WHERE relation = 'managed_access' AND subject = 'user:*')),
@@ -196,6 +202,24 @@ ORACLE = {
         SELECT src, dst FROM pairs""",
     "effective_relations": f"""WITH RECURSIVE {_HELD}
         SELECT subject, object, "create", "describe", modify, "select", ownership, pass_grants FROM held""",
+    "interval_relations": f"""WITH RECURSIVE {_HELD.replace(_SECOND_MARK, _SECOND)}
+        SELECT subject, object, "create", "describe", modify, "select", ownership, pass_grants, manage_grants FROM held""",
+    "tree_labels": f"""WITH RECURSIVE {_TREE},
+        nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges)
+        SELECT node, (SELECT count(*) FROM anc WHERE ancestor = node) AS below FROM nodes""",
+    "indexed_tables": f"""WITH {_GRANTS},
+        pairs AS (SELECT DISTINCT 'c' || o_custkey AS usr, r_name, n_name, s_name
+                  FROM bought JOIN supplier ON l_suppkey = s_suppkey JOIN place ON s_nationkey = n_nationkey),
+        asked AS (SELECT usr, r_name AS cat, n_name AS sch, s_name AS tab FROM pairs
+                  UNION SELECT usr, r_name, n_name, '' FROM pairs UNION SELECT usr, r_name, '', '' FROM pairs),
+        met AS (SELECT a.*, privilege FROM asked a JOIN priv p ON p.user_id = usr AND p."catalog" = cat AND p."schema" = ''
+                UNION SELECT a.*, privilege FROM asked a JOIN priv p
+                ON p.user_id = usr AND p."catalog" = cat AND p."schema" = sch AND p."table" = '' AND sch <> ''
+                UNION SELECT a.*, privilege FROM asked a JOIN priv p
+                ON p.user_id = usr AND p."catalog" = cat AND p."schema" = sch AND p."table" = tab AND tab <> '')
+        SELECT usr AS user_id, cat AS "catalog", sch AS "schema", tab AS "table",
+               string_agg(DISTINCT privilege, ',' ORDER BY privilege) AS privileges
+        FROM met GROUP BY usr, cat, sch, tab""",
     "grant_rights": f"""WITH RECURSIVE {_HELD}
         SELECT subject, object, manage_grants, concat_ws(',',
             CASE WHEN manage_grants THEN 'can_change_ownership' END,
@@ -400,3 +424,4 @@ ORACLE = {
          UNION SELECT 'user:' || o_custkey, 'describe', 'table:' || l_suppkey FROM bought WHERE l_returnflag = 'N')
         EXCEPT SELECT 'user:' || o_custkey, 'select', 'table:' || l_suppkey FROM bought WHERE l_returnflag = 'R'""",
 }
+ORACLE["indexed_matrix"] = ORACLE["operation_matrix"]

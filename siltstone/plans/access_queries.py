@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, cascade, grants, incremental, relations, secure
+from siltstone.operators import access, cascade, entitlements, grants, incremental, intervals, relations, secure
 from siltstone.operators.cascade import ForeignKey
 from siltstone.operators.closure import role_members
 from siltstone.operators.joins import lookup_join
@@ -166,6 +166,32 @@ def effective_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("subject", "object", "create", "describe", "modify", "select", "ownership", "pass_grants")
 
 
+def interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from interval labels of the object tree, where some tables hang in a second namespace as well and are
+    answered by a closure; held on the customers' own namespaces and catalogs too."""
+    traded = _traded(spark, sf_dir)
+    model = relations.prepare(settle(relation_tuples(spark, sf_dir, traded), "tuples").frame,
+                              settle(_double_edges(spark, sf_dir), "edges").frame, by_intervals=True)
+    held = relations.held_relations(targets(spark, sf_dir, traded), model)
+    return held.select("subject", "object", "create", "describe", "modify", "select", "ownership", "pass_grants",
+                       "manage_grants")
+
+
+def _double_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents, and for every third supplier one more: the outer namespace of a nation."""
+    places = _regions(spark, sf_dir).select(F.col("n_nationkey").cast("bigint").alias("n"),
+                                            F.concat(F.lit("namespace:"), F.concat_ws(".", "r_name", "n_name")).alias("parent"))
+    second = (_suppliers(spark, sf_dir).where("s_suppkey % 3 = 0").select(F.col("object").alias("child"), (F.col("s_suppkey") % 25).alias("n"))
+              .join(places, "n").select("child", "parent"))
+    return parent_edges(spark, sf_dir).unionByName(second)
+
+
+def tree_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects lie below each object, from its interval."""
+    found = intervals.labels(parent_edges(spark, sf_dir)).tree.frame
+    return found.select("node", (F.col("high") - F.col("low")).alias("below"))
+
+
 def grant_rights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who may pass on what: managed access takes the right from owners below a managed namespace."""
     traded = _traded(spark, sf_dir)
@@ -398,10 +424,9 @@ def column_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
                           .alias("indices"))
 
 
-def operation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matrix(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """Every operation, asked by every customer about the first supplier bought from, in all six shapes of a resource:
     the shape changes with operation and customer."""
-    traded = _traded(spark, sf_dir)
     names = sorted({name for name, _, _ in access.OPERATIONS})
     operations = F.posexplode(F.array(*[F.lit(n) for n in names])).alias("number", "operation")
     tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "r_name", "n_name")
@@ -417,12 +442,40 @@ def operation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.struct(cat), F.struct(F.struct(cat, sch, tab, F.lit("s_nationkey").alias("column")).alias("table"))]
     text = reduce(lambda chain, item: chain.when(shape == item[0], F.to_json(item[1])), list(enumerate(shapes))[1:],
                   F.when(shape == 0, F.to_json(shapes[0])))
-    requests = access.with_resource(asked.select("o_custkey", F.concat(F.lit("c"), "o_custkey").alias("user_id"),
-                                                 "operation", text.alias("json")), "json")
-    decided = access.decide(requests, named_grants(spark, sf_dir, traded))
+    return access.with_resource(asked.select("o_custkey", F.concat(F.lit("c"), "o_custkey").alias("user_id"), "operation",
+                                             text.alias("json")), "json")
+
+
+def operation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every operation asked by every customer, decided by joins."""
+    traded = _traded(spark, sf_dir)
+    decided = access.decide(_matrix(spark, sf_dir, traded), named_grants(spark, sf_dir, traded))
     return decided.select("o_custkey", "operation", F.col("resource.level").alias("level"), "allowed")
 
 
+def _index(spark: SparkSession, sf_dir: str, traded: DataFrame) -> entitlements.EntitlementIndex:
+    return entitlements.index(relation_rows(spark, sf_dir, traded), named_objects(spark, sf_dir))
+
+
+def indexed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from the entitlement index."""
+    traded = _traded(spark, sf_dir)
+    decided = _index(spark, sf_dir, traded).decide(_matrix(spark, sf_dir, traded))
+    return decided.select("o_custkey", "operation", F.col("resource.level").alias("level"), "allowed")
+
+
+def indexed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The privileges, from the entitlement index, that customers hold on the tables, schemas and catalogs they bought from."""
+    traded = _traded(spark, sf_dir)
+    tables = _suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("catalog"),
+                                              F.col("n_name").alias("schema"), F.col("s_name").alias("table"))
+    pairs = lookup_join(traded.select("o_custkey", "l_suppkey").distinct(), tables, ["l_suppkey"])
+    none, user = F.lit(""), F.concat(F.lit("c"), "o_custkey").alias("user_id")
+    asked = (pairs.select(user, "catalog", "schema", "table").unionByName(pairs.select(user, "catalog", "schema", none.alias("table")))
+             .unionByName(pairs.select(user, "catalog", none.alias("schema"), none.alias("table"))).distinct())
+    return _index(spark, sf_dir, traded).held(asked).withColumn("privileges", F.array_join("privileges", ","))
+
+
 # -- rows and masks -----------------------------------------------------------------------------------------------
 
 PLACE = ("lake", "crm", "customer")
@@ -594,8 +647,8 @@ def cascade_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, closure_changes, effective_relations, grant_rights, object_capabilities, upward_visibility, listing_visibility,
-    listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, visible_tables,
+    cascade_sales, cascade_lines, cascade_grants, cascade_tree, role_closure, closure_changes, effective_relations, interval_relations, tree_labels, grant_rights, object_capabilities, upward_visibility, listing_visibility,
+    listing_mismatches, role_capabilities, column_grants, rbac_lookup, decisions, operation_matrix, indexed_matrix, indexed_tables, visible_tables,
     visible_columns, column_batches, row_filter, column_mask, role_masks, secured_dataset,
     secured_for_users, rows_of_users, grant_checks,
     grant_updates, grant_revoke)}
