@@ -101,6 +101,9 @@ class Encoder:
         for piece in known:
             young[piece] = old[piece]
         for piece in pieces.difference(known) if known else pieces:
+            if piece[-1] not in MARKS:
+                wanted.add(piece)
+                continue
             body = piece.rstrip(MARKS)
             # The last letter may become a letter and a mark when it is lower-cased.
             if len(body) < len(piece) and body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():

@@ -140,12 +140,18 @@ class WaveletMatrix:
     def ids(self) -> np.ndarray:
         """All ids: from the lowest plane up, each plane's bits put what is below back in its order."""
         value = np.zeros(self.size, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
+        above = np.empty_like(value)
         for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.size, bitorder="little").view(bool)
-            above = np.empty_like(value)
-            above[np.flatnonzero(~ones)] = value[:zeros]
-            above[np.flatnonzero(ones)] = value[zeros:] | value.dtype.type(1 << bit)
-            value = above
+            value[zeros:] |= value.dtype.type(1 << bit)
+            # Stretch by stretch, as they were split.
+            low, high = 0, zeros
+            for at in range(0, self.size, STRETCH):
+                part, out = ones[at:at + STRETCH], above[at:at + STRETCH]
+                to_low, to_high = np.flatnonzero(~part), np.flatnonzero(part)
+                out[to_low], out[to_high] = value[low:low + len(to_low)], value[high:high + len(to_high)]
+                low, high = low + len(to_low), high + len(to_high)
+            value, above = above, value
         return value
 
     def pack(self, lengths: np.ndarray | list[int], names: list[str | None]) -> bytes:
