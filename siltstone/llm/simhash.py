@@ -3,7 +3,7 @@
 Fingerprints within ``bits`` differing bits agree in at least one of ``bits + 1`` blocks. For each block the distinct
 fingerprints are turned so that it leads, and sorted by Gray rank: those that share it stand together, and form a
 group whose root pattern is the block. Inside a group the sorted fingerprints are cut into nodes; a node factors out the
-bits that all below it share, as a mask and a pattern, up to one node per group. Pairs of nodes are compared from the
+bits that all below it share, as a mask and a pattern, up to one root per group, however small. Pairs of nodes are compared from the
 top, adding up the bits in which their shared patterns differ; a pair beyond ``bits`` is dropped with all below it.
 
 Only distinct fingerprints are compared, so copies cost nothing, and a group hands on a star for each of its parts, never
@@ -33,7 +33,9 @@ SHINGLE = 3
 BITS = 2
 SEED = 42
 GROUP_ROWS = 20_000
-NODE = 32
+LEAF = 4
+FAN = 8
+PAIRS = 1 << 14  # pairs of nodes compared at a time
 HASHES_AT_ONCE = 1 << 16
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -102,54 +104,65 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _find(parent)
 
 
-def _levels(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes from the leaves up: per node the mask of shared bits, and their pattern."""
-    every, low, high = [], codes, codes
-    width = NODE
+def _levels(number: np.ndarray, codes: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Nodes of all groups from the leaves up to one root for each: per node the mask of the bits that all below it share,
+    their pattern, and its first child and how many it has."""
+    every, group, low, high, width = [], number, codes, codes, LEAF
     while True:
-        cuts = np.arange(0, len(low), width)
-        low, high = np.bitwise_and.reduceat(low, cuts), np.bitwise_or.reduceat(high, cuts)
-        every.append((~(low ^ high), low))
-        if len(low) == 1:
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        inside = np.arange(len(group)) - np.repeat(heads, np.diff(np.r_[heads, len(group)]))
+        cuts = np.flatnonzero(inside % width == 0)
+        counts = np.diff(np.r_[cuts, len(group)])
+        low, high, group = np.bitwise_and.reduceat(low, cuts), np.bitwise_or.reduceat(high, cuts), group[cuts]
+        every.append((~(low ^ high), low, cuts, counts))
+        if len(cuts) == len(heads):
             return every
-        width = 8
+        width = FAN
 
 
-def linked(codes: np.ndarray, bits: int, left: np.ndarray | None = None) -> np.ndarray:
-    """Per code, in Gray order, the index of the first code of its part.
+def index_links(number: np.ndarray, codes: np.ndarray, bits: int, left: np.ndarray | None = None) -> np.ndarray:
+    """Per code the place of the first code of its part. ``codes`` stand by the ``number`` of their group, and in Gray order
+    inside; all groups are searched at once, each from its root.
 
     ``left`` marks codes of one tile: then only pairs with one end there and one outside are looked for.
     """
-    n = len(codes)
-    parent = np.arange(n)
-    levels = _levels(codes)
-    a, b = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        mask, pattern = levels[depth]
-        near = popcount((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= bits
-        a, b = a[near], b[near]
-        if depth:
-            kids = len(levels[depth - 1][0])
-            step = np.arange(8)
-            left_kids, right_kids = (a[:, None] * 8 + step), (b[:, None] * 8 + step)
-            x = np.repeat(left_kids, 8, axis=1).ravel()
-            y = np.tile(right_kids, (1, 8)).ravel()
-            fits = (x < kids) & (y < kids) & (x <= y)
-            a, b = x[fits], y[fits]
-    step = np.arange(NODE)
-    for at in range(0, len(a), 2048):
-        x = (a[at:at + 2048, None] * NODE + np.repeat(step, NODE)).ravel()
-        y = (b[at:at + 2048, None] * NODE + np.tile(step, NODE)).ravel()
-        fits = (x < n) & (y < n) & (x < y)
-        x, y = x[fits], y[fits]
-        if left is not None:
-            cross = left[x] != left[y]
-            x, y = x[cross], y[cross]
-        near = popcount(codes[x] ^ codes[y]) <= bits
-        parent = _union(parent, x[near], y[near])
+    parent = np.arange(len(codes))
+    levels = _levels(number, codes) if len(codes) else []
+
+    def descend(depth: int, a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal parent
+        mask, pattern, first, count = levels[depth]
+        step = np.arange(FAN if depth else LEAF)
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at:at + PAIRS], b[at:at + PAIRS]
+            near = popcount((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= bits
+            x, y = x[near], y[near]
+            fits = (np.repeat(step < count[x][:, None], len(step), axis=1)
+                    & np.tile(step < count[y][:, None], (1, len(step)))).ravel()
+            p = np.repeat(first[x][:, None] + step, len(step), axis=1).ravel()[fits]
+            q = np.tile(first[y][:, None] + step, (1, len(step))).ravel()[fits]
+            if depth:
+                once = p <= q
+                descend(depth - 1, p[once], q[once])
+                continue
+            once = p < q
+            if left is not None:
+                once &= left[p] != left[q]
+            p, q = p[once], q[once]
+            near = popcount(codes[p] ^ codes[q]) <= bits
+            parent = _union(parent, p[near], q[near])
+
+    if levels:
+        roots = np.arange(len(levels[-1][0]))
+        descend(len(levels) - 1, roots, roots)
     return parent
 
 
+def linked(codes: np.ndarray, bits: int, left: np.ndarray | None = None) -> np.ndarray:
+    """``index_links`` of one group."""
+    return index_links(np.zeros(len(codes), dtype=np.int64), codes, bits, left)
+
+
 def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
     """``width`` bits cut into ``parts`` blocks: (shift, mask)."""
     cuts = [width * k // parts for k in range(parts + 1)]
@@ -190,8 +203,7 @@ def _stars(rows: DataFrame, bits: int, tiled: bool = False) -> DataFrame:
 def _small_stars(rows: DataFrame, bits: int, most: int) -> DataFrame:
     """As ``_stars`` for groups of at most ``most`` rows, without a Python call per group.
 
-    Rows are dealt by group and sorted by Gray rank; all groups of a batch are searched at once, neighbours one place
-    apart first, then two, up to the largest group of the batch; groups beyond ``NODE`` rows go through their index.
+    Rows are dealt by group; the groups of a batch are put in Gray order and searched at once, each through its own tree.
     """
     parts = _blocks(64, bits + 1)
 
@@ -212,27 +224,15 @@ def _small_stars(rows: DataFrame, bits: int, most: int) -> DataFrame:
         groups, codes = frame["group"].to_numpy(), frame["code"].to_numpy().view(np.uint64)
         cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
         sizes = np.diff(np.r_[cuts, len(groups)])
-        blocks = frame["block"].to_numpy()
-        number = np.repeat(np.arange(len(cuts)), sizes)
-        small = np.repeat(sizes <= NODE, sizes)
-        parent = np.arange(len(codes))
-        at = np.flatnonzero(small & (np.repeat(sizes, sizes) > 1))
-        for step in range(1, NODE):
-            at = at[(at + step < len(codes))]
-            at = at[number[at] == number[np.minimum(at + step, len(codes) - 1)]]
-            if not len(at):
-                break
-            near = at[popcount(codes[at] ^ codes[at + step]) <= bits]
-            parent = _union(parent, near, near + step)
-        for first, size in zip(cuts[sizes > NODE], sizes[sizes > NODE], strict=True):
-            own = codes[first:first + size]
-            shift, mask = parts[int(blocks[first])]
+        blocks, turned = frame["block"].to_numpy(), codes.copy()
+        for block, (shift, mask) in enumerate(parts):
             up = np.uint64(64 - (shift + mask.bit_length()))
-            turned = own if not up else (own << up) | (own >> (np.uint64(64) - up))
-            order = np.argsort(gray_rank(turned), kind="stable")
-            found = linked(own[order], bits)
-            parent[first + order] = first + order[found]
-        parent = _find(parent)
+            own = blocks == block
+            if up:
+                turned[own] = (codes[own] << up) | (codes[own] >> (np.uint64(64) - up))
+        number = np.repeat(np.arange(len(cuts)), sizes)
+        codes = codes[np.lexsort((gray_rank(turned), number))]
+        parent = index_links(number, codes, bits)
         moved = np.flatnonzero(parent != np.arange(len(codes)))
         if len(moved):
             yield pd.DataFrame({"a": codes[moved].view(np.int64), "b": codes[parent[moved]].view(np.int64)})

@@ -83,14 +83,30 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def candidate_keys(host: Column, path: Column, lengths: list[int], labels_listed: int) -> Column:
     """Every canonical key of a url that a list with these path lengths, and hosts of at most so many labels, could hold,
     each once."""
-    labels = F.split(host, r"\.")
-    first = F.greatest(F.lit(1), F.size(labels) - labels_listed + 1)
-    ends = F.transform(F.sequence(first, F.size(labels)),
-                       lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    ends = host_ends(host, F.lit(labels_listed))
     starts = F.array_compact(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     return F.array_distinct(F.flatten(F.transform(ends, lambda h: F.transform(starts, lambda p: F.concat(h, p)))))
 
 
+def host_ends(host: Column, labels_listed: Column) -> Column:
+    """The ends of a host at its dots, of at most so many labels, each once."""
+    labels = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(labels) - labels_listed + 1)
+    return F.array_distinct(F.transform(F.sequence(first, F.size(labels)),
+                                        lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))))
+
+
+def keys_by_host(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """``(row, key)`` of every key that the list could hold, by the lengths of the paths listed for each host."""
+    named = listed.select(F.expr("left(key, size - path_size)").alias("end"), "path_size").distinct()
+    most = named.agg(F.max(F.size(F.split("end", r"\.")))).first()[0]
+    lengths = named.groupBy("end").agg(F.collect_set("path_size").alias("sizes"))
+    ends = rows.select("row", "path", F.explode(host_ends(F.col("host"), F.lit(most))).alias("end"))
+    fits = F.filter("sizes", lambda n: n <= F.char_length("path"))
+    tried = ends.join(lengths, "end").select("row", "end", "path", F.explode(fits).alias("n"))
+    return tried.select("row", F.concat("end", F.expr("left(path, n)")).alias("key"))
+
+
 def judged(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url",
            default: str = "allow") -> DataFrame:
     """Per row its key, host, path, the deciding entry of rank 1 as ``rule``, and the verdict.
@@ -99,19 +115,18 @@ def judged(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str =
     """
     listed = written(listed.groupBy("key", "size", "path_size", "rank").agg(F.max("verdict").alias("verdict")), "listed")
     labels = F.size(F.split(F.expr("left(key, size - path_size)"), r"\."))
-    shape = (listed.groupBy("path_size").agg(F.count(F.lit(1)).alias("entries"), F.max(labels).alias("labels"))
+    shape = (listed.groupBy("path_size").agg(F.max(labels).alias("labels"))
              .limit(PATH_LENGTHS + 1).collect())
-    if len(shape) > PATH_LENGTHS:
-        raise ValueError(f"listed paths have more than {PATH_LENGTHS} different lengths")
     lengths = sorted(r["path_size"] for r in shape)
     rows = pages.select(F.monotonically_increasing_id().alias("row"), column(key).alias("page"),
                         host_of(column(url)).alias("host"), path_of(column(url)).alias("path"))
     rows = written(rows, "urls")
-    blocks = block_count(sum(r["entries"] for r in shape))
+    blocks = block_count(listed.count())
     words = written(bloom(listed, blocks), "bloom")
     keys = (candidate_keys(F.col("host"), F.col("path"), lengths, max(r["labels"] for r in shape)) if lengths else
             F.array().cast("array<string>"))
-    tried = rows.select("row", F.explode(keys).alias("key"))
+    many = len(lengths) > PATH_LENGTHS
+    tried = keys_by_host(rows, listed) if many else rows.select("row", F.explode(keys).alias("key"))
     probes = tried.select("row", "key", *_masks(F.col("key"), blocks)).join(words, "block")
     passed = probes.where(" AND ".join(f"w{k} & m{k} = m{k}" for k in range(4))).select("row", "key")
     exact = passed.join(listed, "key")

@@ -136,3 +136,32 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert found == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100),
                      **dict.fromkeys((200, 201, 202), 200)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_all_links_come_through_the_index(spark, monkeypatch):
+    """Groups of any size go through their trees: without them nothing is linked."""
+    rng = random.Random(5)
+    for sizes in ([1, 2, 3, 5], [4, 9, 33, 1, 200], [1] * 7):
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        codes = np.array([c for size in sizes for c in clustered(rng.randrange(99), size, 2)], dtype=np.uint64)
+        codes = codes[np.lexsort((simhash.gray_rank(codes), number))]
+        found = simhash.index_links(number, codes, 3)
+        for group in range(len(sizes)):
+            own = np.flatnonzero(number == group)
+            assert (found[own] >= own[0]).all()
+            want, have = parts(codes[own].tolist(), 3), found[own].tolist()
+            assert len(set(zip(want, have, strict=True))) == len(set(want)) == len(set(have))
+    assert len(simhash.index_links(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), 2)) == 0
+
+
+def test_registered_query_equals_brute_force(spark):
+    import os
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("driver tables are absent")
+    from siltstone.llm.common import table
+    from siltstone.llm.queries import op2_simhash
+    rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in table(spark, sf_dir, "documents").collect()]
+    names = parts([c for _, c in rows], 2, [d for d, _ in rows])
+    want = sorted((d, f"{c:016x}", n) for (d, c), n in zip(rows, names, strict=True))
+    assert sorted(tuple(r) for r in op2_simhash(spark, sf_dir).collect()) == want

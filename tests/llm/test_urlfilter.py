@@ -55,6 +55,18 @@ def test_large_lists_and_false_positives(spark, monkeypatch):
     assert sorted((tuple(r) for r in urlfilter.judged(df, listed).collect()), key=str) == sorted(want, key=str)
 
 
+def test_more_path_lengths_than_the_plan_takes(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "PATH_LENGTHS", 3)
+    rng = random.Random(4)
+    rules = tuple({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in
+                   ((rng.choice(["net", "x.net", "a.x.net", "org"]), "/" + "ab/" * rng.randrange(12)) for _ in range(60))}.values())
+    rows = [(i, rng.choice(["http://", "no"]) + rng.choice(["x.net", "b.a.x.net", "net", "y.org", "com", ""]) + "/" + "ab/" * rng.randrange(14))
+            for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = sorted((tuple(r) for r in urlfilter.judged(df, urlfilter.entries(spark, rules, 1)).collect()), key=str)
+    assert got == sorted(((i, *brute(u, rules, ())) for i, u in rows), key=str)
+
+
 def test_the_filter_rejects_most_keys_and_no_listed_one(spark):
     listed = spark.range(5000).selectExpr("concat('k', id) AS key")
     blocks = urlfilter.block_count(5000)
