@@ -55,8 +55,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # Tokens that stand for themselves wherever their text occurs; texts with one are encoded in one call.
+        # Tokens that stand for themselves wherever their text occurs; texts with one are encoded in one call. Pieces of
+        # other texts hold none, and are not searched for any.
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         # Between pieces: a line end, or a control character set off by blanks.
         self.mark, self.between = ("\n", "\n") if spaced else ("\x1e", " \x1e ")
@@ -149,7 +151,9 @@ class Encoder:
         found = [None if p is None else list(map(get, p)) for p in split]
         fresh = young.missed
         self._learn(fresh)
+        self.tokenizer.encode_special_tokens = False
         whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
+        self.tokenizer.encode_special_tokens = True
         ids = [next(whole) if f is None else
                b"".join([young[x] if type(x) is str else x for x in f])[skip:] for f in found]
         for piece in fresh:
