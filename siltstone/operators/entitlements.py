@@ -64,9 +64,11 @@ class EntitlementIndex:
     def decide(self, requests: DataFrame) -> DataFrame:
         """``access.decide`` from the index: ``requests(user_id, operation, resource)`` plus ``allowed``."""
         key, = free_names(requests, "key")
-        keyed = requests.withColumn(key, access.request_key(*[F.col(c) for c in access.KEY]))
+        asked = access.looked_up(F.col("resource"))
+        keyed = requests.withColumn(key, access.request_key(F.col("user_id"), F.col("operation"), asked))
         open_to_all = access.always_allowed(F.col("operation"), F.col("resource"))
-        once = settle(keyed.where(~open_to_all).select(F.col(key).alias("key"), *access.KEY).dropDuplicates(["key"]), "requests")
+        once = settle(keyed.where(~open_to_all).select(F.col(key).alias("key"), "user_id", "operation", asked.alias("resource"))
+                      .distinct(), "requests")
         found = self.coverage(once.frame).withColumnRenamed("key", key)
         joined = lookup_join(keyed.where(~open_to_all), found, [key], "left")
         missing = F.array_except(F.col("resource")["columns"], F.col("covered"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import access, grants, secure
+from siltstone.session import settle
 
 GRANT = "user_id string, catalog string, schema string, table string, actions array<string>, columns array<string>"
 GRANTS = [
@@ -210,3 +211,24 @@ def test_grant_violations(spark):
         "user_id string, object_id int, object_type string, actions array<string>, columns array<string>")
     assert {r[0]: r[1] for r in grants.grant_violations(relation).collect()} == {
         "actions_empty": 1, "actions_unknown": 1, "object_type_unknown": 1, "grant_repeated": 1}
+
+
+def test_requests_that_differ_in_columns_are_looked_up_once(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label="settled"):
+        found = settle(df, label)
+        written[label] = written.get(label, 0) + found.rows
+        return found
+
+    monkeypatch.setattr(access, "settle", counted)
+    grants = spark.createDataFrame([("u", "c", "s", "t", ["SELECT_TABLE"], ["a", "b"]), ("u", "c", "s", "t", ["SELECT_TABLE"], ["d"])],
+                                   "user_id string, catalog string, schema string, table string, actions array<string>, columns array<string>")
+    lists = [["a"], ["b", "d"], ["a", "x"], [], None, ["a"]]
+    requests = spark.createDataFrame([(i, "u", "SelectFromColumns", ("table", "c", "s", "t", names)) for i, names in enumerate(lists)],
+                                     "i int, user_id string, operation string, resource struct<level: string, catalog: string, "
+                                     "schema: string, table: string, columns: array<string>>")
+    found = {r["i"]: r["allowed"] for r in access.decide(requests, grants).collect()}
+    assert found == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
+    # With columns named, and without.
+    assert written["requests"] == 2
