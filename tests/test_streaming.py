@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import tables
+from siltstone.plans import lake_queries
 from siltstone.session import fresh_dir
 from siltstone.sources import connect, files
 from siltstone.streaming import messages, uploads
@@ -142,3 +143,16 @@ def test_failed_publishing_is_not_fatal(spark):
 def test_required_drops_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert messages.required(df, ["b"]).count() == 1 and messages.required(df, []).count() == 2
+
+
+def test_messages_are_kept_packed_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake_queries, "MESSAGES_PER_FILE", 20)
+    rows = spark.range(50).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id AS user_id",
+                                      "'click' AS event_type", "1.5D AS value", "'{}' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    path = lake_queries._event_messages(spark, str(tmp_path))
+    files = [f.removeprefix("file:") for f in spark.read.text(path).inputFiles()]
+    assert len(files) == 3 and all(f.endswith(".gz") for f in files)
+    source = spark.readStream.text(path)
+    copied = lake_queries._streamed(spark, messages.decode(source, lake_queries.EVENT_MESSAGE))
+    assert sorted(r["event_id"] for r in copied.collect()) == list(range(50))
