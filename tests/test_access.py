@@ -232,3 +232,43 @@ def test_requests_that_differ_in_columns_are_looked_up_once(spark, monkeypatch):
     assert found == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True}
     # With columns named, and without.
     assert written["requests"] == 2
+
+
+def test_grants_are_grouped_before_they_are_unnested(spark):
+    grants = spark.createDataFrame(
+        [("u", "c", "s", "t", ["A", "B"], ["x", "y"]), ("u", "c", "s", "t", ["A"], ["z", None]), ("u", "c", "s", "t", ["B"], None),
+         ("u", "c", "s", "t", ["B"], None), ("u", "c", "s", "t", [None], []), ("u", "c", "s", "t", [], None), ("v", "c", "s", "t", None, None)],
+        "user_id string, catalog string, schema string, table string, actions array<string>, columns array<string>")
+    found = access.privilege_lookup(grants)
+    assert {(r["user_id"], r["privilege"], r["whole"], tuple(sorted(r["columns"]))) for r in found.collect()} == {
+        ("u", "A", False, ("x", "y", "z")), ("u", "B", True, ("x", "y")), ("u", None, False, ())}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" in plan and "Generate" not in plan[plan.index("Aggregate"):]
+
+
+def test_requests_meet_grants_level_by_level(spark, monkeypatch):
+    written = {}
+
+    def counted(df, label="settled"):
+        found = settle(df, label)
+        written[label] = written.get(label, 0) + found.rows
+        return found
+
+    monkeypatch.setattr(access, "settle", counted)
+    grants = spark.createDataFrame(
+        [("a", "c", "", "", ["SHOW_SCHEMAS"], None), ("a", "c", "s", "", ["SELECT_TABLE"], ["x"]), ("a", "c", "s", "t", ["SELECT_TABLE"], ["y"]),
+         ("b", "c", "s", "t", ["ALL"], []), ("d", "c", "s", "t", [], None)],
+        "user_id string, catalog string, schema string, table string, actions array<string>, columns array<string>")
+    asked = [("a", "ShowSchemas", ("catalog", "c", None, None, None), True), ("a", "SelectFromColumns", ("table", "c", "s", "t", ["x", "y"]), True),
+             ("a", "SelectFromColumns", ("table", "c", "s", "t", ["z"]), False), ("a", "SelectFromColumns", ("table", "c", "s", "q", ["x"]), True),
+             ("a", "SelectFromColumns", ("table", "c", "r", "t", ["x"]), False), ("b", "DropTable", ("table", "c", "s", "t", None), True),
+             ("b", "SelectFromColumns", ("table", "c", "s", "t", []), True), ("b", "SelectFromColumns", ("table", "c", "s", "t", ["x"]), False),
+             ("b", "ShowCatalogs", ("catalog", "c", None, None, None), True), ("d", "ShowCatalogs", ("catalog", "c", None, None, None), False),
+             ("d", "SelectFromColumns", ("table", "c", "s", "t", []), False), ("a", "Unknown", ("catalog", "c", None, None, None), False)]
+    requests = spark.createDataFrame([(i, u, o, r) for i, (u, o, r, _) in enumerate(asked)],
+                                     "i int, user_id string, operation string, resource struct<level: string, catalog: string, "
+                                     "schema: string, table: string, columns: array<string>>")
+    found = {r["i"]: r["allowed"] for r in access.decide(requests, grants).collect()}
+    assert found == {i: wanted for i, (_, _, _, wanted) in enumerate(asked)}
+    # Only the grants on containers are written before they meet the requests.
+    assert written["container-grants"] == 2 and "privileges" not in written
