@@ -102,3 +102,36 @@ def test_privileges_held_at_places(spark):
     many = spark.range(200).select(F.lit("u").alias("user_id"), F.lit("table").alias("object_type"), F.col("id").cast("int").alias("object_id"),
                                    F.array(F.lit("ALL")).alias("actions"), F.lit(None).cast("array<string>").alias("columns"))
     assert entitlements.index(many, objects(spark)).words.rows <= 4
+
+
+def test_places_asked_travel_once_and_privileges_share_words(spark):
+    rng = random.Random(5)
+    named = objects(spark)
+    grants = [(f"u{rng.randrange(5)}", kind, rng.randrange(ids), rng.sample(access.PRIVILEGES, 2), rng.choice([None, ["a"]]))
+              for kind, ids in [("catalog", 3), ("schema", 7), ("table", 200), ("table", 200)] for _ in range(6)] + [
+        (None, "catalog", 1, ["ALL"], None), ("u0", "catalog", 2, [], None), ("u1", "catalog", 2, None, None), ("u2", "table", 3, [None], None)]
+    relation = spark.createDataFrame(grants, "user_id string, object_type string, object_id int, actions array<string>, columns array<string>")
+    held = entitlements.index(relation, named)
+    # Both privileges of a grant are in one word.
+    assert held.words.frame.where("level = 0 AND size(privileges) = 2").count() > 0 and "privilege" not in held.words.frame.columns
+    asked = [(rng.choice(["u0", "u1", "u2", "u3", "u4", "w", None]), rng.choice(["lake", "crm", "empty", "nowhere", None]),
+              rng.choice([f"s{rng.randrange(7)}", "", "gone", None]), rng.choice([f"t{rng.randrange(205)}", "", None])) for _ in range(4000)]
+    places = {(r["catalog"], r["schema"], r["table"]): (r["object_type"], r["object_id"]) for r in named.collect()}
+    asked += [(f"u{n % 5}", *place) for n, place in enumerate(places) if n % 3]
+    wanted = {}
+    for user, catalog, schema, table in asked:
+        depth = 3 if table else 2 if schema else 1
+        around = [(catalog, "", ""), (catalog, schema, ""), (catalog, schema, table)][:depth]
+        # The deepest known place decides; what lies between it and the place asked is not there.
+        around = [places[p] for p in around if p in places]
+        found = [g for g in grants if g[0] == user and g[3] and (g[1], g[2]) in around]
+        if user is not None and (catalog, "", "") in places and found:
+            wanted[user, catalog, schema, table] = sorted({a for g in found for a in g[3] if a})
+    assert any(None in k for k in wanted) and any(k[3] == "t204" or k[2] == "gone" for k in wanted)
+    frame = held.held(spark.createDataFrame(asked * 2, "user_id string, catalog string, schema string, `table` string"))
+    rows = [tuple(r) for r in frame.collect()]
+    assert len(rows) == len(wanted) and {r[:4]: r[4] for r in rows} == wanted
+    # Neither is a place spread over the levels of the bitmap, nor do hits move again.
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" +-:").split(" ")[0] for line in plan.splitlines()]
+    assert not {"Generate", "Aggregate"} & set(nodes) and nodes.count("RepartitionByExpression") == 1, plan
