@@ -16,6 +16,8 @@ import numpy as np
 REMEMBERED = 700_000
 LONGEST_REMEMBERED = 64
 CALL = 2000
+# Pieces in one text of a call: the library takes longer for each piece of a long text.
+JOINED = 32
 
 # ASCII marks that, at the end of a piece and after a letter, always start a token of their own.
 MARKS = ".,!#$%&*|"
@@ -33,15 +35,15 @@ def vocabulary(name: str) -> str:
 
 
 class _Pieces(dict):
-    """Ids by piece; a piece that is not known is noted and stands for itself."""
+    """Ids by piece; a piece that is not known is noted and gets an empty buffer, which its ids fill later."""
 
     def __init__(self):
         super().__init__({"": b""})
-        self.missed: set[str] = set()
+        self.missed: dict[str, bytearray] = {}
 
-    def __missing__(self, piece: str) -> str:
-        self.missed.add(piece)
-        return piece
+    def __missing__(self, piece: str) -> bytearray:
+        self[piece] = self.missed[piece] = bytearray()
+        return self[piece]
 
 
 class Encoder:
@@ -76,61 +78,68 @@ class Encoder:
         """Ids of texts without white space inside, in joined calls."""
         if self.separator is None:
             return self._encode(pieces)
-        out = []
+        out, held = [], []
         for at in range(0, len(pieces), CALL):
             some = pieces[at:at + CALL]
-            body = self.between.join(some)
-            if body.count(self.mark) != len(some) - 1:
-                out += self._encode(some)
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([body], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * np.flatnonzero(ids == self.separator)).tolist()
-            data = ids.tobytes()
-            if len(cuts) != len(some) - 1:
-                out += self._encode(some)
-                continue
-            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
+            groups = [some[k:k + JOINED] for k in range(0, len(some), JOINED)]
+            bodies = [self.between.join(g) for g in groups]
+            for group, body, found in zip(groups, bodies, self.tokenizer.encode_batch_fast(bodies, add_special_tokens=False), strict=True):
+                ids = found.ids
+                if body.count(self.mark) == ids.count(self.separator) == len(group) - 1:
+                    held += ids
+                    held.append(self.separator)
+                else:
+                    out += self._cut(held)
+                    out += self._encode(group)
+                    held = []
+            out += self._cut(held)
+            held = []
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces; a piece and the marks at its end are encoded apart.
+    def _cut(self, held: list[int]) -> list[bytes]:
+        """The ids before each separator."""
+        ids = np.array(held, dtype="<u4")
+        cuts, data = (4 * np.flatnonzero(ids == self.separator)).tolist(), ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts, strict=False)]
+
+    def _learn(self, missed: dict[str, bytearray]) -> None:
+        """Remember the ids of pieces and fill their buffers; a piece and the marks at its end are encoded apart.
 
         Where blanks are kept, a piece stands for itself after a blank, or, if it begins with a line end, for itself.
         """
-        young, old, spaced = self.young, self.old, self.spaced
-        cuts, wanted = {}, set()
-        known = [p for p in pieces if p in old] if old else []
-        for piece in known:
-            young[piece] = old[piece]
-        for piece in pieces.difference(known) if known else pieces:
-            if piece[-1] not in MARKS:
-                wanted.add(piece)
+        young, old, spaced, line, skip = self.young, self.old, self.spaced, self.line, len(self.line)
+        cuts, todo = [], []
+        for piece, buffer in missed.items():
+            if piece in old:
+                young[piece] = old[piece]
+                buffer += old[piece]
                 continue
-            body = piece.rstrip(MARKS)
-            # The last letter may become a letter and a mark when it is lower-cased.
-            if len(body) < len(piece) and body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
-                marks = piece[len(body):]
-                cuts[piece] = (body, "\n" + marks if spaced else marks)
-                wanted.update(cuts[piece])
-            else:
-                wanted.add(piece)
-        todo = []
-        for part in wanted:
-            if part in young:
-                continue
-            if part in old:
-                young[part] = old[part]
-            else:
-                todo.append(part)
-        line, skip = self.line, len(self.line)
-        if spaced:
-            texts = [p[1:] if p[0] == "\n" else " " + p for p in todo]
-            for part, ids in zip(todo, self._encode_pieces(texts), strict=True):
-                young[part] = line + ids if part[0] == "\n" else ids
-        else:
-            young.update(zip(todo, self._encode_pieces(todo), strict=True))
-        for piece, (body, marks) in cuts.items():
-            young[piece] = young[body] + young[marks][skip:]
+            if piece[-1] in MARKS:
+                body = piece.rstrip(MARKS)
+                # The last letter may become a letter and a mark when it is lower-cased.
+                if body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
+                    marks = "\n" + piece[len(body):] if spaced else piece[len(body):]
+                    cuts.append((piece, buffer, body, marks))
+                    for part in (body, marks):
+                        if part not in young:
+                            if part in old:
+                                young[part] = old[part]
+                            else:
+                                young[part] = bytearray()
+                                todo.append(part)
+                    continue
+            todo.append(piece)
+        texts = [p[1:] if p[0] == "\n" else " " + p for p in todo] if spaced else todo
+        for part, ids in zip(todo, self._encode_pieces(texts), strict=True):
+            if spaced and part[0] == "\n":
+                ids = line + ids
+            buffer = young[part]
+            buffer += ids
+            young[part] = ids
+        for piece, buffer, body, marks in cuts:
+            ids = young[body] + young[marks][skip:]
+            buffer += ids
+            young[piece] = ids
 
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, one after another, are those of the text, after one line end where blanks are kept; None if
@@ -147,15 +156,20 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
         young, skip = self.young, len(self.line)
-        get, young.missed = young.__getitem__, set()
+        get, young.missed = young.__getitem__, {}
         found = [None if p is None else list(map(get, p)) for p in split]
         fresh = young.missed
-        self._learn(fresh)
-        self.tokenizer.encode_special_tokens = False
-        whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        self.tokenizer.encode_special_tokens = True
-        ids = [next(whole) if f is None else
-               b"".join([young[x] if type(x) is str else x for x in f])[skip:] for f in found]
+        try:
+            self._learn(fresh)
+            self.tokenizer.encode_special_tokens = False
+            whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
+        except BaseException:
+            # Nothing is remembered by halves.
+            self.young, self.old = _Pieces(), {}
+            raise
+        finally:
+            self.tokenizer.encode_special_tokens = True
+        ids = [next(whole) if f is None else b"".join(f)[skip:] for f in found]
         for piece in fresh:
             if len(piece) > LONGEST_REMEMBERED:
                 del young[piece]

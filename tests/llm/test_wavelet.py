@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,40 @@ def test_keys_come_from_the_files_with_every_digit(spark):
     texts = spark.createDataFrame([("b\"ü", "x"), ("a", "y")], "`the key` string, text string")
     found = wavelet.documents(wavelet.write_shards(texts, PATH, key="the key"), "the key", "string").orderBy("start").collect()
     assert [r["the key"] for r in found] == ["a", "b\"ü"]
+
+
+class Watched:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.own, self.seen, self.fails = tokenizer, [], False
+
+    def encode_batch_fast(self, texts, **options):
+        if self.fails:
+            raise MemoryError
+        self.seen += texts
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_pieces_are_joined_to_short_texts():
+    words = [f"w{n}{'.' * (n % 3)}{'ä' * (n % 2)}" for n in range(3000)]
+    encode = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True)
+    plain, encode.tokenizer = encode.tokenizer, Watched(encode.tokenizer)
+    texts = [" ".join(words[n:n + 60]) + "\n" + words[n] for n in range(0, 3000, 50)]
+    for _ in range(2):
+        found = encode(texts)
+        assert [np.frombuffer(b, dtype="<u4").tolist() for b in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(t.count("\n") for t in encode.tokenizer.seen) < 64
+    # No piece is encoded again in the second round.
+    assert sum(t.count("\n") + 1 for t in encode.tokenizer.seen) <= len(set(words)) + 100
+
+
+def test_a_failed_call_leaves_no_empty_piece():
+    encode = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), True)
+    plain, encode.tokenizer = encode.tokenizer, Watched(encode.tokenizer)
+    encode.tokenizer.fails = True
+    with pytest.raises(MemoryError):
+        encode(["some words, not known yet."])
+    encode.tokenizer.fails = False
+    assert np.frombuffer(encode(["some words, not known yet."])[0], dtype="<u4").tolist() == plain.encode(
+        "some words, not known yet.", add_special_tokens=False).ids
