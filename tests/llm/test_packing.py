@@ -122,3 +122,19 @@ def test_encoder_equals_the_library(name, spaced, monkeypatch):
     for text, ids in zip(texts, got, strict=True):
         want = np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert ids == want, repr(text)
+
+
+def test_many_new_words_are_joined_to_short_texts():
+    words = [f"w{'abcdefghij'[n % 10] * (n // 10 % 7)}{n}{'.' * (n % 3)}" for n in range(3000)]
+    encode = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), False)
+    plain, seen = encode.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encode.tokenizer = Watched()
+    texts = [" ".join(words[n:n + 60]) for n in range(0, 3000, 50)]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(t.count("\x1e") for t in seen) < 64
