@@ -30,7 +30,6 @@ from siltstone.llm.common import column, written
 
 CAPACITY = 2048
 END_ID = 0
-ENCODE_ROWS = 256
 
 
 def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -52,16 +51,16 @@ def token_pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         encode = tokens.encoder(path, spaced=False)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODE_ROWS):
-                some = batch.slice(at, ENCODE_ROWS)
+            for low, high in tokens.stretches(batch.column("text_")):
+                some = batch.slice(low, high - low)
                 rows, docs = [], []
-                for doc, ids in enumerate(encode([t or "" for t in some.column("text_").to_pylist()])):
+                for doc, ids in enumerate(encode(some.column("text_"))):
                     ids += end
-                    for piece, low in enumerate(range(0, len(ids), 4 * capacity)):
-                        body = ids[low:low + 4 * capacity]
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        body = ids[at:at + 4 * capacity]
                         length = len(body) // 4
                         docs.append(doc)
-                        rows.append((piece, low // 4, length, zlib.crc32(body), seen[length], body))
+                        rows.append((piece, at // 4, length, zlib.crc32(body), seen[length], body))
                         seen[length] += 1
                 piece, start, length, crc, nth, bodies = zip(*rows, strict=True)
                 # Ids keep their type: they are taken, never converted.

@@ -1,19 +1,27 @@
 """Token ids of whole texts from a public tokenizer file.
 
 The tokenizers library does the encoding. A text is first cut at blanks and line ends, where no token of the two
-supported kinds can cross, and each distinct piece is encoded once per worker and remembered; pieces that are not known
-yet are encoded many at a time, with a separator between them that always is one token of its own. The memory is bounded:
-two generations of at most ``REMEMBERED`` pieces. Texts with other white space, or with the text of a special token, are
-encoded in one call, so that all ids are those of a plain call of the library.
+supported kinds can cross; the pieces of a call are numbered by Arrow, and each distinct one is looked up once. It is
+encoded once per worker and remembered; pieces that are not known yet are encoded many at a time, and told apart by the
+blank that the first token of each begins with, or by a separator between them that always is one token of its own. The
+memory is bounded: two generations of at most ``REMEMBERED`` pieces and those of a call, and calls of about ``CALL_BYTES``.
+Texts with other white space, or with the text of a special token, are encoded in one call, so that all ids are those of a
+plain call of the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 REMEMBERED = 700_000
+# Bytes of texts that are encoded together: the more, the fewer look-ups.
+CALL_BYTES = 4 << 20
 LONGEST_REMEMBERED = 64
 CALL = 2000
 # Pieces in one text of a call: the library takes longer for each piece of a long text.
@@ -25,7 +33,8 @@ MARKS = ".,!#$%&*|"
 # White space other than blanks and line ends, and control characters that some libraries take for white space.
 _ODD = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
         "\u2028\u2029\u202f\u205f\u3000")
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+# Where blanks are kept: texts that are no single blanks and line ends between pieces.
+_UNEVEN = rf"\A[ \n]|[ \n]\z|[ \n][ \n]|[{_ODD}]"
 
 
 def vocabulary(name: str) -> str:
@@ -34,16 +43,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Pieces(dict):
-    """Ids by piece; a piece that is not known is noted and gets an empty buffer, which its ids fill later."""
-
-    def __init__(self):
-        super().__init__({"": b""})
-        self.missed: dict[str, bytearray] = {}
-
-    def __missing__(self, piece: str) -> bytearray:
-        self[piece] = self.missed[piece] = bytearray()
-        return self[piece]
+def stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last row (exclusive) of stretches of about ``CALL_BYTES`` of text, at least a row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + CALL_BYTES, side="right")))
+        yield low, high
+        low = high
 
 
 class Encoder:
@@ -59,7 +67,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Tokens that stand for themselves wherever their text occurs; texts with one are encoded in one call. Pieces of
         # other texts hold none, and are not searched for any.
-        self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        whole = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join(whole + [_UNEVEN] * spaced)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         # Between pieces: a line end, or a control character set off by blanks.
@@ -67,7 +76,16 @@ class Encoder:
         alone = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
         self.line = np.array(alone, dtype="<u4").tobytes() if spaced else b""
-        self.young = _Pieces()
+        # Ids of tokens that begin with a blank, if a blank is a token.
+        blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens if spaced else []
+        self.blank = None
+        if len(blank) == 1:
+            names = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.blank = np.zeros(max(names.values()) + 1, dtype=bool)
+            self.blank[[i for name, i in names.items() if name.startswith(blank[0])]] = True
+        # Pieces without a text of their own.
+        self.empty = {"": b"", "\n": self.line} if spaced else {"": b""}
+        self.young: dict[str, bytes] = dict(self.empty)
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -96,86 +114,107 @@ class Encoder:
             held = []
         return out
 
+    def _encode_blank(self, pieces: list[str]) -> list[bytes]:
+        """Ids of texts that are a blank and what follows it without white space, in joined calls."""
+        if self.blank is None:
+            return self._encode(pieces)
+        out = []
+        for at in range(0, len(pieces), CALL):
+            some = pieces[at:at + CALL]
+            groups = [some[k:k + JOINED] for k in range(0, len(some), JOINED)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)]
+            ids = np.array([i for some in found for i in some], dtype="<u4")
+            firsts = np.flatnonzero(self.blank[ids])
+            ends = np.cumsum([len(some) for some in found])
+            if np.diff(np.searchsorted(firsts, ends), prepend=0).tolist() == [len(g) for g in groups]:
+                cuts, data = (4 * firsts).tolist(), ids.tobytes()
+                out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+            else:
+                out += self._encode(some)
+        return out
+
     def _cut(self, held: list[int]) -> list[bytes]:
         """The ids before each separator."""
         ids = np.array(held, dtype="<u4")
         cuts, data = (4 * np.flatnonzero(ids == self.separator)).tolist(), ids.tobytes()
         return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts, strict=False)]
 
-    def _learn(self, missed: dict[str, bytearray]) -> None:
-        """Remember the ids of pieces and fill their buffers; a piece and the marks at its end are encoded apart.
+    def _learn(self, missed: list[str]) -> None:
+        """Remember the ids of pieces, whole ones only; a piece and the marks at its end are encoded apart.
 
         Where blanks are kept, a piece stands for itself after a blank, or, if it begins with a line end, for itself.
         """
         young, old, spaced, line, skip = self.young, self.old, self.spaced, self.line, len(self.line)
-        cuts, todo = [], []
-        for piece, buffer in missed.items():
+        cuts, todo = [], {}
+        for piece in missed:
             if piece in old:
                 young[piece] = old[piece]
-                buffer += old[piece]
                 continue
             if piece[-1] in MARKS:
                 body = piece.rstrip(MARKS)
                 # The last letter may become a letter and a mark when it is lower-cased.
                 if body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
                     marks = "\n" + piece[len(body):] if spaced else piece[len(body):]
-                    cuts.append((piece, buffer, body, marks))
+                    cuts.append((piece, body, marks))
                     for part in (body, marks):
                         if part not in young:
                             if part in old:
                                 young[part] = old[part]
                             else:
-                                young[part] = bytearray()
-                                todo.append(part)
+                                todo[part] = None
                     continue
-            todo.append(piece)
-        texts = [p[1:] if p[0] == "\n" else " " + p for p in todo] if spaced else todo
-        for part, ids in zip(todo, self._encode_pieces(texts), strict=True):
-            if spaced and part[0] == "\n":
-                ids = line + ids
-            buffer = young[part]
-            buffer += ids
-            young[part] = ids
-        for piece, buffer, body, marks in cuts:
-            ids = young[body] + young[marks][skip:]
-            buffer += ids
-            young[piece] = ids
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids, one after another, are those of the text, after one line end where blanks are kept; None if
-        it must be encoded in one call."""
-        if any(token in text for token in self.whole):
-            return None
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if (not text or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS)
-                or any(c in text for c in _ODD)):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        young, skip = self.young, len(self.line)
-        get, young.missed = young.__getitem__, {}
-        found = [None if p is None else list(map(get, p)) for p in split]
-        fresh = young.missed
+            todo[piece] = None
+        if spaced:
+            lines = [p for p in todo if p[0] == "\n"]
+            after = [p for p in todo if p[0] != "\n"]
+            young.update(zip(lines, [line + ids for ids in self._encode_pieces([p[1:] for p in lines])], strict=True))
+            young.update(zip(after, self._encode_blank([" " + p for p in after]), strict=True))
+        else:
+            young.update(zip(todo, self._encode_pieces(list(todo)), strict=True))
+        for piece, body, marks in cuts:
+            young[piece] = young[body] + young[marks][skip:]
+
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that can be cut into pieces."""
+        if self.spaced:
+            # A line end before the text tells that no blank is before its first piece; its ids are left out again.
+            lined = pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar("\n", texts.type))
+            split = pc.split_pattern(pc.replace_substring(lined, "\n", " \n"), " ")
+        else:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young = self.young
+        found = list(map(young.get, pieces))
+        missed = [piece for piece, ids in zip(pieces, found, strict=True) if ids is None]
+        if missed:
+            self._learn(missed)
+            found = list(map(young.__getitem__, pieces))
+            for piece in missed:
+                if len(piece) > LONGEST_REMEMBERED:
+                    del young[piece]
+            if len(young) > REMEMBERED:
+                self.old, self.young = young, dict(self.empty)
+        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        _, places, data = ids.buffers()
+        ends = np.frombuffer(places, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        data, skip = data.to_pybytes() if data else b"", len(self.line)
+        return [data[a + skip:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text; none for null."""
+        texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        in_one = pc.match_substring_regex(texts, self.whole) if self.whole else pa.array(np.zeros(len(texts), dtype=bool))
+        rest = texts.filter(pc.invert(in_one))
+        joined = iter(self._joined(rest) if len(rest) else [])
+        if len(rest) == len(texts):
+            return list(joined)
+        self.tokenizer.encode_special_tokens = False
         try:
-            self._learn(fresh)
-            self.tokenizer.encode_special_tokens = False
-            whole = iter(self._encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        except BaseException:
-            # Nothing is remembered by halves.
-            self.young, self.old = _Pieces(), {}
-            raise
+            whole = iter(self._encode(texts.filter(in_one).to_pylist()))
         finally:
             self.tokenizer.encode_special_tokens = True
-        ids = [next(whole) if f is None else b"".join(f)[skip:] for f in found]
-        for piece in fresh:
-            if len(piece) > LONGEST_REMEMBERED:
-                del young[piece]
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, _Pieces()
-        return ids
+        return [next(whole if one else joined) for one in in_one.to_pylist()]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +39,6 @@ from siltstone.session import fresh_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 22
-ENCODE_ROWS = 256
 BLOCK = 64  # bytes of a plane between two stored counts
 STRETCH = 1 << 15
 MAGIC = b"WVM2"
@@ -195,23 +195,23 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     folder = folder or fresh_dir(df.sparkSession, "wavelet")
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, nth = tokens.encoder(path, spaced=True), TaskContext.get().partitionId(), 0
         files, root = shared_files(folder)
         files.create_dir(root, recursive=True)
         names, bodies, held = [], [], 0
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             name = f"shard-{part:06d}-{nth:05d}-{uuid.uuid4().hex}.wvm"
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(bodies), dtype="<u4"))
             with files.open_output_stream(f"{root}/{name}") as out:
                 out.write(matrix.pack([len(b) // 4 for b in bodies], names))
-            return pd.DataFrame({"file": [name], "part": [part], "nth": [nth]})
+            return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "nth": [nth]})
 
-        for frame in frames:
-            for at in range(0, len(frame), ENCODE_ROWS):
-                some = frame.iloc[at:at + ENCODE_ROWS]
-                for name, ids in zip(some["name_"], encode([t or "" for t in some["text_"]]), strict=True):
+        for batch in batches:
+            keys, texts = batch.column("name_"), batch.column("text_")
+            for low, high in tokens.stretches(texts):
+                for name, ids in zip(keys[low:high].to_pylist(), encode(texts[low:high]), strict=True):
                     names.append(name)
                     bodies.append(ids + end)
                     held += len(ids) // 4 + 1
@@ -225,7 +225,7 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     narrow = df.select(column(key).alias("key_"), column(key).cast("string").alias("name_"), column(text).alias("text_"))
     order = [F.col("key_"), F.xxhash64("text_")]
     ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("name_", "text_")
-    shards = written(ordered.mapInPandas(run, "file string, part long, nth long"), "shards")
+    shards = written(ordered.mapInArrow(run, "file string, part long, nth long"), "shards")
     shards = shards.withColumn("file", F.concat(F.lit(folder.rstrip("/") + "/"), "file"))
 
     def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -105,3 +106,52 @@ def test_a_failed_call_leaves_no_empty_piece():
     encode.tokenizer.fails = False
     assert np.frombuffer(encode(["some words, not known yet."])[0], dtype="<u4").tolist() == plain.encode(
         "some words, not known yet.", add_special_tokens=False).ids
+
+
+def test_a_distinct_piece_is_looked_up_once_in_a_call():
+    encode = tokens.Encoder(PATH, True)
+
+    class Counted(type(encode.young)):
+        looked = 0
+
+        def __getitem__(self, piece):
+            Counted.looked += 1
+            return super().__getitem__(piece)
+
+        def get(self, piece, *other):
+            Counted.looked += 1
+            return super().get(piece, *other)
+
+    young = Counted()
+    young.update(encode.young)
+    encode.young = young
+    texts = ["some few words, said again and again\nand once more."] * 500
+    assert len(set(encode(texts))) == 1
+    # Two look-ups of a new piece, and some for marks that are encoded apart.
+    assert Counted.looked < 60
+    assert len(set(encode(texts))) == 1 and Counted.looked < 80
+
+
+def test_pieces_after_blanks_are_joined_without_separators():
+    encode = tokens.Encoder(PATH, True)
+    plain, encode.tokenizer = encode.tokenizer, Watched(encode.tokenizer)
+    texts = ["a " + " ".join(f"w{n}'s-{'é' * (n % 3)}我{n % 7}" for n in range(k, k + 40)) for k in range(0, 2000, 40)]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(t.count("\n") for t in encode.tokenizer.seen) == 0
+    assert max(t.count(" ") for t in encode.tokenizer.seen) < 64
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_arrow_texts_in_stretches(name, spaced, monkeypatch):
+    monkeypatch.setattr(tokens, "CALL_BYTES", 40)
+    texts = ["a b", None, "", "é " * 50 + "x", "two  blanks", "a\nb, c.", "<|endoftext|> z", "\n", None, "a b"]
+    encode = tokens.Encoder(tokens.vocabulary(name), spaced)
+    want = [np.array(encode.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts if "<" not in (t or "")]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *texts], kind)[1:]
+        cuts = list(tokens.stretches(column))
+        assert [low for low, _ in cuts] == [0, *[high for _, high in cuts[:-1]]] and cuts[-1][1] == len(texts) and len(cuts) > 2
+        got = [ids for low, high in cuts for ids in encode(column[low:high])]
+        assert got == encode(texts) and got[:6] + got[7:] == want
+    assert list(tokens.stretches(pa.array([], pa.string()))) == [] and encode([]) == []
