@@ -1,12 +1,12 @@
 """Token ids of whole texts from a public tokenizer file.
 
 The tokenizers library does the encoding. A text is first cut at blanks and line ends, where no token of the two
-supported kinds can cross; the pieces of a call are numbered by Arrow, and each distinct one is looked up once. It is
-encoded once per worker and remembered; pieces that are not known yet are encoded many at a time, and told apart by the
-blank that the first token of each begins with, or by a separator between them that always is one token of its own. The
-memory is bounded: two generations of at most ``REMEMBERED`` pieces and those of a call, and calls of about ``CALL_BYTES``.
-Texts with other white space, or with the text of a special token, are encoded in one call, so that all ids are those of a
-plain call of the library.
+supported kinds can cross; the pieces of a call are numbered by Arrow, marks at their ends are taken off, and
+each distinct one is looked up once. It is encoded once per worker and remembered; pieces that are not known yet are
+encoded many at a time, and told apart by the blank that the first token of each begins with, or by a separator between
+them that always is one token of its own. The memory is bounded: two generations of at most ``REMEMBERED`` pieces and those
+of a call, and calls of about ``CALL_BYTES``. Texts with other white space, or with the text of a special token, are
+encoded in one call, so that all ids are those of a plain call of the library.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 # Bytes of texts that are encoded together: the more, the fewer look-ups.
-CALL_BYTES = 4 << 20
+CALL_BYTES = 6 << 20
 LONGEST_REMEMBERED = 64
 CALL = 2000
 # Pieces in one text of a call: the library takes longer for each piece of a long text.
@@ -29,6 +29,10 @@ JOINED = 32
 
 # ASCII marks that, at the end of a piece and after a letter, always start a token of their own.
 MARKS = ".,!#$%&*|"
+# Letters that become a letter and a mark when they are lower-cased or composed; what follows them is not told apart.
+_SPLIT = r"\x{130}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{fb1d}-\x{fb4e}"
+# The end of a piece whose marks are encoded apart.
+_MARKED = rf"[^\PL{_SPLIT}](?P<marks>[{re.escape(MARKS)}]+)\z"
 
 # White space other than blanks and line ends, and control characters that some libraries take for white space.
 _ODD = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -139,40 +143,47 @@ class Encoder:
         cuts, data = (4 * np.flatnonzero(ids == self.separator)).tolist(), ids.tobytes()
         return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], cuts, strict=False)]
 
-    def _learn(self, missed: list[str]) -> None:
-        """Remember the ids of pieces, whole ones only; a piece and the marks at its end are encoded apart.
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, remembered or encoded now; only whole results are remembered.
 
         Where blanks are kept, a piece stands for itself after a blank, or, if it begins with a line end, for itself.
         """
-        young, old, spaced, line, skip = self.young, self.old, self.spaced, self.line, len(self.line)
-        cuts, todo = [], {}
-        for piece in missed:
-            if piece in old:
-                young[piece] = old[piece]
-                continue
-            if piece[-1] in MARKS:
-                body = piece.rstrip(MARKS)
-                # The last letter may become a letter and a mark when it is lower-cased.
-                if body and body[-1].isalpha() and body[-1].lower()[-1].isalpha():
-                    marks = "\n" + piece[len(body):] if spaced else piece[len(body):]
-                    cuts.append((piece, body, marks))
-                    for part in (body, marks):
-                        if part not in young:
-                            if part in old:
-                                young[part] = old[part]
-                            else:
-                                todo[part] = None
-                    continue
-            todo[piece] = None
-        if spaced:
+        young, old, line = self.young, self.old, self.line
+        found = list(map(young.get, pieces))
+        missed = [piece for piece, ids in zip(pieces, found, strict=True) if ids is None]
+        if not missed:
+            return found
+        young.update((piece, old[piece]) for piece in missed if piece in old)
+        todo = [piece for piece in missed if piece not in old]
+        if self.spaced:
             lines = [p for p in todo if p[0] == "\n"]
             after = [p for p in todo if p[0] != "\n"]
             young.update(zip(lines, [line + ids for ids in self._encode_pieces([p[1:] for p in lines])], strict=True))
             young.update(zip(after, self._encode_blank([" " + p for p in after]), strict=True))
         else:
-            young.update(zip(todo, self._encode_pieces(list(todo)), strict=True))
-        for piece, body, marks in cuts:
-            young[piece] = young[body] + young[marks][skip:]
+            young.update(zip(todo, self._encode_pieces(todo), strict=True))
+        found = list(map(young.__getitem__, pieces))
+        for piece in todo:
+            if len(piece) > LONGEST_REMEMBERED:
+                young.pop(piece, None)
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, dict(self.empty)
+        return found
+
+    def _encode_distinct(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces; a piece and the marks at its end are looked up apart."""
+        marked = pc.match_substring_regex(pieces, _MARKED)
+        bodies = pc.if_else(marked, pc.ascii_rtrim(pieces, characters=MARKS), pieces).dictionary_encode()
+        marks = pc.struct_field(pc.extract_regex(pieces.filter(marked), _MARKED), "marks").dictionary_encode()
+        words = bodies.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ends = [self.mark + m if self.spaced else m for m in marks.dictionary.to_pylist()]
+        found = self._known(words + ends)
+        tails = [b"", *[ids[len(self.line):] for ids in found[len(words):]]]
+        which = np.zeros(len(pieces), dtype=np.int64)
+        which[marked.to_numpy(zero_copy_only=False)] = marks.indices.to_numpy() + 1
+        kind = pa.large_binary()
+        return pc.binary_join_element_wise(pa.array(found[:len(words)], kind).take(bodies.indices),
+                                           pa.array(tails, kind).take(pa.array(which)), pa.scalar(b"", kind))
 
     def _joined(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts that can be cut into pieces."""
@@ -183,19 +194,7 @@ class Encoder:
         else:
             split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        young = self.young
-        found = list(map(young.get, pieces))
-        missed = [piece for piece, ids in zip(pieces, found, strict=True) if ids is None]
-        if missed:
-            self._learn(missed)
-            found = list(map(young.__getitem__, pieces))
-            for piece in missed:
-                if len(piece) > LONGEST_REMEMBERED:
-                    del young[piece]
-            if len(young) > REMEMBERED:
-                self.old, self.young = young, dict(self.empty)
-        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        ids = self._encode_distinct(numbered.dictionary).take(numbered.indices)
         _, places, data = ids.buffers()
         ends = np.frombuffer(places, dtype=np.int64)[split.offsets.to_numpy()].tolist()
         data, skip = data.to_pybytes() if data else b"", len(self.line)

@@ -155,3 +155,21 @@ def test_arrow_texts_in_stretches(name, spaced, monkeypatch):
         got = [ids for low, high in cuts for ids in encode(column[low:high])]
         assert got == encode(texts) and got[:6] + got[7:] == want
     assert list(tokens.stretches(pa.array([], pa.string()))) == [] and encode([]) == []
+
+
+def test_marks_are_taken_off_before_a_piece_is_looked_up():
+    encode = tokens.Encoder(PATH, True)
+    plain, encode.tokenizer = encode.tokenizer, Watched(encode.tokenizer)
+    text = "so " + " ".join(f"w{'abcdefgh'[n]}{mark}" for n in range(8) for mark in ("", ",", ".", "!!", "?,", "7."))
+    assert np.frombuffer(encode([text])[0], dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert "wa" in encode.young
+    assert not any(piece[-1:] in tokens.MARKS and piece[-2:-1].isalpha() for piece in encode.young)
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_marks_after_letters_that_fall_apart(name, spaced):
+    encode = tokens.Encoder(tokens.vocabulary(name), spaced)
+    letters = "aÀİßΣक\u0915\u093c\u0958\u095e\u09dc\u09df\u0a33\u0a5e\u0b5c\u0f43\u0f69\ufb1d\ufb2a\ufb4e\uac00한ﬁ"
+    texts = [f"x{c}., y{c}!\n{c}, {c}" for c in letters]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
