@@ -272,3 +272,59 @@ def test_requests_meet_grants_level_by_level(spark, monkeypatch):
     assert found == {i: wanted for i, (_, _, _, wanted) in enumerate(asked)}
     # Only the grants on containers are written before they meet the requests.
     assert written["container-grants"] == 2 and "privileges" not in written
+
+
+RESOURCE = "struct<level: string, catalog: string, schema: string, table: string, columns: array<string>>"
+BATCHES = f"batch_id int, user_id string, operation string, resources array<{RESOURCE}>"
+
+
+def test_batches_agree_with_single_decisions(spark):
+    import random
+    dice = random.Random(7)
+    pick = dice.choice
+    names = lambda: pick([None, None, [], ["a"], ["b", None], ["a", "d"], [None]])
+    some = lambda *values: pick([*values, *values, None, ""])
+    privileges = [["SELECT_TABLE"], ["SHOW_COLUMNS"], ["SHOW_TABLES", None], ["ALL"], ["ACCESS_CATALOG"], ["PAINT"], ["DROP_SCHEMA"], [], None, [None]]
+    users = ["u", "v", "w", None]
+    grants = []
+    for _ in range(90):
+        place = (some("c", "d"), some("s", "r"), some("t", "q")) if dice.random() < 0.3 else pick([("c", "", ""), ("d", "s", ""), ("c", "s", "t"), ("c", "r", "q")])
+        grants.append((pick(users), *place, pick(privileges), names()))
+    operations = [*sorted({name for name, _, _ in access.OPERATIONS}), "Unknown", None]
+
+    def resource():
+        if dice.random() < 0.1:
+            return pick([None, ("table", "system", "s", "t", None), ("table", "c", "information_schema", "t", ["a"])])
+        return (pick(["table", "schema", "catalog", None]), some("c", "d"), some("s", "r"), some("t", "q"), names())
+
+    batches = [(pick([*range(250), None]), pick([*users, "z"]), pick(operations),
+                [("table", "c", "s", "t", None), ("schema", "c", "s", None, None), ("catalog", "c", None, None, None)] if dice.random() < 0.2
+                else pick([None, [], *[[resource() for _ in range(n)] for n in (1, 1, 2, 3)]])) for _ in range(300)]
+    batches += [(1000 + i, pick(users), "FilterColumns", [("table", "c", "s", "t", ["a", "b", None, "d"])]) for i in range(20)]
+    given = spark.createDataFrame(grants, GRANT)
+    asked = spark.createDataFrame(batches, BATCHES)
+    by_column = [(i, u, o, [(*r[0][:4], [c]) for c in r[0][4]] if o == "FilterColumns" and r and len(r) == 1 and r[0] and r[0][4] else r or [])
+                 for i, u, o, r in batches]
+    single = spark.createDataFrame([(i, k, u, o, r) for i, u, o, rs in by_column for k, r in enumerate(rs)],
+                                   f"batch_id int, index int, user_id string, operation string, resource {RESOURCE}")
+    allowed = {}
+    for r in access.decide(single, given).where("allowed AND batch_id IS NOT NULL").collect():
+        allowed.setdefault(r["batch_id"], set()).add(r["index"])
+    wanted = sorted((str(i), sorted(allowed.get(i, ()))) for i, *_ in batches)
+    assert sum(bool(found) for _, found in wanted) > 50
+    assert sorted((str(r["batch_id"]), r["indices"]) for r in access.allowed_indices(asked, given).collect()) == wanted
+
+
+def test_batches_and_grants_travel_once(spark, given, monkeypatch):
+    written = []
+    monkeypatch.setattr(access, "settle", lambda df, label="settled": (written.append(label), settle(df, label))[1])
+    table = [("table", "c", "s", "t", None), ("schema", "c", "s", None, None), ("catalog", "c", None, None, None)]
+    batches = spark.createDataFrame([(1, "ann", "FilterTables", table), (2, "bob", "FilterTables", table), (3, "bob", "FilterSchemas", table[1:])], BATCHES)
+    found = access.allowed_indices(batches.where("operation LIKE 'Filter%'"), given)
+    assert {r["batch_id"]: r["indices"] for r in found.collect()} == {1: [0, 1, 2], 2: [0], 3: []}
+    # A table, its schema and its catalog are one row of what meets the grants.
+    parts = access._asked_parts(batches)
+    assert [len(r["_parts"]) for r in parts.collect()] == [1, 1, 1]
+    fixed = access.allowed_indices(batches.withColumn("operation", F.lit("FilterTables")), given)
+    plan = fixed._jdf.queryExecution().executedPlan().toString()
+    assert not written and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2

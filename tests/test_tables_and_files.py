@@ -217,3 +217,15 @@ def test_connector_options():
 
 def test_scalar_queries(spark):
     assert spark.sql("SELECT 1").first()[0] == 1 and spark.sql("SELECT current_user()").first()[0]
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    from siltstone.session import SHUFFLE_CLEANUP, settle
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disks.getAllFiles().mkString(",").split(",") if f.endswith(".data") and "shuffle_" in f}
+    before, setting = shuffled(), spark.conf.get(SHUFFLE_CLEANUP)
+    frame = spark.range(5000).select((F.col("id") % 1000).alias("k")).groupBy("k").count()
+    assert settle(frame, "counted").frame.where("count = 5").count() == 1000
+    assert not shuffled() - before and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    # A frame that is not settled may be run again from what it shuffled.
+    assert frame.collect() and shuffled() - before
