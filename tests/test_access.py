@@ -328,3 +328,29 @@ def test_batches_and_grants_travel_once(spark, given, monkeypatch):
     fixed = access.allowed_indices(batches.withColumn("operation", F.lit("FilterTables")), given)
     plan = fixed._jdf.queryExecution().executedPlan().toString()
     assert not written and "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_columns_of_a_batch_are_one_row(spark, given):
+    table = lambda *names: [("table", "c", "s", "t", list(names))]
+    batches = spark.createDataFrame([(1, "bob", "FilterColumns", table("a", "z", "d", None)), (2, "ann", "FilterColumns", table("z", "z")),
+                                     (2, "zoe", "FilterColumns", table("a", "b", "c")), (3, "dan", "FilterColumns", table("a")),
+                                     (None, "cat", "FilterColumns", table("a")), (4, "zoe", "ExecuteQuery", table("a"))], BATCHES)
+    assert [len(r["_parts"]) for r in access._asked_parts(batches).collect()] == [1, 1, 1, 1, 1, 0]
+    found = access.allowed_indices(batches, given).collect()
+    assert sorted((str(r["batch_id"]), r["indices"]) for r in found) == [
+        ("1", [0, 2]), ("2", [0, 1]), ("2", [0, 1]), ("3", []), ("4", [0]), ("None", [])]
+
+
+def test_pairs_of_customers_and_suppliers_are_marked(spark, tmp_path):
+    from siltstone.plans import access_queries
+    lines = [(1, 7, "A", "F"), (1, 7, "A", "F"), (1, 7, "R", "F"), (1, 8, "N", "O"), (2, 7, "A", "F"), (3, None, "A", None), (3, 7, None, "F"), (9, 7, "A", "F")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 10, "x"), (2, 10, "x"), (3, None, "x")], "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    traded = access_queries._traded(spark, str(tmp_path))
+    distinct = {(10, 7, "A", "F"), (10, 7, "R", "F"), (10, 8, "N", "O"), (None, None, "A", None), (None, 7, None, "F")}
+    rows = traded.drop("new_pair").collect()
+    assert len(rows) == len(distinct) and {tuple(r) for r in rows} == distinct
+    pairs = access_queries._pairs(traded)
+    assert sorted(map(str, map(tuple, pairs.collect()))) == ["(10, 7)", "(10, 8)", "(None, 7)", "(None, None)"]
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
