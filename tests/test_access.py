@@ -349,8 +349,10 @@ def test_pairs_of_customers_and_suppliers_are_marked(spark, tmp_path):
         f"{tmp_path}/orders.parquet")
     traded = access_queries._traded(spark, str(tmp_path))
     distinct = {(10, 7, "A", "F"), (10, 7, "R", "F"), (10, 8, "N", "O"), (None, None, "A", None), (None, 7, None, "F")}
-    rows = traded.drop("new_pair").collect()
+    rows = traded.drop("new_pair", "new_line").collect()
     assert len(rows) == len(distinct) and {tuple(r) for r in rows} == distinct
     pairs = access_queries._pairs(traded)
     assert sorted(map(str, map(tuple, pairs.collect()))) == ["(10, 7)", "(10, 8)", "(None, 7)", "(None, None)"]
+    lines = traded.where("new_line").select("o_custkey", "l_suppkey", "l_returnflag").collect()
+    assert len(lines) == 5 and {tuple(r) for r in lines} == {row[:3] for row in distinct}
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
